@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, token_counts
-from .common import table
+from . import chat, embedding_dedup, language, mixing, packing, quality, token_counts, vector_search
+from .common import fold_of, table
 
 #: Sources with a stated target weight; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
@@ -32,6 +33,28 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = fold_of(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.fit(docs))
+    held_out = fold_of(F.col("doc_id"), language.FOLDS) == language.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 OP1_SQL = """
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM documents GROUP BY source),
 weighed AS (SELECT *, CASE source WHEN 'src0' THEN 3.0 WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM sizes),
@@ -48,7 +71,7 @@ FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, range(
 
 
 def queries() -> dict:
-    own = (op1_source_mixing, op3_chat_formatting, op4_token_counts, op5_packing)
+    own = (op1_source_mixing, op3_chat_formatting, op4_token_counts, op5_packing, op6_quality_classifier, op7_embedding_dedup, op8_vector_search, op10_language_id)
     return {f.__name__: f for f in own}
 
 
