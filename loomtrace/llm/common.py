@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What the tokenizer takes for white space lies inside what Python's \s takes; \x1c-\x1f are white space to Python only.
-#: A text may be cut wherever a chunk of this pattern ends: see tokens.py.
-CHUNK = r"\s*\S+(?:[\x1c-\x1f]\s*\S*)*|\s+"
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session; only where it is unset, one of our own (single-machine tests)."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import Encoder, in_blocks
+from .tokens import encoder, in_blocks
 
 #: id that ends every document
 END_ID = 1
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str |
     names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), end_id.to_bytes(4, "little")
+        encode, end = encoder(path).encode, end_id.to_bytes(4, "little")
         base, number = TaskContext.get().partitionId() << 36, 0
         held, tokens = [], 0
 
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str |
             doc_type = batch.schema.field(0).type
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for a, b in in_blocks(texts, 2_000_000):
-                for doc, raw in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                for doc, raw in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     held.append((doc, raw + end))
                     tokens += len(raw) // 4 + 1
                 if tokens >= block_tokens:

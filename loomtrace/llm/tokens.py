@@ -1,9 +1,10 @@
 """Encoding with the public byte-level BPE.
 
-Where a text may be cut: the tokenizer first splits a text by a pattern whose every alternative is either white space
-only, or at most one leading space and then no white space. So no piece of that split goes on from a character that is
-not white space to one that is, and what follows is split the same whatever stood before: between such two characters
-every encoding has a boundary. A special token holds no white space, so none straddles it.
+Where a text may be cut: the tokenizer first splits a text, left to right, by a pattern whose alternatives are a
+contraction, one optional space and letters, the same with digits, the same with anything else that is not white space,
+and white space only. Its next piece depends on nothing before it. So there is a boundary, whatever surrounds it,
+(a) where white space follows something else, (b) where a full stop or comma follows a letter or digit, and (c) behind a
+newline that stands alone between two characters that are not white space. A special token holds none of these places.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from itertools import chain
 
 import numpy as np
 
-from .common import CHUNK
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BYTE_BPE = "byte_bpe_50k.json"
-_CHUNK = re.compile(CHUNK)
+#: Chunks between such places: a lone newline; a word of letters and digits before (a), (b) or the end; else all up to (a).
+#: \x1c-\x1f are white space to Python only, so no chunk but a plain word ends before them.
+_CHUNK = re.compile(r"\n(?!\s)|\s*+[^\W_]++(?=[.,\s]|\Z)|\s*+\S++(?:[\x1c-\x1f]\s*+\S*+)*+|\s+")
 #: A proven boundary: not white space before it, white space of the tokenizer's own pattern behind it.
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
@@ -35,13 +36,13 @@ def tokenizer(path: str | None = None):
 
 
 class Encoder:
-    """Token ids of whole texts, encoding each distinct chunk (see CHUNK) once while it is remembered.
+    """Token ids of whole texts, encoding each distinct chunk (see _CHUNK) once while it is remembered.
 
-    The memory is bounded: at `limit` chunks it starts anew. New chunks of a batch are joined and encoded as one text,
+    The memory is bounded: beyond `limit` chunks it starts anew with those of the texts at hand. New chunks of a batch are joined and encoded as one text,
     which the proof above allows, and told apart by the bytes that their tokens stand for.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 300_000):
+    def __init__(self, path: str | None = None, limit: int = 1_000_000):
         self.tok, self.limit, self.memo = tokenizer(path), limit, {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
@@ -50,15 +51,12 @@ class Encoder:
             self.n_bytes[i] = len(token.encode()) if token in special else len(token)
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > self.limit:
-            self.memo.clear()
+        """Encodes chunks put one after the other, a lone newline before those that begin with no white space."""
         for k in range(0, len(chunks), 20_000):
-            part = chunks[k : k + 20_000]
-            # chunks are joined only where a cut is proven: each begins with white space
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            part = [y for x in chunks[k : k + 20_000] for y in (("\n", x) if x[0] not in " \t\n\r" else (x,))]
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.n_bytes[ids])
-            marks = np.cumsum([len(x.encode()) for x in part])
-            cuts = np.searchsorted(ends, marks) + 1
+            cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in part])) + 1
             raw, start = ids.tobytes(), 0
             for chunk, end in zip(part, (cuts * 4).tolist(), strict=True):
                 self.memo[chunk] = raw[start:end]
@@ -67,27 +65,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [_CHUNK.findall(x) for x in texts]
-        new = {x for x in chain.from_iterable(split) if x not in self.memo}
-        joined, alone = [], []
-        for x in sorted(new):
-            (joined if x[0] in " \t\n\r" and not x[-1].isspace() else alone).append(x)
-        known = self.memo
-        if len(known) + len(new) > self.limit:
-            # what this batch needs must stay while it is put together
-            known = self.memo = {x: known[x] for x in set(chain.from_iterable(split)) - new}
-            limit, self.limit = self.limit, len(known) + len(new) + 1
-            self._learn_all(joined, alone)
-            self.limit = limit
-        else:
-            self._learn_all(joined, alone)
+        used = set().union(*split)
+        new = used.difference(self.memo)
+        if len(self.memo) + len(new) > self.limit:
+            self.memo = {x: self.memo[x] for x in used - new}
+        joined = [x for x in new if not x[-1].isspace() and (x[0] in " \t\n\r" or not x[0].isspace())]
+        self._learn(joined)
+        for x in new.difference(joined):
+            self.memo[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _learn_all(self, joined: list[str], alone: list[str]) -> None:
-        if joined:
-            self._learn(joined)
-        for x in alone:
-            self.memo[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+@lru_cache(maxsize=2)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this Python worker: what one task has learned serves the next."""
+    return Encoder(path)
 
 
 def in_blocks(texts: list[str], most_chars: int = 4_000_000):
