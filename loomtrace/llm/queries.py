@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, mixing, packing, quality, token_counts, vector_search
+from . import chat, embedding_dedup, language, minhash, mixing, packing, quality, token_counts, vector_search
 from .common import fold_of, table
 
 #: Sources with a stated target weight; every other source has weight 1.
@@ -48,6 +48,10 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs, language.fit(docs))
@@ -71,7 +75,7 @@ FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, range(
 
 
 def queries() -> dict:
-    own = (op1_source_mixing, op3_chat_formatting, op4_token_counts, op5_packing, op6_quality_classifier, op7_embedding_dedup, op8_vector_search, op10_language_id)
+    own = (op1_source_mixing, op3_chat_formatting, op4_token_counts, op5_packing, op6_quality_classifier, op7_embedding_dedup, op8_vector_search, op9_minhash_dedup, op10_language_id)
     return {f.__name__: f for f in own}
 
 
