@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
@@ -78,8 +78,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, rank: int =
     """A model from at most 2 x per_class labelled documents outside the held-out fold."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("_label"))
     known = known.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    order = Window.partitionBy((F.col("_label") >= 0.5).cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).select("doc_id", "_label")
+    # by class, a limited sort each: nothing is gathered but the rows taken
+    of = lambda keep: known.filter(keep).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    chosen = of(F.col("_label") < 0.5).union(of(F.col("_label") >= 0.5))
     # at most 2 x per_class rows of 16 bytes
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
 
