@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, minhash, mixing, packing, quality, token_counts, vector_search
+from . import chat, embedding_dedup, language, minhash, mixing, packing, quality, substring_dedup, token_counts, vector_search
 from .common import fold_of, table
 
 #: Sources with a stated target weight; every other source has weight 1.
@@ -18,6 +18,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "n_chars", "copy", "mix_key", "text")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -75,7 +80,7 @@ FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, range(
 
 
 def queries() -> dict:
-    own = (op1_source_mixing, op3_chat_formatting, op4_token_counts, op5_packing, op6_quality_classifier, op7_embedding_dedup, op8_vector_search, op9_minhash_dedup, op10_language_id)
+    own = (op1_source_mixing, op2_substring_dedup, op3_chat_formatting, op4_token_counts, op5_packing, op6_quality_classifier, op7_embedding_dedup, op8_vector_search, op9_minhash_dedup, op10_language_id)
     return {f.__name__: f for f in own}
 
 
