@@ -88,9 +88,13 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 1_000, max_languages: int = 200, max_rows: int = 6_000) -> Model | None:
     """A model from at most per_language documents of each language, and max_rows in all, outside the held-out fold."""
     learn = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    commonest = [r.lang for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    commonest = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    if not commonest:
+        return None
     per_language = max(1, min(per_language, max_rows // max(1, len(commonest))))
-    keys = learn.filter(F.col("lang").isin(commonest)).select("lang", F.xxhash64("doc_id").alias("_h"), "doc_id")
+    # only hashes low enough to be among the least of their language go into the ranking
+    share = F.create_map(*[F.lit(x) for v, n in commonest.items() for x in (v, min(1.0, (3 * per_language + 100) / n))])[F.col("lang")]
+    keys = learn.select("lang", F.xxhash64("doc_id").alias("_h"), "doc_id").filter(F.col("_h") / 2.0**64 + 0.5 <= share)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = keys.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).select("doc_id", "lang").distinct()
 
