@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -253,3 +253,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     grouped = some.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id")
     alone = signed.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that name their class: one document of each group. Of rows that share a doc_id one stays, that
+    with the least text; rows without doc_id all stay."""
+    found = near_duplicates(docs, **how)
+    # of a repeated doc_id, one row is kept; such ids are rare, so their rows alone are sorted
+    ids = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept")).filter("_kept").drop("_kept"), "minhash-kept")
+    rows = docs.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).drop("_id")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    once = rows.filter("_n = 1").select(*docs.columns)
+    again = rows.filter("_n > 1").withColumn("_first", F.row_number().over(order)).filter("_first = 1").select(*docs.columns)
+    nameless = docs.filter("doc_id IS NULL")
+    return once.unionByName(again).unionByName(nameless)
