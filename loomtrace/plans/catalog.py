@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
+from . import calls, detectors, windows  # noqa: F401  they register on import
+from .registry import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
