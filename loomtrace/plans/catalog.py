@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calls, detectors, messages, text, usage, windows  # noqa: F401  they register on import
+from . import calls, compare, detectors, graph, messages, streams, text, usage, windows  # noqa: F401  they register on import
 from .registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
