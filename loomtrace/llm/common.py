@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; null ids fall into the fold of the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about most_bytes of text (column number `text`), one row at least, so that what a task
+    holds does not follow the length of texts; what is freed goes back to the system."""
+    for batch in batches:
+        column = batch.column(text)
+        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        start, size = 0, 0
+        for k, n in enumerate(lengths):
+            if size and size + n > most_bytes:
+                yield batch.slice(start, k - start)
+                start, size = k, 0
+            size += n
+        if start < len(lengths):
+            yield batch.slice(start)
+        del batch, column
+        pa.default_memory_pool().release_unused()

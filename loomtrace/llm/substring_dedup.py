@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import in_blocks
+from .common import small_batches, written
 from .words import grams, hashed_words, mixed
 
 WINDOW, PREFIX = 35, 8
@@ -47,7 +46,9 @@ def runs(texts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, ...]
         return (np.zeros(0, np.int64),) * 5
     of_gram = grams(flat, prefix)
     width = window - prefix + 1
-    anchor = np.arange(n) + np.lib.stride_tricks.sliding_window_view(of_gram, width).argmin(axis=1)
+    seen = np.lib.stride_tricks.sliding_window_view(of_gram, width)
+    # in slices: argmin copies what it looks at
+    anchor = np.arange(n) + np.concatenate([seen[k : k + 20_000].argmin(axis=1) for k in range(0, n, 20_000)])
     text = np.repeat(np.arange(len(texts)), np.diff(starts))[:n]
     start = np.flatnonzero(np.arange(n) + window <= starts[text + 1])
     if not len(start):
@@ -95,11 +96,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     source = source.withColumn("uid", F.xxhash64(names[docs.columns.index("doc_id")], names[at]))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1, 1_000_000):
             uid, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in in_blocks(texts, 2_000_000):
-                text, head, run, first, more = runs(texts[a:b], window, prefix)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[a:b][text]), pa.array(head), pa.array(run), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32))], names=["uid", "head", "run", "first", "more"])
+            text, head, run, first, more = runs(texts, window, prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[text]), pa.array(head), pa.array(run), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32))], names=["uid", "head", "run", "first", "more"])
 
     every = written(source.select("uid", names[at]).mapInArrow(anchors, "uid long, head long, run long, first int, more int"), "suffix-anchors")
     # the short prefixes that several suffixes have, and whether the tree branches below them
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finishes documents whose runs are all decided; of the others, the windows that are left to look at."""
-        for batch in batches:
+        for batch in small_batches(batches, at, 4_000_000):
             texts, codes = batch.column(at).to_pylist(), codes_of(batch.column(len(names) + 1))
             kept, n_words, n_removed, open_codes, places, one, two = [], [], [], [], [], [], []
             for text, code in zip(texts, codes, strict=True):
@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "uid", "n_words", "n_removed", "codes", "places", "one", "two"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, at, 4_000_000):
             kept, n_removed = [], []
             for text, code, more_code in zip(batch.column(at).to_pylist(), codes_of(batch.column(len(names) + 1)), codes_of(batch.column(len(names) + 2)), strict=True):
                 words = text.split()

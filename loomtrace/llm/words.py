@@ -11,7 +11,7 @@ import xxhash
 class _Hashes(dict):
     """64-bit hash of each word; the first `limit` words met are remembered."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
