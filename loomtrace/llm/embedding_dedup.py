@@ -20,23 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .graph import components
+from .graph import components, least_members
 from .vectors import matrix, n_parts, usable
 
 
-def _least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index in the component of each of n nodes, under links a-b."""
-    least = np.arange(n)
-    while True:
-        new = least.copy()
-        np.minimum.at(new, a, least[b])
-        np.minimum.at(new, b, least[a])
-        new = new[new]
-        if (new == least).all():
-            return least
-        least = new
-
-
 def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, block: int = 512):
     """Index pairs (of x and y, or of x and x with the first smaller) whose cosine in doubles reaches the threshold."""
 
@@ -96,7 +83,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
                 i, j = a[i], (a if alone else b)[j]
                 links += np.bincount(i, weights=n[j], minlength=len(rep)).astype(np.int64)
                 links += np.bincount(j, weights=n[i], minlength=len(rep)).astype(np.int64)
-                now = _least_members(len(rep), np.r_[rank[i], np.arange(len(rep))], np.r_[rank[j], least])
+                now = least_members(len(rep), np.r_[rank[i], np.arange(len(rep))], np.r_[rank[j], least])
                 least = now
             least = order[least[rank]]
         some = np.flatnonzero(links)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,16 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         before = after
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index in the component of each of n nodes, under links a-b."""
+    least = np.arange(n)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new

@@ -8,9 +8,9 @@ Signatures: improved consistent weighted sampling, `bands` x `rows` samples; equ
 similarity as their chance. Documents that share all samples of a band are candidates.
 
 Verification: exactly equal texts (as words) are folded first. In every band bucket all are compared with the least, and
-links form components. Where a bucket still holds several components, the members outside its largest are compared with
-all others of another component, so every candidate pair is either verified or already joined. Pairs whose total weights
-alone rule out the threshold are not fetched. The class of a document is its component; its id is the least doc_id in it.
+links form components; pairs whose total weights alone rule out the threshold are not fetched. Where a bucket still holds
+several components, all its members are compared in tiles, which return no more links than members; so every candidate
+pair is either verified or already joined. The class of a document is its component; its id is the least doc_id in it.
 
 Null and empty texts belong to no group: each is its own class. Texts whose words are equal are equal, whatever the white
 space. A null doc_id takes part but never names a class, unless all of its class are null. Repeated rows share a class.
@@ -29,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .graph import components
+from .common import small_batches, written
+from .graph import components, least_members
 from .tokens import in_blocks
 from .words import grams, hashed_words, mixed
 
 CELL_BITS, SLICES = 20, 64
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 9, 4
+#: Nodes up to which their list is broadcast to find their texts; beyond, texts are shuffled.
+MAX_BROADCAST = 200_000
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def cell_weights(docs: DataFrame) -> Weights:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(1 << CELL_BITS, dtype=np.int64), 0
-        for batch in batches:
+        for batch in small_batches(batches, 0, 8_000_000):
             texts = [x or b"" for x in batch.column(0).to_pylist()]
             n += len(texts)
             for a, b in in_blocks(texts, 2_000_000):
@@ -147,7 +149,7 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = Sampler(bands * rows)
-        for batch in batches:
+        for batch in small_batches(batches, 1, 8_000_000):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             nodes, totals, keys = [], [], []
             for a, b in in_blocks(texts, 2_000_000):
@@ -185,26 +187,32 @@ def similarity(a: np.ndarray, b: np.ndarray, weights: Weights) -> float:
     return float(weights(hashes, np.minimum(in_a, in_b)).sum() / most) if most else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """The pairs (u, v of nodes) whose similarity reaches the threshold. holders: node, doc_id of a document that has it."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(holders, "node")
+def gram_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, grams (32 bits of each shingle, sorted, with repeats) of the wanted nodes (node, doc_id of a document that has it)."""
+    wanted = written(wanted.select("node", F.col("doc_id").alias("_holder")), "minhash-wanted")
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_holder")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1, 2_000_000):
             texts, nodes = [x or b"" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for a, b in in_blocks(texts, 2_000_000):
-                keep = [k for k in range(a, b) if node_of(texts[k]) == nodes[k]]
-                flat, starts = shingles([texts[k] for k in keep])
-                short = (flat >> np.uint64(32)).astype("<u4")
-                packed = [short[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in keep], pa.int64()), pa.array(packed, pa.binary())], names=["node", "grams"])
+            keep = [k for k, x in enumerate(texts) if node_of(x) == nodes[k]]
+            flat, starts = shingles([texts[k] for k in keep])
+            short = (flat >> np.uint64(32)).astype("<u4")
+            packed = [short[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in keep], pa.int64()), pa.array(packed, pa.binary())], names=["node", "grams"])
+
+    found = texts.select("node", "text").mapInArrow(fetch, "node long, grams binary")
+    return written(found, "minhash-sets").dropDuplicates(["node"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted.withColumnRenamed("doc_id", "_holder"), F.col("doc_id").eqNullSafe(F.col("_holder")))
-    sets = written(texts.select("node", "text").mapInArrow(fetch, "node long, grams binary"), "shingle-sets").dropDuplicates(["node"])
+
+def verified_pairs(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """The pairs (u, v of nodes) whose similarity reaches the threshold."""
+    shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2, 4_000_000):
             u, v, a, b = (c.to_pylist() for c in batch.columns)
             near = [k for k in range(len(u)) if similarity(np.frombuffer(a[k], "<u4"), np.frombuffer(b[k], "<u4"), shared.value) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in near], pa.int64()), pa.array([v[k] for k in near], pa.int64())], names=["u", "v"])
@@ -214,6 +222,61 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, weights: Wei
     return written(both.mapInArrow(compare, "u long, v long"), "minhash-links")
 
 
+def links_within(sets: list[np.ndarray], weights: Weights, threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of similar sets, all against all, or those before `split` against the rest. The weight two sets share is
+    a matrix product over the shingles that several sets have; a repeated shingle counts as one for each time."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    hashes = np.concatenate(sets) if n else np.zeros(0, "<u4")
+    first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+    times = np.arange(len(hashes)) - np.repeat(first, np.diff(np.r_[first, len(hashes)]))
+    keys, column, uses = np.unique(hashes.astype(np.uint64) << np.uint64(24) | times.astype(np.uint64), return_inverse=True, return_counts=True)
+    weight = weights((keys >> np.uint64(24)).astype("<u4"), np.ones(len(keys), np.int64))
+    total = np.bincount(owner, weights=weight[column], minlength=n)
+    common = np.cumsum(uses > 1) - 1
+    use = uses[column] > 1
+    owner, column, width = owner[use], common[column[use]], int(common[-1] + 1) if len(common) else 0
+    weight = weight[uses > 1]
+    cut = n if split is None else split
+    rows, cols = np.arange(cut), np.arange(n) if split is None else np.arange(split, n)
+    shared = np.zeros((len(rows), len(cols)))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, width, 2_048):
+        lo, hi = np.searchsorted(column, [at, at + 2_048])
+        has = np.zeros((n, min(2_048, width - at)))
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        shared += (has[rows] * weight[at : at + 2_048]) @ has[cols].T
+    near = shared >= threshold * (total[rows][:, None] + total[cols][None, :] - shared) - 1e-9
+    i, j = np.nonzero(near)
+    i, j = rows[i], cols[j]
+    keep = i < j
+    return i[keep], j[keep]
+
+
+def verified_buckets(members: DataFrame, sets: DataFrame, weights: Weights, threshold: float, tile: int = 512) -> DataFrame:
+    """Links within buckets (bucket, node), every member against every other. A bucket is dealt into tiles of bounded size
+    and each pair of its tiles is one group, which returns, of the links it finds, a star per component."""
+    shared = members.sparkSession.sparkContext.broadcast(weights)
+    size = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    dealt = members.join(size, "bucket").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("node", "bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile").join(sets, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        first, last = group["t1"][0].as_py(), group["t2"][0].as_py()
+        order = np.lexsort((group["node"].to_numpy(), group["tile"].to_numpy()))
+        nodes, tiles = group["node"].to_numpy()[order], group["tile"].to_numpy()[order]
+        grams = group["grams"].to_pylist()
+        i, j = links_within([np.frombuffer(grams[k], "<u4") for k in order], shared.value, threshold, None if first == last else int((tiles == first).sum()))
+        least = least_members(len(nodes), i, j)
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        return pa.table({"u": pa.array(nodes[moved], pa.int64()), "v": pa.array(nodes[least[moved]], pa.int64())})
+
+    return written(met.groupBy("bucket", "t1", "t2").applyInArrow(run, "u long, v long"), "minhash-links")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, kept (doc_id = class_id, or a document of no group) of every row of docs."""
     weights = cell_weights(docs)
@@ -225,27 +288,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = nodes.select("node", "weight", F.explode("band_keys").alias("band"))
     leaders = members.groupBy("band").agg(F.min(F.struct("node", "weight")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "lead")
     # total weights already rule out pairs: the similarity is at most the lesser over the greater
-    possible = F.least("wu", "wv") >= F.greatest("wu", "wv") * (threshold - 1e-9)
-    shown = lambda p: p.filter("u <> v").filter(possible).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first = members.join(leaders, "band").select(F.col("node").alias("u"), F.col("weight").alias("wu"), F.col("lead.node").alias("v"), F.col("lead.weight").alias("wv"))
-    first = written(shown(first), "minhash-pairs")
-    links = verified(first, docs, holders, weights, threshold)
+    first = first.filter("u <> v").filter(F.least("wu", "wv") >= F.greatest("wu", "wv") * (threshold - 1e-9))
+    first = written(first.select("u", "v").distinct(), "minhash-pairs")
+    wanted = first.select(F.col("u").alias("node")).union(first.select(F.col("v").alias("node"))).distinct().join(holders, "node")
+    links = verified_pairs(first, gram_sets(wanted, docs), weights, threshold)
     joined = written(components(links, "minhash-components"), "minhash-joined")
 
-    # buckets that still hold several components: what lies outside the largest meets all of other components
-    colour = lambda df: df.join(joined, "node", "left").select("band", "node", "weight", F.coalesce("component", "node").alias("colour"))
-    coloured = colour(members.join(leaders.select("band"), "band"))
-    shades = coloured.groupBy("band", "colour").agg(F.count(F.lit(1)).alias("n"))
-    largest = shades.groupBy("band").agg(F.max_by("colour", F.struct("n", "colour")).alias("main"), F.count(F.lit(1)).alias("n_colours")).filter("n_colours > 1").select("band", "main")
-    mixed_up = written(coloured.join(largest, "band"), "minhash-mixed")
-    name = lambda s: [F.col("band"), F.col("node").alias(s), F.col("weight").alias(f"w{s}"), F.col("colour").alias(f"c{s}")]
-    outside = mixed_up.filter("colour <> main").select(*name("u"))
-    more = outside.join(mixed_up.select(*name("v")), "band").filter("cu <> cv")
-    more = shown(more).join(first, ["u", "v"], "left_anti")
-    more = written(more, "minhash-pairs")
-    if not more.isEmpty():
-        links = links.union(verified(more, docs, holders, weights, threshold))
-        joined = components(links, "minhash-components")
+    # buckets that still hold several components: all their members meet; buckets of the same members are one
+    coloured = members.join(leaders.select("band"), "band").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("colour"))
+    token = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**40))
+    several = coloured.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(token).alias("s1"), F.sum(F.xxhash64("node").bitwiseAND(2**40 - 1)).alias("s2"), F.min("colour").alias("lo"), F.max("colour").alias("hi")).filter("lo <> hi")
+    several = several.groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band")
+    crowd = written(coloured.join(several, "band").select(F.col("band").alias("bucket"), "node"), "minhash-buckets")
+    if not crowd.isEmpty():
+        sets = gram_sets(crowd.select("node").distinct().join(holders, "node"), docs)
+        joined = components(links.union(verified_buckets(crowd, sets, weights, threshold)), "minhash-components")
 
     named = nodes.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
