@@ -7,12 +7,13 @@ Suffixes: of each window only the suffix at its anchor is put into the tree, the
 least. Equal windows have equal anchors at equal places, so no repeat is lost, and anchors are few (2 in 29 words for 35
 and 8). Windows in a row with one anchor are a run, the tree's edge down from the anchor's prefix.
 
-Short prefixes first: suffixes are counted by the prefix at the anchor. Alone, it is a leaf and nothing repeats there. If
-all suffixes with it have one run, the edge does not branch, and every window on it repeats. Only where it branches is the
-prefix made longer: runs that occur more than once repeat whole; one of each, and those that occur once, are split into
-their windows, and the nodes at full depth that have several suffixes are the repeats. Each level is a pre-aggregated
-count, so a prefix that a third of all documents share is no group in any task's memory: only its counts and, per
-document, its places are.
+Partitioning: suffixes are counted by the prefix at the anchor. Alone, it is a leaf and nothing repeats there. If all
+suffixes with it have one run, the edge does not branch, and every window on it repeats. Where it branches, runs that
+occur more than once repeat whole, and one of each goes into the subtree of its prefix together with those that occur
+once. Subtrees of at most SUBTREE runs are built in memory, many to a task: all suffixes of their runs are ranked by
+prefix doubling, and an internal node as deep as a window, that is a rank of so many words with several suffixes, is a
+repeat. A larger subtree gets the longest prefix there is, the whole window: its nodes at that depth are counted instead.
+All counts are pre-aggregated, so a prefix that a third of all documents share is no group in any task's memory.
 
 Null and empty texts have no words and stay as they are (null becomes empty). Repeated rows repeat each other's windows.
 What is kept is joined by single spaces. Words are compared by 64-bit hashes, windows by 128 bits, runs by 128 with
@@ -34,6 +35,8 @@ from .words import grams, hashed_words, mixed
 WINDOW, PREFIX = 35, 8
 #: What is to be done with a run: it repeats whole; its windows are to be looked at; both.
 WHOLE, SPLIT, BOTH = 1, 2, 3
+#: Runs up to which the subtree below a prefix is built in memory, and runs that a task builds at once.
+SUBTREE, AT_ONCE = 1_024, 4_096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -66,12 +69,32 @@ def runs(texts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, ...]
 
 
 def packed(first, more, kind):
-    """A run and what to do with it in one number (arrays or columns)."""
-    return first * 1024 + more * 4 + kind
+    """A run and what to do with it in one number (arrays or columns); 4 is added to the kind of a run in a large subtree."""
+    return first * 2048 + more * 8 + kind
 
 
-def unpacked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return code // 1024, code // 4 % 256, code % 4
+def unpacked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return code // 2048, code // 8 % 256, code % 4, code // 4 % 2
+
+
+def deep_nodes(words: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Where a suffix of the runs (their words one after the other, ends behind each) shares `window` words with another.
+
+    Ranks of prefixes of 1, 2, 4 ... words are those of the nodes at these depths; two that overlap make the last one. A
+    suffix that ends before that depth has no node there.
+    """
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(words))  # words to the end of the run
+    depth = 1
+    while depth < window:
+        step = min(depth, window - depth)
+        pair = np.full(len(rank), -1, dtype=np.int64)
+        whole = np.flatnonzero(left >= depth + step)
+        pair[whole] = rank[whole] * (len(rank) + 1) + rank[whole + step] + 1
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        depth += step
+    leaves = np.bincount(rank[left >= window], minlength=len(rank) + 1)
+    return (left >= window) & (leaves[rank] > 1)
 
 
 def covered(n_words: int, first: np.ndarray, more: np.ndarray, window: int) -> np.ndarray:
@@ -82,6 +105,17 @@ def covered(n_words: int, first: np.ndarray, more: np.ndarray, window: int) -> n
     return np.cumsum(edges[:-1]) > 0
 
 
+def _steps(heads: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Slices (start, length) of sorted heads, of about `most` rows, none of which cuts a head in two."""
+    start = 0
+    while start < len(heads):
+        end = len(heads) if start + most >= len(heads) else int(np.searchsorted(heads, heads[start + most]))
+        if end <= start:
+            end = int(np.searchsorted(heads, heads[start], side="right"))
+        yield start, end - start
+        start = end
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """The columns of docs, its text without the repeats, then n_words (before) and n_removed.
 
@@ -108,10 +142,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     shared = written(every.join(heads, "head").select("uid", "head", "run", F.col("first").cast("long").alias("first"), "more", "branches"), "suffix-shared")
     branching = shared.filter("branches")
     edges = written(branching.groupBy("head", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("one")), "suffix-edges")
+    large = written(edges.groupBy("head").agg(F.count(F.lit(1)).alias("_runs")).filter(F.col("_runs") > SUBTREE).select("head", F.lit(4).alias("_large")), "suffix-large")
     is_one = (F.col("one.uid") == F.col("uid")) & (F.col("one.first") == F.col("first"))
-    kind = F.when(F.col("n") == 1, SPLIT).when(is_one, BOTH).otherwise(WHOLE)
+    kind = F.when(F.col("n") == 1, SPLIT).when(is_one, BOTH).otherwise(WHOLE) + F.coalesce("_large", F.lit(0))
     code = lambda k: packed(F.col("first"), F.col("more"), k).alias("code")
-    todo = shared.filter("NOT branches").select("uid", code(F.lit(WHOLE))).union(branching.join(edges, ["head", "run"]).select("uid", code(kind)))
+    todo = shared.filter("NOT branches").select("uid", code(F.lit(WHOLE))).union(branching.join(edges, ["head", "run"]).join(large, "head", "left").select("uid", code(kind)))
     todo = todo.groupBy("uid").agg(F.collect_list("code").alias("codes"))
 
     def codes_of(column: pa.Array) -> list[np.ndarray]:
@@ -121,22 +156,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         return b" ".join([words[k] for k in np.flatnonzero(~gone)] if gone.any() else words)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finishes documents whose runs are all decided; of the others, the windows that are left to look at."""
+        """Finishes documents whose runs are all decided; of the others, the runs for subtrees and the windows of large ones."""
         for batch in small_batches(batches, at, 4_000_000):
             texts, codes = batch.column(at).to_pylist(), codes_of(batch.column(len(names) + 1))
-            kept, n_words, n_removed, open_codes, places, one, two = [], [], [], [], [], [], []
+            kept, n_words, n_removed, open_codes, branches, windows = [], [], [], [], [], []
             for text, code in zip(texts, codes, strict=True):
                 words = text.split()
-                first, more, what = unpacked(code)
+                first, more, what, large = unpacked(code)
                 n_words.append(len(words))
                 undecided = what >= SPLIT
                 if undecided.any():
                     flat, _ = hashed_words([text])
-                    f, m = first[undecided], more[undecided]
-                    where = np.unique(np.concatenate([np.arange(i, i + k + 1) for i, k in zip(f.tolist(), m.tolist(), strict=True)]))
-                    places.append(where.tolist())
-                    one.append(grams(flat, window, seed=3)[where].view(np.int64).tolist())
-                    two.append(grams(flat, window, seed=4)[where].view(np.int64).tolist())
+                    of_gram = grams(flat, prefix)
+                    small = undecided & (large == 0)
+                    ends = first + more + window
+                    branches.append([{"head": int(of_gram[i : i + window - prefix + 1].min().view(np.int64)), "first": i, "more": m, "words": flat[i:e].tobytes()} for i, m, e in zip(first[small].tolist(), more[small].tolist(), ends[small].tolist(), strict=True)])
+                    big = undecided & (large == 1)
+                    where = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.arange(i, i + m + 1) for i, m in zip(first[big], more[big], strict=True)]]))
+                    one, two = (grams(flat, window, seed=k)[where].view(np.int64).tolist() for k in (3, 4))
+                    windows.append([{"place": p, "one": x, "two": y} for p, x, y in zip(where.tolist(), one, two, strict=True)])
                     kept.append(text)
                     n_removed.append(0)
                     open_codes.append(code[what != SPLIT].tolist())
@@ -144,18 +182,46 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     gone = covered(len(words), first, more, window)
                     kept.append(cut(words, gone))
                     n_removed.append(int(gone.sum()))
-                    for x in (open_codes, places, one, two):
+                    for x in (open_codes, branches, windows):
                         x.append(None)
-            i64 = pa.list_(pa.int64())
-            columns = [*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *(pa.array(x, i64) for x in (open_codes, places, one, two))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "uid", "n_words", "n_removed", "codes", "places", "one", "two"])
+            branch = pa.struct([("head", pa.int64()), ("first", pa.int64()), ("more", pa.int64()), ("words", pa.binary())])
+            place = pa.struct([("place", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
+            extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(open_codes, pa.list_(pa.int64())), pa.array(branches, pa.list_(branch)), pa.array(windows, pa.list_(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], *extra], names=[*names, "uid", "n_words", "n_removed", "codes", "branches", "windows"])
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (head, uid, first, more, words) sorted by head; a subtree is never cut."""
+        held, n = [], 0
+
+        def build(table: pa.Table) -> pa.RecordBatch:
+            runs_words = [np.frombuffer(x, dtype=np.uint64) for x in table["words"].to_pylist()]
+            ends = np.cumsum([len(x) for x in runs_words])
+            deep = np.flatnonzero(deep_nodes(np.concatenate(runs_words), ends, window))
+            which = np.searchsorted(ends, deep, side="right")
+            place = table["first"].to_numpy()[which] + deep - np.r_[0, ends][which]
+            return pa.RecordBatch.from_arrays([pa.array(table["uid"].to_numpy()[which]), pa.array(packed(place, 0, WHOLE))], names=["uid", "code"])
+
+        for batch in batches:
+            held, n = [*held, batch], n + len(batch)
+            if n >= AT_ONCE:
+                table = pa.Table.from_batches(held)
+                heads = table["head"].to_numpy()
+                full = int(np.searchsorted(heads, heads[-1]))  # the last head may go on
+                for a in _steps(heads[:full], AT_ONCE):
+                    yield build(table.slice(*a))
+                held = table.slice(full).to_batches()
+                n = len(table) - full
+        if n:
+            table = pa.Table.from_batches(held)
+            for a in _steps(table["head"].to_numpy(), AT_ONCE):
+                yield build(table.slice(*a))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, at, 4_000_000):
             kept, n_removed = [], []
             for text, code, more_code in zip(batch.column(at).to_pylist(), codes_of(batch.column(len(names) + 1)), codes_of(batch.column(len(names) + 2)), strict=True):
                 words = text.split()
-                first, more, _ = unpacked(np.concatenate([code, more_code]))
+                first, more, _, _ = unpacked(np.concatenate([code, more_code]))
                 gone = covered(len(words), first, more, window)
                 kept.append(cut(words, gone))
                 n_removed.append(int(gone.sum()))
@@ -163,13 +229,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema, strict=False))
     met = source.join(todo, "uid", "left").select(*names, "uid", "codes")
-    state = written(met.mapInArrow(split, f"{base}, uid long, n_words long, n_removed long, codes array<long>, places array<long>, one array<long>, two array<long>"), "suffix-documents")
+    more_columns = "codes array<long>, branches array<struct<head:long,first:long,more:long,words:binary>>, windows array<struct<place:long,one:long,two:long>>"
+    state = written(met.mapInArrow(split, f"{base}, uid long, n_words long, n_removed long, {more_columns}"), "suffix-documents")
     waiting = state.filter("codes IS NOT NULL")
-    windows = waiting.select("uid", F.explode(F.arrays_zip("places", "one", "two")).alias("w")).select("uid", F.col("w.places").alias("place"), F.col("w.one").alias("one"), F.col("w.two").alias("two"))
-    # nodes at full depth with several suffixes
+    branches = waiting.select("uid", F.explode("branches").alias("b")).select("b.head", "uid", "b.first", "b.words")
+    in_trees = branches.repartition("head").sortWithinPartitions("head").mapInArrow(subtrees, "uid long, code long")
+    # large subtrees: nodes at full depth with several suffixes
+    windows = waiting.select("uid", F.explode("windows").alias("w")).select("uid", "w.place", "w.one", "w.two")
     nodes = written(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two"), "suffix-nodes")
-    found = windows.join(nodes, ["one", "two"]).select("uid", packed(F.col("place"), F.lit(0), F.lit(WHOLE)).alias("code"))
-    found = found.groupBy("uid").agg(F.collect_list("code").alias("found"))
+    in_large = windows.join(nodes, ["one", "two"]).select("uid", packed(F.col("place"), F.lit(0), F.lit(WHOLE)).alias("code"))
+    found = in_trees.union(in_large).groupBy("uid").agg(F.collect_list("code").alias("found"))
     late = waiting.select(*names, "uid", "n_words", "codes").join(found, "uid", "left").select(*names, "codes", "found", "n_words")
     late = late.select(*names, "n_words", "codes", "found").mapInArrow(finish, f"{base}, n_words long, n_removed long")
     early = state.filter("codes IS NULL").select(*names, "n_words", "n_removed")

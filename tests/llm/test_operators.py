@@ -258,3 +258,21 @@ def test_minhash_classes_equal_brute_force(docs, texts):
     kept = [r.doc_id for r in minhash.keep_one(docs).collect()]
     assert 1 in kept and 2 not in kept and kept.count(9) == 1 and {5, 6, 7} <= set(kept)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_large_subtrees_are_counted_to_the_same_result(docs, texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SUBTREE", 1)
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, 5, 2).collect()]
+    want = [(d, *x[:2]) for (d, *_), x in zip(texts, brute_repeats(texts, 5), strict=True)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_deep_nodes_are_repeated_windows():
+    r = random.Random(4)
+    runs = [[r.randrange(3) for _ in range(r.randrange(3, 12))] for _ in range(60)]
+    for window in (1, 2, 3, 5, 7):
+        seen = collections.Counter(tuple(x[k : k + window]) for x in runs for k in range(len(x) - window + 1))
+        want = [k + window <= len(x) and seen[tuple(x[k : k + window])] > 1 for x in runs for k in range(len(x))]
+        got = substring_dedup.deep_nodes(np.array([y for x in runs for y in x], dtype=np.uint64), np.cumsum([len(x) for x in runs]), window)
+        assert got.tolist() == want
