@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_arrow
 from .tokens import tokenizer
 
 MARK = "<|endoftext|>"
@@ -126,7 +127,7 @@ def format_conversations(turns: DataFrame, path: str | None = None, segment_char
         if out:
             yield batch_of(out)
 
-    rows = turns.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
+    rows = small_arrow(turns).select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
     sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     return sorted_rows.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, {SCHEMA}")
 

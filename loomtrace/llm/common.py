@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +32,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_arrow(df: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+    """df; from now on its session hands Python batches of at most most_bytes (rows of whole documents are long, and both
+    sides keep the buffers of the largest batch they have seen). A smaller limit of the session stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([kmg]?)b?", conf.get(name).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > most_bytes:
+        conf.set(name, most_bytes)
+    return df
+
+
+def tidy() -> None:
+    """Gives freed memory of this Python worker back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,5 +72,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int)
             size += n
         if start < len(lengths):
             yield batch.slice(start)
-        del batch, column
-        pa.default_memory_pool().release_unused()
+    tidy()

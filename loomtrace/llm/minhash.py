@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_arrow, small_batches, written
 from .graph import components, least_members
 from .tokens import in_blocks
 from .words import grams, hashed_words, mixed
@@ -279,7 +279,7 @@ def verified_buckets(members: DataFrame, sets: DataFrame, weights: Weights, thre
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, kept (doc_id = class_id, or a document of no group) of every row of docs."""
-    weights = cell_weights(docs)
+    weights = cell_weights(small_arrow(docs))
     signed = written(signatures(docs, weights, bands, rows), "minhash-signatures")
     some = signed.filter("node IS NOT NULL")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("weight").alias("weight"), F.min("band_keys").alias("band_keys"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_arrow, small_batches
 from .tokens import encoder, in_blocks
 
 #: id that ends every document
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str |
                 arrays.append(pa.ListArray.from_arrays(pa.array([0, *_running(columns[2])], pa.int32()), pa.Array.from_buffers(pa.int32(), sum(columns[2]), [None, pa.py_buffer(b"".join(columns[9]))])))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in batches:
+        for batch in small_batches(batches, 1, 4_000_000):
             doc_type = batch.schema.field(0).type
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for a, b in in_blocks(texts, 2_000_000):
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str |
             yield close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)
+    return small_arrow(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)
 
 
 def _running(lengths) -> list[int]:

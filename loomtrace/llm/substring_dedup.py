@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_arrow, small_batches, tidy, written
 from .words import grams, hashed_words, mixed
 
 WINDOW, PREFIX = 35, 8
@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     """
     if not 1 <= prefix <= window <= 200:
         raise ValueError("1 <= prefix <= window <= 200")
-    docs = docs.drop("n_words", "n_removed")
+    docs = small_arrow(docs).drop("n_words", "n_removed")
     names = [f"_{k}" for k in range(len(docs.columns))]
     at = docs.columns.index("text")
     source = docs.withColumn("text", F.coalesce("text", F.lit("")).cast("binary")).toDF(*names)
@@ -215,6 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
             table = pa.Table.from_batches(held)
             for a in _steps(table["head"].to_numpy(), AT_ONCE):
                 yield build(table.slice(*a))
+        tidy()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, at, 4_000_000):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_arrow, small_batches
 from .tokens import Resync, in_blocks, tokenizer
 
 
@@ -24,7 +25,7 @@ def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None, chu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, long_texts = tokenizer(path), Resync(path, chunk, overlap)
-        for batch in batches:
+        for batch in small_batches(batches, 1, 4_000_000):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             counts = [0] * len(texts)
             short = [k for k, x in enumerate(texts) if len(x) <= chunk + overlap]
@@ -38,6 +39,6 @@ def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None, chu
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(chunks, pa.int32())], names=["doc_id", "n_bytes", "n_tokens", "n_chunks"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = small_arrow(docs).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = rows.mapInArrow(run, f"doc_id {ids}, n_bytes long, n_tokens long, n_chunks int")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks")

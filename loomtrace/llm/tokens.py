@@ -42,7 +42,7 @@ class Encoder:
     which the proof above allows, and told apart by the bytes that their tokens stand for.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 1_000_000):
+    def __init__(self, path: str | None = None, limit: int = 400_000):
         self.tok, self.limit, self.memo = tokenizer(path), limit, {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
