@@ -147,7 +147,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     kind = F.when(F.col("n") == 1, SPLIT).when(is_one, BOTH).otherwise(WHOLE) + F.coalesce("_large", F.lit(0))
     code = lambda k: packed(F.col("first"), F.col("more"), k).alias("code")
     todo = shared.filter("NOT branches").select("uid", code(F.lit(WHOLE))).union(branching.join(edges, ["head", "run"]).join(large, "head", "left").select("uid", code(kind)))
-    todo = todo.groupBy("uid").agg(F.collect_list("code").alias("codes"))
+    # a set: rows that repeat a document have its codes too; written, so that the join below has two plain shuffles
+    todo = written(todo.groupBy("uid").agg(F.collect_set("code").alias("codes")), "suffix-codes")
 
     def codes_of(column: pa.Array) -> list[np.ndarray]:
         return [np.zeros(0, np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in column.to_pylist()]
@@ -170,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     of_gram = grams(flat, prefix)
                     small = undecided & (large == 0)
                     ends = first + more + window
-                    branches.append([{"head": int(of_gram[i : i + window - prefix + 1].min().view(np.int64)), "first": i, "more": m, "words": flat[i:e].tobytes()} for i, m, e in zip(first[small].tolist(), more[small].tolist(), ends[small].tolist(), strict=True)])
+                    branches.append([{"head": int(of_gram[i : i + window - prefix + 1].min().view(np.int64)), "first": i, "one": w == BOTH, "words": flat[i:e].tobytes()} for i, w, e in zip(first[small].tolist(), what[small].tolist(), ends[small].tolist(), strict=True)])
                     big = undecided & (large == 1)
                     where = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.arange(i, i + m + 1) for i, m in zip(first[big], more[big], strict=True)]]))
                     one, two = (grams(flat, window, seed=k)[where].view(np.int64).tolist() for k in (3, 4))
@@ -184,13 +185,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     n_removed.append(int(gone.sum()))
                     for x in (open_codes, branches, windows):
                         x.append(None)
-            branch = pa.struct([("head", pa.int64()), ("first", pa.int64()), ("more", pa.int64()), ("words", pa.binary())])
+            branch = pa.struct([("head", pa.int64()), ("first", pa.int64()), ("one", pa.bool_()), ("words", pa.binary())])
             place = pa.struct([("place", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
             extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(open_codes, pa.list_(pa.int64())), pa.array(branches, pa.list_(branch)), pa.array(windows, pa.list_(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], *extra], names=[*names, "uid", "n_words", "n_removed", "codes", "branches", "windows"])
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (head, uid, first, more, words) sorted by head; a subtree is never cut."""
+        """Rows (head, uid, first, words) sorted by head; a subtree is never cut."""
         held, n = [], 0
 
         def build(table: pa.Table) -> pa.RecordBatch:
@@ -230,16 +231,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema, strict=False))
     met = source.join(todo, "uid", "left").select(*names, "uid", "codes")
-    more_columns = "codes array<long>, branches array<struct<head:long,first:long,more:long,words:binary>>, windows array<struct<place:long,one:long,two:long>>"
+    more_columns = "codes array<long>, branches array<struct<head:long,first:long,one:boolean,words:binary>>, windows array<struct<place:long,one:long,two:long>>"
     state = written(met.mapInArrow(split, f"{base}, uid long, n_words long, n_removed long, {more_columns}"), "suffix-documents")
     waiting = state.filter("codes IS NOT NULL")
-    branches = waiting.select("uid", F.explode("branches").alias("b")).select("b.head", "uid", "b.first", "b.words")
+    branches = waiting.select("uid", F.explode("branches").alias("b")).select("b.head", "uid", "b.first", "b.one", "b.words")
+    # what stands for several runs comes once for each row that repeats its document: one is enough
+    branches = branches.filter("NOT one").union(branches.filter("one").dropDuplicates(["head", "uid", "first"])).drop("one")
     in_trees = branches.repartition("head").sortWithinPartitions("head").mapInArrow(subtrees, "uid long, code long")
     # large subtrees: nodes at full depth with several suffixes
     windows = waiting.select("uid", F.explode("windows").alias("w")).select("uid", "w.place", "w.one", "w.two")
     nodes = written(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two"), "suffix-nodes")
     in_large = windows.join(nodes, ["one", "two"]).select("uid", packed(F.col("place"), F.lit(0), F.lit(WHOLE)).alias("code"))
-    found = in_trees.union(in_large).groupBy("uid").agg(F.collect_list("code").alias("found"))
+    found = in_trees.union(in_large).groupBy("uid").agg(F.collect_set("code").alias("found"))
     late = waiting.select(*names, "uid", "n_words", "codes").join(found, "uid", "left").select(*names, "codes", "found", "n_words")
     late = late.select(*names, "n_words", "codes", "found").mapInArrow(finish, f"{base}, n_words long, n_removed long")
     early = state.filter("codes IS NULL").select(*names, "n_words", "n_removed")

@@ -276,3 +276,11 @@ def test_deep_nodes_are_repeated_windows():
         want = [k + window <= len(x) and seen[tuple(x[k : k + window])] > 1 for x in runs for k in range(len(x))]
         got = substring_dedup.deep_nodes(np.array([y for x in runs for y in x], dtype=np.uint64), np.cumsum([len(x) for x in runs]), window)
         assert got.tolist() == want
+
+
+def test_substring_dedup_of_many_rows_that_repeat(spark):
+    base, other = words(90, 50, 10_000), words(30, 51, 10_000)
+    rows = [(1, base)] * 40 + [(2, other + " " + " ".join(base.split()[10:60])), (3, words(60, 52, 10_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == collections.Counter({(1, 90, 90): 40, (2, 80, 50): 1, (3, 60, 0): 1})
