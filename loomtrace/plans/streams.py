@@ -38,3 +38,9 @@ SELECT user_id, min(us) AS start_us, max(us) + 43200000000 AS end_us, count(*) A
 )
 def stream_sessions(f: Frames) -> DataFrame:
     return live.run_available(live.sessions(live.events(f.spark, f.sf_dir)), f.spark, folder(f.spark), "complete")
+
+
+@query("stream_pairs", "SELECT user_id % 10 AS session, event_type AS tool, count(*) AS pairs, sum(round(value * 1000)::BIGINT)::BIGINT AS total_ms FROM events WHERE event_id % 17 <> 0 GROUP BY 1, 2", ())
+def stream_pairs(f: Frames) -> DataFrame:
+    done = live.run_available(live.paired(live.phases(live.events(f.spark, f.sf_dir))), f.spark, folder(f.spark)).filter("status = 'done'")
+    return done.groupBy("session", "tool").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.expr("(end_ns - start_ns) div 1000000")).alias("total_ms"))

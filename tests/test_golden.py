@@ -161,3 +161,16 @@ def test_hmac(spark):
 
     got = spark.createDataFrame([("key", "message"), ("k" * 64, "é")], "k string, m string").select(text.hmac_sha256(F.col("k").cast("binary"), F.col("m"))).collect()
     assert [r[0] for r in got] == [hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest() for k, m in (("key", "message"), ("k" * 64, "é"))]
+
+
+def test_parameters(spark):
+    from loomtrace.functions import tools
+
+    rows = [({"path": "a", "body": "secret text", "delay_ms": "1500", "wait_s": "3", "timeout_s": "99"},), ({"body": "other", "wait_s": "7"},), ({},)]
+    df = spark.createDataFrame(rows, "m map<string,string>")
+    got = df.select(tools.pick_params(F.col("m"), ["path"]).alias("p"), tools.requested_delay(F.col("m")).alias("d"), tools.comparison_key(F.col("m")).alias("k")).collect()
+    assert set(got[0].p) == {"path", "body_fp", "delay_ms", "wait_s", "timeout_s"} and len(got[0].p["body_fp"]) == 10
+    assert [r.d for r in got] == [3.0, 7.0, None]
+    assert got[0].k == '{"body":"secret text","path":"a"}' and got[1].k == '{"body":"other"}'
+    times = spark.createDataFrame([(7500.0,), (187.0,), (4.24,), (None,)], "s double").select(tools.format_duration(F.col("s"))).collect()
+    assert [r[0] for r in times] == ["2 h 05 min", "3 min 07 s", "4.2 s", None]
