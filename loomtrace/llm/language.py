@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of
-from .textfeatures import trigram_counts
+from .common import fold_of, small_arrow, small_batches
+from .textfeatures import matrix_of, packed, trigram_counts
 from .tokens import in_blocks
 
-BITS = 12
+BITS = 11
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -87,7 +87,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = 1_000, max_languages: int = 200, max_rows: int = 6_000) -> Model | None:
     """A model from at most per_language documents of each language, and max_rows in all, outside the held-out fold."""
-    learn = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+    learn = small_arrow(docs).select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     commonest = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not commonest:
         return None
@@ -101,16 +101,18 @@ def fit(docs: DataFrame, per_language: int = 1_000, max_languages: int = 200, ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
-            packed = [trigram_counts(x, BITS, lower=True).astype("<u4").tobytes() for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], names=["lang", "counts"])
+            counts = [packed(trigram_counts(x, BITS, lower=True)) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
     # at most max_languages x per_language ids
     rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, counts binary")
-    sample = sorted((r.lang, bytes(r.counts)) for r in rows.limit(len(commonest) * per_language).collect())
+    sample = sorted((r.lang, bytes(r.counts)) for r in rows.limit(len(commonest) * per_language).toLocalIterator())
     if not sample:
         return None
-    x = np.log1p(np.stack([np.frombuffer(c, "<u4") for _, c in sample]).astype(np.float32))
-    return Model.fit(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), [v for v, _ in sample])
+    x = matrix_of([c for _, c in sample], BITS)
+    np.log1p(x, out=x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return Model.fit(x, [v for v, _ in sample])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -119,7 +121,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1, 4_000_000):
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
             lettered = batch.column(2).to_pylist()
             names, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -131,5 +133,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                         names[k], scores[k], unsure[k] = name, float(s), bool(u)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = small_arrow(docs).select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
-from .textfeatures import N_STYLE, style, trigram_counts
+from .common import fold_of, small_arrow, small_batches
+from .textfeatures import N_STYLE, matrix_of, packed, style, trigram_counts
 from .tokens import in_blocks
 
-BITS = 12
+BITS = 11
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
@@ -61,7 +61,10 @@ class Model:
 
     @staticmethod
     def _weigh(counts: np.ndarray, styles: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        return _unit(np.hstack([_unit(np.log1p(counts) * idf), styles]))
+        rows = np.log1p(counts)
+        rows *= idf
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        return _unit(np.hstack([rows, styles]))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.labels):
@@ -82,35 +85,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, rank: int =
     of = lambda keep: known.filter(keep).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = of(F.col("_label") < 0.5).union(of(F.col("_label") >= 0.5))
     # at most 2 x per_class rows of 16 bytes
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = small_arrow(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in in_blocks(texts):
                 counts, styles = _counts(texts[a:b])
-                packed = [c.astype("<u4").tobytes() + s.tobytes() for c, s in zip(counts.astype(np.uint32), styles, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.string()), batch.column("_label").slice(a, b - a), pa.array(packed, pa.binary())], names=["doc_id", "label", "features"])
+                rows = [packed(c) + s.tobytes() for c, s in zip(counts, styles, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.string()), batch.column("_label").slice(a, b - a), pa.array(rows, pa.binary())], names=["doc_id", "label", "features"])
 
     found = rows.select("doc_id", "_label", "text").mapInArrow(run, "doc_id string, label double, features binary")
     # repeated ids could exceed the bound
-    sample = sorted(found.limit(2 * per_class).collect(), key=lambda r: (r.doc_id, bytes(r.features)))
+    sample = sorted((r.doc_id, bytes(r.features), r.label) for r in found.limit(2 * per_class).toLocalIterator())
     if not sample:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(((1 << BITS) + N_STYLE, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0)
-    counts = np.stack([np.frombuffer(r.features, "<u4", 1 << BITS) for r in sample]).astype(np.float32)
-    styles = np.stack([np.frombuffer(r.features, "<f4", N_STYLE, 4 << BITS) for r in sample])
-    return Model.fit(counts, styles, np.array([r.label for r in sample]), rank, k)
+    styles = np.stack([np.frombuffer(x, "<f4", N_STYLE, 2 << BITS) for _, x, _ in sample])
+    return Model.fit(matrix_of([x for _, x, _ in sample], BITS), styles, np.array([v for *_, v in sample]), rank, k)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the columns quality_score and quality_label (1 where the score reaches the threshold), in one narrow pass."""
-    docs = docs.drop("quality_score", "quality_label")
+    docs = small_arrow(docs).drop("quality_score", "quality_label")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_{k}" for k in range(len(docs.columns))]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, at, 4_000_000):
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(at).to_pylist()]
             scores = np.zeros(len(texts))
             for a, b in in_blocks(texts, 2_000_000):

@@ -31,3 +31,16 @@ def style(text: bytes) -> tuple[float, float, float]:
     again = sum(map(bytes.__eq__, words[1:], words))
     b = np.frombuffer(text, dtype=np.uint8)
     return again / len(words), 1 - len(set(words)) / len(words), float(((b >= 65) & (b <= 90)).mean())
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in 16 bits each (greater ones as the greatest), as they travel to where a model is fitted."""
+    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+
+
+def matrix_of(rows: list[bytes], bits: int) -> np.ndarray:
+    """The counts of packed rows as one matrix of floats."""
+    out = np.empty((len(rows), 1 << bits), dtype=np.float32)
+    for k, row in enumerate(rows):
+        out[k] = np.frombuffer(row, "<u2", 1 << bits)
+    return out
