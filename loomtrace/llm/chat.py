@@ -1,6 +1,6 @@
 """Chat formatting with a loss mask that is exact to the character.
 
-A turn is rendered as MARK role MARK text MARK newline-free, a conversation as its turns one after the other. MARK is the
+A turn is rendered as MARK role MARK text MARK, a conversation as its turns one after the other. MARK is the
 vocabulary's control string; the tokenizer splits a text at control strings before anything else, so token boundaries
 coincide with the ends of every text. Inside roles and texts a backslash becomes two and "<|" becomes "<\\|", so MARK
 cannot occur there and the way back is unique.
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_arrow
 from .tokens import tokenizer
@@ -162,7 +163,5 @@ def digests(formatted: DataFrame) -> DataFrame:
         types = [formatted_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     formatted_type = to_arrow_type(formatted.schema["conv_id"].dataType)
     return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
