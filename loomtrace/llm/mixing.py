@@ -50,7 +50,8 @@ def _cdf(mean: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, budget: float = 1.0, seed: int = 17) -> DataFrame:
-    """The columns of docs, then copy (from 1) and mix_key, by which the result is sorted.
+    """The columns of docs, then copy (from 1) and mix_key; rows are dealt to partitions at random and sorted by mix_key
+    within each, which is a random order.
 
     docs needs doc_id, text and source. The rates are broadcast if their number is proven small, else joined by shuffle.
     """
@@ -69,4 +70,5 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     counted = joined.withColumn("_n", one + F.when(F.col("n_parts") > 1, more).otherwise(F.lit(0))).filter("_n > 0")
     copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), key, F.col("copy").cast("string"))))
-    return keyed.orderBy("mix_key")
+    # dealt by one hash and sorted by another: a global shuffle that needs no sample of the keys, so texts are read once
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
