@@ -174,3 +174,19 @@ def test_parameters(spark):
     assert got[0].k == '{"body":"secret text","path":"a"}' and got[1].k == '{"body":"other"}'
     times = spark.createDataFrame([(7500.0,), (187.0,), (4.24,), (None,)], "s double").select(tools.format_duration(F.col("s"))).collect()
     assert [r[0] for r in times] == ["2 h 05 min", "3 min 07 s", "4.2 s", None]
+
+
+def test_results(spark):
+    from loomtrace.functions import results
+
+    same = spark.createDataFrame([("a  \r\nb\n",), ("a\nb",), ("  ",)], "t string").select(results.content_fingerprint(F.col("t"))).collect()
+    assert same[0][0] == same[1][0] and same[2][0] is None
+    states = [r[0] for r in spark.createDataFrame([("job 12 RUNNING since 12:00:01, 3 min",), ("job 12 RUNNING since 12:05:44, 8 min",), ("job 12 DONE",), (" ",)], "t string").select(results.state_fingerprint(F.col("t"))).collect()]
+    assert states[0] == states[1] != states[2] and states[3] == "empty"
+    phases = [('{"status": "RUNNING"}', "success", "in_progress"), ('{"state":"COMPLETED"}', "success", "done"), ('{"status":"failed"}', "success", "failed"), ("connection refused", "success", "unavailable"), ("still waiting", "success", "in_progress"), ("hello", "success", "done"), ("hello", "error", "failed"), (None, None, "unknown")]
+    assert [r[0] for r in spark.createDataFrame(phases, "t string, s string, w string").select(results.phase(F.col("t"), F.col("s"))).collect()] == [p[2] for p in phases]
+    hidden = [('{"erreur": null, "x": 1}', None), ('{"error": "boom"}', '"error": "boom"'), ('{"a": {"status": "failed"}}', '"status": "failed"'), ("all fine", None), ("ok\nsession failed here\n", "session failed here")]
+    assert [r[0] for r in spark.createDataFrame(hidden, "t string, w string").select(results.hidden_error(F.col("t"))).collect()] == [h[1] for h in hidden]
+    cases = [("error", 1, "rg", "rg x", "", "success"), ("error", 1, "rg", "rg x", "y" * 400, "unknown"), ("error", 1, "rg", "rg x", "rg: bad regex", "error"), ("error", 2, "rg", "rg x", "", "error"), ("error", 1, "git", "git diff --no-index a b", "", "success"), ("error", 1, "python", "python x", None, "error"), ("error", None, "rg", "rg x", "", "error")]
+    got = spark.createDataFrame(cases, "s string, c int, h string, m string, e string, w string").select(results.reinterpreted(*map(F.col, "schme"))).collect()
+    assert [r[0] for r in got] == [c[5] for c in cases]
