@@ -46,7 +46,6 @@ def read_clusters(calls: DataFrame, window: tuple[int, int] = READ_WINDOW) -> Da
     """A: chains of redundant reads. All pairs clean: high; a degraded one: medium."""
     by = [*KEY, "epoch", "target", "params"]
     pairs = read_pairs(calls, window)
-    pairs = lagged(pairs, by, ["aseq"], _last="call_id")
     # a chain goes on only where this pair begins with the call that ended the last redundant one
     good = pairs.filter("verdict IN ('clean', 'degraded')")
     good = lagged(good, by, ["aseq"], _prev="call_id")
@@ -100,9 +99,6 @@ def failures_on_inputs(calls: DataFrame, least: int = 3, window: tuple[int, int]
     return cut.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("target", "params").alias("inputs"), F.min("aseq").alias("first_aseq")).filter((F.col("failures") >= least) & (F.col("inputs") >= 2)).drop("chain")
 
 
-_BATCH_STEP = "struct<runs:array<array<bigint>>,run:array<struct<aseq:bigint,target:string,category:string,emitter:bigint>>>"
-
-
 def batch_runs(calls: DataFrame, least: int = 3) -> DataFrame:
     """C: runs of calls that could have gone out together: same agent and kind, one after the other, targets all different,
     each from another response. What ends a run depends on what is in it, so each agent-and-epoch's calls are folded in
@@ -180,7 +176,6 @@ def tool_gap_related(calls: DataFrame, servers: DataFrame, max_servers: int = 10
     return groups.join(names, F.col("name").contains(F.col("target")) | F.col("target").contains(F.col("name"))).groupBy(*KEY, "target").agg(F.count(F.lit(1)).alias("related"), F.min("name").alias("first_name"))
 
 
-#: Fixed words that mark a wait or a change in repeated calls are thresholds of rule G.
 def repeat_pairs(calls: DataFrame) -> DataFrame:
     """G: each repeat of a call (same agent, tool, target, params): its reason, the first that holds of a fixed order, and
     its outcome."""
