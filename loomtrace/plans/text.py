@@ -127,7 +127,7 @@ def hmac_equivalence_classes(f: Frames) -> DataFrame:
     "declared_intents",
     r"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(t, '(?i)\btests?\b') THEN 'test' END, CASE WHEN regexp_matches(t, '(?i)\b(?:fix|corrige)') THEN 'fix' END, CASE WHEN regexp_matches(t, '(?i)\breview') THEN 'review' END,
   CASE WHEN regexp_matches(t, '(?i)\b(?:search|cherche|find)') THEN 'search' END, CASE WHEN regexp_matches(t, '(?i)\b(?:write|add|ajoute)') THEN 'write' END, CASE WHEN regexp_matches(t, '(?i)\b(?:run|lance)\b') THEN 'run' END,
-  CASE WHEN regexp_matches(t, '(?i)\b(?:wait|attend)') THEN 'wait' END, CASE WHEN regexp_matches(t, '(?i)\bplan') THEN 'plan' END], lambda x: x IS NOT NULL), ',') AS intents FROM (SELECT conv_id, turn, left(text, 4000) AS t FROM conversations)""",
+  CASE WHEN regexp_matches(t, '(?i)\b(?:wait|attend)') THEN 'wait' END, CASE WHEN regexp_matches(t, '(?i)\bplan') THEN 'plan' END], lambda x: x IS NOT NULL), ',') AS intents FROM (SELECT conv_id, turn, text AS t FROM conversations)""",
     (),
 )
 def declared_intents(f: Frames) -> DataFrame:
