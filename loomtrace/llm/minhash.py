@@ -36,7 +36,7 @@ from .words import grams, hashed_words, mixed
 
 CELL_BITS, SLICES = 20, 64
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 9, 4
+BANDS, ROWS = 20, 3
 #: Nodes up to which their list is broadcast to find their texts; beyond, texts are shuffled.
 MAX_BROADCAST = 200_000
 

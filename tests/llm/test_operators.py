@@ -260,6 +260,22 @@ def test_minhash_classes_equal_brute_force(docs, texts):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_finds_pairs_just_above_the_threshold(spark):
+    """Groups of two, with the registered bands and rows: no third text could link what the bands miss."""
+    rows = []
+    for k in range(3_000):
+        base, cut = words(100, 1_000 + k, 1_000_000), 92 - k % 3
+        rows += [(2 * k, base), (2 * k + 1, " ".join([*base.split()[:cut], *words(100 - cut, 10_000 + k, 1_000_000).split()]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    weights = minhash.cell_weights(df)
+    flat, starts = minhash.shingles([t.encode() for _, t in rows])
+    sets = [(flat[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    near = [minhash.similarity(sets[2 * k], sets[2 * k + 1], weights) for k in range(3_000)]
+    assert 0.8 <= min(near) and max(near) < 0.85
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    assert [k for k in range(3_000) if not got[2 * k] == got[2 * k + 1] == 2 * k] == []
+
+
 def test_large_subtrees_are_counted_to_the_same_result(docs, texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SUBTREE", 1)
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, 5, 2).collect()]
