@@ -91,6 +91,34 @@ def test_redundant_reads(spark):
     assert [(r.reads, r.first_aseq) for r in broken] == [(2, 0), (2, 2)]
 
 
+def test_declared_intents(spark):
+    said = {
+        "Roméo n'est pas encore actif, je retente dans 30 s": ["retry", "unavailable", "wait"],
+        "RÉESSAYONS": ["retry"],
+        "trying it once more": ["retry"],
+        "Connection refused": ["unavailable"],
+        "le serveur ne répond pas": ["unavailable"],
+        "the build is still running": ["in_progress"],
+        "c'est en cours d'exécution": ["in_progress"],
+        "Je vais m'assurer du résultat": ["verify"],
+        "let me double-check": ["verify"],
+        "maintenant que le fichier existe": ["after_change"],
+        "after my edit": ["after_change"],
+        "je répare": ["fix"],
+        "the patch applies": ["fix"],
+        "je regarde le code": ["explore"],
+        "polling every 5 minutes": ["wait"],
+        "surveillance du journal": ["wait"],
+        "prefix, dispatch, éfix and breakdown": [],
+        "a test plan to review, write and run": [],
+        "x" * 3_999 + " again": [],
+        "x" * 3_993 + " again": ["retry"],
+    }
+    df = spark.createDataFrame([(t,) for t in [*said, None]], "t string")
+    got = {r.t: r.i for r in df.select("t", text.declared_intents(F.col("t")).alias("i")).collect()}
+    assert got == said | {None: []}
+
+
 def test_failures(spark):
     bad = {"category": "shell", "status": "error"}
     r = detectors.failure_chains(calls(spark, [bad] * 3)).first()
