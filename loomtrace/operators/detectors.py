@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .messages import repeated_guidance
 from .metrics import failed
 from .windows import NS, islands, lagged
 
@@ -69,26 +70,45 @@ def rerun_chains(calls: DataFrame, window: tuple[int, int] = ERROR_WINDOW) -> Da
     return islands(pairs, by, ["aseq"], broken, "chain").groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("runs"), F.min("aseq").alias("first_aseq"), F.max("aseq").alias("last_aseq")).filter("runs >= 2").drop("chain")
 
 
-def failure_chains(calls: DataFrame, least: int = 3, window: tuple[int, int] = ERROR_WINDOW) -> DataFrame:
-    """B: repeated failures of the same call. A later success within the window makes it a recovery of low confidence; else
+def _interventions(calls: DataFrame, edited: str) -> DataFrame:
+    """calls with running counts of what may have corrected a failure: edits of its target (`edited` names the column), and
+    calls of unknown effect; each once with the row itself (e_to, u_to) and once without (e_before, u_before). Local calls
+    do not correct a server's failure: there, other tools of the same server that do not only read are of unknown effect."""
+    so_far = lambda *by: Window.partitionBy(*KEY, *by).orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
+    local = F.col("server").isNull()
+    edit = (F.col("category") == "edit").cast("long")
+    shell = (F.col("category") == "shell").cast("long")
+    acts = (F.col("category") != "read").cast("long")
+    edits = F.when(local & F.col(edited).isNotNull(), F.sum(edit).over(so_far(edited))).otherwise(F.lit(0))
+    unknowns = F.when(local, F.sum(shell).over(so_far())).otherwise(F.sum(acts).over(so_far("server")) - F.sum(acts).over(so_far("server", "tool")))
+    out = calls.withColumns({"e_to": edits, "u_to": unknowns})
+    return out.withColumns({"e_before": F.col("e_to") - F.when(local & F.col(edited).isNotNull(), edit).otherwise(F.lit(0)), "u_before": F.col("u_to") - F.when(local, shell).otherwise(F.lit(0))})
+
+
+def failure_chains(calls: DataFrame, least: int = 3, window: tuple[int, int] = ERROR_WINDOW, edited: str | None = "target") -> DataFrame:
+    """B: repeated failures of the same call; an edit of the target (the column `edited`) between two ends the chain. A later
+    success within the window makes it a recovery of low confidence, a denial at first a repeated denial of medium; else
     it persists: medium where something of unknown effect came between, else high. Growing gaps (each at least 1.5 times
-    the one before, two at least) are a backoff."""
+    the one before, two at least) are a backoff. Without `edited`, neither edits, unknown effects nor denials are looked at."""
     by = [*KEY, "tool", "target"]
     later = Window.partitionBy(*by).orderBy("aseq").rowsBetween(1, Window.unboundedFollowing)
     success = F.min(F.when(F.col("status") == "success", F.struct("aseq", "start_ns"))).over(later)
-    bad = calls.withColumn("_ok", success).filter(failed() & (F.col("status") != "interrupted"))
-    bad = lagged(bad, by, ["aseq"], p_aseq="aseq", p_start_ns="start_ns", p_params="params")
+    seen = _interventions(calls, edited) if edited else calls.withColumns({x: F.lit(0) for x in ("e_to", "e_before", "u_to", "u_before")})
+    bad = seen.withColumn("_ok", success).filter(failed() & (F.col("status") != "interrupted"))
+    bad = lagged(bad, by, ["aseq"], p_aseq="aseq", p_start_ns="start_ns", p_e="e_to", p_u="u_to")
     bad = bad.withColumn("gap", F.col("start_ns") - F.col("p_start_ns"))
-    cut = islands(bad, by, ["aseq"], ~_near(bad, window), "chain")
+    cut = islands(bad, by, ["aseq"], ~_near(bad, window) | (F.col("e_before") > F.col("p_e")), "chain")
     cut = lagged(cut, [*by, "chain"], ["aseq"], p_gap="gap")
     first = F.row_number().over(Window.partitionBy(*by, "chain").orderBy("aseq"))
-    cut = cut.withColumn("_n", first).withColumn("_grows", F.when(F.col("_n") > 2, F.col("gap") >= 1.5 * F.col("p_gap")))
+    cut = cut.withColumn("_n", first).withColumn("_grows", F.when(F.col("_n") > 2, F.col("gap") >= 1.5 * F.col("p_gap"))).withColumn("_unknown", (F.col("_n") > 1) & (F.col("u_before") > F.col("p_u")))
     last = F.max(F.struct("aseq", "start_ns", F.col("_ok.aseq").alias("ok_aseq"), F.col("_ok.start_ns").alias("ok_ns")))
-    chains = cut.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("failures"), F.min("aseq").alias("first_aseq"), last.alias("l"), F.count_distinct("params").alias("inputs"), F.coalesce((F.count("_grows") >= 1) & F.every(F.coalesce("_grows", F.lit(True))), F.lit(False)).alias("backoff"))
+    chains = cut.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("failures"), F.min("aseq").alias("first_aseq"), last.alias("l"), F.count_distinct("params").alias("inputs"), F.coalesce((F.count("_grows") >= 1) & F.every(F.coalesce("_grows", F.lit(True))), F.lit(False)).alias("backoff"), F.max("_unknown").alias("unknown"), F.min_by("status", "aseq").alias("status"))
     chains = chains.filter(F.col("failures") >= least)
     recovered = F.coalesce((F.col("l.ok_aseq") - F.col("l.aseq") <= window[0]) & (F.col("l.ok_ns") - F.col("l.start_ns") <= window[1] * NS), F.lit(False))
-    out = chains.withColumn("kind", F.when(recovered, "transient_recovered").otherwise("persistent"))
-    return out.select(*by, "failures", "first_aseq", F.col("l.aseq").alias("last_aseq"), "inputs", "backoff", "kind", F.when(recovered, "low").otherwise("high").alias("confidence"))
+    denied = (F.col("status") == "denied") & F.lit(edited is not None)
+    kind = F.when(recovered, "transient_recovered").when(denied, "repeated_denial").otherwise("persistent")
+    confidence = F.when(recovered, "low").when(denied | F.col("unknown"), "medium").otherwise("high")
+    return chains.select(*by, "failures", "first_aseq", F.col("l.aseq").alias("last_aseq"), "inputs", "backoff", kind.alias("kind"), confidence.alias("confidence"))
 
 
 def failures_on_inputs(calls: DataFrame, least: int = 3, window: tuple[int, int] = ERROR_WINDOW) -> DataFrame:
@@ -246,14 +266,16 @@ def tool_rhythm(calls: DataFrame) -> DataFrame:
     return rows.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("agent").alias("agents"), (F.max("start_ns") - F.min("start_ns")).alias("span_ns"), F.percentile("_i", 0.5).alias("median_ns"), F.max("_p1").alias("peak_1min"), F.max("_p10").alias("peak_10min"))
 
 
-REGISTRY = {"A": read_clusters, "B": failure_chains, "C": batch_runs, "E": tool_gap, "G": repeat_groups}
+REGISTRY = {"A": read_clusters, "B": failure_chains, "C": batch_runs, "D": mined_patterns, "E": tool_gap, "F": repeated_guidance, "G": repeat_groups}
 
 
-def all_findings(calls: DataFrame, only: tuple[str, ...] = tuple(REGISTRY)) -> DataFrame:
-    """The findings of all rules as rule, session, agent, n (counted calls)."""
-    size = {"A": "reads", "B": "failures", "C": "calls", "E": "n", "G": "calls"}
+def all_findings(calls: DataFrame, texts: DataFrame, only: tuple[str, ...] = tuple(REGISTRY)) -> DataFrame:
+    """The findings of all rules as rule, session, agent, n (counted calls; of F, messages). F reads texts (message, text) and
+    knows neither session nor agent."""
+    size = {"A": "reads", "B": "failures", "C": "calls", "D": "uses", "E": "n", "F": "messages", "G": "calls"}
     out = None
     for rule in only:
-        one = REGISTRY[rule](calls).select(F.lit(rule).alias("rule"), "session", "agent", F.col(size[rule]).cast("long").alias("n"))
+        found = REGISTRY[rule](texts, "message", "text").withColumns({x: F.lit(None).cast(calls.schema[x].dataType) for x in KEY}) if rule == "F" else REGISTRY[rule](calls)
+        one = found.select(F.lit(rule).alias("rule"), *KEY, F.col(size[rule]).cast("long").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out

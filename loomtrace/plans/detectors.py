@@ -85,7 +85,30 @@ def _error_key(calls: DataFrame) -> DataFrame:
   CASE WHEN coalesce(ok_aseq - last_aseq <= 40 AND ok_ns - last_ns <= 86400000000000, FALSE) THEN 'low' ELSE 'high' END AS confidence FROM c WHERE failures >= 3""",
 )
 def failure_chains(f: Frames) -> DataFrame:
-    return detectors.failure_chains(_error_key(f.calls), window=WIDE_ERRORS).withColumnRenamed("target", "key")
+    # its SQL asks for chains by distance alone; failure_chains_corrected looks at what came between
+    return detectors.failure_chains(_error_key(f.calls), window=WIDE_ERRORS, edited=None).withColumnRenamed("target", "key")
+
+
+@query(
+    "failure_chains_corrected",
+    f"""
+WITH o AS (SELECT *, (category = 'edit')::INT AS is_edit, (category = 'shell')::INT AS is_shell, (category <> 'read')::INT AS acts, min(CASE WHEN status = 'success' THEN aseq END) OVER w AS ok_aseq,
+  first_value(CASE WHEN status = 'success' THEN start_ns END IGNORE NULLS) OVER w AS ok_ns FROM calls WINDOW w AS (PARTITION BY session, agent, tool, params ORDER BY aseq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT *, CASE WHEN server IS NULL AND target IS NOT NULL THEN sum(is_edit) OVER (PARTITION BY session, agent, target ORDER BY aseq ROWS UNBOUNDED PRECEDING) ELSE 0 END AS e,
+  CASE WHEN server IS NULL THEN sum(is_shell) OVER (PARTITION BY session, agent ORDER BY aseq ROWS UNBOUNDED PRECEDING)
+    ELSE sum(acts) OVER (PARTITION BY session, agent, server ORDER BY aseq ROWS UNBOUNDED PRECEDING) - sum(acts) OVER (PARTITION BY session, agent, server, tool ORDER BY aseq ROWS UNBOUNDED PRECEDING) END AS u FROM o),
+l AS (SELECT *, lag(aseq) OVER w AS pa, lag(start_ns) OVER w AS ps, e - CASE WHEN server IS NULL AND target IS NOT NULL THEN is_edit ELSE 0 END - lag(e) OVER w AS de, u - CASE WHEN server IS NULL THEN is_shell ELSE 0 END - lag(u) OVER w AS du
+  FROM m WHERE {FAILED} AND status <> 'interrupted' WINDOW w AS (PARTITION BY session, agent, tool, params ORDER BY aseq)),
+i AS (SELECT *, start_ns - ps AS gap, sum(CASE WHEN aseq - pa > 40 OR start_ns - ps > 86400000000000 OR de > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session, agent, tool, params ORDER BY aseq ROWS UNBOUNDED PRECEDING) AS chain FROM l),
+g AS (SELECT *, row_number() OVER w AS n, lag(gap) OVER w AS pgap FROM i WINDOW w AS (PARTITION BY session, agent, tool, params, chain ORDER BY aseq)),
+c AS (SELECT session, agent, tool, params, chain, count(*) AS failures, min(aseq) AS first_aseq, max(aseq) AS last_aseq, count(DISTINCT target) AS inputs, max(start_ns) AS last_ns, arg_max(ok_aseq, aseq) AS ok_aseq, arg_max(ok_ns, aseq) AS ok_ns,
+  count(*) FILTER (WHERE n > 2) >= 1 AND coalesce(bool_and(gap >= 1.5 * pgap) FILTER (WHERE n > 2), TRUE) AS backoff, bool_or(n > 1 AND du > 0) AS unknown, arg_min(status, aseq) = 'denied' AS denied FROM g GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT *, coalesce(ok_aseq - last_aseq <= 40 AND ok_ns - last_ns <= 86400000000000, FALSE) AS recovered FROM c WHERE failures >= 3)
+SELECT session, agent, tool, params AS key, failures, first_aseq, last_aseq, inputs, backoff, CASE WHEN recovered THEN 'transient_recovered' WHEN denied THEN 'repeated_denial' ELSE 'persistent' END AS kind,
+  CASE WHEN recovered THEN 'low' WHEN denied OR unknown THEN 'medium' ELSE 'high' END AS confidence FROM r""",
+)
+def failure_chains_corrected(f: Frames) -> DataFrame:
+    return detectors.failure_chains(_error_key(f.calls), window=WIDE_ERRORS, edited="params").withColumnRenamed("target", "key")
 
 
 @query(
@@ -208,4 +231,4 @@ def tool_rhythm(f: Frames) -> DataFrame:
 
 @query("all_findings")
 def all_findings(f: Frames) -> DataFrame:
-    return detectors.all_findings(f.calls)
+    return detectors.all_findings(f.calls, f.table("documents").select(F.col("doc_id").alias("message"), "text"))

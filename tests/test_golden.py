@@ -131,6 +131,36 @@ def test_failures(spark):
     assert (r.failures, r.inputs) == (3, 3)
 
 
+def test_failures_and_what_came_between(spark):
+    bad, run = {"category": "shell", "tool": "run", "status": "error"}, {"category": "shell", "tool": "other", "target": "y"}
+    edit = {"category": "edit", "tool": "edit"}
+
+    def found(rows):
+        return [(r.failures, r.kind, r.confidence) for r in detectors.failure_chains(calls(spark, rows)).orderBy("first_aseq").collect()]
+
+    assert found([bad, bad, bad, edit, bad, bad, bad]) == [(3, "persistent", "high")] * 2
+    assert found([bad, bad, edit, bad]) == []
+    assert found([bad, bad, bad, edit | {"target": "z"}, bad]) == [(4, "persistent", "high")]
+    assert found([bad, edit | {"agent": 2}, bad, bad]) == [(3, "persistent", "high")]
+    assert found([bad, run, bad, bad]) == [(3, "persistent", "medium")]
+    assert found([run, bad, bad, bad, run]) == [(3, "persistent", "high")]
+    assert found([bad | {"status": "denied"}] * 3) == [(3, "repeated_denial", "medium")]
+    assert found([edit | {"status": "error"}] * 3) == [(3, "persistent", "high")]
+    served = {"category": "mcp", "tool": "a", "server": "s", "status": "error"}
+    assert found([served, edit, run, served, {"category": "mcp", "tool": "b", "server": "q"}, served]) == [(3, "persistent", "high")]
+    assert found([served, {"category": "mcp", "tool": "b", "server": "s"}, served, served]) == [(3, "persistent", "medium")]
+
+
+def test_all_findings_hold_every_rule(spark):
+    rows = [{"category": x, "target": "t", "status": "error" if x == "shell" else "success"} for x in ("shell", "read", "search") * 4]
+    rows += [{"target": str(k)} for k in range(3)]
+    texts = spark.createDataFrame([(k, "remember this rule " * 8) for k in range(3)], "message long, text string")
+    got = detectors.all_findings(calls(spark, rows), texts).collect()
+    assert {r.rule for r in got} == set("ABCDEFG")
+    assert [(r.session, r.agent, r.n) for r in got if r.rule == "F"] == [(None, None, 3)]
+    assert {r.rule for r in detectors.all_findings(calls(spark, rows), texts, ("D",)).collect()} == {"D"}
+
+
 def test_batches(spark):
     read = [{"target": str(k)} for k in range(3)]
     assert [r.calls for r in detectors.batch_runs(calls(spark, [{"category": "list"}, *read])).collect()] == [3]
