@@ -120,12 +120,18 @@ def unique_prefix(ids: DataFrame, column: str, least: int) -> DataFrame:
 
 def walk(links: DataFrame, node: str, parent: str, rounds: int = 24) -> DataFrame:
     """The root of each node and how many steps it is away, by pointer doubling: each round joins the frame with itself and
-    doubles the steps, so a chain of 2^rounds is followed. parent is null at roots."""
+    doubles the steps, until no root changes; an error if `rounds` rounds (chains of 2^rounds) do not suffice, as in a cycle.
+    parent is null at roots."""
     state = links.select(node, F.coalesce(parent, node).alias("root"), F.col(parent).isNotNull().cast("long").alias("steps"))
-    for _ in range(rounds):
+    for _ in range(rounds + 1):
         up = state.select(F.col(node).alias("root"), F.col("root").alias("_r"), F.col("steps").alias("_s"))
-        state = state.join(up, "root").select(node, F.col("_r").alias("root"), (F.col("steps") + F.col("_s")).alias("steps"))
-    return state
+        # a root is its own root at no distance, so a row whose steps stay has reached it
+        state = state.join(up, "root").select(node, F.col("_r").alias("root"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("_s") > 0).alias("_moved"))
+        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.localCheckpoint()
+        if state.filter("_moved").isEmpty():
+            return state.drop("_moved")
+        state = state.drop("_moved")
+    raise ValueError(f"no fixpoint of the walk after {rounds} rounds")
 
 
 def context_windows(responses: DataFrame) -> DataFrame:

@@ -107,9 +107,11 @@ def unique_prefixes(f: Frames) -> DataFrame:
 
 @query("pointer_walk", "WITH RECURSIVE w AS (SELECT thread, idx, idx AS cur, 0 AS steps FROM responses UNION ALL SELECT thread, idx, cur // 2, steps + 1 FROM w WHERE cur > 1) SELECT thread * 1000 + idx AS node, thread * 1000 + 1 AS root, max(steps)::BIGINT AS steps FROM w GROUP BY thread, idx", R)
 def pointer_walk(f: Frames) -> DataFrame:
-    node = lambda i: F.col("thread") * 1_000 + i
+    node = lambda i: F.struct("thread", i.cast("long").alias("idx"))
     links = f.responses.select(node(F.col("idx")).alias("node"), F.when(F.col("idx") > 1, node(F.floor(F.col("idx") / 2))).alias("parent"))
-    return evidence.walk(links, "node", "parent", rounds=4)
+    # the numbers are made at the end: those of long threads clash with the next thread's
+    number = lambda c: (F.col(f"{c}.thread") * 1_000 + F.col(f"{c}.idx")).alias(c)
+    return evidence.walk(links, "node", "parent").select(number("node"), number("root"), "steps")
 
 
 @query("context_windows", "WITH d AS (SELECT *, input_tokens - lag(input_tokens) OVER (PARTITION BY thread, ctx ORDER BY idx) AS d FROM responses) SELECT thread, ctx, arg_min(input_tokens, idx) AS first, arg_max(input_tokens, idx) AS last, max(input_tokens) AS peak, sum(greatest(d, 0))::BIGINT AS growth, count(*) FILTER (WHERE d < 0) AS falls FROM d GROUP BY 1, 2", R)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.functions import shell, text
-from loomtrace.operators import compare, detectors, forecast, graph, metrics, usage, windows
+from loomtrace.operators import compare, detectors, evidence, forecast, graph, metrics, usage, windows
+from loomtrace.plans import evidence as evidence_plans
 
 NS = 10**9
 CALLS = "session long, agent long, call_id long, tool string, category string, server string, target string, params long, status string, content_fp long, start_ns long, end_ns long, duration_ms long, bytes long, epoch long, seq long, aseq long, emitter long"
@@ -248,3 +251,20 @@ def test_results(spark):
     cases = [("error", 1, "rg", "rg x", "", "success"), ("error", 1, "rg", "rg x", "y" * 400, "unknown"), ("error", 1, "rg", "rg x", "rg: bad regex", "error"), ("error", 2, "rg", "rg x", "", "error"), ("error", 1, "git", "git diff --no-index a b", "", "success"), ("error", 1, "python", "python x", None, "error"), ("error", None, "rg", "rg x", "", "error")]
     got = spark.createDataFrame(cases, "s string, c int, h string, m string, e string, w string").select(results.reinterpreted(*map(F.col, "schme"))).collect()
     assert [r[0] for r in got] == [c[5] for c in cases]
+
+
+def test_pointer_walk_of_long_threads(spark):
+    sizes = {1: 140_000, 2: 1_500}
+    rows = spark.range(1, 140_001).selectExpr("1L AS thread", "id AS idx").union(spark.range(1, 1_501).selectExpr("2L AS thread", "id AS idx"))
+    got = evidence_plans.pointer_walk(SimpleNamespace(responses=rows)).collect()
+    assert sorted((r.node, r.root, r.steps) for r in got) == sorted((t * 1_000 + i, t * 1_000 + 1, i.bit_length() - 1) for t, n in sizes.items() for i in range(1, n + 1))
+
+
+def test_walk_ends_at_the_fixpoint(spark):
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(41)], "n long, p long")
+    assert sorted((r.n, r.root, r.steps) for r in evidence.walk(chain, "n", "p").collect()) == [(k, 0, k) for k in range(41)]
+    assert evidence.walk(chain.filter("n <= 16"), "n", "p", rounds=4).count() == 17
+    with pytest.raises(ValueError, match="no fixpoint"):
+        evidence.walk(chain, "n", "p", rounds=4)
+    with pytest.raises(ValueError, match="no fixpoint"):
+        evidence.walk(spark.createDataFrame([(1, 2), (2, 1)], "n long, p long"), "n", "p", rounds=3)
