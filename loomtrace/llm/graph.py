@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -13,32 +13,38 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node's larger (large) or not larger (small) neighbours are linked to the least of its neighbourhood."""
+def _star(edges: DataFrame, large: bool, label: str) -> DataFrame:
+    """Every node's larger (large) or not larger (small) neighbours are linked to the least of its neighbourhood. The least
+    are written, so that the join with them has plain inputs, which Spark may broadcast or split where a hub is hot."""
     near = _both_ways(edges) if large else edges
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-least")
     if large:
         moved = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        moved = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = moved.union(least.select("u", F.col("m").alias("v")))
     return moved.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _counted(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their number and checksum, which the write itself observes."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("checksum")
+    stored = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum), label)
+    return stored, (seen.get["n"], seen.get["checksum"])
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """node, component (the least node it is linked to, through any number of links) of every node that has a link.
 
-    links: columns u, v; loops and repeats do no harm. The links left after each round are written to the shared folder;
-    rounds grow with the logarithm of the longest path. Only counts come to the driver.
+    links: columns u, v; loops and repeats do no harm. The links left after each round are written to the shared folder,
+    until a round changes nothing; rounds grow with the logarithm of the longest path. Only counts come to the driver.
     """
-    size = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
-    before = size(edges)
+    plain = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges, before = _counted(plain, label)
     while before[0]:
-        # a forest of stars: no node that others point to points on, and each points to one
-        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.select("u").distinct().count() == before[0]:
-            break
-        edges = written(_star(_star(edges, True), False), label)
-        if (after := size(edges)) == before:
+        edges, after = _counted(_star(_star(edges, True, label), False, label), label)
+        if after == before:
             break
         before = after
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -240,7 +240,7 @@ def test_vector_search_is_exact_at_factor_one(spark):
 
 
 def test_minhash_classes_equal_brute_force(docs, texts):
-    weights = minhash.cell_weights(docs)
+    weights = minhash.tfidf_weights(docs)
     raw = [(t or "").encode() for _, t, *_ in texts]
     flat, starts = minhash.shingles(raw)
     sets = [(flat[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(starts[:-1], starts[1:], strict=True)]
@@ -255,9 +255,56 @@ def test_minhash_classes_equal_brute_force(docs, texts):
     assert len(got) == n and sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == want
     i, j = minhash.links_within(sets, weights, 0.8)
     assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if len(sets[a])} == {(a, b) for a in range(n) for b in range(a + 1, n) if linked[a][b]}
-    kept = [r.doc_id for r in minhash.keep_one(docs).collect()]
-    assert 1 in kept and 2 not in kept and kept.count(9) == 1 and {5, 6, 7} <= set(kept)
-    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = [r.doc_id for r in kept.collect()]
+    assert 1 in kept and 2 not in kept and kept.count(9) == 2 and {5, 6, 7, None} <= set(kept)
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0 and minhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_minhash_keeps_one_row_of_each_class_whatever_the_ids(spark):
+    a, b, c, d = (words(60, 900 + k, 10_000) for k in range(4))
+    rows = [(3, a), (9, a), (9, b), (None, c), (None, c), (7, d), (7, d), (7, d + " x"), (None, None), (None, None), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_n": F.lit(1), "_id": F.lit(2), "uid": F.lit("u"), "times": F.lit(3), "kept": F.lit(False)}).repartition(3)
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    text = {a: "a", b: "b", c: "c", d: "d", d + " x": "d"}
+    assert sorted((r.doc_id or -1, text.get(r.text, "-")) for r in got.collect()) == [(-1, "-"), (-1, "-"), (-1, "c"), (3, "a"), (7, "d"), (8, "-"), (8, "-"), (9, "b")]
+    classes = minhash.near_duplicates(df).collect()
+    assert len(classes) == len(rows)
+    assert len({r.group_id for r in classes if r.group_id is not None}) == 4
+
+
+def test_document_frequencies_are_those_of_a_plain_count(spark, docs, texts):
+    shingled = [minhash.shingles([(t or "").encode()])[0] >> np.uint64(32) for _, t, *_ in texts]
+    want = collections.Counter(k for x in shingled for k in set(x.tolist()))
+    for rare, most in ((10, 1 << 20), (1_000, 1 << 20), (1_000, 300)):
+        n, floor, keys, counts = minhash.frequencies(docs, rare, most)
+        assert n == len(texts) and len(keys) <= most
+        assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {k: v for k, v in want.items() if v >= floor}
+        assert floor == max(1, -(-n // rare), -(-sum(want.values()) // most))
+    assert minhash.frequencies(docs.limit(0))[0] == 0
+
+
+def test_minhash_of_crowded_buckets_equals_brute_force(spark, monkeypatch):
+    """Buckets of several components, in tiles of a few members; two rows a band make all meet."""
+    r = random.Random(8)
+    base = words(100, 70, 100_000).split()
+    rows = [(k, " ".join([*base[: r.choice((70, 80, 88, 96))], *words(30, 7_000 + k, 100_000).split()[: r.choice((0, 1, 2, 3))]])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    weights = minhash.tfidf_weights(df)
+    flat, starts = minhash.shingles([t.encode() for _, t in rows])
+    sets = [(flat[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    label = list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if minhash.similarity(sets[i], sets[j], weights) >= 0.8]
+    assert near
+    for _ in rows:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    whole = minhash.verified_buckets
+    monkeypatch.setattr(minhash, "verified_buckets", lambda *how: whole(*how, tile=7))
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(df, bands=40, rows=1).collect()}
+    assert [got[k] for k in range(len(rows))] == label
 
 
 def test_minhash_finds_pairs_just_above_the_threshold(spark):
@@ -267,7 +314,7 @@ def test_minhash_finds_pairs_just_above_the_threshold(spark):
         base, cut = words(100, 1_000 + k, 1_000_000), 92 - k % 3
         rows += [(2 * k, base), (2 * k + 1, " ".join([*base.split()[:cut], *words(100 - cut, 10_000 + k, 1_000_000).split()]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    weights = minhash.cell_weights(df)
+    weights = minhash.tfidf_weights(df)
     flat, starts = minhash.shingles([t.encode() for _, t in rows])
     sets = [(flat[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(starts[:-1], starts[1:], strict=True)]
     near = [minhash.similarity(sets[2 * k], sets[2 * k + 1], weights) for k in range(3_000)]
