@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session; only where it is unset, one of our own (single-machine tests)."""
+    """The folder that all executors see: spark.checkpoint.dir of the session. Only where it is unset and all tasks run on
+    this machine, a temporary one; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="loomtrace-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtrace-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 

@@ -8,8 +8,9 @@ products of small integers are exact in single-precision floats.) A group return
 the links themselves, only the star to the least member of each local component: no more rows than vectors.
 
 Null vectors, zero vectors and vectors with null or non-finite components link with nothing; neither do vectors of
-different lengths. Repeated rows are vectors of their own; rows that share a vec_id share its component. A null vec_id is
-kept, with no links and a null component. Other columns are ignored.
+different lengths. Repeated rows are vectors of their own, and so are rows that share a vec_id: each has the links of its
+vector. A null vec_id is kept, with no links and a null component. An empty table gives none. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -60,12 +61,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
     """vec_id, n_links (other vectors at or above the threshold), component_id, kept (vec_id = component_id)."""
     rows = vectors.select("vec_id", "embedding", (usable(F.col("embedding")) & F.col("vec_id").isNotNull()).alias("_ok"))
     good = rows.filter("_ok").select("vec_id", "embedding")
-    classes = written(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    # classes are numbered as they are stored, so a class is its vector, whatever ids bear it
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     tiles = n_parts(classes, tile_rows)
     # rows of different lengths never meet: the length is part of the group's key
-    dealt = classes.select("rep", "n", "embedding", F.size("embedding").alias("dims"), F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(tiles)).cast("int").alias("tile"))
+    tile = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(tiles)).cast("int").alias("tile")
+    dealt = classes.select("rep", "n", "embedding", F.size("embedding").alias("dims"), tile)
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    met = met.select("dims", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "n", "embedding")
+    ends = F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2")
+    met = met.select("dims", *ends, "tile", "rep", "n", "embedding")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -87,16 +92,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
                 least = now
             least = order[least[rank]]
         some = np.flatnonzero(links)
-        return pa.table({"rep": pa.array(rep[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "least": pa.array(rep[least[some]], pa.int64())})
+        columns = {"rep": pa.array(rep[some], pa.int64()), "links": pa.array(links[some], pa.int64())}
+        return pa.table(columns | {"least": pa.array(rep[least[some]], pa.int64())})
 
-    met = met.withColumn("rep", F.col("rep").cast("long"))
-    found = written(met.groupBy("dims", "t1", "t2").applyInArrow(run, "rep long, links long, least long"), "vector-links")
+    found = met.groupBy("dims", "t1", "t2").applyInArrow(run, "rep long, links long, least long")
+    found = written(found, "vector-links")
     joined = components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")), "vector-components")
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    # by class: written, so that both sides of the last join are plain shuffles, which a hot class can be split over
     state = classes.join(degrees, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    known = written(state.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-state")
-    out = good.join(known, good["embedding"] == known["_e"]).select("vec_id", "n_links", "component_id")
-    rest = rows.filter("NOT _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    state = written(state.select("embedding", "least_id", n_links, F.coalesce("component", "rep").alias("group")), "vector-state")
+    least = state.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    # written, so that both sides of the last join are plain shuffles, which a hot class can be split over
+    known = state.join(least, "group").select(F.col("embedding").alias("vector"), "n_links", "component_id")
+    known = written(known, "vector-known")
+    out = good.join(known, good["embedding"] == known["vector"]).select("vec_id", "n_links", "component_id")
+    none = F.lit(0).cast("long").alias("n_links")
+    rest = rows.filter("NOT _ok").select("vec_id", none, F.col("vec_id").alias("component_id"))
     every = out.unionByName(rest)
     return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -5,9 +5,13 @@ learns to predict it by logistic regression. Decoding is loss-weighted: a langua
 log(1 + exp(-bit x margin)), weighted by how well the bit was learned; the nearest codeword wins, and a text whose two
 nearest are close is flagged ambiguous.
 
-Fitting takes at most `per_language` rows of each language of the learning folds (smallest hashed ids), `max_rows` in all, and languages are
-those found there, at most `max_languages` of them (the commonest). Null text, and text without any letter, is `und` with score 0. Repeated rows are
-each predicted; with nothing to learn from, everything is `und`.
+Fitting takes at most `per_language` rows of each language of the learning folds (smallest hashed ids; of rows that share
+doc_id and language, the one whose text hashes least), `max_rows` in all but one of each language at least; features
+travel to the driver as their cells that are not zero. All languages found there are learned, however many.
+
+Null text, and text without any letter, is `und` with score 0. Languages equally near: the first by name, flagged
+ambiguous. Repeated rows are each predicted; rows without doc_id are predicted but not learned from. With nothing to learn
+from, everything is `und`; an empty table gives none; very long texts are taken whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of, small_arrow, small_batches
-from .textfeatures import matrix_of, packed, trigram_counts
+from .textfeatures import log_counts, log_counts_of, packed, to_unit, trigram_counts
 from .tokens import in_blocks
 
-BITS = 11
+BITS = 12
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -44,11 +48,6 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
-def _features(texts: list[bytes]) -> np.ndarray:
-    x = np.log1p(np.stack([trigram_counts(t, BITS, lower=True) for t in texts]).astype(np.float32))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
 @dataclass
 class Model:
     languages: list[str]
@@ -76,7 +75,7 @@ class Model:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is ambiguous, of each text."""
-        margins = np.clip(_features(texts) @ self.weights + self.bias, -30, 30).astype(np.float64)
+        margins = np.clip(to_unit(log_counts(texts, BITS, lower=True)) @ self.weights + self.bias, -30, 30).astype(np.float64)
         losses = np.log1p(np.exp(-margins[:, None, :] * self.code[None])) @ self.trust.astype(np.float64)
         chance = np.exp(losses.min(axis=1, keepdims=True) - losses)
         chance /= chance.sum(axis=1, keepdims=True)
@@ -85,34 +84,39 @@ class Model:
         return [self.languages[k] for k in losses.argmin(axis=1)], np.clip(order[:, -1], 0, 1), order[:, -1] < 2 * second
 
 
-def fit(docs: DataFrame, per_language: int = 1_000, max_languages: int = 200, max_rows: int = 6_000) -> Model | None:
-    """A model from at most per_language documents of each language, and max_rows in all, outside the held-out fold."""
-    learn = small_arrow(docs).select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    commonest = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    if not commonest:
+def fit(docs: DataFrame, per_language: int = 1_000, max_rows: int = 6_000) -> Model | None:
+    """A model from at most per_language documents of each language, and max_rows in all (or one of each language, where
+    that is more), outside the held-out fold."""
+    learn = small_arrow(docs).select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    learn = learn.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+    # one row per language, as many as the model's codewords
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
         return None
-    per_language = max(1, min(per_language, max_rows // max(1, len(commonest))))
+    per_language = max(1, min(per_language, max_rows // len(sizes)))
     # only hashes low enough to be among the least of their language go into the ranking
-    share = F.create_map(*[F.lit(x) for v, n in commonest.items() for x in (v, min(1.0, (3 * per_language + 100) / n))])[F.col("lang")]
-    keys = learn.select("lang", F.xxhash64("doc_id").alias("_h"), "doc_id").filter(F.col("_h") / 2.0**64 + 0.5 <= share)
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = keys.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).select("doc_id", "lang").distinct()
+    shares = [(r.lang, min(1.0, (3 * per_language + 100) / r.n)) for r in sizes]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
+    keys = learn.select("lang", F.xxhash64("doc_id").alias("hash"), "doc_id").join(shares, "lang")
+    keys = keys.filter(F.col("hash") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "hash", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = keys.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
-            counts = [packed(trigram_counts(x, BITS, lower=True)) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(counts, pa.binary())], names=["lang", "counts"])
-
-    # at most max_languages x per_language ids
-    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, counts binary")
-    sample = sorted((r.lang, bytes(r.counts)) for r in rows.limit(len(commonest) * per_language).toLocalIterator())
+            cells = [packed(trigram_counts(x, BITS, lower=True)) for x in texts]
+            columns = [batch.column("doc_id").cast(pa.string()), *batch.columns[1:3], pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "hash", "cells"])
+
+    # at most max(max_rows, number of languages) ids
+    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.xxhash64("text").alias("hash"), "text")
+    found = rows.mapInArrow(run, "doc_id string, lang string, hash long, cells binary")
+    one = found.groupBy("doc_id", "lang").agg(F.min(F.struct("hash", "cells")).alias("row"))
+    sample = sorted((r.lang, r.doc_id, bytes(r.row.cells)) for r in one.toLocalIterator())
     if not sample:
         return None
-    x = matrix_of([c for _, c in sample], BITS)
-    np.log1p(x, out=x)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return Model.fit(x, [v for v, _ in sample])
+    return Model.fit(to_unit(log_counts_of([c for *_, c in sample], BITS)), [v for v, *_ in sample])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -47,6 +47,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 3
 #: Nodes up to which their list is broadcast to find their texts; beyond, texts are shuffled.
 MAX_BROADCAST = 200_000
+#: Pairs of one leader that a task compares.
+MANY = 512
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +223,7 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
         for batch in small_batches(batches, 2, 8_000_000):
             texts = [x or b"" for x in batch.column(2).to_pylist()]
             nodes, totals, keys = [], [], []
-            for a, b in in_blocks(texts, 2_000_000):
+            for a, b in in_blocks(texts, 400_000):
                 hashes, counts, starts = distinct(*shingles(texts[a:b]))
                 own = shared.value(hashes, counts)
                 full = np.flatnonzero(np.diff(starts))
@@ -280,7 +282,7 @@ def gram_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["node", "grams"])
 
     found = texts.select("node", "text").mapInArrow(fetch, "node long, grams binary")
-    return written(found, "minhash-sets").dropDuplicates(["node"])
+    return written(found.dropDuplicates(["node"]), "minhash-sets")
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -293,8 +295,17 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, weights: Weights, threshol
             near = [k for k in range(len(u)) if similarity(np.frombuffer(a[k], "<u4"), np.frombuffer(b[k], "<u4"), shared.value) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in near], pa.int64()), pa.array([v[k] for k in near], pa.int64())], names=["u", "v"])
 
-    side = lambda name, grams: sets.select(F.col("node").alias(name), F.col("grams").alias(grams))
-    both = pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    # a leader of many pairs is dealt over several tasks: its set once for each MANY pairs
+    hot = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MANY).cast("int").alias("deals")).filter("deals > 1")
+    hot = written(hot, "minhash-hot")
+    if hot.count() <= MAX_BROADCAST:
+        hot = F.broadcast(hot)
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u", F.lit(7)), deals).cast("int").alias("deal"))
+    members = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
+    leaders = sets.select(F.col("node").alias("v"), F.col("grams").alias("b")).join(hot, "v", "left")
+    leaders = leaders.select("v", "b", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    both = dealt.join(members, "u").join(leaders, ["v", "deal"]).select("u", "v", "a", "b")
     return written(both.mapInArrow(compare, "u long, v long"), "minhash-links")
 
 

@@ -1,15 +1,19 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 Fitting: from the labelled rows of the learning folds, at most `per_class` of each label are taken (those whose hashed id
-is smallest). Their hashed byte-trigram counts, log-scaled and weighted by inverse document frequency, and three shares of
-style are reduced to `rank` dimensions by a truncated SVD. The bound makes the broadcast at most 2 x per_class vectors.
+is smallest; of rows that share a doc_id, the one whose text hashes least). Their hashed byte-trigram counts, log-scaled
+and weighted by inverse document frequency, are reduced to `rank` dimensions by a truncated SVD. The bound makes the
+broadcast at most 2 x per_class vectors; features travel to the driver as their cells that are not zero.
 
 Scoring: every document is mapped to the same space, exact cosine products with all labelled vectors are taken in blocks,
-and the `k` nearest vote with weight max(cosine, 0)^4. The score is the share of the weight on label 1; where no
-neighbour has a positive cosine (an empty text, say) it is the mean of the fitted labels.
-
-Null text is empty. A document with several label rows has the mean of its labels; null labels are ignored. Without any
-labelled row every score is 1 (nothing is known against a document). Repeated rows are scored each.
+and the `k` nearest vote with weight max(cosine, 0)^4; of neighbours equally near, any may be among the k. The score is
+the share of the weight on label 1; where no neighbour has a positive cosine (an empty text, say) it is the mean of the
+fitted labels.
+
+Null text is empty. A document with several label rows has the mean of its labels; null labels and labels of a null doc_id
+are ignored, and rows without doc_id are scored but not learned from. Without any labelled row every score is 1 (nothing
+is known against a document). Repeated rows are scored each; an empty table gives none; very long texts are taken whole.
+Columns of docs are kept, but for those that bear the new names, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,22 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, small_arrow, small_batches
-from .textfeatures import N_STYLE, matrix_of, packed, style, trigram_counts
+from .textfeatures import log_counts, log_counts_of, packed, to_unit, trigram_counts
 from .tokens import in_blocks
 
-BITS = 11
+BITS = 12
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
-def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack([trigram_counts(x, BITS) for x in texts]).astype(np.float32), np.array([style(x) for x in texts], dtype=np.float32)
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-
-
 @dataclass
 class Model:
     idf: np.ndarray
@@ -48,28 +44,26 @@ class Model:
     k: int
 
     @classmethod
-    def fit(cls, counts: np.ndarray, styles: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
-        idf = np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
-        weighed = cls._weigh(counts, styles, idf)
+    def fit(cls, rows: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
+        """From log-scaled counts, which are overwritten."""
+        idf = np.log((len(rows) + 1) / ((rows > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
+        weighed = to_unit(np.multiply(rows, idf, out=rows))
         random = np.random.default_rng(7)
         width = min(rank + 16, len(weighed))
         span = weighed @ random.standard_normal((weighed.shape[1], width)).astype(np.float32)
         for _ in range(3):  # subspace iteration
             span, _ = np.linalg.qr(weighed @ (weighed.T @ span))
         axes = np.linalg.svd(span.T @ weighed, full_matrices=False)[2][:rank].T.astype(np.float32)
-        return cls(idf, axes, _unit(weighed @ axes), labels.astype(np.float32), min(k, len(labels)))
+        return cls(idf, axes, to_unit(weighed @ axes), labels.astype(np.float32), min(k, len(labels)))
 
-    @staticmethod
-    def _weigh(counts: np.ndarray, styles: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        rows = np.log1p(counts)
-        rows *= idf
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        return _unit(np.hstack([rows, styles]))
+    def vectors_of(self, texts: list[bytes]) -> np.ndarray:
+        rows = log_counts(texts, BITS)
+        return to_unit(to_unit(np.multiply(rows, self.idf, out=rows)) @ self.axes)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.labels):
             return np.ones(len(texts))
-        cosines = _unit(self._weigh(*_counts(texts), self.idf) @ self.axes) @ self.vectors.T
+        cosines = self.vectors_of(texts) @ self.vectors.T
         nearest = np.argpartition(-cosines, self.k - 1, axis=1)[:, : self.k]
         votes = np.maximum(np.take_along_axis(cosines, nearest, 1), 0).astype(np.float64) ** 4
         total = votes.sum(axis=1)
@@ -79,33 +73,34 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, rank: int = 64, k: int = 25) -> Model:
     """A model from at most 2 x per_class labelled documents outside the held-out fold."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("_label"))
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.avg("quality").alias("_label"))
     known = known.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     # by class, a limited sort each: nothing is gathered but the rows taken
     of = lambda keep: known.filter(keep).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = of(F.col("_label") < 0.5).union(of(F.col("_label") >= 0.5))
     # at most 2 x per_class rows of 16 bytes
-    rows = small_arrow(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = small_arrow(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", F.xxhash64("text").alias("hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in in_blocks(texts):
-                counts, styles = _counts(texts[a:b])
-                rows = [packed(c) + s.tobytes() for c, s in zip(counts, styles, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.string()), batch.column("_label").slice(a, b - a), pa.array(rows, pa.binary())], names=["doc_id", "label", "features"])
-
-    found = rows.select("doc_id", "_label", "text").mapInArrow(run, "doc_id string, label double, features binary")
-    # repeated ids could exceed the bound
-    sample = sorted((r.doc_id, bytes(r.features), r.label) for r in found.limit(2 * per_class).toLocalIterator())
+            found = [packed(trigram_counts(x, BITS)) for x in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id").cast(pa.string()), *batch.columns[1:3], pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "hash", "cells"])
+
+    found = rows.mapInArrow(run, "doc_id string, label double, hash long, cells binary")
+    # repeated ids: one row of each, so there are no more rows than ids
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("hash", "cells")).alias("row"))
+    sample = sorted((r.doc_id, r.label, bytes(r.row.cells)) for r in one.toLocalIterator())
     if not sample:
-        return Model(np.zeros(1 << BITS, np.float32), np.zeros(((1 << BITS) + N_STYLE, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0)
-    styles = np.stack([np.frombuffer(x, "<f4", N_STYLE, 2 << BITS) for _, x, _ in sample])
-    return Model.fit(matrix_of([x for _, x, _ in sample], BITS), styles, np.array([v for *_, v in sample]), rank, k)
+        none = np.zeros((0, 1), np.float32)
+        return Model(np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, 1), np.float32), none, none[:, 0], 0)
+    return Model.fit(log_counts_of([x for *_, x in sample], BITS), np.array([v for _, v, _ in sample]), rank, k)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the columns quality_score and quality_label (1 where the score reaches the threshold), in one narrow pass."""
+    """docs with quality_score and quality_label (1 where the score reaches the threshold), in one narrow pass."""
     docs = small_arrow(docs).drop("quality_score", "quality_label")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_{k}" for k in range(len(docs.columns))]
@@ -116,10 +111,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(at).to_pylist()]
             scores = np.zeros(len(texts))
             for a, b in in_blocks(texts, 2_000_000):
-                for c in range(a, b, 512):
-                    scores[c : min(c + 512, b)] = shared.value.scores(texts[c : min(c + 512, b)])
+                for c in range(a, b, 256):
+                    scores[c : min(c + 256, b)] = shared.value.scores(texts[c : min(c + 256, b)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "quality_score"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     scored = docs.toDF(*names).mapInArrow(run, f"{schema}, quality_score double")
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "quality_score", (F.col("quality_score") >= threshold).cast("int").alias("quality_label"))
+    back = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    label = (F.col("quality_score") >= threshold).cast("int").alias("quality_label")
+    return scored.select(*back, "quality_score", label)

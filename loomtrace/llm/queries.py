@@ -65,17 +65,38 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM documents GROUP BY source),
-weighed AS (SELECT *, CASE source WHEN 'src0' THEN 3.0 WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM sizes),
-rates AS (SELECT source, CASE WHEN chars > 0 THEN weight / sum(weight) OVER () * sum(chars) OVER () * 1.0 / chars ELSE 0 END AS rate FROM weighed),
+WITH rows AS (
+  SELECT *, row_number() OVER () AS row_id, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS key
+  FROM documents
+),
+sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM rows GROUP BY source),
+weighed AS (
+  SELECT *, CASE source WHEN 'src0' THEN 3.0 WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight
+  FROM sizes
+),
+rates AS (
+  SELECT source, CASE WHEN chars > 0 THEN weight / sum(weight) OVER () * sum(chars) OVER () * 1.0 / chars ELSE 0 END AS rate
+  FROM weighed
+),
 parts AS (SELECT source, rate, ceil(rate / 32)::INT AS n_parts FROM rates WHERE rate > 0),
-terms AS (SELECT source, k, exp(k * ln(rate / n_parts) - rate / n_parts - lgamma(k + 1)) AS p FROM parts, range(110) t(k)),
+terms AS (
+  SELECT source, k, exp(k * ln(rate / n_parts) - rate / n_parts - lgamma(k + 1)) AS p FROM parts, range(110) t(k)
+),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-steps AS (SELECT d.doc_id, d.source, coalesce(d.doc_id::VARCHAR, '') AS id, i FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(1, 1000) t(i) WHERE i <= p.n_parts),
-drawn AS (SELECT doc_id, source, id, i, ('0x' || substr(md5('17|' || id || '|' || i), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM steps),
-counts AS (SELECT r.doc_id, count(*) FILTER (WHERE c.c <= r.u) AS n FROM drawn r JOIN cdf c ON c.source IS NOT DISTINCT FROM r.source GROUP BY r.doc_id)
-SELECT d.doc_id, d.source, d.lang, d.n_chars, i::INT AS copy, md5('18|' || coalesce(d.doc_id::VARCHAR, '') || '|' || i) AS mix_key, d.text
-FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, range(1, 1000) t(i) WHERE i <= c.n
+steps AS (
+  SELECT r.row_id, r.source, r.key, unnest(generate_series(1, p.n_parts)) AS i
+  FROM rows r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source
+),
+drawn AS (
+  SELECT row_id, source, ('0x' || substr(md5('17|' || key || '|' || i), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM steps
+),
+counts AS (
+  SELECT d.row_id, count(*) FILTER (WHERE c.c <= d.u) AS n
+  FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source GROUP BY d.row_id
+),
+copies AS (SELECT row_id, unnest(generate_series(1, n)) AS copy FROM counts WHERE n > 0)
+SELECT r.doc_id, r.source, r.lang, r.n_chars, c.copy::INT AS copy, md5('18|' || r.key || '|' || c.copy) AS mix_key, r.text
+FROM copies c JOIN rows r ON r.row_id = c.row_id
 """
 
 

@@ -7,17 +7,21 @@ Suffixes: of each window only the suffix at its anchor is put into the tree, the
 least. Equal windows have equal anchors at equal places, so no repeat is lost, and anchors are few (2 in 29 words for 35
 and 8). Windows in a row with one anchor are a run, the tree's edge down from the anchor's prefix.
 
-Partitioning: suffixes are counted by the prefix at the anchor. Alone, it is a leaf and nothing repeats there. If all
-suffixes with it have one run, the edge does not branch, and every window on it repeats. Where it branches, runs that
-occur more than once repeat whole, and one of each goes into the subtree of its prefix together with those that occur
-once. Subtrees of at most SUBTREE runs are built in memory, many to a task: all suffixes of their runs are ranked by
-prefix doubling, and an internal node as deep as a window, that is a rank of so many words with several suffixes, is a
-repeat. A larger subtree gets the longest prefix there is, the whole window: its nodes at that depth are counted instead.
-All counts are pre-aggregated, so a prefix that a third of all documents share is no group in any task's memory.
+Partitioning: suffixes are counted by the prefix at the anchor. Alone, it is a leaf and nothing repeats there. Equal
+suffixes are folded into one with a multiplicity: if there is more than one, every window on it repeats (an edge that does
+not branch), and one of them stands for all below a prefix that does branch. What is left below a branching prefix is a
+subtree. While a subtree has more than SUBTREE runs, its prefix is lengthened: its windows are counted by their first 12,
+18, 26 words (of PREFIXES), until each group fits; one that still does not fit at the whole window is a node by itself.
+
+Subtrees are built in memory, many to a task: all suffixes of their runs are sorted, with the length of the prefix that
+each shares with the next (LCP), and an interval of neighbours that share `window` words or more is an internal node as
+deep as a window: all its suffixes repeat. Counts are pre-aggregated, and a subtree has at most SUBTREE runs, so a prefix
+that a third of all documents share is no group in any task's memory.
 
 Null and empty texts have no words and stay as they are (null becomes empty). Repeated rows repeat each other's windows.
-What is kept is joined by single spaces. Words are compared by 64-bit hashes, windows by 128 bits, runs by 128 with
-prefix; a document is known between steps by a 64-bit hash of its doc_id and text.
+What is kept is joined by single spaces. Very long texts are read whole, one at a time; an empty table gives none. Words
+are compared by 64-bit hashes, runs by 128 with prefix; a document is known between steps by a 64-bit hash of its doc_id
+and text.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .common import small_arrow, small_batches, tidy, written
 from .words import grams, hashed_words, mixed
 
 WINDOW, PREFIX = 35, 8
+#: The longer prefixes that a large subtree is split by, one after the other.
+PREFIXES = (12, 18, 26)
 #: What is to be done with a run: it repeats whole; its windows are to be looked at; both.
 WHOLE, SPLIT, BOTH = 1, 2, 3
 #: Runs up to which the subtree below a prefix is built in memory, and runs that a task builds at once.
@@ -77,24 +83,41 @@ def unpacked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return code // 2048, code // 8 % 256, code % 4, code // 4 % 2
 
 
-def deep_nodes(words: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """Where a suffix of the runs (their words one after the other, ends behind each) shares `window` words with another.
+def suffix_order(words: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in the order of their first words (as many as `window` at least), and how many words each shares with
+    the next (up to that many). `left` says how many words a suffix has before its run ends.
 
-    Ranks of prefixes of 1, 2, 4 ... words are those of the nodes at these depths; two that overlap make the last one. A
-    suffix that ends before that depth has no node there.
+    Suffixes are ranked by prefixes of 1, 2, 4 ... words, each rank from two of the one before; the shared length is found
+    from the ranks, the longest first.
     """
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(words))  # words to the end of the run
-    depth = 1
+    ranks, depth = [np.unique(words, return_inverse=True)[1].astype(np.int64)], 1
     while depth < window:
-        step = min(depth, window - depth)
-        pair = np.full(len(rank), -1, dtype=np.int64)
-        whole = np.flatnonzero(left >= depth + step)
-        pair[whole] = rank[whole] * (len(rank) + 1) + rank[whole + step] + 1
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    leaves = np.bincount(rank[left >= window], minlength=len(rank) + 1)
-    return (left >= window) & (leaves[rank] > 1)
+        rank = ranks[-1]
+        pair = rank * (len(rank) + 1)
+        more = np.flatnonzero(left > depth)
+        pair[more] += rank[more + depth] + 1
+        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        depth *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1], order[1:]
+    room, shared = np.minimum(left[a], left[b]), np.zeros(len(a), dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        fits = np.flatnonzero(shared + (1 << k) <= room)
+        same = fits[ranks[k][a[fits] + shared[fits]] == ranks[k][b[fits] + shared[fits]]]
+        shared[same] += 1 << k
+    return order, shared
+
+
+def deep_nodes(words: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Where a suffix of the runs (their words one after the other, ends behind each) shares `window` words with another:
+    it lies in an interval of the order whose neighbours all do."""
+    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(words))  # words to the end of the run
+    order, shared = suffix_order(words, left, window)
+    deep = shared >= window
+    found = np.zeros(len(words), dtype=bool)
+    found[order[:-1][deep]] = True
+    found[order[1:][deep]] = True
+    return found
 
 
 def covered(n_words: int, first: np.ndarray, more: np.ndarray, window: int) -> np.ndarray:
@@ -156,11 +179,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     def cut(words: list[bytes], gone: np.ndarray) -> bytes:
         return b" ".join([words[k] for k in np.flatnonzero(~gone)] if gone.any() else words)
 
+    branch = pa.struct([("head", pa.int64()), ("first", pa.int64()), ("more", pa.int64()), ("one", pa.bool_()), ("large", pa.bool_()), ("words", pa.binary())])
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finishes documents whose runs are all decided; of the others, the runs for subtrees and the windows of large ones."""
+        """Finishes documents whose runs are all decided; of the others, the runs for subtrees."""
         for batch in small_batches(batches, at, 4_000_000):
             texts, codes = batch.column(at).to_pylist(), codes_of(batch.column(len(names) + 1))
-            kept, n_words, n_removed, open_codes, branches, windows = [], [], [], [], [], []
+            kept, n_words, n_removed, open_codes, branches = [], [], [], [], []
             for text, code in zip(texts, codes, strict=True):
                 words = text.split()
                 first, more, what, large = unpacked(code)
@@ -169,13 +194,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                 if undecided.any():
                     flat, _ = hashed_words([text])
                     of_gram = grams(flat, prefix)
-                    small = undecided & (large == 0)
-                    ends = first + more + window
-                    branches.append([{"head": int(of_gram[i : i + window - prefix + 1].min().view(np.int64)), "first": i, "one": w == BOTH, "words": flat[i:e].tobytes()} for i, w, e in zip(first[small].tolist(), what[small].tolist(), ends[small].tolist(), strict=True)])
-                    big = undecided & (large == 1)
-                    where = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.arange(i, i + m + 1) for i, m in zip(first[big], more[big], strict=True)]]))
-                    one, two = (grams(flat, window, seed=k)[where].view(np.int64).tolist() for k in (3, 4))
-                    windows.append([{"place": p, "one": x, "two": y} for p, x, y in zip(where.tolist(), one, two, strict=True)])
+                    rows = zip(*(x[undecided].tolist() for x in (first, more, what, large)), strict=True)
+                    anchor = lambda i: int(of_gram[i : i + window - prefix + 1].min().view(np.int64))
+                    branches.append([(anchor(i), i, m, w == BOTH, lg == 1, flat[i : i + m + window].tobytes()) for i, m, w, lg in rows])
                     kept.append(text)
                     n_removed.append(0)
                     open_codes.append(code[what != SPLIT].tolist())
@@ -183,12 +204,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     gone = covered(len(words), first, more, window)
                     kept.append(cut(words, gone))
                     n_removed.append(int(gone.sum()))
-                    for x in (open_codes, branches, windows):
+                    for x in (open_codes, branches):
                         x.append(None)
-            branch = pa.struct([("head", pa.int64()), ("first", pa.int64()), ("one", pa.bool_()), ("words", pa.binary())])
-            place = pa.struct([("place", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
-            extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(open_codes, pa.list_(pa.int64())), pa.array(branches, pa.list_(branch)), pa.array(windows, pa.list_(place))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], *extra], names=[*names, "uid", "n_words", "n_removed", "codes", "branches", "windows"])
+            extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(open_codes, pa.list_(pa.int64())), pa.array(branches, pa.list_(branch))]
+            columns = [*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], *extra]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "uid", "n_words", "n_removed", "codes", "branches"])
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (head, uid, first, words) sorted by head; a subtree is never cut."""
@@ -231,17 +251,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema, strict=False))
     met = source.join(todo, "uid", "left").select(*names, "uid", "codes")
-    more_columns = "codes array<long>, branches array<struct<head:long,first:long,one:boolean,words:binary>>, windows array<struct<place:long,one:long,two:long>>"
+    more_columns = "codes array<long>, branches array<struct<head:long,first:long,more:long,one:boolean,large:boolean,words:binary>>"
     state = written(met.mapInArrow(split, f"{base}, uid long, n_words long, n_removed long, {more_columns}"), "suffix-documents")
     waiting = state.filter("codes IS NOT NULL")
-    branches = waiting.select("uid", F.explode("branches").alias("b")).select("b.head", "uid", "b.first", "b.one", "b.words")
+    branches = waiting.select("uid", F.explode("branches").alias("b")).select("uid", "b.*")
     # what stands for several runs comes once for each row that repeats its document: one is enough
-    branches = branches.filter("NOT one").union(branches.filter("one").dropDuplicates(["head", "uid", "first"])).drop("one")
-    in_trees = branches.repartition("head").sortWithinPartitions("head").mapInArrow(subtrees, "uid long, code long")
-    # large subtrees: nodes at full depth with several suffixes
-    windows = waiting.select("uid", F.explode("windows").alias("w")).select("uid", "w.place", "w.one", "w.two")
-    nodes = written(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two"), "suffix-nodes")
-    in_large = windows.join(nodes, ["one", "two"]).select("uid", packed(F.col("place"), F.lit(0), F.lit(WHOLE)).alias("code"))
+    branches = branches.filter("NOT one").union(branches.filter("one").dropDuplicates(["head", "uid", "first"]))
+    groups = branches.filter("NOT large").select("head", "uid", "first", "words")
+    # large subtrees: windows by longer and longer prefixes, as bytes of their words
+    windows = branches.filter("large").select("uid", "first", "words", F.explode(F.sequence(F.lit(0), F.col("more").cast("int"))).alias("k"))
+    start = F.col("k") * 8 + 1
+    windows = windows.select("uid", (F.col("first") + F.col("k")).alias("first"), F.col("words").substr(start, F.lit(8 * window)).alias("words"))
+    windows = written(windows, "suffix-windows")
+    for length in [x for x in PREFIXES if prefix < x < window]:
+        if windows.isEmpty():
+            break
+        key = windows.withColumn("prefix", F.substring("words", 1, 8 * length))
+        sizes = written(key.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-prefixes")
+        key = key.join(sizes, "prefix")
+        groups = groups.unionByName(key.filter(F.col("n") <= SUBTREE).select(F.xxhash64("prefix").alias("head"), "uid", "first", "words"))
+        windows = written(key.filter(F.col("n") > SUBTREE).select("uid", "first", "words"), "suffix-windows")
+    in_trees = groups.repartition("head").sortWithinPartitions("head").mapInArrow(subtrees, "uid long, code long")
+    nodes = written(windows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("words"), "suffix-nodes")
+    in_large = windows.join(nodes, "words").select("uid", packed(F.col("first"), F.lit(0), F.lit(WHOLE)).alias("code"))
     found = in_trees.union(in_large).groupBy("uid").agg(F.collect_set("code").alias("found"))
     late = waiting.select(*names, "uid", "n_words", "codes").join(found, "uid", "left").select(*names, "codes", "found", "n_words")
     late = late.select(*names, "n_words", "codes", "found").mapInArrow(finish, f"{base}, n_words long, n_removed long")

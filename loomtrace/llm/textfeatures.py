@@ -19,28 +19,31 @@ def trigram_counts(text: bytes, bits: int, lower: bool = False) -> np.ndarray:
     return np.bincount(codes, minlength=1 << bits)
 
 
-#: Parts of a text's style, each between 0 and 1.
-N_STYLE = 3
-
-
-def style(text: bytes) -> tuple[float, float, float]:
-    """Shares of words that repeat the word before, of words seen before in the text, and of upper-case letters."""
-    words = text.split()
-    if not words:
-        return 0.0, 0.0, 0.0
-    again = sum(map(bytes.__eq__, words[1:], words))
-    b = np.frombuffer(text, dtype=np.uint8)
-    return again / len(words), 1 - len(set(words)) / len(words), float(((b >= 65) & (b <= 90)).mean())
+def log_counts(texts: list[bytes], bits: int, lower: bool = False) -> np.ndarray:
+    """log(1 + count), a row of floats for each text."""
+    out = np.empty((len(texts), 1 << bits), dtype=np.float32)
+    for k, text in enumerate(texts):
+        out[k] = trigram_counts(text, bits, lower)
+    return np.log1p(out, out=out)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts in 16 bits each (greater ones as the greatest), as they travel to where a model is fitted."""
-    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+    """The cells that are not zero and their counts, as they travel to where a model is fitted (at most 2^16 cells)."""
+    cells = np.flatnonzero(counts)
+    return cells.astype("<u2").tobytes() + counts[cells].astype("<u4").tobytes()
 
 
-def matrix_of(rows: list[bytes], bits: int) -> np.ndarray:
-    """The counts of packed rows as one matrix of floats."""
-    out = np.empty((len(rows), 1 << bits), dtype=np.float32)
+def log_counts_of(rows: list[bytes], bits: int) -> np.ndarray:
+    """What log_counts gives for the texts that were packed."""
+    out = np.zeros((len(rows), 1 << bits), dtype=np.float32)
     for k, row in enumerate(rows):
-        out[k] = np.frombuffer(row, "<u2", 1 << bits)
-    return out
+        n = len(row) // 6
+        out[k, np.frombuffer(row, "<u2", n)] = np.frombuffer(row, "<u4", n, 2 * n)
+    return np.log1p(out, out=out)
+
+
+def to_unit(rows: np.ndarray) -> np.ndarray:
+    """The rows, scaled to length 1 in place (zero rows stay)."""
+    lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    rows /= np.maximum(lengths, 1e-9)[:, None]
+    return rows
