@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import shell, text
+from ..functions import intents, shell, text
 from ..sources.bridge import Frames
 from .registry import query
 
@@ -90,21 +90,93 @@ def path_touch_join(f: Frames) -> DataFrame:
     return s.join(other, "tail").filter(text.touches(F.col("path"), F.col("other"))).groupBy("path").agg(F.count(F.lit(1)).alias("touching"))
 
 
-_COMMANDS = "CASE k % 10 WHEN 0 THEN 'cat a.txt | grep x' WHEN 1 THEN 'git commit -m x' WHEN 2 THEN 'cat a > b' WHEN 3 THEN 'sed -i s/a/b/ f' WHEN 4 THEN 'sed -n 1,5p f' WHEN 5 THEN 'python run.py' WHEN 6 THEN 'frobnicate --all' WHEN 7 THEN 'A=1 sudo ls -l && git status' WHEN 8 THEN 'ssh -p 2222 -i key host' || (k % 4) || ' squeue' ELSE 'curl -s https://api.example.com/r' || k END"
+# Parts of commands, put together by the numbers of an event; "#" divides them.
+_HEADS = (
+    "cat#rg TODO#git status#git push origin#sed -i s/a/b/ x.py#sed -n 1,5p x.py#python run.py#frobnicate#FOO=1 sudo ls#"
+    "ssh -p 22 -i key host1 date#curl -s https://api.example.com/r#Get-Content#docker ps#make#/usr/bin/wc -l#tee#squeue -u me#"
+    "gh pr list#aws s3 ls#time pytest -q#python.exe -m http.server#scp a.txt me@host2:/x#git#https://h.example.org/x?t=1#"
+    'cd src#"C:/tools/node.exe" app.js#kubectl get pods#jq .#rm -r tmp#nohup sleep#env A=1 B=2 grep x'
+)
+_ARGUMENTS = "# a/b.txt# -l# \"two words\"# 2>&1# > out.txt# >> log.txt# x=1# 'it is'# ../up/c.md# -n=3"
+_JOINS = " && # | # ; # || #~#   &&"  # ~ is a line end
+_N = [len(x.split("#")) for x in (_HEADS, _ARGUMENTS, _JOINS)]
+
+
+def _part(parts: str, number: str, n: int) -> str:
+    text = parts.replace("'", "''")
+    return f"replace(split_part('{text}', '#', CAST(({number}) % {n} AS INT) + 1), '~', chr(10))"
+
+
+_COMMAND = " || ".join([
+    _part(_HEADS, "event_id * 7 + k", _N[0]), _part(_ARGUMENTS, "event_id + k * 3", _N[1]), _part(_JOINS, "event_id * 5 + k", _N[2]),
+    _part(_HEADS, "event_id * 3 + k * 11", _N[0]), _part(_ARGUMENTS, "event_id * 13 + k", _N[1]),
+])
+
+
+def _sql_list(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_FAMILY = " ".join(f"WHEN head IN {_sql_list(names)} THEN '{family}'" for family, names in shell.SERVICES.items())
 
 
 @query(
     "shell_classify",
-    f"""WITH c AS (SELECT event_id, k, {_COMMANDS} AS command FROM ev)
-SELECT event_id, CASE k % 10 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'write' WHEN 3 THEN 'write' WHEN 4 THEN 'read' WHEN 5 THEN 'run' WHEN 7 THEN 'read' ELSE 'unknown' END AS kind,
-  CASE k % 10 WHEN 8 THEN 'ssh' WHEN 9 THEN 'http' END AS family, CASE k % 10 WHEN 8 THEN 'host' || (k % 4) WHEN 9 THEN 'api.example.com' END AS service,
-  array_to_string(list_transform(list_filter(string_split_regex(command, '&&|\\|\\||;|\\|'), lambda x: trim(x) <> ''), lambda x: regexp_extract(trim(regexp_replace(trim(x), '^(A=1 )?(sudo )?', '')), '^\\S+')), ',') AS heads FROM c""",
+    rf"""WITH c AS (SELECT event_id, {_COMMAND} AS command FROM ev),
+g AS (SELECT event_id, command, unnest(segs) AS seg, unnest(range(len(segs))) AS place
+  FROM (SELECT event_id, command, list_filter(string_split_regex(trim(command), '\s*(?:&&|\|\||;|\||\n)\s*'), lambda x: trim(x) <> '') AS segs FROM c)),
+t AS (SELECT *, list_filter(list_transform(regexp_extract_all(seg, '"[^"]*"|''[^'']*''|\S+'),
+    lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '^("(.*)"|''(.*)'')$') THEN substr(x, 2, length(x) - 2) ELSE x END),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*=\S*$')) AS w FROM g),
+n AS (SELECT *, regexp_replace(lower(string_split(w[1], '/')[-1]), '\.exe$', '') AS plain, regexp_matches(w[1], '^["'']?[A-Za-z][A-Za-z0-9+.\-]*://') AS is_url FROM t WHERE len(w) > 0),
+u AS (SELECT *, plain IN {_sql_list(shell.WRAPPERS)} AND len(w) > 1 AND NOT is_url AS wrapped FROM n),
+h AS (SELECT *, CASE WHEN is_url THEN '<url>' WHEN wrapped THEN lower(string_split(w[2], '/')[-1]) ELSE plain END AS head, CASE WHEN wrapped THEN w[3:] ELSE w[2:] END AS rest FROM u),
+k AS (SELECT *, CASE WHEN regexp_matches(seg, '(^|[^<>0-9])>{{1,2}}($|[^&>]|&[^0-9])|[0-9]>{{1,2}}($|[^&>])') THEN 4
+  WHEN head = 'git' AND len(rest) > 0 THEN CASE WHEN lower(rest[1]) IN {_sql_list(shell.GIT_READS)} THEN 1 ELSE 4 END
+  WHEN head = 'sed' THEN CASE WHEN len(list_filter(rest, lambda x: starts_with(x, '-i') OR x = '--in-place')) > 0 THEN 4 ELSE 1 END
+  WHEN head IN {_sql_list(shell.READERS)} THEN 1 WHEN head IN {_sql_list(shell.WRITERS)} THEN 4 WHEN head IN {_sql_list(shell.RUNNERS)} THEN 3 ELSE 2 END AS kind,
+  CASE {_FAMILY} END AS family, head IN {_sql_list(shell.SERVICE_WRAPPERS)} AS around FROM h),
+s AS (SELECT event_id, ['read', 'unknown', 'run', 'write'][coalesce(max(kind), 2)] AS kind, arg_min(coalesce(family, ''), place) FILTER (WHERE NOT around) AS family,
+  string_agg(head, ',' ORDER BY place) AS heads FROM k GROUP BY 1)
+SELECT event_id, coalesce(kind, 'unknown') AS kind, nullif(family, '') AS family, coalesce(heads, '') AS heads,
+  lower(nullif(coalesce(nullif(regexp_extract(command, 'https?://([^/\s''"]+)', 1), ''), nullif(regexp_extract(command, '\b(?:scp|rsync|sftp)\b.*?\s(?:[\w.\-]+@)?([\w.\-]+):', 1), ''),
+    regexp_extract(command, '\bssh\s+(?:-[pioljJFeP]\s*\S+\s+|-\w+\s+)*(?:[\w.\-]+@)?([\w.\-]+)', 1)), '')) AS service FROM c LEFT JOIN s USING (event_id)""",
     ("ev",),
 )
 def shell_classify(f: Frames) -> DataFrame:
-    c = f.events.select("event_id", F.expr(_COMMANDS).alias("command"))
-    cmd = F.col("command")
-    return c.select("event_id", shell.classify(cmd).alias("kind"), shell.service_family(cmd).alias("family"), shell.service_target(cmd).alias("service"), F.array_join(shell.heads(cmd), ",").alias("heads"))
+    """Commands put together from many heads, arguments and joins; parsed once, in a column of its own."""
+    c = f.events.select("event_id", F.expr(_COMMAND).alias("command"))
+    parsed = c.withColumn("parts", shell.parsed(F.col("command")))
+    parts = F.col("parts")
+    heads = F.array_join(shell.heads_of(parts), ",").alias("heads")
+    return parsed.select("event_id", shell.kind_of(parts).alias("kind"), shell.family_of(parts).alias("family"), shell.service_target(F.col("command")).alias("service"), heads)
+
+
+@query(
+    "work_units_by_intent",
+    """
+WITH b AS (SELECT *, 'f' || (k % 7) || '.py' AS file, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS folder FROM ev),
+w AS (SELECT event_id, user_id, event_type, CASE k % 8
+  WHEN 0 THEN 'read:' || folder || '/' || file WHEN 1 THEN 'read:' || folder || '/' || file WHEN 2 THEN 'read:' || folder || '/' || file
+  WHEN 3 THEN 'read:' || folder || '/' || file || ':1,' || (k % 5) || 'p' WHEN 4 THEN 'search:' || folder || ':TODO::'
+  WHEN 5 THEN 'run_tests:/p/' || folder || ':-q' WHEN 6 THEN 'vcs_read:git status::/p' ELSE 'cmd:/p::mystery --x ' || file END AS op_key,
+  CASE k % 8 WHEN 3 THEN 'read' WHEN 4 THEN 'search' WHEN 5 THEN 'run_tests' WHEN 6 THEN 'vcs_read' WHEN 7 THEN 'unknown' ELSE 'read' END AS op FROM b)
+SELECT op, rtrim(op_key, ':') AS op_key, count(*) AS calls, count(DISTINCT user_id) AS agents, count(DISTINCT event_type) AS tools FROM w GROUP BY 1, 2""",
+    ("ev",),
+)
+def work_units_by_intent(f: Frames) -> DataFrame:
+    """The same work in several forms (a tool, cat, cd and cat) is one unit."""
+    file, folder = "'f' || (k % 7) || '.py'", "CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END"
+    command = f"""CASE k % 8 WHEN 0 THEN 'cat ' || {folder} || '/' || {file} WHEN 1 THEN 'cd ' || {folder} || ' && cat ./' || {file}
+      WHEN 3 THEN 'sed -n ''1,' || (k % 5) || 'p'' ' || {folder} || '/' || {file} WHEN 4 THEN 'rg TODO /p/' || {folder}
+      WHEN 5 THEN 'cd ' || {folder} || ' && python -m pytest -q' WHEN 6 THEN 'git status' WHEN 7 THEN 'mystery --x ' || {file} END"""
+    rows = f.events.select(
+        "event_id", "user_id", "event_type", F.expr("CASE WHEN k % 8 = 2 THEN 'read' ELSE 'shell' END").alias("category"), F.col("event_type").alias("tool"),
+        F.expr(f"CASE WHEN k % 8 = 2 THEN {folder} || '/' || {file} END").alias("target"), F.lit("{}").alias("params"), F.lit(None).cast("string").alias("server_tool"),
+        F.lit("/p").alias("cwd"), F.lit("/p").alias("project"), F.expr(command).alias("command"),
+    )
+    units = intents.with_intent(rows).withColumn("op_key", F.regexp_replace("op_key", ":+$", ""))
+    return units.groupBy("op", "op_key").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("user_id").alias("agents"), F.count_distinct("event_type").alias("tools"))
 
 
 @query("mask_secrets_constant", r"SELECT doc_id, sha256(regexp_replace(text, '(?i)(bearer\s+[a-z0-9._\-]{8,}|(?:api[_-]?key|token|password|secret)\s*[=:]\s*[^\s,;]+|sk-[a-z0-9]{8,}|ghp_[a-z0-9]{8,}|AKIA[0-9A-Z]{12,})', '<secret>', 'g')) AS digest FROM documents", ())

@@ -204,7 +204,47 @@ def test_shell(spark, command, kind):
     assert spark.createDataFrame([(command,)], "c string").select(shell.classify(F.col("c"))).first()[0] == kind
 
 
-@pytest.mark.parametrize(("command", "host"), [("ssh -p 2222 -i k romeo 'squeue'", "romeo"), ("scp ./job.sh u@romeo.univ:/x", "romeo.univ"), ("curl -s https://api.github.com/r", "api.github.com"), ("ls", None)])
+def test_shell_parts(spark):
+    commands = ["FOO=1 sudo /usr/bin/ls -l a/b.txt", "curl -s https://x.y/z | jq .", "cd src && squeue -u me", "https://x.y/z?token=1 && ls", "git", "git stash", "Get-Content a.md > b.md", "tool.exe x", "python.exe run.py", "  "]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(commands)], "k int, c string").withColumn("p", shell.parsed(F.col("c"))).orderBy("k")
+    got = df.select(shell.kind_of(F.col("p")), shell.heads_of(F.col("p")), shell.family_of(F.col("p")), shell.paths(F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("read", ["ls"], None, ["a/b.txt"]), ("write", ["curl", "jq"], "http", []), ("unknown", ["cd", "squeue"], "slurm", []),
+        ("unknown", ["<url>", "ls"], None, []), ("unknown", ["git"], None, []), ("write", ["git"], None, []), ("write", ["get-content"], None, ["a.md", "b.md"]),
+        ("unknown", ["tool"], None, []), ("run", ["python"], None, ["run.py"]), ("unknown", [], None, []),
+    ]
+
+
+def test_intents(spark):
+    from loomtrace.functions import intents
+
+    base = {"category": "shell", "tool": "Bash", "target": None, "params": None, "server_tool": None, "cwd": "/p", "project": "/p"}
+    shells = ["cat src/a.py", "Get-Content src/a.py", "sed -n '1,5p' src/a.py", "cat src/a.py | mystery-filter", "cd src && cat a.py", "cd src && cd .. && cat src/a.py", 'cd "src" && python -m pytest -q', "rg TODO src", "pytest tests/test_x.py -q", "python -m pytest tests/test_x.py -q", "git status", "python build.py --release", "weird-tool --do things", "head -n 5 src/a.py", "head -5 src/a.py", "make all", "python -m pkg.mod x", "ls src", "cat src/a.py | wc -l", "sed s/a/b/ f"]
+    rows = [base | {"command": c} for c in shells]
+    rows.append(base | {"category": "read", "tool": "Read", "target": "src/a.py", "params": "{}", "command": None})
+    rows.append(base | {"category": "mcp", "tool": "mcp__s__job_status", "server_tool": "job_status", "target": None, "params": '{"id":1}', "command": None})
+    rows.append(base | {"category": "mcp", "tool": "mcp__s__submit", "server_tool": "submit", "target": None, "params": "{}", "command": None})
+    schema = "category string, tool string, target string, params string, server_tool string, cwd string, project string, command string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    df = spark.createDataFrame([(*[r[n] for n in names], k) for k, r in enumerate(rows)], f"{schema}, k int")
+    got = [(r.op, r.op_target, r.op_key) for r in intents.with_intent(df).orderBy("k").collect()]
+    keys = [k for *_, k in got]
+    assert keys[0] == keys[1] == keys[4] == keys[5] == keys[20] and len({keys[0], keys[2], keys[13], keys[18]}) == 4 and keys[13] == keys[14]
+    assert [o for o, *_ in got] == ["read", "read", "read", "unknown", "read", "read", "run_tests", "search", "run_tests", "run_tests", "vcs_read", "run_script", "unknown", "read", "read", "build", "run_script", "list", "read", "unknown", "read", "mcp_read", "mcp"]
+    assert got[7][1] == "src" and keys[8] == keys[9] and got[11][1] == "build.py" and got[16][1] == "module:pkg.mod" and "/p/src" in keys[6]
+
+
+def test_hypotheses_and_proofs(spark):
+    got = spark.createDataFrame([("Permission denied (publickey), ssh session",), ("odd",), (None,)], "s string").select(text.hypotheses(F.col("s"))).collect()
+    assert [len(r[0]) for r in got] == [4, 1, 1] and got[1][0] == [text.NO_HINT] and got[2][0] == [text.NO_SIGNATURE]
+    rows = [("doc", "seen", [("a" * 64, "f", 1, 2)]), ("doc", " ", [("a" * 64, "f", 1, 2)]), ("doc", "seen", []), ("doc", "seen", [("xyz", "f", 1, 2)]), ("other", "seen", [("a" * 64, "f", 1, 2)]), ("doc", "seen", [("a" * 64, "f", 3, 2)]), (None, None, None)]
+    df = spark.createDataFrame(rows, "k string, b string, s array<struct<sha256:string,locator:string,line_start:int,line_end:int>>")
+    assert [r[0] for r in df.select(text.is_proof(F.col("k"), F.col("b"), F.col("s"), ("doc", "test"))).collect()] == [True] + [False] * 6
+    home = spark.createDataFrame([("see /home/me/x and token=abcdefgh",)], "t string").select(text.scrubbed(F.col("t"), "/home/me", 12)).first()[0]
+    assert home == "see ~/x and …"
+
+
+@pytest.mark.parametrize(("command", "host"), [("ssh -p 2222 -i k node7 'squeue'", "node7"), ("scp ./job.sh u@node7.example.org:/x", "node7.example.org"), ("curl -s https://api.github.com/r", "api.github.com"), ("ls", None)])
 def test_service_target(spark, command, host):
     assert spark.createDataFrame([(command,)], "c string").select(shell.service_target(F.col("c"))).first()[0] == host
 
@@ -244,9 +284,9 @@ def test_results(spark):
     assert same[0][0] == same[1][0] and same[2][0] is None
     states = [r[0] for r in spark.createDataFrame([("job 12 RUNNING since 12:00:01, 3 min",), ("job 12 RUNNING since 12:05:44, 8 min",), ("job 12 DONE",), (" ",)], "t string").select(results.state_fingerprint(F.col("t"))).collect()]
     assert states[0] == states[1] != states[2] and states[3] == "empty"
-    phases = [('{"status": "RUNNING"}', "success", "in_progress"), ('{"state":"COMPLETED"}', "success", "done"), ('{"status":"failed"}', "success", "failed"), ("connection refused", "success", "unavailable"), ("still waiting", "success", "in_progress"), ("hello", "success", "done"), ("hello", "error", "failed"), (None, None, "unknown")]
+    phases = [('{"status": "RUNNING"}', "success", "in_progress"), ('{"state":"COMPLETED"}', "success", "done"), ('{"status":"failed"}', "success", "failed"), ("connection refused", "success", "unavailable"), ("still waiting", "success", "in_progress"), ("hello", "success", "done"), ("hello", "error", "failed"), (None, None, "unknown"), ('{"error": "not active yet"}', "success", "unavailable"), ('{"data": {"connected": false}}', "success", "unavailable"), ('{"timed_out": true, "status": {}}', "success", "in_progress"), ("the job is still running", "success", "in_progress"), ("le service n'est pas lancé", "success", "unavailable")]
     assert [r[0] for r in spark.createDataFrame(phases, "t string, s string, w string").select(results.phase(F.col("t"), F.col("s"))).collect()] == [p[2] for p in phases]
-    hidden = [('{"erreur": null, "x": 1}', None), ('{"error": "boom"}', '"error": "boom"'), ('{"a": {"status": "failed"}}', '"status": "failed"'), ("all fine", None), ("ok\nsession failed here\n", "session failed here")]
+    hidden = [('{"erreur": null, "x": 1}', None), ('{"error": "boom"}', "error: boom"), ('{"a": {"status": "failed"}}', "status: failed"), ('[{"a": [{"result": "Crashed"}]}]', "result: Crashed"), ("all fine", None), ("ok\nsession failed here\n", "session failed here")]
     assert [r[0] for r in spark.createDataFrame(hidden, "t string, w string").select(results.hidden_error(F.col("t"))).collect()] == [h[1] for h in hidden]
     cases = [("error", 1, "rg", "rg x", "", "success"), ("error", 1, "rg", "rg x", "y" * 400, "unknown"), ("error", 1, "rg", "rg x", "rg: bad regex", "error"), ("error", 2, "rg", "rg x", "", "error"), ("error", 1, "git", "git diff --no-index a b", "", "success"), ("error", 1, "python", "python x", None, "error"), ("error", None, "rg", "rg x", "", "error")]
     got = spark.createDataFrame(cases, "s string, c int, h string, m string, e string, w string").select(results.reinterpreted(*map(F.col, "schme"))).collect()
