@@ -50,7 +50,20 @@ def unique_container(children: DataFrame, parents: DataFrame) -> DataFrame:
 
     children: session, agent, lo. parents: session, call_id, parent, start_ns, end_ns (null: still open).
     """
-    inside = (F.col("parent") != F.col("agent")) & (F.col("start_ns") <= F.col("lo")) & (F.col("end_ns").isNull() | (F.col("lo") < F.col("end_ns")))
-    met = children.join(parents.withColumnRenamed("session", "_s"), (F.col("session") == F.col("_s")) & inside, "left")
-    n = met.groupBy("session", "agent").agg(F.count("call_id").alias("candidates"), F.min("call_id").alias("call_id"))
-    return n.select("session", "agent", "candidates", F.when(F.col("candidates") == 1, F.col("call_id")).alias("spawned_by"))
+    # open calls are counted along a session's time, and their hashes summed: where one is open, the sum is its hash. An
+    # agent's own calls are counted alike and taken off; so no child is joined with all calls around it.
+    parents = parents.filter(F.col("end_ns").isNull() | (F.col("end_ns") > F.col("start_ns")))
+    mark = F.xxhash64("call_id").cast("decimal(38,0)")
+    edge = lambda at, sign: parents.filter(f"{at} IS NOT NULL").select(
+        "session", F.col("parent").alias("agent"), F.col(at).alias("ns"), F.lit(0).alias("asks"), F.lit(sign).alias("n"), (mark * sign).alias("mark")
+    )
+    zero = F.lit(0).cast("decimal(38,0)").alias("mark")
+    asks = children.select("session", "agent", F.col("lo").alias("ns"), F.lit(1).alias("asks"), F.lit(0).alias("n"), zero)
+    every = edge("start_ns", 1).unionByName(edge("end_ns", -1)).unionByName(asks)
+    so_far = lambda *by: Window.partitionBy("session", *by).orderBy("ns", "asks").rangeBetween(Window.unboundedPreceding, 0)
+    others = lambda c: F.sum(c).over(so_far()) - F.sum(c).over(so_far("agent"))
+    found = every.withColumns({"_n": others("n"), "_m": others("mark")}).filter("asks = 1")
+    n = found.groupBy("session", "agent").agg(F.sum("_n").cast("long").alias("candidates"), F.sum("_m").cast("long").alias("_m"))
+    ids = parents.select(F.col("session").alias("_s"), F.xxhash64("call_id").alias("_h"), F.col("call_id").alias("spawned_by"))
+    one = (F.col("session") == F.col("_s")) & (F.col("_m") == F.col("_h")) & (F.col("candidates") == 1)
+    return n.join(ids, one, "left").select("session", "agent", "candidates", "spawned_by")

@@ -121,22 +121,37 @@ def failures_on_inputs(calls: DataFrame, least: int = 3, window: tuple[int, int]
 
 def batch_runs(calls: DataFrame, least: int = 3) -> DataFrame:
     """C: runs of calls that could have gone out together: same agent and kind, one after the other, targets all different,
-    each from another response. What ends a run depends on what is in it, so each agent-and-epoch's calls are folded in
-    order with built-in functions; calls of other agents end runs in the session's order and are seen as breaks."""
-    w = Window.partitionBy("session").orderBy("seq")
-    switched = F.coalesce(F.lag("agent").over(w) != F.col("agent"), F.lit(True))
-    strands = islands(calls.withColumn("_sw", switched), ["session"], ["seq"], F.col("_sw"), "strand")
-    row = F.struct("aseq", "target", "category", "emitter")
-    rows = strands.groupBy("session", "agent", "strand").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty_runs, empty_run = "cast(array() as array<array<bigint>>)", "cast(array() as array<struct<aseq:bigint,target:string,category:string,emitter:bigint>>)"
-    fits = "size(s.run) > 0 AND c.category = element_at(s.run, -1).category AND NOT exists(s.run, x -> x.target = c.target) AND c.emitter <> element_at(s.run, -1).emitter"
-    closed = f"if(size(s.run) >= {least}, concat(s.runs, array(transform(s.run, x -> x.aseq))), s.runs)"
-    fold = f"""aggregate(rows, named_struct('runs', {empty_runs}, 'run', {empty_run}),
-      (s, c) -> CASE WHEN c.category NOT IN ('read', 'search') THEN named_struct('runs', {closed}, 'run', {empty_run})
-        WHEN {fits} THEN named_struct('runs', s.runs, 'run', concat(s.run, array(c)))
-        ELSE named_struct('runs', {closed}, 'run', array(c)) END,
-      s -> {closed})"""
-    return rows.select("session", "agent", F.explode(F.expr(fold)).alias("run")).select("session", "agent", F.element_at("run", 1).alias("first_aseq"), F.element_at("run", -1).alias("last_aseq"), F.size("run").alias("calls"))
+    each from another response; calls of other agents break runs in the session's order.
+
+    What surely breaks a run (another kind, another agent between, the same response) cuts the calls into stretches. Within
+    one, a run that starts at a place ends where a target of it comes again: of the places from there on, the least next
+    place of an equal target, which is a running minimum from behind. Only the hops from start to start are followed in
+    order, by a fold over those of one stretch.
+    """
+    order = Window.partitionBy("session").orderBy("seq")
+    kind = F.col("category").isin("read", "search")
+    breaks = (F.lag("agent").over(order) != F.col("agent")) | (F.lag("category").over(order) != F.col("category")) | (F.lag("emitter").over(order) == F.col("emitter"))
+    rows = calls.withColumn("_break", F.coalesce(breaks, F.lit(True)))
+    rows = islands(rows, ["session"], ["seq"], F.col("_break"), "stretch").filter(kind)
+    by = ["session", "agent", "stretch"]
+    again = F.lead("aseq").over(Window.partitionBy(*by, "target").orderBy("aseq"))
+    rows = rows.withColumn("_again", again)
+    ends = F.min("_again").over(Window.partitionBy(*by).orderBy(F.desc("aseq")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_end", ends)
+    stretches = rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("aseq", "_end"))).alias("rows"), F.max("aseq").alias("last"), F.count("_again").alias("hops")
+    )
+    start = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(None).cast("bigint").alias("next"), F.lit(True).alias("first"))
+    hop = lambda s, x: F.when(
+        s["first"] | (x["aseq"] == s["next"]),
+        F.struct(F.concat(s["starts"], F.array(x["aseq"])).alias("starts"), x["_end"].alias("next"), F.lit(False).alias("first")),
+    ).otherwise(s)
+    # most stretches repeat no target: one run
+    starts = F.when(F.col("hops") == 0, F.array(F.col("rows")[0]["aseq"])).otherwise(F.aggregate("rows", start, hop, lambda s: s["starts"]))
+    runs = stretches.withColumn("_starts", starts).select(*by, "last", "_starts", F.posexplode("_starts").alias("_k", "first_aseq"))
+    last = F.coalesce(F.try_element_at("_starts", F.col("_k") + 2) - 1, F.col("last"))
+    out = runs.withColumn("last_aseq", last).withColumn("calls", (F.col("last_aseq") - F.col("first_aseq") + 1).cast("int"))
+    return out.filter(F.col("calls") >= least).select("session", "agent", "first_aseq", "last_aseq", "calls")
 
 
 def batch_independence(calls: DataFrame) -> DataFrame:
@@ -188,12 +203,23 @@ def tool_gap(calls: DataFrame, least: int = 3) -> DataFrame:
 
 
 def tool_gap_related(calls: DataFrame, servers: DataFrame, max_servers: int = 10_000) -> DataFrame:
-    """E: servers whose name holds the target, or the reverse. servers: name. The list is broadcast if its size is proven."""
+    """E: servers whose name holds the target, or the reverse. servers: name.
+
+    The longer of the two is cut into pieces as long as the shorter may be, and joined with it by equality: distinct targets
+    are matched with distinct names, never row by row. Lengths of names are few (they are counted: at most `max_servers`).
+    """
     groups = tool_gap(calls)
-    names = servers.select("name").distinct()
-    if names.limit(max_servers + 1).count() <= max_servers:
-        names = F.broadcast(names)
-    return groups.join(names, F.col("name").contains(F.col("target")) | F.col("target").contains(F.col("name"))).groupBy(*KEY, "target").agg(F.count(F.lit(1)).alias("related"), F.min("name").alias("first_name"))
+    names = servers.select("name").filter("name <> ''").distinct()
+    targets = groups.select("target").filter("target <> ''").distinct()
+    at = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(F.col(c), i, k))
+    whole = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: at("name", k)))
+    in_name = names.select("name", F.explode(F.array_distinct(whole)).alias("target")).join(targets, "target")
+    lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().limit(max_servers).collect())
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("target"))
+    pieces = F.flatten(F.transform(fits, lambda k: at("target", k)))
+    in_target = targets.select("target", F.explode(F.array_distinct(pieces)).alias("name")).join(names, "name").select("name", "target")
+    met = in_name.select("name", "target").unionByName(in_target).distinct()
+    return groups.join(met, "target").groupBy(*KEY, "target").agg(F.count(F.lit(1)).alias("related"), F.min("name").alias("first_name"))
 
 
 def repeat_pairs(calls: DataFrame) -> DataFrame:

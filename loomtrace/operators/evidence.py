@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 from .windows import islands
 
 KEY = ["session", "agent"]
@@ -127,7 +129,7 @@ def walk(links: DataFrame, node: str, parent: str, rounds: int = 24) -> DataFram
         up = state.select(F.col(node).alias("root"), F.col("root").alias("_r"), F.col("steps").alias("_s"))
         # a root is its own root at no distance, so a row whose steps stay has reached it
         state = state.join(up, "root").select(node, F.col("_r").alias("root"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("_s") > 0).alias("_moved"))
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.localCheckpoint()
+        state = stored(state, "walk")
         if state.filter("_moved").isEmpty():
             return state.drop("_moved")
         state = state.drop("_moved")

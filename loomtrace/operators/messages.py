@@ -20,9 +20,15 @@ def pair(sends: DataFrame, receives: DataFrame, slack_ns: int = 5_000_000_000) -
 
 def crossed(pairs: DataFrame) -> DataFrame:
     """Messages sent while one from their recipient was under way."""
-    other = pairs.filter("received_ns IS NOT NULL").select(F.col("conv").alias("_c"), F.col("author").alias("_a"), F.col("ns").alias("_s"), F.col("received_ns").alias("_r"))
-    under_way = (F.col("conv") == F.col("_c")) & (F.col("recipient") == F.col("_a")) & (F.col("_s") < F.col("ns")) & (F.col("ns") < F.col("_r"))
-    return pairs.join(other, under_way, "left_semi").select("conv", "turn", "author", "recipient")
+    # messages under way are counted along the time of a conversation and author, so none is joined with all others: at
+    # one instant arrivals come first, then the question, then departures
+    under_way = pairs.filter("received_ns > ns")
+    none = {x: F.lit(None).cast(pairs.schema[x].dataType) for x in ("turn", "author", "recipient")}
+    edge = lambda at, place, n: under_way.select("conv", F.col("author").alias("who"), F.col(at).alias("at"), F.lit(place).alias("place"), F.lit(n).alias("n")).withColumns(none)
+    asks = pairs.select("conv", F.col("recipient").alias("who"), F.col("ns").alias("at"), F.lit(1).alias("place"), F.lit(0).alias("n"), "turn", "author", "recipient")
+    every = edge("received_ns", 0, -1).unionByName(edge("ns", 2, 1)).unionByName(asks)
+    w = Window.partitionBy("conv", "who").orderBy("at", "place").rangeBetween(Window.unboundedPreceding, 0)
+    return every.withColumn("_open", F.sum("n").over(w)).filter("place = 1 AND _open > 0").select("conv", "turn", "author", "recipient")
 
 
 def routes(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 NS = 1_000_000_000
 
 
@@ -20,6 +22,21 @@ def lagged(df: DataFrame, by: list[str], order: list[str], **columns: str) -> Da
     return df.withColumns({name: F.lag(column).over(w) for name, column in columns.items()})
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place in a total order, counted from 1, without any task that sees all rows: rows are split by
+    ranges of the order and sorted within each; a row's place is its place there and the number of rows before its range.
+    order: columns that together tell rows apart."""
+    split = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = stored(split.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "ranked")
+    # one row per partition
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.col("_nth").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = numbered.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + nth + 1).cast("long"))
+    return placed.drop("_part", "_nth", "_before")
+
+
 def most_in_window(calls: DataFrame, seconds: int) -> DataFrame:
     """The most calls of a tool in any span of so many seconds, by session."""
     w = Window.partitionBy("session", "tool").orderBy("start_ns").rangeBetween(-seconds * NS, 0)

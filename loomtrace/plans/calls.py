@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correlate, metrics
+from ..operators import correlate, metrics, windows
 from ..sources.bridge import Frames
 from .registry import query
 
@@ -56,11 +56,8 @@ def session_rollup(f: Frames) -> DataFrame:
 
 @query("session_listing", f"WITH r AS ({_ROLLUP}) SELECT session, last_ns, calls, failures, row_number() OVER (ORDER BY last_ns DESC, session) AS place FROM r")
 def session_listing(f: Frames) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = metrics.session_rollup(f.calls).select("session", "last_ns", "calls", "failures")
-    # one row per session
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_ns"), "session")).cast("long"))
+    return windows.ranked(rows, [F.desc("last_ns"), F.asc("session")])
 
 
 @query(

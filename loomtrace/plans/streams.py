@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.bridge import Frames
+from ..sources.stored import shared_folder as folder
 from ..streaming import live
 from .registry import query
 
 
-def folder(spark: SparkSession) -> str:
-    """Where streams keep their state: the shared folder of the session, only without one a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtrace-")
-
-
 @query("stream_dedup", "SELECT event_type, count(DISTINCT (user_id, event_type, event_id % 50)) AS kept FROM events GROUP BY 1", ())
 def stream_dedup(f: Frames) -> DataFrame:
     s = live.events(f.spark, f.sf_dir).withColumn("slot", F.col("event_id") % 50)

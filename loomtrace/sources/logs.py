@@ -1,7 +1,7 @@
 """Readers of activity logs: hook payloads, session transcripts, rollout logs, usage lines. JSON Lines in, frames out.
 
-Lines keep their number in the file although files are read in splits: rows of a split are in order, splits are ordered by
-their offset. Nothing is inferred; a line that is not a JSON object is counted, never fatal.
+Lines keep their number in the file although files are read in splits: rows of a split are in order, and the splits before
+it are counted first.  Nothing is inferred; a line that is not a JSON object is counted, never fatal.
 """
 
 from __future__ import annotations
@@ -10,13 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tools
+from .stored import stored
+
+#: Splits up to which their table is broadcast (it has one small row per split of the input).
+MAX_SPLITS = 100_000
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, line (from 1), value of text files."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
-    w = Window.partitionBy("file").orderBy("_at", "_id")
-    return rows.select("file", F.row_number().over(w).cast("long").alias("line"), "value")
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at")]
+    rows = spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("_id"), "value")
+    # a split's lines lie in one task, in order: one row per split says where it begins and how many lines are before it
+    splits = rows.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = stored(splits.select("file", "_at", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "splits")
+    if splits.count() <= MAX_SPLITS:
+        splits = F.broadcast(splits)
+    line = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return rows.join(splits, ["file", "_at"]).select("file", line.cast("long").alias("line"), "value")
 
 
 def is_object(value: Column) -> Column:

@@ -6,12 +6,9 @@ Each takes a streaming frame of events and returns a streaming frame; run_availa
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +35,6 @@ def sessions(stream: DataFrame, gap: str = "12 hours", late: str = "1 day") -> D
     return s.select("user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
 
 
-PAIR = "session long, agent long, call_id long, tool string, start_ns long, end_ns long, status string"
-
-
 def phases(stream: DataFrame) -> DataFrame:
     """Start and end rows of calls from a stream of events, in one stream: session, agent, call_id, phase, tool, ns, at."""
     start = F.struct(F.lit("start").alias("phase"), (F.unix_micros("at") * 1_000).alias("ns"))
@@ -50,38 +44,36 @@ def phases(stream: DataFrame) -> DataFrame:
     return rows.select((F.col("user_id") % 10).alias("session"), F.col("user_id").alias("agent"), F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), F.col("p.phase").alias("phase"), F.col("p.ns").alias("ns"), "at")
 
 
-def paired(stream: DataFrame, late: str = "1 hour", wait_ms: int = 3_600_000) -> DataFrame:
-    """Live pairing of starts and ends, in whatever order they come. A call is emitted once both are seen; one whose other
-    half has not come within wait_ms of event time is emitted alone, as open (or orphan), and its state dropped."""
-
-    def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tool, start, end = state.get if state.exists else (None, None, None)
-        if not state.hasTimedOut:
-            for frame in frames:
-                for row in frame.itertuples():
-                    tool = row.tool if row.phase == "start" or tool is None else tool
-                    if row.phase == "start":
-                        start = row.ns if start is None else min(start, row.ns)
-                    else:
-                        end = row.ns if end is None else min(end, row.ns)
-        whole = start is not None and end is not None
-        if whole or state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"session": [key[0]], "agent": [key[1]], "call_id": [key[2]], "tool": [tool], "start_ns": pd.array([start], "Int64"), "end_ns": pd.array([end], "Int64"), "status": ["done" if whole else "open" if end is None else "orphan"]})
-        else:
-            state.update((tool, start, end))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int((start or end) // 1_000_000)) + wait_ms)
-
-    keyed = stream.withWatermark("at", late).groupBy("session", "agent", "call_id")
-    return keyed.applyInPandasWithState(pair, PAIR, "tool string, start_ns long, end_ns long", "append", GroupStateTimeout.EventTimeTimeout)
+def paired(stream: DataFrame, late: str = "1 hour", wait: str = "1 hour") -> DataFrame:
+    """Live pairing of starts and ends, in whatever order they come: a join of the stream with itself by call, in the JVM.
+    A call is emitted once both are seen; one whose other half has not come within `wait` of event time is emitted alone,
+    as open (or orphan), when the watermark has passed, and its state dropped."""
+    half = lambda phase, names: stream.filter(F.col("phase") == phase).select(*names).withWatermark("at", late)
+    starts = half("start", ["session", "agent", "call_id", "tool", F.col("ns").alias("start_ns"), "at"])
+    ends = half("end", [F.col("session").alias("_s"), F.col("agent").alias("_a"), F.col("call_id").alias("_c"), F.col("tool").alias("_t"), F.col("ns").alias("end_ns"), "at"])
+    ends = ends.withColumnRenamed("at", "ended")
+    same = (F.col("session") == F.col("_s")) & (F.col("agent") == F.col("_a")) & (F.col("call_id") == F.col("_c"))
+    near = (F.col("ended") >= F.col("at") - F.expr(f"INTERVAL {wait}")) & (F.col("ended") <= F.col("at") + F.expr(f"INTERVAL {wait}"))
+    both = starts.join(ends, same & near, "full_outer")
+    status = F.when(F.col("end_ns").isNull(), "open").when(F.col("start_ns").isNull(), "orphan").otherwise("done")
+    keys = [F.coalesce(x, y).alias(x) for x, y in (("session", "_s"), ("agent", "_a"), ("call_id", "_c"), ("tool", "_t"))]
+    return both.select(*keys, "start_ns", "end_ns", status.alias("status"))
 
 
 def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over all its input. Append writes Parquet with exactly-once files, complete keeps a table in memory."""
+    """Runs the stream over all its input and returns what it wrote, as Parquet by the executors. Append writes exactly-once
+    files; complete writes the whole result of each batch to a folder of its own, of which the last counts."""
     name = f"stream_{uuid.uuid4().hex}"
+    out = f"{folder}/{name}/out"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}/checkpoint").outputMode(mode)
     if mode == "append":
-        writer.format("parquet").option("path", f"{folder}/{name}/out").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/{name}/out")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        last.append(number)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame([], stream.schema)
