@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .messages import repeated_guidance
 from .metrics import failed
+from .repeats import verdicts
 from .windows import NS, islands, lagged
 
 #: Ranges in which two calls are looked at together, by rule.
@@ -292,7 +293,7 @@ def tool_rhythm(calls: DataFrame) -> DataFrame:
     return rows.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("agent").alias("agents"), (F.max("start_ns") - F.min("start_ns")).alias("span_ns"), F.percentile("_i", 0.5).alias("median_ns"), F.max("_p1").alias("peak_1min"), F.max("_p10").alias("peak_10min"))
 
 
-REGISTRY = {"A": read_clusters, "B": failure_chains, "C": batch_runs, "D": mined_patterns, "E": tool_gap, "F": repeated_guidance, "G": repeat_groups}
+REGISTRY = {"A": read_clusters, "B": failure_chains, "C": batch_runs, "D": mined_patterns, "E": tool_gap, "F": repeated_guidance, "G": verdicts}
 
 
 def all_findings(calls: DataFrame, texts: DataFrame, only: tuple[str, ...] = tuple(REGISTRY)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detectors
+from ..operators import detectors, repeats
 from ..sources.bridge import Frames
 from .registry import query
 
@@ -136,7 +136,15 @@ def failure_recovered(f: Frames) -> DataFrame:
     return rows.groupBy("session", "tool").agg(F.count(F.lit(1)).alias("failures"), F.count_if(F.col("ok") - F.col("aseq") <= 40).alias("recovered"))
 
 
-@query("batch_runs")
+_BATCH_RUNS = """
+WITH RECURSIVE r AS (SELECT agent, aseq, category, emitter, aseq AS first_aseq, [target] AS targets FROM calls WHERE aseq = 0
+UNION ALL SELECT c.agent, c.aseq, c.category, c.emitter, CASE WHEN c.category = r.category AND c.emitter <> r.emitter AND NOT list_contains(r.targets, c.target) THEN r.first_aseq ELSE c.aseq END,
+  CASE WHEN c.category = r.category AND c.emitter <> r.emitter AND NOT list_contains(r.targets, c.target) THEN list_append(r.targets, c.target) ELSE [c.target] END
+  FROM r JOIN calls c ON c.agent = r.agent AND c.aseq = r.aseq + 1)
+SELECT agent AS session, agent, first_aseq, max(aseq) AS last_aseq, count(*)::INT AS calls FROM r WHERE category IN ('read', 'search') GROUP BY agent, first_aseq HAVING count(*) >= 2"""
+
+
+@query("batch_runs", _BATCH_RUNS)
 def batch_runs(f: Frames) -> DataFrame:
     return detectors.batch_runs(f.calls.withColumn("session", F.col("agent")).withColumn("seq", F.col("aseq")), least=2)
 
@@ -164,7 +172,21 @@ def ngram_counts(f: Frames) -> DataFrame:
     return detectors.ngram_counts(f.calls, (2, 3, 4)).drop("starts")
 
 
-@query("ngram_mined")
+_NGRAMS = ", ".join(f"lead(shape, {k}) OVER w AS s{k}" for k in range(1, 6))
+_MINED = f"""
+WITH s AS (SELECT *, category || ':' || coalesce(server, '-') AS shape FROM (SELECT *, row_number() OVER (PARTITION BY session, agent ORDER BY aseq DESC) AS back FROM calls) WHERE back <= 2000),
+e AS (SELECT session, agent, aseq, shape AS s0, {_NGRAMS} FROM s WINDOW w AS (PARTITION BY session, agent ORDER BY aseq)),
+g AS (SELECT session, agent, aseq, n, [s0, s1, s2, s3, s4, s5][:n] AS gram FROM e, range(2, 7) t(n) WHERE [s0, s1, s2, s3, s4, s5][n] IS NOT NULL),
+c AS (SELECT session, agent, n, array_to_string(gram, '>') AS gram, list(aseq ORDER BY aseq) AS starts FROM g WHERE len(list_distinct(gram)) >= 2 GROUP BY 1, 2, 3, gram HAVING count(*) >= 3),
+u AS (SELECT session, agent, n, gram, list_reduce(list_prepend(0::BIGINT, starts), lambda a, x: CASE WHEN x >= a % 1000000000 THEN (a // 1000000000 + 1) * 1000000000 + x + n ELSE a END) // 1000000000 AS uses FROM c),
+f AS (SELECT * FROM u WHERE uses >= 3),
+k AS (SELECT *, string_split(gram, '>') AS parts FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.session = a.session AND b.agent = a.agent AND b.n > a.n AND b.uses >= a.uses AND contains('>' || b.gram || '>', '>' || a.gram || '>'))),
+o AS (SELECT *, list_min(list_transform(range(n), lambda i: array_to_string(parts[i + 1:] || parts[:i], '>'))) AS class FROM k),
+d AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY session, agent, class ORDER BY uses DESC, n DESC, gram) = 1)
+SELECT * FROM (SELECT session, agent, n::INT AS n, gram, uses, row_number() OVER (PARTITION BY session, agent ORDER BY uses DESC, n DESC, gram) AS place FROM d) WHERE place <= 10"""
+
+
+@query("ngram_mined", _MINED)
 def ngram_mined(f: Frames) -> DataFrame:
     return detectors.mined_patterns(f.calls)
 
@@ -218,6 +240,97 @@ def repeat_groups(f: Frames) -> DataFrame:
     return detectors.repeat_groups(f.calls)
 
 
+# Calls with what rule G asks of results and tools, and inputs between them.
+_G_CALLS = {
+    "tool": """CASE WHEN server IS NOT NULL THEN 'mcp__' || server || '__' || CASE tool WHEN 'signup' THEN 'wait_job' ELSE tool END
+      WHEN tool = 'signup' THEN 'jobs.wait' WHEN tool = 'purchase' THEN 'jobs.submit' ELSE tool END""",
+    "server_tool": "CASE WHEN server IS NOT NULL THEN CASE tool WHEN 'signup' THEN 'wait_job' ELSE tool END END",
+    "category": "CASE WHEN server IS NOT NULL THEN 'mcp' WHEN tool IN ('signup', 'purchase') THEN 'other' ELSE category END",
+    "target": "CASE WHEN tool = 'signup' THEN NULL ELSE substr(target, 1, 2) END",
+    "params": "CAST(call_id % 2 AS STRING)",
+    "result_phase": "CASE call_id % 7 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'done' END",
+    "timed_out": "CASE WHEN call_id % 11 = 0 THEN TRUE END",
+    "delay": "CASE WHEN tool = 'signup' THEN CAST(call_id % 2 * 10 AS DOUBLE) END",
+    "op": "CASE WHEN server IS NOT NULL THEN CASE WHEN tool = 'view' THEN 'mcp_read' ELSE 'mcp' END WHEN tool = 'view' THEN 'read' WHEN tool = 'click' THEN 'search' WHEN tool = 'error' THEN 'run_script' END",
+}
+
+
+def _g_calls(f: Frames) -> DataFrame:
+    return f.calls.withColumns({c: F.expr(e) for c, e in _G_CALLS.items()})
+
+
+def _g_inputs(f: Frames) -> DataFrame:
+    return f.calls.filter("call_id % 37 = 0").select("session", "agent", F.col("start_ns").alias("ns"))
+
+
+_G_COLUMNS = ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in _G_CALLS.items())
+_G_SAME = "session, agent, tool, target, params, asked"
+_G_SQL = f"""
+WITH b AS (SELECT session, agent, seq, aseq, server, status, content_fp, start_ns, end_ns, epoch, emitter, call_id, {_G_COLUMNS} FROM calls),
+p AS (SELECT *, regexp_matches(coalesce(server_tool, tool), '{repeats.WAITS}') AS waits,
+  CASE WHEN category IN ('edit', 'write') THEN 'write' WHEN category IN ('read', 'search', 'list') OR op = 'mcp_read' THEN 'read' ELSE 'unknown' END AS effect,
+  CASE WHEN contains(tool, '.') AND NOT starts_with(tool, 'mcp__') THEN split_part(tool, '.', 1) END AS space,
+  CASE WHEN result_phase IS NOT NULL THEN result_phase WHEN timed_out THEN 'in_progress' WHEN status IN ('error', 'timeout', 'denied', 'interrupted') THEN 'failed' WHEN status = 'success' THEN 'done' ELSE 'unknown' END AS phase,
+  (SELECT count(*) FROM calls i WHERE i.call_id % 37 = 0 AND i.session = b.session AND i.agent = b.agent AND i.start_ns <= b.start_ns) AS new FROM b),
+q AS (SELECT *, CASE WHEN waits THEN coalesce(format('{{:.3f}}', delay), '?') END AS asked,
+  (category = 'mcp' AND coalesce(op, '') <> 'mcp_read' AND NOT waits)::INT AS acts, (effect = 'write')::INT AS writes,
+  (space IS NOT NULL AND NOT waits AND NOT regexp_matches(tool, '{repeats.READS}'))::INT AS moves, (effect IN ('unknown', 'run', 'write') OR coalesce(op, '') IN ('run_tests', 'build', 'run_script'))::INT AS unsure FROM p),
+c AS (SELECT *, CASE WHEN category = 'mcp' THEN sum(acts) OVER (PARTITION BY session, server ORDER BY seq) - sum(acts) OVER (PARTITION BY session, server, tool ORDER BY seq)
+    WHEN (coalesce(op, '') = 'read' OR category = 'read') AND target IS NOT NULL THEN sum(writes) OVER (PARTITION BY session, target ORDER BY seq) - sum(writes) OVER (PARTITION BY {_G_SAME} ORDER BY seq)
+    WHEN coalesce(op, '') IN ('read', 'search', 'list', 'vcs_read', 'run_tests', 'build', 'run_script') OR category IN ('read', 'search', 'list', 'shell')
+      THEN sum(writes) OVER (PARTITION BY session ORDER BY seq) - sum(writes) OVER (PARTITION BY {_G_SAME} ORDER BY seq)
+    WHEN space IS NOT NULL THEN sum(moves) OVER (PARTITION BY session, agent, space ORDER BY seq) - sum(moves) OVER (PARTITION BY session, agent, space, tool ORDER BY seq) ELSE 0 END AS strong,
+  sum(unsure) OVER (PARTITION BY session, agent ORDER BY seq) - sum(unsure) OVER (PARTITION BY {_G_SAME} ORDER BY seq) AS weak FROM q),
+l AS (SELECT *, {", ".join(f"lag({x}) OVER w AS p_{x}" for x in ("emitter", "epoch", "new", "strong", "weak", "phase", "content_fp", "start_ns", "end_ns", "seq"))}
+  FROM c WINDOW w AS (PARTITION BY {_G_SAME} ORDER BY seq)),
+r AS (SELECT *, CASE WHEN emitter = p_emitter THEN 'same_response' WHEN epoch <> p_epoch THEN 'context_loss' WHEN new > p_new THEN 'new_input' WHEN strong > p_strong THEN 'after_change'
+    WHEN p_phase = 'unavailable' THEN 'unavailable' WHEN p_phase = 'failed' THEN 'after_failure' WHEN p_phase = 'in_progress' THEN 'waiting'
+    WHEN waits THEN 'waiting' WHEN weak > p_weak OR seq - p_seq - 1 > 400 THEN 'possible_change' ELSE 'none' END AS reason,
+  CASE WHEN content_fp IS NULL OR p_content_fp IS NULL THEN 'unknown' WHEN content_fp = p_content_fp THEN 'same' ELSE 'changed' END AS outcome,
+  phase <> p_phase AND phase <> 'unknown' AND p_phase <> 'unknown' AS phase_changed FROM l WHERE p_seq IS NOT NULL),
+v AS (SELECT *, CASE WHEN reason = 'same_response' THEN 'free' WHEN reason IN ('context_loss', 'new_input', 'after_change') OR outcome = 'changed' OR phase_changed THEN 'useful'
+  WHEN outcome = 'same' THEN CASE WHEN reason = 'none' THEN 'no_gain' ELSE 'explained_no_gain' END ELSE 'unknown' END AS value, reason <> 'same_response' AS rt, start_ns - p_start_ns AS gap FROM r)
+"""
+
+
+@query("repeat_reasons", _G_SQL + "SELECT session, tool, reason, outcome, value, count(*) AS n, sum(gap)::BIGINT AS interval_ns, sum(greatest(start_ns - p_end_ns, 0))::BIGINT AS idle_ns FROM v GROUP BY 1, 2, 3, 4, 5")
+def repeat_reasons(f: Frames) -> DataFrame:
+    pairs = repeats.reasons(_g_calls(f), _g_inputs(f))
+    return pairs.groupBy("session", "tool", "reason", "outcome", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("interval_ns").alias("interval_ns"), F.sum("idle_ns").alias("idle_ns"))
+
+
+_G_N = ", ".join(f"count(*) FILTER (WHERE rt AND reason = '{r}') AS n_{r}" for r in repeats.REASONS)
+_G_V = ", ".join(f"count(*) FILTER (WHERE rt AND value = '{x}') AS v_{x}" for x in ("useful", "no_gain", "explained_no_gain", "unknown"))
+
+
+@query(
+    "repeat_verdicts",
+    _G_SQL
+    + f""", s AS (SELECT {_G_SAME}, count(*) FILTER (WHERE rt) AS round_trips, {_G_N}, {_G_V}, count(*) FILTER (WHERE rt AND outcome = 'same') AS same, count(*) FILTER (WHERE rt AND outcome <> 'unknown') AS known,
+  count(*) FILTER (WHERE rt AND phase_changed) AS phase_changes, quantile_cont(gap / 1e9, 0.5) FILTER (WHERE rt AND gap <= 1200000000000) AS median_s, min(gap / 1e9) FILTER (WHERE rt AND gap <= 1200000000000) AS min_s,
+  max(gap / 1e9) FILTER (WHERE rt AND gap <= 1200000000000) AS max_s, stddev_pop(gap / 1e9) FILTER (WHERE rt AND gap <= 1200000000000) / nullif(avg(gap / 1e9) FILTER (WHERE rt AND gap <= 1200000000000), 0) AS cv FROM v GROUP BY ALL),
+g AS (SELECT {_G_SAME}, count(*) AS calls, any_value(category) AS category, any_value(server) AS server, any_value(op) AS op, any_value(waits) AS waits, count(*) FILTER (WHERE timed_out) AS timed_out,
+  count(*) FILTER (WHERE result_phase <> 'unknown') AS phases_known FROM c GROUP BY ALL HAVING count(*) >= 3),
+j AS (SELECT g.*, s.* EXCLUDE ({_G_SAME}) FROM g JOIN s ON {" AND ".join(f"g.{x.strip()} IS NOT DISTINCT FROM s.{x.strip()}" for x in _G_SAME.split(","))}),
+k AS (SELECT *, round_trips AS n, n_waiting + n_unavailable AS polling,
+  round_trips >= 5 AND coalesce(cv < 0.5, FALSE) AND (n_none + n_possible_change) * 10 >= round_trips * 6 AND phase_changes <= greatest(1, round_trips // 10) AS periodic FROM j),
+m AS (SELECT *, (polling * 2 >= n AND polling >= 2) OR periodic AS polls, CASE WHEN category = 'mcp' THEN 'outil' ELSE 'agent' END AS owner,
+  coalesce(op, '') IN ('read', 'search', 'list', 'vcs_read', 'run_tests', 'build', 'run_script') OR category IN ('read', 'search', 'list') AS local, category = 'mcp' AND NOT waits AND wait_tool IS NOT NULL AS offered
+  FROM k LEFT JOIN (SELECT session, server, max(tool) AS wait_tool FROM c WHERE category = 'mcp' AND waits GROUP BY 1, 2) USING (session, server))
+SELECT session, agent, tool, target, params, calls, round_trips, {", ".join(f"n_{r}" for r in repeats.REASONS)}, v_useful, v_no_gain, v_explained_no_gain, v_unknown, same, known, phase_changes,
+  round(median_s, 6) AS median_s, round(min_s, 6) AS min_s, round(max_s, 6) AS max_s, round(cv, 6) AS cv, periodic, wait_tool,
+  CASE WHEN n = 0 THEN 'gratuit' WHEN polls AND n_unavailable > n_waiting THEN 'environnement' WHEN polls AND offered THEN 'agent' WHEN polls AND (waits OR timed_out > 0) THEN CASE WHEN n_new_input + n_after_change + n_context_loss > 0 THEN 'a_examiner' ELSE owner END
+    WHEN polls THEN owner WHEN v_no_gain * 2 >= n AND v_no_gain >= 2 THEN 'agent' WHEN n_after_failure * 2 >= n THEN 'echec' WHEN v_useful * 2 >= n THEN 'justifie' WHEN known * 2 < n THEN 'indetermine'
+    WHEN v_useful >= v_no_gain THEN 'justifie' ELSE 'agent' END AS verdict,
+  CASE WHEN n = 0 THEN NULL WHEN polls AND n_unavailable > n_waiting THEN 'retry_cadence' WHEN polls AND offered THEN 'polling_instead_of_wait' WHEN polls AND (waits OR timed_out > 0) THEN 'wait_timeout' WHEN polls THEN 'polling_cadence'
+    WHEN local OR v_no_gain < 2 THEN NULL WHEN v_no_gain * 2 >= n THEN 'unexplained_repeats' WHEN n_after_failure * 2 >= n OR v_useful * 2 >= n OR known * 2 < n OR v_useful >= v_no_gain THEN NULL ELSE 'unexplained_repeats' END AS kind,
+  CASE WHEN n >= 5 AND known * 10 >= n * 8 AND (polling = 0 OR phases_known * 10 >= calls * 8) THEN 'high' WHEN n >= 2 AND known * 2 >= n THEN 'medium' ELSE 'low' END AS confidence FROM m""",
+)
+def repeat_verdicts(f: Frames) -> DataFrame:
+    """All stand-in calls have fingerprints; tests/test_golden.py has calls without."""
+    return repeats.verdicts(_g_calls(f), _g_inputs(f))
+
+
 @query(
     "tool_rhythm",
     """
@@ -229,6 +342,35 @@ def tool_rhythm(f: Frames) -> DataFrame:
     return detectors.tool_rhythm(f.calls)
 
 
-@query("all_findings")
+# One finding a row, of all seven rules with their own limits.
+_ALL = f"""
+WITH A AS (WITH m AS (SELECT *, sum((category = 'edit')::INT) OVER (PARTITION BY session, agent, target ORDER BY aseq) AS edits, sum((category = 'shell')::INT) OVER (PARTITION BY session, agent ORDER BY aseq) AS unknowns FROM calls),
+  l AS (SELECT *, lag(aseq) OVER w AS p_aseq, lag(start_ns) OVER w AS p_ns, lag(content_fp) OVER w AS p_fp, lag(status) OVER w AS p_status, lag(edits) OVER w AS p_edits, lag(call_id) OVER w AS p_call FROM m WHERE category = 'read'
+    WINDOW w AS (PARTITION BY session, agent, epoch, target, params ORDER BY aseq)),
+  g AS (SELECT * FROM l WHERE aseq - p_aseq <= 60 AND start_ns - p_ns <= 900000000000 AND p_status = 'success' AND status = 'success' AND p_fp = content_fp AND edits = p_edits),
+  i AS (SELECT *, lag(call_id) OVER w AS before FROM g WINDOW w AS (PARTITION BY session, agent, epoch, target, params ORDER BY aseq)),
+  h AS (SELECT *, sum((before IS DISTINCT FROM p_call)::INT) OVER (PARTITION BY session, agent, epoch, target, params ORDER BY aseq) AS chain FROM i)
+  SELECT 'A' AS rule, session, agent, count(*) + 1 AS n FROM h GROUP BY session, agent, epoch, target, params, chain),
+B AS (WITH m AS (SELECT *, CASE WHEN server IS NULL THEN sum((category = 'edit')::INT) OVER (PARTITION BY session, agent, target ORDER BY aseq) ELSE 0 END AS e,
+    CASE WHEN server IS NULL THEN (category = 'edit')::INT ELSE 0 END AS own FROM calls),
+  l AS (SELECT *, lag(aseq) OVER w AS pa, lag(start_ns) OVER w AS ps, lag(e) OVER w AS pe FROM m WHERE {FAILED} AND status <> 'interrupted' WINDOW w AS (PARTITION BY session, agent, tool, target ORDER BY aseq)),
+  i AS (SELECT *, sum(coalesce((aseq - pa > 40 OR start_ns - ps > 1800000000000 OR e - own > pe)::INT, 0)) OVER (PARTITION BY session, agent, tool, target ORDER BY aseq) AS chain FROM l)
+  SELECT 'B' AS rule, session, agent, count(*) AS n FROM i GROUP BY session, agent, tool, target, chain HAVING count(*) >= 3),
+C AS (WITH RECURSIVE o AS (SELECT *, coalesce(lag(agent) OVER (PARTITION BY session ORDER BY seq) <> agent, TRUE) AS switched FROM calls),
+  r AS (SELECT session, seq, agent, category, emitter, seq AS first_seq, [target] AS targets FROM o WHERE seq = 0
+  UNION ALL SELECT o.session, o.seq, o.agent, o.category, o.emitter, CASE WHEN NOT o.switched AND o.category = r.category AND o.emitter <> r.emitter AND NOT list_contains(r.targets, o.target) THEN r.first_seq ELSE o.seq END,
+    CASE WHEN NOT o.switched AND o.category = r.category AND o.emitter <> r.emitter AND NOT list_contains(r.targets, o.target) THEN list_append(r.targets, o.target) ELSE [o.target] END
+    FROM r JOIN o ON o.session = r.session AND o.seq = r.seq + 1)
+  SELECT 'C' AS rule, session, agent, count(*) AS n FROM r WHERE category IN ('read', 'search') GROUP BY session, agent, first_seq HAVING count(*) >= 3),
+D AS (SELECT 'D' AS rule, session, agent, uses AS n FROM ({_MINED})),
+E AS (SELECT 'E' AS rule, session, agent, count(*) AS n FROM calls WHERE category = 'shell' GROUP BY session, agent, target HAVING count(*) >= 3),
+F AS (WITH p AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g'))) AS p FROM documents),
+  t AS (SELECT p, list(doc_id ORDER BY doc_id) AS messages FROM p WHERE length(p) >= 80 GROUP BY p HAVING count(*) >= 2)
+  SELECT 'F' AS rule, NULL::BIGINT AS session, NULL::BIGINT AS agent, len(messages) AS n FROM t GROUP BY messages),
+G AS (SELECT 'G' AS rule, session, agent, count(*) AS n FROM calls GROUP BY session, agent, tool, target, params HAVING count(*) >= 3)
+SELECT rule, session, agent, n::BIGINT AS n FROM (SELECT * FROM A UNION ALL SELECT * FROM B UNION ALL SELECT * FROM C UNION ALL SELECT * FROM D UNION ALL SELECT * FROM E UNION ALL SELECT * FROM F UNION ALL SELECT * FROM G)"""
+
+
+@query("all_findings", _ALL)
 def all_findings(f: Frames) -> DataFrame:
     return detectors.all_findings(f.calls, f.table("documents").select(F.col("doc_id").alias("message"), "text"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.functions import shell, text
-from loomtrace.operators import compare, detectors, evidence, forecast, graph, metrics, usage, windows
+from loomtrace.operators import compare, detectors, evidence, forecast, graph, metrics, repeats, usage, windows
 from loomtrace.plans import evidence as evidence_plans
 
 NS = 10**9
@@ -308,3 +308,91 @@ def test_walk_ends_at_the_fixpoint(spark):
         evidence.walk(chain, "n", "p", rounds=4)
     with pytest.raises(ValueError, match="no fixpoint"):
         evidence.walk(spark.createDataFrame([(1, 2), (2, 1)], "n long, p long"), "n", "p", rounds=3)
+
+
+def repeated(spark, rows: list[dict]):
+    """Calls of one agent, one after the other, for rule G: times in seconds."""
+    out, at = [], 0.0
+    for k, r in enumerate(rows):
+        at += r.get("after", 20.0)
+        span = r.get("lasts", 0.1)
+        server = r.get("server")
+        name = r.get("name", "job_status")
+        tool = f"mcp__{server}__{name}" if server else name
+        out.append((1, 1, k, k, r.get("tool", tool), r.get("category", "mcp" if server else "other"), server, r.get("target"), r.get("params", "{}"), r.get("status", "success"), int(at * 1e9), int((at + span) * 1e9), r.get("epoch", 0), r.get("emitter", k), r.get("content"), name if server else None, r.get("op"), r.get("phase"), r.get("state"), r.get("timed_out"), r.get("delay")))
+        at += span
+    schema = "session long, agent long, seq long, aseq long, tool string, category string, server string, target string, params string, status string, start_ns long, end_ns long, epoch long, emitter long, content_fp string, server_tool string, op string, result_phase string, state_fp string, timed_out boolean, delay double"
+    return spark.createDataFrame(out, schema)
+
+
+def verdict_of(spark, rows, tool=None, **more):
+    got = [r for r in repeats.verdicts(repeated(spark, rows), **more).collect() if tool is None or r.tool.endswith(tool)]
+    assert len(got) == 1
+    return got[0]
+
+
+def test_polling_a_running_job(spark):
+    poll = {"server": "hub", "op": "mcp_read", "params": '{"job":42}', "phase": "in_progress", "state": "r"}
+    g = verdict_of(spark, [poll] * 13 + [poll | {"phase": "done", "state": "c"}])
+    assert (g.calls, g.n_waiting, g.same, g.phase_changes) == (14, 13, 12, 1)
+    assert (g.verdict, g.kind, g.confidence) == ("outil", "polling_cadence", "high")
+    wait = {"server": "hub", "name": "wait_for_job", "phase": "done"}
+    g = verdict_of(spark, [wait] + [poll | {"after": 15.0}] * 6, "job_status")
+    assert (g.verdict, g.kind, g.wait_tool) == ("agent", "polling_instead_of_wait", "mcp__hub__wait_for_job")
+
+
+def test_one_repeat_in_progress_is_no_polling(spark):
+    wait = {"server": "hub", "name": "wait_for_job", "phase": "done"}
+    poll = {"server": "hub", "op": "mcp_read", "params": '{"job":42}', "phase": "in_progress", "state": "p"}
+    g = verdict_of(spark, [wait, poll, poll | {"state": "r"}, {"server": "hub", "name": "submit_job", "op": "mcp"}, poll | {"state": "c", "phase": "done"}], "job_status")
+    assert (g.verdict, g.kind, g.n_after_change, g.n_waiting) == ("justifie", None, 1, 1)
+
+
+def test_retrying_what_is_away(spark):
+    away = {"server": "hub", "op": "mcp_read", "phase": "unavailable", "state": "x", "after": 5.0}
+    g = verdict_of(spark, [away] * 8 + [away | {"phase": "done", "state": "y"}])
+    assert (g.n_unavailable, g.verdict, g.kind) == (8, "environnement", "retry_cadence")
+
+
+def test_waits_that_run_out(spark):
+    wait = {"name": "collaboration.wait_agent", "target": "worker", "timed_out": True, "delay": 30.0, "lasts": 30.0, "after": 2.5, "state": "t"}
+    g = verdict_of(spark, [wait] * 5)
+    assert (g.verdict, g.kind, g.n_waiting) == ("agent", "wait_timeout", 4)
+    g = verdict_of(spark, [{"server": "hub", "name": "wait_for_job", "timed_out": True, "phase": "in_progress", "state": "r", "after": 3.0, "lasts": 60.0}] * 5)
+    assert (g.verdict, g.kind) == ("outil", "wait_timeout")
+    sleep = {"name": "clock.sleep", "delay": 30.0, "lasts": 30.0, "after": 3.0, "state": "empty"}
+    g = verdict_of(spark, [sleep] * 5)
+    assert (g.verdict, g.kind, g.n_waiting) == ("indetermine", None, 4)
+    assert repeats.verdicts(repeated(spark, [sleep | {"delay": float(k)} for k in range(5)])).count() == 0
+
+
+def test_periodic_monitoring(spark):
+    run = {"tool": "Bash", "category": "shell", "op": "run_script", "target": "python monitor.py", "after": 55.0, "phase": "done"}
+    g = verdict_of(spark, [run | {"state": f"s{k}"} for k in range(10)])
+    assert (g.periodic, g.verdict, g.kind) == (True, "agent", "polling_cadence")
+
+
+def test_asking_again_for_what_is_known(spark):
+    ask = {"server": "game", "name": "asset_info", "op": "mcp_read", "state": "a", "after": 4.0, "phase": "done"}
+    g = verdict_of(spark, [ask] * 4)
+    assert (g.n_none, g.verdict, g.kind) == (3, "agent", "unexplained_repeats")
+    status = {"tool": "Bash", "category": "shell", "op": "vcs_read", "target": "git status", "state": "m", "after": 4.0}
+    edit = {"tool": "Edit", "category": "edit", "op": "edit", "target": "f"}
+    g = verdict_of(spark, [x | {"params": str(k)} if x is edit else x for k in range(4) for x in (status, edit)], "Bash")
+    assert (g.n_after_change, g.verdict, g.kind) == (3, "justifie", None)
+    g = verdict_of(spark, [status | {"emitter": 7}] * 5)
+    assert (g.round_trips, g.verdict) == (0, "gratuit")
+
+
+def test_inputs_compactions_and_declarations(spark):
+    ask = {"server": "hub", "name": "quota", "op": "mcp_read", "state": "u", "after": 4.0}
+    rows = [ask, ask, ask | {"epoch": 1}]
+    at = repeated(spark, rows).orderBy("seq").collect()
+    inputs = spark.createDataFrame([(1, 1, at[1].start_ns - 1)], "session long, agent long, ns long")
+    g = verdict_of(spark, rows, inputs=inputs)
+    assert (g.n_new_input, g.n_context_loss, g.verdict) == (1, 1, "justifie")
+    rows = [{"server": "game", "name": "editor", "op": "mcp", "state": "f", "after": 30.0}] * 4
+    at = repeated(spark, rows).orderBy("seq").collect()
+    said = spark.createDataFrame([(1, 1, r.start_ns - 1_000_000, ["in_progress"]) for r in at[1:]], "session long, agent long, ns long, labels array<string>")
+    got = repeats.reasons(repeated(spark, rows), declared=said).collect()
+    assert [(r.reason, r.basis, r.declared) for r in got] == [("waiting", "declared", ["in_progress"])] * 3

@@ -38,7 +38,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 
 def test_every_query_has_sql_but_folds_and_samples():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"all_findings", "batch_runs", "bootstrap_ci", "cooldown_simulation", "ngram_mined", "paragraph_signatures"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"bootstrap_ci", "cooldown_simulation", "paragraph_signatures"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
