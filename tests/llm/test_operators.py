@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.llm import chat, embedding_dedup, language, minhash, mixing, packing, quality, substring_dedup, token_counts, vector_search
+from loomtrace.llm.common import written
 from loomtrace.llm.tokens import Resync, encoder, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,15 +42,20 @@ def docs(spark, texts):
 
 
 def test_mixing_equals_an_inverted_poisson(spark, docs, texts):
-    out = mixing.mix(docs.select("doc_id", "text", "lang", "source"), {"a": 5.0, "hot": 0.5}, seed=3).collect()
+    clashing = docs.withColumns({x: F.lit(5) for x in ("_source", "_u", "_n", "n_parts", "cdf", "key", "spread", "rate_source", "times", "drawn", "mix_key")})
+    mixed = mixing.mix(clashing, {"a": 5.0, "hot": 0.5}, seed=3)
+    assert mixed.columns == [*[c for c in clashing.columns if c not in ("copy", "mix_key")], "copy", "mix_key"]
+    out = mixed.collect()
+    assert all(r._source == r.cdf == r.spread == 5 and r.rate == 9 for r in out)
     chars, weight = collections.Counter(), {"a": 5.0, "hot": 0.5}
     for _, t, _, s in texts:
         chars[s] += len(t or "")
     total_w, total_c = sum(weight.get(s, 1.0) for s in chars), sum(chars.values())
     want = collections.Counter()
-    for d, _, _, s in texts:
+    for d, t, _, s in texts:
         mean = weight.get(s, 1.0) / total_w * total_c / chars[s] if chars[s] else 0.0
-        u = int(hashlib.md5(f"3|{'' if d is None else d}|1".encode()).hexdigest()[:13], 16) / 2**52
+        key = f"{'' if d is None else d}|{hashlib.md5((t or '').encode()).hexdigest()}"
+        u = int(hashlib.md5(f"3|{key}|1".encode()).hexdigest()[:13], 16) / 2**52
         n, p, c = 0, np.exp(-mean), np.exp(-mean)
         while mean and c <= u:
             n += 1
@@ -59,10 +65,23 @@ def test_mixing_equals_an_inverted_poisson(spark, docs, texts):
     assert mixing.STEP > 5
     got = collections.Counter(r.doc_id for r in out)
     assert got == collections.Counter({k: v for k, v in want.items() if v})
-    assert len({r.mix_key for r in out}) == len({(r.doc_id, r.copy) for r in out})
+    assert len({r.mix_key for r in out}) == len({(r.doc_id, r.text or "", r.copy) for r in out})
     assert mixing.mix(docs.limit(0), {}).count() == 0
 
 
+def test_mixing_spreads_rows_without_ids(spark):
+    some = spark.range(2_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    same = spark.range(2_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("all equal").alias("text"), F.lit("s").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = [mixing.mix(rows, {}, budget=3.0).select(F.spark_partition_id().alias("part")).collect() for rows in (some, same)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for rows in spread:
+        parts = collections.Counter(r.part for r in rows)
+        assert len(parts) >= 3 and max(parts.values()) < 0.6 * sum(parts.values())
+    n = collections.Counter(r.text for r in mixing.mix(some, {}, budget=3.0).collect())
+    assert len(set(n.values())) > 5 and abs(sum(n.values()) - 6_000) < 5 * 6_000**0.5
+
+
 def test_mixing_draws_large_means_in_parts(spark):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.lit("s").alias("source"))
     n = mixing.mix(rows, {}, budget=100.0).count()
@@ -115,6 +134,17 @@ def test_chat_round_trip_and_mask(spark):
             loss = "".join(x[3] for x in turns if x[2] == "assistant")
             assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+    # stored output, in any order
+    once = chat.format_conversations(df, segment_chars=500)
+    direct = sorted(map(str, chat.digests(once, in_order=True).collect()))
+    assert direct == sorted(map(str, chat.digests(written(once.repartition(4, F.rand(3)), "test")).collect()))
+    # offsets are those of the library, in bytes
+    tok = tokenizer()
+    for r in chat.format_conversations(df).collect():
+        e = tok.encode(r.formatted, add_special_tokens=False)
+        at = np.cumsum([0, *[len(c.encode()) for c in r.formatted]])
+        assert r.ids == e.ids and r.starts[0] == 0 and r.starts[1:] == r.ends[:-1] and r.ends[-1] == at[-1]
+        assert all(at[a] <= lo and hi <= at[b] for (a, b), lo, hi in zip(e.offsets, r.starts, r.ends, strict=True))
 
 
 def test_token_counts_equal_the_library(docs, texts):
@@ -169,24 +199,93 @@ def test_best_fit_takes_the_tightest_window():
     assert sum(p[2] for w in got for p in w) == sum(lengths) and len(got) == -(-sum(lengths) // 256)
 
 
-def test_quality_and_language_tell_held_out_rows_apart(spark):
+SMALL = "/root/testdata/sf0.01"
+
+
+def plain_trigrams(text: str, bits: int, lower: bool) -> np.ndarray:
+    """Counts of hashed trigrams, one by one."""
+    raw, out = (text or "").encode() + b"  ", np.zeros(1 << bits)
+    if lower:
+        raw = bytes(x + 32 if 65 <= x <= 90 else x for x in raw)
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        out[((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) * 0x27D4EB2F % 2**32) >> (32 - bits)] += 1
+    return out
+
+
+def fold(doc_id: int, n: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def test_quality_votes_equal_brute_force_and_held_out_rows_are_right(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    learned = {r.doc_id: r.quality for r in labels.collect()}
+    assert len(model.labels) == sum(fold(d, 5) != 0 for d, v in learned.items() if v is not None) > 100
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert len(got) == docs.count()
+    axes, vectors = model.axes.astype(np.float64), model.vectors.astype(np.float64)
+    for r in docs.filter("doc_id % 29 = 0").collect():
+        x = np.log1p(plain_trigrams(r.text, quality.BITS, False)) * model.idf
+        x = x / np.linalg.norm(x) @ axes
+        x /= max(np.linalg.norm(x), 1e-9)
+        cosines = [sum(p * q for p, q in zip(x, v, strict=True)) for v in vectors]
+        near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: model.k]
+        votes = [max(cosines[k], 0) ** 4 for k in near]
+        want = sum(v * model.labels[k] for v, k in zip(votes, near, strict=True)) / sum(votes) if sum(votes) else model.labels.mean()
+        assert abs(got[r.doc_id].quality_score - want) < 1e-3
+    held = [d for d, v in learned.items() if fold(d, 5) == 0 and d in got and v is not None]
+    assert len(held) > 30 and np.mean([got[d].quality_label == learned[d] for d in held]) >= 0.95
+
+
+def test_language_losses_equal_brute_force_and_held_out_rows_are_right(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    assert len(got) == len(rows)
+    for r in rows[::37]:
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        x = np.log1p(plain_trigrams(r.text, language.BITS, True))
+        margins = x / np.linalg.norm(x) @ model.weights.astype(np.float64) + model.bias
+        losses = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, code, margins, strict=True)) for code in model.code]
+        chances = np.exp(min(losses) - np.array(losses))
+        assert got[r.doc_id].lang_pred == model.languages[int(np.argmin(losses))]
+        assert abs(got[r.doc_id].score - chances.max() / chances.sum()) < 1e-3
+    held = [r for r in rows if r.lang and fold(r.doc_id, 4) == 2 and got[r.doc_id].lang_pred != "und"]
+    assert len(held) > 100 and np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) >= 0.98
+
+
+def test_classifiers_of_odd_rows(spark):
     good, bad = [words(60, k, 80) for k in range(150)], [words(30, k, 80).upper().replace(" ", "!! ") + " x" * 40 for k in range(150)]
     rows = [(k, t, "en" if k % 2 else "xx") for k, t in enumerate([y for x in zip(good, bad, strict=True) for y in x])]
-    df = spark.createDataFrame([*rows, (900, None, None), (901, "", "en"), (902, "123 !!", None)], "doc_id long, text string, lang string").withColumn("_label", F.lit(3))
-    labels = df.filter("doc_id < 900").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality"))
+    odd = [(900, None, None), (901, "", "en"), (902, "123 !!", None), (None, good[0], "en"), (903, words(150_000, 1), None), (0, good[1], "xx"), (0, good[2], "xx")]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string").withColumns({"_label": F.lit(3), "hash": F.lit(1), "share": F.lit(2), "cells": F.lit("c")})
+    labels = df.filter("doc_id < 900 AND lang IS NOT NULL").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality")).union(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality long"))
     model = quality.fit(df, labels, per_class=50, rank=8, k=5)
-    assert len(model.labels) <= 100
-    got = {r.doc_id: r for r in quality.score(df, model).collect()}
-    assert len(got) == 303 and all(0 <= r.quality_score <= 1 for r in got.values())
-    assert np.mean([got[d].quality_label == 1 - d % 2 for d, *_ in rows]) > 0.95
+    assert len(model.labels) == 100
+    again = quality.fit(df.repartition(5), labels.repartition(2), per_class=50, rank=8, k=5)
+    assert np.array_equal(model.labels, again.labels) and np.allclose(model.idf, again.idf)
+    scored = quality.score(df, model)
+    assert scored.columns == [*df.columns, "quality_score", "quality_label"]
+    got = scored.collect()
+    assert len(got) == 307 and all(0 <= r.quality_score <= 1 for r in got)
+    assert np.mean([r.quality_label == 1 - r.doc_id % 2 for r in got if r.doc_id is not None and 0 < r.doc_id < 900]) > 0.95
     assert all(r.quality_label == 1 for r in quality.score(df, quality.fit(df, labels.limit(0))).collect())
-    marked = df.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("the of and "), "text")).otherwise(F.concat(F.lit("der und die "), "text")))
-    found = {r.doc_id: r for r in language.identify(marked, language.fit(marked)).collect()}
-    assert found[900].lang_pred == found[902].lang_pred.replace("en", "und").replace("xx", "und") == "und"
-    assert np.mean([found[d].lang_pred == v for d, _, v in rows]) > 0.95
+    assert quality.score(df.limit(0), model).count() == 0
+    found = language.identify(df, language.fit(df)).collect()
+    assert len(found) == 307 and {r.lang_pred for r in found if r.doc_id in (900, 901, 902)} == {"und"}
     assert {r.lang_pred for r in language.identify(df, language.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark):
+    rows = [(7 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 20, f"l{k:03d}") for k in range(210) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, per_language=3)
+    assert len(model.languages) == 210
+
+
 def test_codewords_are_apart():
     for n in (1, 2, 3, 6, 12):
         code = language.codewords(n)
@@ -220,6 +319,12 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_that_share_an_id_have_the_links_of_their_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (4, [0.01, 1.0]), (None, [1.0, 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_vector_search_is_exact_at_factor_one(spark):
     df, rows = vectors(spark)
     x, ids = np.array([v for _, v in rows], dtype=np.float64), np.arange(len(rows))
@@ -237,6 +342,26 @@ def test_vector_search_is_exact_at_factor_one(spark):
                 assert np.allclose([v for _, v in got[q]], s[want], rtol=1e-12)
         assert hit / total >= least
     assert vector_search.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # repeated queries: once with their vector, each with another
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(odd, F.col("vec_id") % 20 == 0, 3).collect())
+    assert got == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 1.0)]
+
+
+def test_vector_search_recall_over_many_shards(spark):
+    """The registered relaxation and depth on a whole table, dealt into shards small enough that there are many."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    x, ids = np.array([v for _, v in rows], dtype=np.float64), np.array([k for k, _ in rows])
+    got = collections.defaultdict(set)
+    for r in vector_search.search(table, F.col("vec_id") % 20 == 0, shard_rows=max(64, len(rows) // 20)).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0).tolist():
+        s = x @ x[q]
+        want = [int(ids[k]) for k in np.lexsort((ids, -s)) if k != q][:20]
+        hit, total = hit + len(got[ids[q]] & set(want)), total + len(want)
+    assert hit / total >= 0.95
 
 
 def test_minhash_classes_equal_brute_force(docs, texts):
@@ -323,14 +448,27 @@ def test_minhash_finds_pairs_just_above_the_threshold(spark):
     assert [k for k in range(3_000) if not got[2 * k] == got[2 * k + 1] == 2 * k] == []
 
 
-def test_large_subtrees_are_counted_to_the_same_result(docs, texts, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SUBTREE", 1)
-    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, 5, 2).collect()]
-    want = [(d, *x[:2]) for (d, *_), x in zip(texts, brute_repeats(texts, 5), strict=True)]
+@pytest.mark.parametrize(("window", "prefix", "most"), [(5, 2, 1), (35, 8, 1), (35, 8, 6)])
+def test_large_subtrees_are_split_to_the_same_result(docs, texts, monkeypatch, window, prefix, most):
+    monkeypatch.setattr(substring_dedup, "SUBTREE", most)
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, window, prefix).collect()]
+    want = [(d, *x[:2]) for (d, *_), x in zip(texts, brute_repeats(texts, window), strict=True)]
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_suffix_order_shares_what_a_plain_sort_shares():
+    r = random.Random(9)
+    runs = [[r.randrange(2) for _ in range(r.randrange(1, 14))] for _ in range(40)]
+    suffixes = [(x[k:], n) for n, x in enumerate(runs) for k in range(len(x))]
+    left = np.array([len(x) for x, _ in suffixes])
+    order, shared = substring_dedup.suffix_order(np.array([y for x in runs for y in x], dtype=np.uint64), left, 8)
+    heads = [suffixes[k][0][:8] for k in order]
+    assert heads == sorted(heads)
+    for a, b, n in zip(heads[:-1], heads[1:], shared.tolist(), strict=True):
+        assert min(n, 8) == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_deep_nodes_are_repeated_windows():
     r = random.Random(4)
     runs = [[r.randrange(3) for _ in range(r.randrange(3, 12))] for _ in range(60)]
