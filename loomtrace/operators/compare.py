@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,27 @@ def proportion_difference(calls: DataFrame, split_ns: int, by: str, least: int =
     enough = (F.col("m1") >= least) & (F.col("m2") >= least)
     pick = lambda c: F.when(enough, F.round(c, 6))
     return s.select(by, "x1", "m1", "x2", "m2", pick(p2 - p1).alias("difference"), pick(p2 - p1 - 1.96 * se).alias("low"), pick(p2 - p1 + 1.96 * se).alias("high"))
+
+
+def rank_agreement(scores: DataFrame, by: list[str], item: str, left: str, right: str, k: int = 3) -> DataFrame:
+    """How two scores rank the items of each group: Spearman's correlation (of mean ranks; null where one is flat) and the
+    Jaccard similarity of their k best, ties at the cut included (null where one has none above zero)."""
+    flat = 1e-8
+
+    def ranked(c: str) -> dict[str, Column]:
+        w = Window.partitionBy(*by)
+        same = F.count(F.lit(1)).over(Window.partitionBy(*by, c))
+        cut = F.min(F.when(F.col(f"_n{c}") <= k, F.col(c))).over(w)
+        above = F.max(c).over(w) > flat
+        return {f"_r{c}": F.rank().over(w.orderBy(c)) + (same - 1) / 2, f"_t{c}": above & (F.col(c) >= cut - flat), f"_s{c}": F.max(c).over(w) - F.min(c).over(w)}
+
+    place = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), item))
+    rows = scores.withColumns({f"_n{c}": place(c) for c in (left, right)}).withColumns(ranked(left) | ranked(right))
+    both, either = F.count_if(F.col(f"_t{left}") & F.col(f"_t{right}")), F.count_if(F.col(f"_t{left}") | F.col(f"_t{right}"))
+    some = (F.count_if(F.col(f"_t{left}")) > 0) & (F.count_if(F.col(f"_t{right}")) > 0)
+    # corr() fails where one side is flat
+    correlation = F.try_divide(F.covar_pop(f"_r{left}", f"_r{right}"), F.stddev_pop(f"_r{left}") * F.stddev_pop(f"_r{right}"))
+    told = (F.max(f"_s{left}") > flat) & (F.max(f"_s{right}") > flat)
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("items"), F.when(told, correlation).alias("spearman"), F.when(some, both / either).alias("top_jaccard")
+    )

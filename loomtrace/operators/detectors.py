@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import shell
 from .messages import repeated_guidance
 from .metrics import failed
 from .repeats import verdicts
@@ -203,6 +204,34 @@ def tool_gap(calls: DataFrame, least: int = 3) -> DataFrame:
     return groups.withColumn("confidence", F.when((F.col("n") >= 6) | (F.col("failures") > 0), "medium").otherwise("low"))
 
 
+def service_gap(calls: DataFrame, servers: DataFrame, least: int = 3, strong: int = 6) -> DataFrame:
+    """E: services driven by hand: shell commands of an agent (column command) by family and host, the programs used, and
+    the servers that seem related, by name or by a word of the family in their name or tools. servers: session, server, tool.
+
+    Related servers seen in the session: high; many commands or a failure: medium; else low. Servers are matched with the
+    few distinct services of their session, never with calls.
+    """
+    parsed = calls.filter("category = 'shell'").withColumn("parts", shell.parsed(F.col("command")))
+    family, heads = shell.family_of(F.col("parts")), F.transform("parts", lambda x: x["head"])
+    useful = F.try_element_at(F.filter(heads, lambda h: ~h.isin(*shell.SERVICE_WRAPPERS)), F.lit(1))
+    named = parsed.select(*KEY, "status", "start_ns", family.alias("family"), useful.alias("head"), shell.service_target(F.col("command")).alias("host")).filter("family IS NOT NULL")
+    target = F.when(F.col("family").isin("ssh", "http"), F.coalesce("host", "head")).when(F.col("family").isin("slurm", "github"), F.col("family")).otherwise(F.col("head"))
+    groups = named.withColumn("target", target).groupBy(*KEY, "family", "target").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("error", "timeout", "denied")).alias("failures"), F.array_sort(F.collect_set("head")).alias("heads")
+    )
+    groups = groups.filter(F.col("n") >= least)
+    words = F.create_map(*[F.lit(x) for k, v in shell.SERVICE_WORDS.items() for x in (k, list(v))])
+    services = groups.select("session", "family", "target").distinct()
+    name, tool = F.lower("server"), F.lower(F.coalesce("tool", F.lit("")))
+    by_name = (F.col("target") != F.col("family")) & (F.contains(name, F.col("target")) | F.contains(F.col("target"), name))
+    by_word = F.exists(words[F.col("family")], lambda w: F.contains(name, w) | F.contains(tool, w))
+    met = services.join(servers.select("session", "server", "tool").distinct(), "session").filter(by_name | by_word)
+    related = met.groupBy("session", "family", "target").agg(F.array_sort(F.collect_set("server")).alias("related"))
+    out = groups.join(related, ["session", "family", "target"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+    confidence = F.when(F.size("related") > 0, "high").when((F.col("n") >= strong) | (F.col("failures") > 0), "medium").otherwise("low")
+    return out.select(*KEY, "family", "target", "n", "failures", "heads", "related", confidence.alias("confidence"))
+
+
 def tool_gap_related(calls: DataFrame, servers: DataFrame, max_servers: int = 10_000) -> DataFrame:
     """E: servers whose name holds the target, or the reverse. servers: name.
 

@@ -72,6 +72,43 @@ def minhash_signature(words: Column, seeds: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda i: F.array_min(F.transform(words, lambda w: F.xxhash64(w, i))))
 
 
+# Words that say nothing about a paragraph, in two languages.
+STOP_WORDS = (
+    "les", "des", "une", "pour", "dans", "avec", "que", "qui", "pas", "par", "sur", "est", "sont", "aux", "ces", "cet", "cette",
+    "mais", "tout", "tous", "toutes", "plus", "moins", "son", "ses", "leur", "leurs", "nous", "vous", "ils", "elles", "elle",
+    "lui", "eux", "the", "and", "for", "with", "that", "this", "are", "you", "not", "but", "from", "have", "has", "was", "were",
+    "will", "can", "your", "our", "its", "all", "any", "into", "then", "than", "there", "their", "them", "they", "what", "when",
+    "which", "who", "etre", "avoir", "fait", "faire", "comme", "aussi", "donc", "alors", "ainsi", "tres", "bien",
+)
+
+
+def useful_words(paragraph: Column) -> Column:
+    """The words of a paragraph that its signature is made of: three characters at least, without accents, cut to six, no
+    stop words, each once; null where fewer than four remain."""
+    plain = F.translate(F.lower(paragraph), "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    found = F.filter(F.regexp_extract_all(plain, F.lit("[a-z0-9_]{3,}"), 0), lambda w: ~w.isin(*STOP_WORDS))
+    words = F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, 6)))
+    return F.when(F.size(words) >= 4, words)
+
+
+def payload_facts(text: Column) -> dict[str, Column]:
+    """Of a text handed from one agent to another: a fingerprint and the length without differences of white space, and
+    whether it is encrypted; the same for sender and recipient."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    told = F.nullif(plain, F.lit(""))
+    return {
+        "payload_fp": F.substring(F.sha2(told, 256), 1, 16),
+        "payload_chars": F.length(told),
+        "encrypted": F.coalesce(told.rlike(r"^gAAAA[A-Za-z0-9_\-]{40,}={0,2}$"), F.lit(False)),
+    }
+
+
+def received_payload(text: Column) -> tuple[Column, Column]:
+    """The kind of a received message, and what was handed over, behind its head."""
+    kind = F.nullif(F.regexp_extract(text, r"(?m)^Message Type:[ \t]*([A-Z_]{3,24})[ \t]*$", 1), F.lit(""))
+    return kind, F.when(text.contains("Payload:\n"), F.substring_index(text, "Payload:\n", -1))
+
+
 def signature_similarity(a: Column, b: Column) -> Column:
     same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
     return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(a)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import shell
 from ..operators import detectors, repeats
 from ..sources.bridge import Frames
 from .registry import query
@@ -209,6 +210,31 @@ def tool_gap_related(f: Frames) -> DataFrame:
     return detectors.tool_gap_related(f.calls, f.table("part").select(F.concat(F.lit("k"), F.col("p_size").cast("string")).alias("name")))
 
 
+_DRIVEN = """CASE call_id % 4 WHEN 0 THEN 'ssh -p 22 host' || params || ' date' WHEN 1 THEN 'curl -s https://api' || params || '.example/x' WHEN 2 THEN 'squeue -u me' ELSE 'FOO=1 sudo docker ps | cat' END"""
+_SERVER = "CASE server WHEN 'srv0' THEN 'host1' WHEN 'srv1' THEN 'hub' ELSE 'web' END"
+_SERVER_TOOL = "CASE tool WHEN 'view' THEN 'submit_job' ELSE tool END"
+_FAMILY_WORDS = " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in shell.SERVICE_WORDS.items())
+
+
+@query(
+    "service_gap",
+    f"""
+WITH d AS (SELECT session, agent, status, ['ssh', 'http', 'slurm', 'container'][call_id % 4 + 1] AS family, CASE call_id % 4 WHEN 0 THEN 'host' || params WHEN 1 THEN 'api' || params || '.example' WHEN 2 THEN 'slurm' ELSE 'docker' END AS target,
+  ['ssh', 'curl', 'squeue', 'docker'][call_id % 4 + 1] AS head FROM calls WHERE category = 'shell'),
+g AS (SELECT session, agent, family, target, count(*) AS n, count(*) FILTER (WHERE status IN ('error', 'timeout', 'denied')) AS failures, string_agg(DISTINCT head, ',') AS heads FROM d GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
+s AS (SELECT DISTINCT session, {_SERVER} AS server, {_SERVER_TOOL} AS tool FROM calls WHERE server IS NOT NULL),
+r AS (SELECT g.session, family, target, string_agg(DISTINCT server, ',' ORDER BY server) AS related FROM (SELECT DISTINCT session, family, target FROM g) g JOIN s USING (session)
+  WHERE (target <> family AND (contains(server, target) OR contains(target, server))) OR len(list_filter(CASE family {_FAMILY_WORDS} END, lambda w: contains(server, w) OR contains(tool, w))) > 0 GROUP BY 1, 2, 3)
+SELECT session, agent, family, target, n, failures, heads, coalesce(related, '') AS related, CASE WHEN related IS NOT NULL THEN 'high' WHEN n >= 6 OR failures > 0 THEN 'medium' ELSE 'low' END AS confidence
+FROM g LEFT JOIN r USING (session, family, target)""",
+)
+def service_gap(f: Frames) -> DataFrame:
+    calls = f.calls.withColumn("command", F.expr(_DRIVEN))
+    servers = f.calls.filter("server IS NOT NULL").select("session", F.expr(_SERVER).alias("server"), F.expr(_SERVER_TOOL).alias("tool"))
+    found = detectors.service_gap(calls, servers)
+    return found.withColumns({"heads": F.array_join("heads", ","), "related": F.array_join("related", ",")})
+
+
 _REPEATS = """
 WITH m AS (SELECT *, sum((category = 'edit')::INT) OVER w AS edits, sum((category = 'agent')::INT) OVER w AS inputs FROM calls WINDOW w AS (PARTITION BY session, agent ORDER BY aseq ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, lag(emitter) OVER w AS p_emitter, lag(epoch) OVER w AS p_epoch, lag(inputs) OVER w AS p_inputs, lag(edits) OVER w AS p_edits, lag(status) OVER w AS p_status, lag(content_fp) OVER w AS p_fp, lag(end_ns) OVER w AS p_end, lag(start_ns) OVER w AS p_start

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evidence, metrics
+from ..operators import evidence, metrics, run_facts
 from ..sources.bridge import Frames
 from .registry import query
 
@@ -183,3 +183,35 @@ def session_reports(f: Frames) -> DataFrame:
     from ..sources import store
 
     return store.reports(f.calls.filter(metrics.failed()).select("session", F.lit("failed").alias("rule"), F.col("aseq").alias("n")))
+
+
+_OUTPUT = """CASE WHEN k % 5 = 0 THEN '{"status": "s' || (k % 2) || '", "exit_code": ' || (k % 3) || ', "failures": ' || (k % 4) || ', "other": 1}'
+  WHEN k % 7 = 0 THEN '<note>exit_code=9</note><status>st' || (k % 2) || '</status><event>c' || (k % 2) || ' 3.5 fail boom</event><summary>over; exit code ' || (k % 3) || '</summary>'
+  ELSE '=== role' || (k % 3) || chr(10) || k || '.5 STREAM phase' || (k % 2) || ' a=' || k || ' b=' || (k % 9) || 'ms' || chr(10) || 'host ' || k || '.0 hitch ' || k || ' ms' || chr(10)
+    || 'host 2.0 END failures=' || (k % 4) || chr(10) || 'mystery ' || k || chr(10) || 'run finished' END"""
+
+
+@query(
+    "run_facts",
+    """
+WITH t AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'json' WHEN k % 7 = 0 THEN 'xml' ELSE 'lines' END AS form FROM ev),
+f AS (SELECT 'process_status' AS field, NULL AS role, NULL AS phase, 's' || (k % 2) AS value FROM t WHERE form = 'json'
+  UNION ALL SELECT 'process_exit', NULL, NULL, (k % 3)::VARCHAR FROM t WHERE form = 'json' UNION ALL SELECT 'tests_failed', NULL, NULL, (k % 4)::VARCHAR FROM t WHERE form = 'json'
+  UNION ALL SELECT 'process_status', NULL, NULL, 'st' || (k % 2) FROM t WHERE form = 'xml' UNION ALL SELECT 'failure_event', 'c' || (k % 2), NULL, 'boom' FROM t WHERE form = 'xml'
+  UNION ALL SELECT 'process_exit', NULL, NULL, (k % 3)::VARCHAR FROM t WHERE form = 'xml'
+  UNION ALL SELECT 'stream.a', 'role' || (k % 3), 'phase' || (k % 2), k::VARCHAR FROM t WHERE form = 'lines' UNION ALL SELECT 'stream.b_ms', 'role' || (k % 3), 'phase' || (k % 2), (k % 9)::VARCHAR FROM t WHERE form = 'lines'
+  UNION ALL SELECT 'hitch_ms', 'host', NULL, k::VARCHAR FROM t WHERE form = 'lines' UNION ALL SELECT 'run_end', 'host', NULL, 'true' FROM t WHERE form = 'lines'
+  UNION ALL SELECT 'tests_failed', 'host', NULL, (k % 4)::VARCHAR FROM t WHERE form = 'lines' UNION ALL SELECT 'watcher_end', NULL, NULL, 'true' FROM t WHERE form = 'lines')
+SELECT field, role, phase, value, count(*) AS n FROM f GROUP BY 1, 2, 3, 4""",
+    ("ev",),
+)
+def run_facts_query(f: Frames) -> DataFrame:
+    """Facts of outputs in three forms: lines with a header, JSON summaries, notifications."""
+    texts = f.events.select("event_id", F.expr(_OUTPUT).alias("output"))
+    return run_facts.facts(texts, "event_id", "output").groupBy("field", "role", "phase", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("run_completeness", "SELECT event_id, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS unparsed_lines, FALSE AS truncated FROM ev", ("ev",))
+def run_completeness(f: Frames) -> DataFrame:
+    texts = f.events.select("event_id", F.expr(_OUTPUT).alias("output"))
+    return run_facts.completeness(texts, "event_id", "output")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,61 @@ def reports(findings: DataFrame) -> DataFrame:
     """One JSON document per session: findings by rule, the counted calls, each array sorted."""
     by_rule = findings.groupBy("session", "rule").agg(F.count(F.lit(1)).alias("findings"), F.sum("n").alias("calls"))
     return by_rule.groupBy("session").agg(F.to_json(F.struct(F.lit("1.1").alias("report_version"), F.col("session"), F.array_sort(F.collect_list(F.struct("rule", "findings", "calls"))).alias("rules"))).alias("report"))
+
+
+def session_key(session_id: Column) -> Column:
+    """A name for a session's folder: its id where that is plain and short, else cut and marked with a hash of it."""
+    safe = F.regexp_replace(session_id, r"[^A-Za-z0-9._-]", "_")
+    odd = (safe != session_id) | (F.length(safe) > 64)
+    marked = F.concat(F.substring(safe, 1, 48), F.lit("-"), F.substring(F.sha2(session_id, 256), 1, 12))
+    return F.when(F.coalesce(session_id, F.lit("")) == "", "_no-session").when(odd, marked).otherwise(safe)
+
+
+def publish(calls: DataFrame, state: DataFrame, path: str) -> DataFrame:
+    """Replaces the calls of analysed sessions by those of a new analysis. calls: client, session_id, revision and any more;
+    sessions whose state is older than the analysed revision, or unknown, are refused and returned. Only the folders of the
+    published sessions are written anew, so analyses of other sessions run beside."""
+    spark = calls.sparkSession
+    known = state.select("client", "session_id", F.col("revision").alias("known"))
+    marked = calls.join(known, ["client", "session_id"], "left").withColumn("ok", F.coalesce(F.col("known") >= F.col("revision"), F.lit(False)))
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        marked.filter("ok").drop("known", "ok").write.mode("overwrite").partitionBy("client", "session_id").parquet(path)
+    finally:
+        spark.conf.set(mode, before)
+    return marked.filter("NOT ok").select("client", "session_id", "revision").distinct()
+
+
+def pending(state: DataFrame, published: DataFrame) -> DataFrame:
+    """Sessions whose state is newer than what was published of them: client, session_id, revision, analysed."""
+    done = published.groupBy("client", "session_id").agg(F.max("revision").alias("analysed"))
+    met = state.join(done, ["client", "session_id"], "left")
+    return met.filter(F.coalesce(F.col("revision") > F.col("analysed"), F.lit(True))).select("client", "session_id", "revision", "analysed")
+
+
+def marked(marks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Feedback marks (finding, mark, note, at_ns) after changes: the latest of each finding counts, one without a mark is
+    taken away."""
+    both = marks.unionByName(changes)
+    last = both.groupBy("finding").agg(F.max_by(F.struct("mark", "note", "at_ns"), "at_ns").alias("m"))
+    return last.select("finding", "m.mark", "m.note", "m.at_ns").filter("mark IS NOT NULL")
+
+
+def collection_health(clients: DataFrame, silence_s: int = 1_800) -> DataFrame:
+    """Warnings on the collection: client, code. clients: client, configured_at, activity_at, received_at (seconds, null:
+    never) and installed, complete, disabled, interpreter_exists, entry_current, config_readable (flags)."""
+    since = F.col("activity_at") > F.coalesce(F.col("configured_at") + silence_s, F.lit(float("-inf")))
+    checks = {
+        "interpreter_missing": ~F.col("interpreter_exists"),
+        "entry_moved": ~F.col("entry_current"),
+        "hooks_missing": F.col("config_readable") & ~F.col("installed"),
+        "hooks_partial": F.col("config_readable") & F.col("installed") & ~F.col("complete"),
+        "hooks_disabled": F.col("config_readable") & F.col("disabled"),
+        "config_unreadable": ~F.col("config_readable"),
+        "never_received": since & F.col("received_at").isNull(),
+        "silent_since_activity": since & (F.col("activity_at") - F.col("received_at") > silence_s),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in checks.items()]))
+    return clients.select("client", F.explode(found).alias("code"))
