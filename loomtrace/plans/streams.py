@@ -18,6 +18,14 @@ def stream_dedup(f: Frames) -> DataFrame:
     return live.run_available(once, f.spark, folder(f.spark)).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
+_NOW = 500_000_000_000
+
+
+@query("recent_events", f"SELECT event_id, event_type, ns FROM ev WHERE ns BETWEEN {_NOW} - 120000000000 AND {_NOW} + 60000000000", ("ev",))
+def recent_events(f: Frames) -> DataFrame:
+    return live.recent(f.events, _NOW).select("event_id", "event_type", "ns")
+
+
 @query("stream_window_counts", "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", ())
 def stream_window_counts(f: Frames) -> DataFrame:
     return live.run_available(live.window_counts(live.events(f.spark, f.sf_dir)), f.spark, folder(f.spark), "complete")

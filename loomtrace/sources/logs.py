@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import tools
 from .stored import stored
 
+# The longest target that is kept, and the form and place of an exit code in plain output.
+MAX_TARGET, EXIT_TAIL = 2_000, 400
+EXIT_LINE = r"(?im)^\s*(?:process\s+)?exit(?:ed)?(?:\s+with)?(?:\s+code)?\s*[:=]?\s*(-?\d+)\s*$"
 #: Splits up to which their table is broadcast (it has one small row per split of the input).
 MAX_SPLITS = 100_000
 
@@ -45,7 +48,12 @@ def hook_events(payloads: DataFrame, client: str) -> DataFrame:
     phase = tools.phase(at("hook_event_name"))
     failed = F.when(phase == "failure", F.when(at("is_interrupt") == "true", "interrupted").otherwise("error"))
     command = at("tool_input.command")
-    target = F.coalesce(*[F.nullif(F.trim(at(f"tool_input.{k}")), F.lit("")) for k in ("file_path", "path", "notebook_path", "url", "pattern")], command)
+    named = [F.nullif(F.trim(at(f"tool_input.{k}")), F.lit("")) for k in ("file_path", "path", "notebook_path", "url", "pattern")]
+    target = F.substring(F.coalesce(*named, command), 1, MAX_TARGET)
+    # a client that hands out plain text may state an exit code in a line of its own at the end
+    plain = F.when(~F.coalesce(response.startswith("{"), F.lit(False)), F.regexp_extract(F.substring(response, -EXIT_TAIL, EXIT_TAIL), EXIT_LINE, 1))
+    code = F.coalesce(tools.exit_code(response), F.nullif(plain, F.lit("")).try_cast("int"))
+    by_code = F.when(plain != "", F.when(code == 0, "success").otherwise("error"))
     return good.select(
         F.sha2(F.concat_ws("|", F.lit(client), "value"), 256).alias("event_id"),
         F.lit(client).alias("client"),
@@ -62,8 +70,8 @@ def hook_events(payloads: DataFrame, client: str) -> DataFrame:
         at("cwd").alias("cwd"),
         target.alias("target"),
         F.when(command.isNotNull(), "command").when(target.isNotNull(), "path").alias("target_kind"),
-        F.coalesce(failed, F.when(phase == "end", tools.status(response))).alias("status"),
-        tools.exit_code(response).alias("exit_code"),
+        F.coalesce(failed, F.when(phase == "end", F.coalesce(by_code, tools.status(response)))).alias("status"),
+        code.alias("exit_code"),
         at("error").alias("error_summary"),
         at("duration_ms").try_cast("long").alias("duration_ms"),
         F.octet_length(response).cast("long").alias("output_size_bytes"),

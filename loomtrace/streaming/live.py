@@ -18,6 +18,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
+def recent(events: DataFrame, now_ns: int, older_s: int = 120, ahead_s: int = 60) -> DataFrame:
+    """Events (column ns) that are neither older than older_s nor more than ahead_s in the future, seen from an instant; for
+    a stream, the instant of its micro-batch."""
+    ns = F.col("ns")
+    return events.filter((ns >= now_ns - older_s * 1_000_000_000) & (ns <= now_ns + ahead_s * 1_000_000_000))
+
+
 def deduplicated(stream: DataFrame, key: list[str], late: str = "30 days") -> DataFrame:
     """The first event of each key within the watermark; the state holds no older keys."""
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(key)

@@ -92,3 +92,23 @@ def test_store_is_idempotent(spark, tmp_path):
     first = store.upsert_sessions(spark.createDataFrame([], "client string, session_id string, revision int, first_ns long, last_ns long, events long"), e)
     again = {r.session_id: r for r in store.upsert_sessions(first.withColumn("revision", F.col("revision").cast("int")), e.filter("ns > 5")).collect()}
     assert (again["s1"].revision, again["s1"].events, again["s2"].revision) == (2, 3, 1)
+
+
+def test_exit_codes_at_the_end_of_plain_output(spark):
+    rows = [{"hook_event_name": "PostToolUse", "tool_name": "Bash", "session_id": "s", "tool_input": {"command": "x" * 3_000}, "tool_response": r} for r in ("done\nProcess exited with code 3\n", "fine\nexit code: 0", "exit 5\n" + "y" * 500, '{"exit_code": 2}')]
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    got = logs.hook_events(df, "codex").collect()
+    assert [(r.exit_code, r.status) for r in got] == [(3, "error"), (0, "success"), (None, "unknown"), (2, "error")]
+    assert all(len(r.target) == 2_000 for r in got)
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    path = tmp_path / "long.txt"
+    path.write_text("".join(f"line {k}\n" for k in range(1, 20_001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = logs.lines(spark, str(path))
+        assert got.rdd.getNumPartitions() > 3
+        assert got.filter(F.col("value") != F.concat(F.lit("line "), "line")).count() == 0 and got.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
