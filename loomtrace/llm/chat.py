@@ -31,7 +31,10 @@ from .tokens import encoder
 
 MARK = "<|endoftext|>"
 LOSS_ROLE = "assistant"
-SCHEMA = "segment int, n_turns int, formatted string, ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>"
+SCHEMA = (
+    "segment int, n_turns int, formatted string, ids array<int>, loss_mask array<boolean>, starts array<int>, ends "
+    "array<int>"
+)
 
 
 def escape(text: str) -> str:
@@ -116,7 +119,12 @@ def format_conversations(turns: DataFrame, path: str | None = None, segment_char
                 masks.append(loss_mask(spans, starts[-1], ends[-1]))
             convs, segments, counts, texts, _ = zip(*waiting, strict=True)
             waiting.clear()
-            columns = [pa.array(convs, id_type), pa.array(segments, pa.int32()), pa.array(counts, pa.int32()), pa.array(texts, pa.string())]
+            columns = [
+                pa.array(convs, id_type),
+                pa.array(segments, pa.int32()),
+                pa.array(counts, pa.int32()),
+                pa.array(texts, pa.string()),
+            ]
             columns += [_lists(ids, pa.int32()), _lists(masks, pa.bool_())]
             columns += [_lists([x.astype(np.int32) for x in of], pa.int32()) for of in (starts, ends)]
             return pa.RecordBatch.from_arrays(columns, names=["conv_id", *(x.split()[0] for x in SCHEMA.split(", "))])
@@ -168,7 +176,9 @@ def digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = [(s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]) for s in done]
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
+            )
 
         for batch in batches:
             ids, segments, texts = (batch.column(k).to_pylist() for k in range(3))

@@ -59,7 +59,9 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, block: int
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int = 4_096) -> DataFrame:
     """vec_id, n_links (other vectors at or above the threshold), component_id, kept (vec_id = component_id)."""
-    rows = vectors.select("vec_id", "embedding", (usable(F.col("embedding")) & F.col("vec_id").isNotNull()).alias("_ok"))
+    rows = vectors.select(
+        "vec_id", "embedding", (usable(F.col("embedding")) & F.col("vec_id").isNotNull()).alias("_ok")
+    )
     good = rows.filter("_ok").select("vec_id", "embedding")
     # classes are numbered as they are stored, so a class is its vector, whatever ids bear it
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
@@ -101,7 +103,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
     state = classes.join(degrees, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
-    state = written(state.select("embedding", "least_id", n_links, F.coalesce("component", "rep").alias("group")), "vector-state")
+    state = written(
+        state.select("embedding", "least_id", n_links, F.coalesce("component", "rep").alias("group")), "vector-state"
+    )
     least = state.groupBy("group").agg(F.min("least_id").alias("component_id"))
     # written, so that both sides of the last join are plain shuffles, which a hot class can be split over
     known = state.join(least, "group").select(F.col("embedding").alias("vector"), "n_links", "component_id")

@@ -37,7 +37,12 @@ def codewords(n: int) -> np.ndarray:
     """n codewords of +1 and -1. Up to six languages: the exhaustive code; beyond, the best of 200 random dense codes."""
     if n <= 6:
         width = max(1, 2 ** (n - 1) - 1)
-        return np.array([[1 if row == 0 or not (column >> (row - 1)) & 1 else -1 for column in range(1, width + 1)] for row in range(n)])
+        return np.array(
+            [
+                [1 if row == 0 or not (column >> (row - 1)) & 1 else -1 for column in range(1, width + 1)]
+                for row in range(n)
+            ]
+        )
     random, best, apart = np.random.default_rng(11), None, -1
     for _ in range(200):
         code = random.choice([-1, 1], size=(n, int(np.ceil(10 * np.log2(n)))))
@@ -57,12 +62,16 @@ class Model:
     trust: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, languages: list[str], steps: int = 400, rate: float = 20.0, ridge: float = 1e-5) -> Model:
+    def fit(
+        cls, x: np.ndarray, languages: list[str], steps: int = 400, rate: float = 20.0, ridge: float = 1e-5
+    ) -> Model:
         names = sorted(set(languages))
         code = codewords(len(names))
         y = code[[names.index(v) for v in languages]].astype(np.float32)
         share = {v: languages.count(v) for v in names}
-        row_weight = np.array([len(languages) / (len(names) * share[v]) for v in languages], dtype=np.float32)[:, None] / len(x)
+        row_weight = np.array([len(languages) / (len(names) * share[v]) for v in languages], dtype=np.float32)[
+            :, None
+        ] / len(x)
         w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
         vw, vb = np.zeros_like(w), np.zeros_like(b)
         for _ in range(steps):  # gradient descent with momentum
@@ -75,19 +84,25 @@ class Model:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is ambiguous, of each text."""
-        margins = np.clip(to_unit(log_counts(texts, BITS, lower=True)) @ self.weights + self.bias, -30, 30).astype(np.float64)
+        margins = np.clip(to_unit(log_counts(texts, BITS, lower=True)) @ self.weights + self.bias, -30, 30).astype(
+            np.float64
+        )
         losses = np.log1p(np.exp(-margins[:, None, :] * self.code[None])) @ self.trust.astype(np.float64)
         chance = np.exp(losses.min(axis=1, keepdims=True) - losses)
         chance /= chance.sum(axis=1, keepdims=True)
         order = np.sort(chance, axis=1)
         second = order[:, -2] if chance.shape[1] > 1 else np.zeros(len(chance))
-        return [self.languages[k] for k in losses.argmin(axis=1)], np.clip(order[:, -1], 0, 1), order[:, -1] < 2 * second
+        return [self.languages[k] for k in losses.argmin(axis=1)], np.clip(order[:, -1], 0, 1), order[
+            :, -1
+        ] < 2 * second
 
 
 def fit(docs: DataFrame, per_language: int = 1_000, max_rows: int = 6_000) -> Model | None:
     """A model from at most per_language documents of each language, and max_rows in all (or one of each language, where
     that is more), outside the held-out fold."""
-    learn = small_arrow(docs).select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    learn = small_arrow(docs).select("doc_id", "text", "lang").filter(
+        "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
+    )
     learn = learn.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     # one row per language, as many as the model's codewords
     sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -100,7 +115,9 @@ def fit(docs: DataFrame, per_language: int = 1_000, max_rows: int = 6_000) -> Mo
     keys = learn.select("lang", F.xxhash64("doc_id").alias("hash"), "doc_id").join(shares, "lang")
     keys = keys.filter(F.col("hash") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "hash", "doc_id").distinct()
     order = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    chosen = keys.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("doc_id", "lang")
+    chosen = keys.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select(
+        "doc_id", "lang"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +127,9 @@ def fit(docs: DataFrame, per_language: int = 1_000, max_rows: int = 6_000) -> Mo
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "hash", "cells"])
 
     # at most max(max_rows, number of languages) ids
-    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.xxhash64("text").alias("hash"), "text")
+    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).select(
+        "doc_id", "lang", F.xxhash64("text").alias("hash"), "text"
+    )
     found = rows.mapInArrow(run, "doc_id string, lang string, hash long, cells binary")
     one = found.groupBy("doc_id", "lang").agg(F.min(F.struct("hash", "cells")).alias("row"))
     sample = sorted((r.lang, r.doc_id, bytes(r.row.cells)) for r in one.toLocalIterator())
@@ -135,7 +154,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     part = rows[c : min(c + 512, b)]
                     for k, name, s, u in zip(part, *shared.value.predict([texts[k] for k in part]), strict=True):
                         names[k], scores[k], unsure[k] = name, float(s), bool(u)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
-
-    rows = small_arrow(docs).select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(names, pa.string()),
+                    pa.array(scores, pa.float64()),
+                    pa.array(unsure, pa.bool_()),
+                ],
+                names=["doc_id", "lang_pred", "score", "ambiguous"],
+            )
+
+    rows = small_arrow(docs).select(
+        "doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+    )
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

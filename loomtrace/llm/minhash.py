@@ -107,7 +107,9 @@ def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.
             yield b - a, (distinct(*shingles(texts[a:b]))[0] >> np.uint64(32)).astype(np.uint32)
 
 
-def frequencies(docs: DataFrame, rare: int = RARE, most: int = 1 << CELL_BITS) -> tuple[int, int, np.ndarray, np.ndarray]:
+def frequencies(docs: DataFrame, rare: int = RARE, most: int = 1 << CELL_BITS) -> tuple[
+    int, int, np.ndarray, np.ndarray
+]:
     """N, the floor, and the frequent shingles with their numbers of documents, counted over all documents.
 
     Frequent are shingles in at least N / rare documents. With S shingles in a document on average there are at most
@@ -126,7 +128,9 @@ def frequencies(docs: DataFrame, rare: int = RARE, most: int = 1 << CELL_BITS) -
         if n:
             parts = cells.reshape(SLICES, per_slice).astype("<i8")
             packed = [zlib.compress(part.tobytes(), 1) for part in parts]
-            columns = [pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(packed, pa.binary())]
+            columns = [
+                pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(packed, pa.binary())
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["slice", "n", "cells"])
 
     def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +139,9 @@ def frequencies(docs: DataFrame, rare: int = RARE, most: int = 1 << CELL_BITS) -
             for more, packed in zip(part.column("n").to_pylist(), part.column("cells").to_pylist(), strict=True):
                 total += np.frombuffer(zlib.decompress(packed), "<i8")
                 n += more
-        columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())]
+        columns = [
+            pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["slice", "n", "cells"])
 
     schema = "slice int, n long, cells binary"
@@ -154,7 +160,9 @@ def frequencies(docs: DataFrame, rare: int = RARE, most: int = 1 << CELL_BITS) -
 
         def summed() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts, pa.int64())], names=["key", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int64)), pa.array(counts, pa.int64())], names=["key", "n"]
+            )
 
         for _, keys in _distinct_keys(batches):
             held.append(keys[wanted[keys >> np.uint32(32 - CELL_BITS)]])
@@ -204,7 +212,9 @@ class Sampler:
             least = np.minimum.reduceat(value, starts[:-1])
             at = np.flatnonzero(value == np.repeat(least, lengths))
             at = at[np.searchsorted(at, starts[:-1])]
-            out[:, k] = mixed(hashes[at] + level[at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
+            out[:, k] = mixed(
+                hashes[at] + level[at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            )
         return out
 
 
@@ -256,7 +266,9 @@ def similarity(a: np.ndarray, b: np.ndarray, weights: Weights) -> float:
     """Weighted Jaccard similarity of two sorted arrays of shingle hashes with repeats."""
     both = np.concatenate([a, b])
     hashes, where = np.unique(both, return_inverse=True)
-    in_a, in_b = np.bincount(where[: len(a)], minlength=len(hashes)), np.bincount(where[len(a) :], minlength=len(hashes))
+    in_a, in_b = np.bincount(where[: len(a)], minlength=len(hashes)), np.bincount(
+        where[len(a) :], minlength=len(hashes)
+    )
     most = weights(hashes, np.maximum(in_a, in_b)).sum()
     return float(weights(hashes, np.minimum(in_a, in_b)).sum() / most) if most else 0.0
 
@@ -292,8 +304,16 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, weights: Weights, threshol
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2, 4_000_000):
             u, v, a, b = (c.to_pylist() for c in batch.columns)
-            near = [k for k in range(len(u)) if similarity(np.frombuffer(a[k], "<u4"), np.frombuffer(b[k], "<u4"), shared.value) >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in near], pa.int64()), pa.array([v[k] for k in near], pa.int64())], names=["u", "v"])
+            near = [
+                k
+                for k in range(len(u)) if similarity(
+                    np.frombuffer(a[k], "<u4"), np.frombuffer(b[k], "<u4"), shared.value
+                ) >= threshold
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([u[k] for k in near], pa.int64()), pa.array([v[k] for k in near], pa.int64())],
+                names=["u", "v"],
+            )
 
     # a leader of many pairs is dealt over several tasks: its set once for each MANY pairs
     hot = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MANY).cast("int").alias("deals")).filter("deals > 1")
@@ -301,7 +321,9 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, weights: Weights, threshol
     if hot.count() <= MAX_BROADCAST:
         hot = F.broadcast(hot)
     deals = F.coalesce("deals", F.lit(1))
-    dealt = pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u", F.lit(7)), deals).cast("int").alias("deal"))
+    dealt = pairs.join(hot, "v", "left").select(
+        "u", "v", F.pmod(F.xxhash64("u", F.lit(7)), deals).cast("int").alias("deal")
+    )
     members = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     leaders = sets.select(F.col("node").alias("v"), F.col("grams").alias("b")).join(hot, "v", "left")
     leaders = leaders.select("v", "b", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
@@ -309,13 +331,17 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, weights: Weights, threshol
     return written(both.mapInArrow(compare, "u long, v long"), "minhash-links")
 
 
-def links_within(sets: list[np.ndarray], weights: Weights, threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def links_within(sets: list[np.ndarray], weights: Weights, threshold: float, split: int | None = None) -> tuple[
+    np.ndarray, np.ndarray
+]:
     """Index pairs of similar sets, all against all, or those before `split` against the rest. The weight two sets share is
     a matrix product over the shingles that several sets have; a repeated shingle counts as one for each time."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     hashes = np.concatenate(sets) if n else np.zeros(0, "<u4")
-    first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(
+        hashes
+    ) else np.zeros(0, np.int64)
     times = np.arange(len(hashes)) - np.repeat(first, np.diff(np.r_[first, len(hashes)]))
     # a shingle and which time it is, 32 bits each
     numbered = hashes.astype(np.uint64) << np.uint64(32) | times.astype(np.uint64)
@@ -359,7 +385,9 @@ def verified_buckets(
         size = F.broadcast(size)
     dealt = members.join(size, "bucket", "left").fillna(1, ["mains", "rests"])
     # tiles of main members have numbers below zero
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast(
+        "int"
+    )
     dealt = dealt.withColumn("tile", F.when(F.col("main"), -1 - own).otherwise(own))
     first = F.when(F.col("main"), F.lit(0)).otherwise(-F.col("mains"))
     met = dealt.withColumn("other", F.explode(F.sequence(first, F.col("rests") - 1)))
@@ -397,14 +425,21 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, rare: int
     some = signed.filter("node IS NOT NULL")
     # whose row stands first: the least doc_id, then the least hash
     who = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid"))
-    nodes = some.groupBy("node").agg(who.alias("lead"), F.max("weight").alias("weight"), F.min("band_keys").alias("band_keys"))
+    nodes = some.groupBy("node").agg(
+        who.alias("lead"), F.max("weight").alias("weight"), F.min("band_keys").alias("band_keys")
+    )
     nodes = written(nodes, "minhash-nodes")
     holders = nodes.select("node", F.col("lead.uid").alias("uid"))
     members = nodes.select("node", "weight", F.explode("band_keys").alias("band"))
     leaders = members.groupBy("band").agg(F.min(F.struct("node", "weight")).alias("lead"), F.count(F.lit(1)).alias("n"))
     leaders = leaders.filter("n > 1").select("band", "lead")
     # total weights already rule out pairs: the similarity is at most the lesser over the greater
-    ends = [F.col("node").alias("u"), F.col("weight").alias("wu"), F.col("lead.node").alias("v"), F.col("lead.weight").alias("wv")]
+    ends = [
+        F.col("node").alias("u"),
+        F.col("weight").alias("wu"),
+        F.col("lead.node").alias("v"),
+        F.col("lead.weight").alias("wv"),
+    ]
     first = members.join(leaders, "band").select(*ends).filter("u <> v")
     first = first.filter(F.least("wu", "wv") >= F.greatest("wu", "wv") * (threshold - 1e-9))
     first = written(first.select("u", "v").distinct(), "minhash-pairs")
@@ -416,14 +451,18 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, rare: int
     coloured = members.join(leaders.select("band"), "band").join(joined, "node", "left")
     coloured = coloured.select("band", "node", F.coalesce("component", "node").alias("colour"))
     token = lambda seed: F.sum(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2**40)))
-    shades = coloured.groupBy("band", "colour").agg(F.count(F.lit(1)).alias("n"), token(5).alias("s1"), token(6).alias("s2"))
+    shades = coloured.groupBy("band", "colour").agg(
+        F.count(F.lit(1)).alias("n"), token(5).alias("s1"), token(6).alias("s2")
+    )
     several = shades.groupBy("band").agg(
         F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
         F.count(F.lit(1)).alias("colours"), F.max(F.struct("n", "colour")).alias("most"),
     ).filter("colours > 1")
     several = several.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "most")).alias("one"))
     several = several.select("one.band", F.col("one.most.colour").alias("main"))
-    crowd = coloured.join(several, "band").select(F.col("band").alias("bucket"), "node", (F.col("colour") == F.col("main")).alias("main"))
+    crowd = coloured.join(several, "band").select(
+        F.col("band").alias("bucket"), "node", (F.col("colour") == F.col("main")).alias("main")
+    )
     crowd = written(crowd, "minhash-buckets")
     if not crowd.isEmpty():
         sets = gram_sets(crowd.select("node").distinct().join(holders, "node"), docs)
@@ -434,9 +473,17 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, rare: int
     classes = written(named.join(least, "group_id").select("node", "group_id", "first"), "minhash-classes")
     is_first = (F.col("uid") == F.col("first.uid")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     grouped = some.select("doc_id", "uid", "node").join(classes, "node")
-    grouped = grouped.select("doc_id", "uid", F.col("first.doc_id").alias("class_id"), is_first.alias("kept"), "group_id")
+    grouped = grouped.select(
+        "doc_id", "uid", F.col("first.doc_id").alias("class_id"), is_first.alias("kept"), "group_id"
+    )
     alone = signed.filter("node IS NULL")
-    alone = alone.select("doc_id", "uid", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("group_id"))
+    alone = alone.select(
+        "doc_id",
+        "uid",
+        F.col("doc_id").alias("class_id"),
+        F.lit(True).alias("kept"),
+        F.lit(None).cast("long").alias("group_id"),
+    )
     return grouped.unionByName(alone)
 
 
@@ -446,15 +493,23 @@ def keep_one(
     """The rows of docs that stand for their class, one each: that with the least doc_id, nulls last, then the least hash
     of doc_id and text, then of all columns of plain types. Texts without words all stay."""
     found = _classes(docs, threshold, bands, rows, rare).filter("kept")
-    stand = found.groupBy("doc_id", "uid").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("group_id").isNotNull()).alias("once"))
-    stand = written(stand, "minhash-kept").select(F.col("doc_id").alias("kept_id"), F.col("uid").alias("kept_uid"), "times", "once")
+    stand = found.groupBy("doc_id", "uid").agg(
+        F.count(F.lit(1)).alias("times"), F.max(F.col("group_id").isNotNull()).alias("once")
+    )
+    stand = written(stand, "minhash-kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("uid").alias("kept_uid"), "times", "once"
+    )
     inner = [f"_{k}" for k in range(len(docs.columns))]
     rows_of = docs.toDF(*inner)
     doc, text = (inner[docs.columns.index(x)] for x in ("doc_id", "text"))
-    met = rows_of.withColumn("uid", F.xxhash64(doc, text)).join(stand, (F.col("uid") == F.col("kept_uid")) & F.col(doc).eqNullSafe(F.col("kept_id")))
+    met = rows_of.withColumn("uid", F.xxhash64(doc, text)).join(
+        stand, (F.col("uid") == F.col("kept_uid")) & F.col(doc).eqNullSafe(F.col("kept_id"))
+    )
     many = F.col("once") & (F.col("times") > 1)
     # rows equal in doc_id and text: each task sends its first only
-    plain = [f.name for f in rows_of.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    plain = [
+        f.name for f in rows_of.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)
+    ]
     order = Window.partitionBy("uid", doc).orderBy(F.xxhash64(*plain), *plain)
     again = met.filter(many).withColumn("place", F.row_number().over(order)).filter("place = 1")
     out = met.filter(~many).select(*inner).unionByName(again.select(*inner))

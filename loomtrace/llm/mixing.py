@@ -34,13 +34,19 @@ MAX_BROADCAST = 20_000
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from 52 bits of the md5 of the parts, joined by '|'."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long").cast("double") / F.lit(
+        float(2**52)
+    )
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, budget: float) -> DataFrame:
     """source, n_docs, chars, rate: one row per source, pre-aggregated before its shuffle."""
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
-    stated = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")] if weights else F.lit(None).cast("double")
+    sizes = docs.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")
+    )
+    stated = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")] if weights else F.lit(
+        None
+    ).cast("double")
     weighed = sizes.withColumn("weight", F.coalesce(stated, F.lit(float(default_weight))))
     total = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))
     wanted = F.col("weight") / F.col("all_weight") * F.col("all_chars") * budget / F.col("chars")
@@ -88,9 +94,13 @@ def mix(
     # where a row lies in the input tells equal rows apart, but for nothing else than to spread them
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("spread")
     # the number is computed once, in the array that is exploded; no copies are an empty one
-    copies = joined.select(*inner, "key", spread, F.posexplode(F.array_repeat(F.lit(True), times)).alias("before", "is_copy"))
+    copies = joined.select(
+        *inner, "key", spread, F.posexplode(F.array_repeat(F.lit(True), times)).alias("before", "is_copy")
+    )
     copies = copies.select(*inner, "key", "spread", (F.col("before") + 1).alias("copy"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), "key", F.col("copy").cast("string"))))
+    keyed = copies.withColumn(
+        "mix_key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), "key", F.col("copy").cast("string")))
+    )
     # dealt by one hash and sorted by another: a global shuffle that needs no sample of the keys, so texts are read once
     mixed = keyed.drop("key").repartition("mix_key", "spread").sortWithinPartitions("mix_key")
     return mixed.select(*[F.col(n).alias(c) for c, n in at.items()], "copy", "mix_key")

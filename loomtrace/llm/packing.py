@@ -102,7 +102,14 @@ def levelled(windows: list[list[tuple[int, int, int]]], window: int) -> list[lis
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, used long, padded_to long"
 
 
-def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str | None = None, with_ids: bool = False, block_tokens: int = 4_000_000) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    window: int = 2_048,
+    end_id: int = END_ID,
+    path: str | None = None,
+    with_ids: bool = False,
+    block_tokens: int = 4_000_000,
+) -> DataFrame:
     """One row per piece: doc_id, start (tokens of its document before it), length, ids_crc32 (of the ids as little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset in the sequence, used (tokens of the sequence), padded_to (`window`,
     or `used` where that is a power of two); with_ids adds the piece's ids as array<int>.
@@ -125,14 +132,32 @@ def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str |
                 for item, start, n in parts:
                     doc, raw = held[item]
                     ids = raw[4 * start : 4 * (start + n)]
-                    rows.append((doc, start, n, zlib.crc32(ids), len(raw) // 4, base + number, at, used, used if used & (used - 1) == 0 else window, ids))
+                    rows.append(
+                        (
+                            doc,
+                            start,
+                            n,
+                            zlib.crc32(ids),
+                            len(raw) // 4,
+                            base + number,
+                            at,
+                            used,
+                            used if used & (used - 1) == 0 else window,
+                            ids,
+                        )
+                    )
                     at += n
                 number += 1
             held, tokens = [], 0
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(columns[0], doc_type), *(pa.array(c, pa.int64()) for c in columns[1:9])]
             if with_ids:
-                arrays.append(pa.ListArray.from_arrays(pa.array([0, *_running(columns[2])], pa.int32()), pa.Array.from_buffers(pa.int32(), sum(columns[2]), [None, pa.py_buffer(b"".join(columns[9]))])))
+                arrays.append(
+                    pa.ListArray.from_arrays(
+                        pa.array([0, *_running(columns[2])], pa.int32()),
+                        pa.Array.from_buffers(pa.int32(), sum(columns[2]), [None, pa.py_buffer(b"".join(columns[9]))]),
+                    )
+                )
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in small_batches(batches, 1, 4_000_000):
@@ -148,7 +173,9 @@ def pack(docs: DataFrame, window: int = 2_048, end_id: int = END_ID, path: str |
             yield close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_arrow(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)
+    return small_arrow(docs).select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids
+    )
 
 
 def _running(lengths) -> list[int]:

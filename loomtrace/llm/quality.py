@@ -81,7 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, rank: int =
     chosen = of(F.col("_label") < 0.5).union(of(F.col("_label") >= 0.5))
     # at most 2 x per_class rows of 16 bytes
     texts = small_arrow(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", F.xxhash64("text").alias("hash"), "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "_label", F.xxhash64("text").alias("hash"), "text"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +115,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for a, b in in_blocks(texts, 2_000_000):
                 for c in range(a, b, 256):
                     scores[c : min(c + 256, b)] = shared.value.scores(texts[c : min(c + 256, b)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(scores, pa.float64())], names=[*names, "quality_score"]
+            )
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     scored = docs.toDF(*names).mapInArrow(run, f"{schema}, quality_score double")

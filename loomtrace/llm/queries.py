@@ -26,7 +26,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
-    probe = spark.sql("SELECT -7L AS conv_id, turn, role, :said AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", args={"said": said})
+    probe = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, :said AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)",
+        args={"said": said},
+    )
     return chat.digests(chat.format_conversations(turns.unionByName(probe)), in_order=True)
 
 
@@ -42,7 +45,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     held_out = fold_of(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.col("quality_label").alias("predicted"),
+    )
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +109,18 @@ FROM copies c JOIN rows r ON r.row_id = c.row_id
 
 
 def queries() -> dict:
-    own = (op1_source_mixing, op2_substring_dedup, op3_chat_formatting, op4_token_counts, op5_packing, op6_quality_classifier, op7_embedding_dedup, op8_vector_search, op9_minhash_dedup, op10_language_id)
+    own = (
+        op1_source_mixing,
+        op2_substring_dedup,
+        op3_chat_formatting,
+        op4_token_counts,
+        op5_packing,
+        op6_quality_classifier,
+        op7_embedding_dedup,
+        op8_vector_search,
+        op9_minhash_dedup,
+        op10_language_id,
+    )
     return {f.__name__: f for f in own}
 
 

@@ -69,7 +69,9 @@ def runs(texts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, ...]
     back = np.cumprod(np.full(len(flat), _INVERSE))
     sums = np.r_[np.uint64(0), np.cumsum(flat * power)]
     run = mixed((sums[last + window] - sums[first]) * back[first])
-    run = mixed(run + (anchor[first] - first).astype(np.uint64) * np.uint64(1_000_003) + (last - first).astype(np.uint64))
+    run = mixed(
+        run + (anchor[first] - first).astype(np.uint64) * np.uint64(1_000_003) + (last - first).astype(np.uint64)
+    )
     which = text[first]
     return which, of_gram[anchor[first]].view(np.int64), run.view(np.int64), first - starts[which], last - first
 
@@ -156,20 +158,49 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         for batch in small_batches(batches, 1, 1_000_000):
             uid, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             text, head, run, first, more = runs(texts, window, prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[text]), pa.array(head), pa.array(run), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32))], names=["uid", "head", "run", "first", "more"])
-
-    every = written(source.select("uid", names[at]).mapInArrow(anchors, "uid long, head long, run long, first int, more int"), "suffix-anchors")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(uid[text]),
+                    pa.array(head),
+                    pa.array(run),
+                    pa.array(first.astype(np.int32)),
+                    pa.array(more.astype(np.int32)),
+                ],
+                names=["uid", "head", "run", "first", "more"],
+            )
+
+    every = written(
+        source.select("uid", names[at]).mapInArrow(anchors, "uid long, head long, run long, first int, more int"),
+        "suffix-anchors",
+    )
     # the short prefixes that several suffixes have, and whether the tree branches below them
     heads = every.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi"))
-    heads = written(heads.filter("n > 1").select("head", (F.col("lo") != F.col("hi")).alias("branches")), "suffix-prefixes")
-    shared = written(every.join(heads, "head").select("uid", "head", "run", F.col("first").cast("long").alias("first"), "more", "branches"), "suffix-shared")
+    heads = written(
+        heads.filter("n > 1").select("head", (F.col("lo") != F.col("hi")).alias("branches")), "suffix-prefixes"
+    )
+    shared = written(
+        every.join(heads, "head").select(
+            "uid", "head", "run", F.col("first").cast("long").alias("first"), "more", "branches"
+        ),
+        "suffix-shared",
+    )
     branching = shared.filter("branches")
-    edges = written(branching.groupBy("head", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("one")), "suffix-edges")
-    large = written(edges.groupBy("head").agg(F.count(F.lit(1)).alias("_runs")).filter(F.col("_runs") > SUBTREE).select("head", F.lit(4).alias("_large")), "suffix-large")
+    edges = written(
+        branching.groupBy("head", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("one")),
+        "suffix-edges",
+    )
+    large = written(
+        edges.groupBy("head").agg(F.count(F.lit(1)).alias("_runs")).filter(F.col("_runs") > SUBTREE).select(
+            "head", F.lit(4).alias("_large")
+        ),
+        "suffix-large",
+    )
     is_one = (F.col("one.uid") == F.col("uid")) & (F.col("one.first") == F.col("first"))
     kind = F.when(F.col("n") == 1, SPLIT).when(is_one, BOTH).otherwise(WHOLE) + F.coalesce("_large", F.lit(0))
     code = lambda k: packed(F.col("first"), F.col("more"), k).alias("code")
-    todo = shared.filter("NOT branches").select("uid", code(F.lit(WHOLE))).union(branching.join(edges, ["head", "run"]).join(large, "head", "left").select("uid", code(kind)))
+    todo = shared.filter("NOT branches").select("uid", code(F.lit(WHOLE))).union(
+        branching.join(edges, ["head", "run"]).join(large, "head", "left").select("uid", code(kind))
+    )
     # a set: rows that repeat a document have its codes too; written, so that the join below has two plain shuffles
     todo = written(todo.groupBy("uid").agg(F.collect_set("code").alias("codes")), "suffix-codes")
 
@@ -179,7 +210,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     def cut(words: list[bytes], gone: np.ndarray) -> bytes:
         return b" ".join([words[k] for k in np.flatnonzero(~gone)] if gone.any() else words)
 
-    branch = pa.struct([("head", pa.int64()), ("first", pa.int64()), ("more", pa.int64()), ("one", pa.bool_()), ("large", pa.bool_()), ("words", pa.binary())])
+    branch = pa.struct(
+        [
+            ("head", pa.int64()),
+            ("first", pa.int64()),
+            ("more", pa.int64()),
+            ("one", pa.bool_()),
+            ("large", pa.bool_()),
+            ("words", pa.binary()),
+        ]
+    )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finishes documents whose runs are all decided; of the others, the runs for subtrees."""
@@ -196,7 +236,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     of_gram = grams(flat, prefix)
                     rows = zip(*(x[undecided].tolist() for x in (first, more, what, large)), strict=True)
                     anchor = lambda i: int(of_gram[i : i + window - prefix + 1].min().view(np.int64))
-                    branches.append([(anchor(i), i, m, w == BOTH, lg == 1, flat[i : i + m + window].tobytes()) for i, m, w, lg in rows])
+                    branches.append(
+                        [
+                            (anchor(i), i, m, w == BOTH, lg == 1, flat[i : i + m + window].tobytes())
+                            for i, m, w, lg in rows
+                        ]
+                    )
                     kept.append(text)
                     n_removed.append(0)
                     open_codes.append(code[what != SPLIT].tolist())
@@ -206,9 +251,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     n_removed.append(int(gone.sum()))
                     for x in (open_codes, branches):
                         x.append(None)
-            extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(open_codes, pa.list_(pa.int64())), pa.array(branches, pa.list_(branch))]
-            columns = [*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], *extra]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "uid", "n_words", "n_removed", "codes", "branches"])
+            extra = [
+                pa.array(n_words, pa.int64()),
+                pa.array(n_removed, pa.int64()),
+                pa.array(open_codes, pa.list_(pa.int64())),
+                pa.array(branches, pa.list_(branch)),
+            ]
+            columns = [
+                *batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names) + 1], *extra
+            ]
+            yield pa.RecordBatch.from_arrays(
+                columns, names=[*names, "uid", "n_words", "n_removed", "codes", "branches"]
+            )
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (head, uid, first, words) sorted by head; a subtree is never cut."""
@@ -220,7 +274,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
             deep = np.flatnonzero(deep_nodes(np.concatenate(runs_words), ends, window))
             which = np.searchsorted(ends, deep, side="right")
             place = table["first"].to_numpy()[which] + deep - np.r_[0, ends][which]
-            return pa.RecordBatch.from_arrays([pa.array(table["uid"].to_numpy()[which]), pa.array(packed(place, 0, WHOLE))], names=["uid", "code"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(table["uid"].to_numpy()[which]), pa.array(packed(place, 0, WHOLE))], names=["uid", "code"]
+            )
 
         for batch in batches:
             held, n = [*held, batch], n + len(batch)
@@ -241,27 +297,52 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, at, 4_000_000):
             kept, n_removed = [], []
-            for text, code, more_code in zip(batch.column(at).to_pylist(), codes_of(batch.column(len(names) + 1)), codes_of(batch.column(len(names) + 2)), strict=True):
+            for text, code, more_code in zip(
+                batch.column(at).to_pylist(),
+                codes_of(batch.column(len(names) + 1)),
+                codes_of(batch.column(len(names) + 2)),
+                strict=True,
+            ):
                 words = text.split()
                 first, more, _, _ = unpacked(np.concatenate([code, more_code]))
                 gone = covered(len(words), first, more, window)
                 kept.append(cut(words, gone))
                 n_removed.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(kept, pa.binary()), *batch.columns[at + 1 : len(names)], batch.column(len(names)), pa.array(n_removed, pa.int64())], names=[*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:at],
+                    pa.array(kept, pa.binary()),
+                    *batch.columns[at + 1 : len(names)],
+                    batch.column(len(names)),
+                    pa.array(n_removed, pa.int64()),
+                ],
+                names=[*names, "n_words", "n_removed"],
+            )
 
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema, strict=False))
     met = source.join(todo, "uid", "left").select(*names, "uid", "codes")
-    more_columns = "codes array<long>, branches array<struct<head:long,first:long,more:long,one:boolean,large:boolean,words:binary>>"
-    state = written(met.mapInArrow(split, f"{base}, uid long, n_words long, n_removed long, {more_columns}"), "suffix-documents")
+    more_columns = (
+        "codes array<long>, branches "
+        "array<struct<head:long,first:long,more:long,one:boolean,large:boolean,words:binary>>"
+    )
+    state = written(
+        met.mapInArrow(split, f"{base}, uid long, n_words long, n_removed long, {more_columns}"), "suffix-documents"
+    )
     waiting = state.filter("codes IS NOT NULL")
     branches = waiting.select("uid", F.explode("branches").alias("b")).select("uid", "b.*")
     # what stands for several runs comes once for each row that repeats its document: one is enough
     branches = branches.filter("NOT one").union(branches.filter("one").dropDuplicates(["head", "uid", "first"]))
     groups = branches.filter("NOT large").select("head", "uid", "first", "words")
     # large subtrees: windows by longer and longer prefixes, as bytes of their words
-    windows = branches.filter("large").select("uid", "first", "words", F.explode(F.sequence(F.lit(0), F.col("more").cast("int"))).alias("k"))
+    windows = branches.filter("large").select(
+        "uid", "first", "words", F.explode(F.sequence(F.lit(0), F.col("more").cast("int"))).alias("k")
+    )
     start = F.col("k") * 8 + 1
-    windows = windows.select("uid", (F.col("first") + F.col("k")).alias("first"), F.col("words").substr(start, F.lit(8 * window)).alias("words"))
+    windows = windows.select(
+        "uid",
+        (F.col("first") + F.col("k")).alias("first"),
+        F.col("words").substr(start, F.lit(8 * window)).alias("words"),
+    )
     windows = written(windows, "suffix-windows")
     for length in [x for x in PREFIXES if prefix < x < window]:
         if windows.isEmpty():
@@ -269,14 +350,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         key = windows.withColumn("prefix", F.substring("words", 1, 8 * length))
         sizes = written(key.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-prefixes")
         key = key.join(sizes, "prefix")
-        groups = groups.unionByName(key.filter(F.col("n") <= SUBTREE).select(F.xxhash64("prefix").alias("head"), "uid", "first", "words"))
+        groups = groups.unionByName(
+            key.filter(F.col("n") <= SUBTREE).select(F.xxhash64("prefix").alias("head"), "uid", "first", "words")
+        )
         windows = written(key.filter(F.col("n") > SUBTREE).select("uid", "first", "words"), "suffix-windows")
     in_trees = groups.repartition("head").sortWithinPartitions("head").mapInArrow(subtrees, "uid long, code long")
-    nodes = written(windows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("words"), "suffix-nodes")
+    nodes = written(
+        windows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("words"), "suffix-nodes"
+    )
     in_large = windows.join(nodes, "words").select("uid", packed(F.col("first"), F.lit(0), F.lit(WHOLE)).alias("code"))
     found = in_trees.union(in_large).groupBy("uid").agg(F.collect_set("code").alias("found"))
-    late = waiting.select(*names, "uid", "n_words", "codes").join(found, "uid", "left").select(*names, "codes", "found", "n_words")
+    late = waiting.select(*names, "uid", "n_words", "codes").join(found, "uid", "left").select(
+        *names, "codes", "found", "n_words"
+    )
     late = late.select(*names, "n_words", "codes", "found").mapInArrow(finish, f"{base}, n_words long, n_removed long")
     early = state.filter("codes IS NULL").select(*names, "n_words", "n_removed")
     out = early.unionByName(late)
-    return out.select(*[F.col(n).cast("string" if c == "text" else docs.schema[c].dataType).alias(c) for n, c in zip(names, docs.columns, strict=True)], "n_words", "n_removed")
+    return out.select(
+        *[
+            F.col(n).cast("string" if c == "text" else docs.schema[c].dataType).alias(c)
+            for n, c in zip(names, docs.columns, strict=True)
+        ],
+        "n_words",
+        "n_removed",
+    )

@@ -123,7 +123,8 @@ def shard_trees(good: DataFrame, shard_rows: int, longest: float) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, relax: float = 1.5, shard_rows: int = 8_192, block_rows: int = 65_536
+    vectors: DataFrame, is_query: Column, k: int = 20, relax: float = 1.5, shard_rows: int = 8_192,
+    block_rows: int = 65_536
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found of every row for which is_query holds. A block of
     queries (block_rows vectors) is held by the driver and by each task, one block at a time."""
@@ -146,7 +147,9 @@ def search(
 
     found = []
     for b in range(blocks):
-        asked = small_arrow(asking).filter(F.col("block") == b).select("vec_id", F.size("embedding").alias("dims"), "embedding").toArrow()
+        asked = small_arrow(asking).filter(F.col("block") == b).select(
+            "vec_id", F.size("embedding").alias("dims"), "embedding"
+        ).toArrow()
         by_dims = {}
         for dims in set(asked["dims"].to_pylist()):
             same = asked.filter(pa.compute.equal(asked["dims"], dims)).combine_chunks()
@@ -172,7 +175,9 @@ def _of_block(trees: DataFrame, by_dims: dict[int, tuple], k: int, relax: float)
                     pickle.loads(stored.as_buffer()).search(asked[dims], relax)
         for dims, a in asked.items():
             q, place = np.nonzero(a.best != NONE)
-            columns = [pa.array(a.own[q]), pa.array(q + (dims << 32)), pa.array(a.best[q, place]), pa.array(a.score[q, place])]
+            columns = [
+                pa.array(a.own[q]), pa.array(q + (dims << 32)), pa.array(a.best[q, place]), pa.array(a.score[q, place])
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row", "vec_id", "score"])
 
     found = trees.select("dims", "tree").mapInArrow(run, "query_id long, row long, vec_id long, score double")

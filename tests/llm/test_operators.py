@@ -28,8 +28,24 @@ def words(n: int, seed: int, vocabulary: int = 400) -> str:
 @pytest.fixture(scope="module")
 def texts() -> list[tuple]:
     base = words(120, 1)
-    rows = [(1, base, "en", "a"), (2, base, "en", "a"), (3, base.replace("w1 ", "x1 ", 1), "en", "b"), (4, words(300, 2), "fr", None), (5, None, None, "a"), (6, "", "en", "b"), (7, " \n\t", None, "b")]
-    rows += [(8, words(20, 3), "en", "c"), (9, words(50, 4) + " " + words(60, 2)[: 8 * 60], "fr", "c"), (9, words(50, 4), "fr", "c"), (10, "one two", "en", "a"), (11, "one two", "en", "a"), (12, words(4_000, 5, 9_000), "en", "a"), (None, words(40, 6), "en", "a")]
+    rows = [
+        (1, base, "en", "a"),
+        (2, base, "en", "a"),
+        (3, base.replace("w1 ", "x1 ", 1), "en", "b"),
+        (4, words(300, 2), "fr", None),
+        (5, None, None, "a"),
+        (6, "", "en", "b"),
+        (7, " \n\t", None, "b"),
+    ]
+    rows += [
+        (8, words(20, 3), "en", "c"),
+        (9, words(50, 4) + " " + words(60, 2)[: 8 * 60], "fr", "c"),
+        (9, words(50, 4), "fr", "c"),
+        (10, "one two", "en", "a"),
+        (11, "one two", "en", "a"),
+        (12, words(4_000, 5, 9_000), "en", "a"),
+        (None, words(40, 6), "en", "a"),
+    ]
     rows += [(20 + k, words(80, 100 + k) + " " + words(45, 77), "en", "hot") for k in range(12)]
     return rows
 
@@ -38,11 +54,29 @@ def texts() -> list[tuple]:
 def docs(spark, texts):
     """With columns whose names the operators use themselves."""
     rows = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
-    return rows.withColumns({"n_chars": F.length("text").cast("long"), "uid": F.lit("x"), "node": F.lit(1), "codes": F.lit(2), "copy": F.lit(0), "n_words": F.lit(-1), "quality_score": F.lit(-1.0), "rate": F.lit(9)}).repartition(3)
+    return rows.withColumns(
+        {
+            "n_chars": F.length("text").cast("long"),
+            "uid": F.lit("x"),
+            "node": F.lit(1),
+            "codes": F.lit(2),
+            "copy": F.lit(0),
+            "n_words": F.lit(-1),
+            "quality_score": F.lit(-1.0),
+            "rate": F.lit(9),
+        }
+    ).repartition(3)
 
 
 def test_mixing_equals_an_inverted_poisson(spark, docs, texts):
-    clashing = docs.withColumns({x: F.lit(5) for x in ("_source", "_u", "_n", "n_parts", "cdf", "key", "spread", "rate_source", "times", "drawn", "mix_key")})
+    clashing = docs.withColumns(
+        {
+            x: F.lit(5)
+            for x in (
+                "_source", "_u", "_n", "n_parts", "cdf", "key", "spread", "rate_source", "times", "drawn", "mix_key"
+            )
+        }
+    )
     mixed = mixing.mix(clashing, {"a": 5.0, "hot": 0.5}, seed=3)
     assert mixed.columns == [*[c for c in clashing.columns if c not in ("copy", "mix_key")], "copy", "mix_key"]
     out = mixed.collect()
@@ -70,10 +104,18 @@ def test_mixing_equals_an_inverted_poisson(spark, docs, texts):
 
 
 def test_mixing_spreads_rows_without_ids(spark):
-    some = spark.range(2_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
-    same = spark.range(2_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("all equal").alias("text"), F.lit("s").alias("source"))
+    some = spark.range(2_000).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.concat(F.lit("text "), "id").alias("text"),
+        F.lit("s").alias("source"),
+    )
+    same = spark.range(2_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("all equal").alias("text"), F.lit("s").alias("source")
+    )
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spread = [mixing.mix(rows, {}, budget=3.0).select(F.spark_partition_id().alias("part")).collect() for rows in (some, same)]
+    spread = [
+        mixing.mix(rows, {}, budget=3.0).select(F.spark_partition_id().alias("part")).collect() for rows in (some, same)
+    ]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for rows in spread:
         parts = collections.Counter(r.part for r in rows)
@@ -83,7 +125,9 @@ def test_mixing_spreads_rows_without_ids(spark):
 
 
 def test_mixing_draws_large_means_in_parts(spark):
-    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.lit("s").alias("source"))
+    rows = spark.range(200).select(
+        F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.lit("s").alias("source")
+    )
     n = mixing.mix(rows, {}, budget=100.0).count()
     assert abs(n - 200 * 100) < 5 * (200 * 100) ** 0.5
 
@@ -112,7 +156,12 @@ def test_substring_dedup_equals_brute_force(docs, texts, window, prefix):
 
 
 def test_substring_dedup_of_periodic_and_empty_input(spark):
-    rows = [(1, "a b " * 60, "s"), (2, "a " * 36, "s"), (3, " ".join(map(str, range(100))), "s"), (3, " ".join(map(str, range(100))), "s")]
+    rows = [
+        (1, "a b " * 60, "s"),
+        (2, "a " * 36, "s"),
+        (3, " ".join(map(str, range(100))), "s"),
+        (3, " ".join(map(str, range(100))), "s"),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
     assert got == sorted((d, x[1]) for (d, *_), x in zip(rows, brute_repeats(rows, 35), strict=True))
@@ -121,9 +170,13 @@ def test_substring_dedup_of_periodic_and_empty_input(spark):
 
 def test_chat_round_trip_and_mask(spark):
     tricky = [r"\### Assistant: </turn> ok", "<|endoftext|>", r"\<|\\", "é日本<", "", None, "a|>b", "\\", "<\\|x"]
-    rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(tricky)] + [(2, 0, None, "x"), (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (None, None, "assistant", "n")]
+    rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(tricky)] + [
+        (2, 0, None, "x"), (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (None, None, "assistant", "n")
+    ]
     rows += [(3, k, "assistant", words(200, k)) for k in range(40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(7))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn(
+        "segment", F.lit(7)
+    )
     for most in (1_000_000, 500):  # in one segment, and in many
         got = {r.conv_id: r for r in chat.digests(chat.format_conversations(df, segment_chars=most)).collect()}
         assert set(got) == {1, 2, 3, None}
@@ -149,7 +202,10 @@ def test_chat_round_trip_and_mask(spark):
 
 def test_token_counts_equal_the_library(docs, texts):
     tok = tokenizer()
-    want = sorted(((d is None, d or 0), len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False))) for d, t, *_ in texts)
+    want = sorted(
+        ((d is None, d or 0), len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False)))
+        for d, t, *_ in texts
+    )
     for chunk, overlap in ((65_536, 1_024), (200, 20)):
         got = token_counts.count_tokens(docs, chunk=chunk, overlap=overlap).collect()
         assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, r.n_tokens) for r in got) == want
@@ -158,7 +214,27 @@ def test_token_counts_equal_the_library(docs, texts):
 
 def test_resync_and_memo_are_exact_on_hostile_text():
     r, tok = random.Random(1), tokenizer()
-    alphabet = [" ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "\x1f", "a", "bé", "don't", "<|endoftext|>", "12", "!!", ".", ",", "日本", "\r\n", "\x0b"]
+    alphabet = [
+        " ",
+        "  ",
+        "\n",
+        "\t",
+        "\xa0",
+        "\x85",
+        "\x1c",
+        "\x1f",
+        "a",
+        "bé",
+        "don't",
+        "<|endoftext|>",
+        "12",
+        "!!",
+        ".",
+        ",",
+        "日本",
+        "\r\n",
+        "\x0b",
+    ]
     for _ in range(400):
         s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 120)))
         ids = tok.encode(s, add_special_tokens=False).ids
@@ -231,7 +307,9 @@ def test_quality_votes_equal_brute_force_and_held_out_rows_are_right(spark):
         cosines = [sum(p * q for p, q in zip(x, v, strict=True)) for v in vectors]
         near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: model.k]
         votes = [max(cosines[k], 0) ** 4 for k in near]
-        want = sum(v * model.labels[k] for v, k in zip(votes, near, strict=True)) / sum(votes) if sum(votes) else model.labels.mean()
+        want = sum(v * model.labels[k] for v, k in zip(votes, near, strict=True)) / sum(votes) if sum(
+            votes
+        ) else model.labels.mean()
         assert abs(got[r.doc_id].quality_score - want) < 1e-3
     held = [d for d, v in learned.items() if fold(d, 5) == 0 and d in got and v is not None]
     assert len(held) > 30 and np.mean([got[d].quality_label == learned[d] for d in held]) >= 0.95
@@ -249,7 +327,10 @@ def test_language_losses_equal_brute_force_and_held_out_rows_are_right(spark):
             continue
         x = np.log1p(plain_trigrams(r.text, language.BITS, True))
         margins = x / np.linalg.norm(x) @ model.weights.astype(np.float64) + model.bias
-        losses = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, code, margins, strict=True)) for code in model.code]
+        losses = [
+            sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, code, margins, strict=True))
+            for code in model.code
+        ]
         chances = np.exp(min(losses) - np.array(losses))
         assert got[r.doc_id].lang_pred == model.languages[int(np.argmin(losses))]
         assert abs(got[r.doc_id].score - chances.max() / chances.sum()) < 1e-3
@@ -258,11 +339,25 @@ def test_language_losses_equal_brute_force_and_held_out_rows_are_right(spark):
 
 
 def test_classifiers_of_odd_rows(spark):
-    good, bad = [words(60, k, 80) for k in range(150)], [words(30, k, 80).upper().replace(" ", "!! ") + " x" * 40 for k in range(150)]
+    good, bad = [words(60, k, 80) for k in range(150)], [
+        words(30, k, 80).upper().replace(" ", "!! ") + " x" * 40 for k in range(150)
+    ]
     rows = [(k, t, "en" if k % 2 else "xx") for k, t in enumerate([y for x in zip(good, bad, strict=True) for y in x])]
-    odd = [(900, None, None), (901, "", "en"), (902, "123 !!", None), (None, good[0], "en"), (903, words(150_000, 1), None), (0, good[1], "xx"), (0, good[2], "xx")]
-    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string").withColumns({"_label": F.lit(3), "hash": F.lit(1), "share": F.lit(2), "cells": F.lit("c")})
-    labels = df.filter("doc_id < 900 AND lang IS NOT NULL").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality")).union(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality long"))
+    odd = [
+        (900, None, None),
+        (901, "", "en"),
+        (902, "123 !!", None),
+        (None, good[0], "en"),
+        (903, words(150_000, 1), None),
+        (0, good[1], "xx"),
+        (0, good[2], "xx"),
+    ]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string").withColumns(
+        {"_label": F.lit(3), "hash": F.lit(1), "share": F.lit(2), "cells": F.lit("c")}
+    )
+    labels = df.filter("doc_id < 900 AND lang IS NOT NULL").select(
+        "doc_id", (1 - F.col("doc_id") % 2).alias("quality")
+    ).union(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality long"))
     model = quality.fit(df, labels, per_class=50, rank=8, k=5)
     assert len(model.labels) == 100
     again = quality.fit(df.repartition(5), labels.repartition(2), per_class=50, rank=8, k=5)
@@ -271,7 +366,9 @@ def test_classifiers_of_odd_rows(spark):
     assert scored.columns == [*df.columns, "quality_score", "quality_label"]
     got = scored.collect()
     assert len(got) == 307 and all(0 <= r.quality_score <= 1 for r in got)
-    assert np.mean([r.quality_label == 1 - r.doc_id % 2 for r in got if r.doc_id is not None and 0 < r.doc_id < 900]) > 0.95
+    assert np.mean(
+        [r.quality_label == 1 - r.doc_id % 2 for r in got if r.doc_id is not None and 0 < r.doc_id < 900]
+    ) > 0.95
     assert all(r.quality_label == 1 for r in quality.score(df, quality.fit(df, labels.limit(0))).collect())
     assert quality.score(df.limit(0), model).count() == 0
     found = language.identify(df, language.fit(df)).collect()
@@ -280,7 +377,9 @@ def test_classifiers_of_odd_rows(spark):
 
 
 def test_all_languages_are_learned(spark):
-    rows = [(7 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 20, f"l{k:03d}") for k in range(210) for j in range(6)]
+    rows = [
+        (7 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 20, f"l{k:03d}") for k in range(210) for j in range(6)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(df, per_language=3)
     assert len(model.languages) == 210
@@ -297,8 +396,19 @@ def vectors(spark):
     base = r.standard_normal((300, 16)).astype(np.float32)
     near = base[:40] + 0.05 * r.standard_normal((40, 16)).astype(np.float32)
     rows = [(k, v.tolist()) for k, v in enumerate([*base, *near, *base[:5], *base[:1]])]
-    odd = [(1_000, None), (1_001, [0.0] * 16), (1_002, [float("nan")] * 16), (1_003, [1.0, None] * 8), (1_004, [1.0, 2.0]), (1_005, [2.0, 4.0]), (1_006, []), (1_007, [float("inf")] * 16)]
-    return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "tile": F.lit("t"), "rep": F.lit(0)}), rows
+    odd = [
+        (1_000, None),
+        (1_001, [0.0] * 16),
+        (1_002, [float("nan")] * 16),
+        (1_003, [1.0, None] * 8),
+        (1_004, [1.0, 2.0]),
+        (1_005, [2.0, 4.0]),
+        (1_006, []),
+        (1_007, [float("inf")] * 16),
+    ]
+    return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns(
+        {"label": F.lit(1), "tile": F.lit("t"), "rep": F.lit(0)}
+    ), rows
 
 
 def test_embedding_dedup_equals_brute_force(spark):
@@ -322,7 +432,9 @@ def test_embedding_dedup_equals_brute_force(spark):
 def test_embeddings_that_share_an_id_have_the_links_of_their_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (4, [0.01, 1.0]), (None, [1.0, 0.0])]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [
+        (0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)
+    ]
 
 
 def test_vector_search_is_exact_at_factor_one(spark):
@@ -330,7 +442,9 @@ def test_vector_search_is_exact_at_factor_one(spark):
     x, ids = np.array([v for _, v in rows], dtype=np.float64), np.arange(len(rows))
     for shard, relax, least in ((8_192, 1.0, 1.0), (64, 1.0, 1.0), (64, 1.5, 0.9)):
         got = collections.defaultdict(list)
-        for r in vector_search.search(df, F.col("vec_id") % 20 == 0, 10, relax, shard, 7).orderBy("query_id", "rank").collect():
+        for r in vector_search.search(df, F.col("vec_id") % 20 == 0, 10, relax, shard, 7).orderBy(
+            "query_id", "rank"
+        ).collect():
             got[r.query_id].append((r.vec_id, r.score))
         hit = total = 0
         for q in ids[ids % 20 == 0].tolist():
@@ -343,8 +457,14 @@ def test_vector_search_is_exact_at_factor_one(spark):
         assert hit / total >= least
     assert vector_search.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     # repeated queries: once with their vector, each with another
-    odd = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(odd, F.col("vec_id") % 20 == 0, 3).collect())
+    odd = spark.createDataFrame(
+        [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (None, [9.0, 9.0])],
+        "vec_id long, embedding array<double>",
+    )
+    got = sorted(
+        (r.query_id, r.rank, r.vec_id, r.score)
+        for r in vector_search.search(odd, F.col("vec_id") % 20 == 0, 3).collect()
+    )
     assert got == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 1.0)]
 
 
@@ -370,16 +490,24 @@ def test_minhash_classes_equal_brute_force(docs, texts):
     flat, starts = minhash.shingles(raw)
     sets = [(flat[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(starts[:-1], starts[1:], strict=True)]
     n = len(texts)
-    linked = [[i != j and len(sets[i]) > 0 and minhash.similarity(sets[i], sets[j], weights) >= 0.8 for j in range(n)] for i in range(n)]
+    linked = [
+        [i != j and len(sets[i]) > 0 and minhash.similarity(sets[i], sets[j], weights) >= 0.8 for j in range(n)]
+        for i in range(n)
+    ]
     label = list(range(n))
     for _ in range(n):
         label = [min([label[i], *[label[j] for j in range(n) if linked[i][j]]]) for i in range(n)]
-    want = sorted((d, min([texts[j][0] for j in range(n) if label[j] == label[i] and texts[j][0] is not None], default=None)) for i, (d, *_) in enumerate(texts) if d is not None)
+    want = sorted(
+        (d, min([texts[j][0] for j in range(n) if label[j] == label[i] and texts[j][0] is not None], default=None))
+        for i, (d, *_) in enumerate(texts) if d is not None
+    )
     # many bands of one row: every similar pair is a candidate
     got = minhash.near_duplicates(docs, bands=24, rows=2).collect()
     assert len(got) == n and sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == want
     i, j = minhash.links_within(sets, weights, 0.8)
-    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if len(sets[a])} == {(a, b) for a in range(n) for b in range(a + 1, n) if linked[a][b]}
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if len(sets[a])} == {
+        (a, b) for a in range(n) for b in range(a + 1, n) if linked[a][b]
+    }
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
     kept = [r.doc_id for r in kept.collect()]
@@ -389,12 +517,29 @@ def test_minhash_classes_equal_brute_force(docs, texts):
 
 def test_minhash_keeps_one_row_of_each_class_whatever_the_ids(spark):
     a, b, c, d = (words(60, 900 + k, 10_000) for k in range(4))
-    rows = [(3, a), (9, a), (9, b), (None, c), (None, c), (7, d), (7, d), (7, d + " x"), (None, None), (None, None), (8, ""), (8, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_n": F.lit(1), "_id": F.lit(2), "uid": F.lit("u"), "times": F.lit(3), "kept": F.lit(False)}).repartition(3)
+    rows = [
+        (3, a),
+        (9, a),
+        (9, b),
+        (None, c),
+        (None, c),
+        (7, d),
+        (7, d),
+        (7, d + " x"),
+        (None, None),
+        (None, None),
+        (8, ""),
+        (8, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"_n": F.lit(1), "_id": F.lit(2), "uid": F.lit("u"), "times": F.lit(3), "kept": F.lit(False)}
+    ).repartition(3)
     got = minhash.keep_one(df)
     assert got.columns == df.columns
     text = {a: "a", b: "b", c: "c", d: "d", d + " x": "d"}
-    assert sorted((r.doc_id or -1, text.get(r.text, "-")) for r in got.collect()) == [(-1, "-"), (-1, "-"), (-1, "c"), (3, "a"), (7, "d"), (8, "-"), (8, "-"), (9, "b")]
+    assert sorted((r.doc_id or -1, text.get(r.text, "-")) for r in got.collect()) == [
+        (-1, "-"), (-1, "-"), (-1, "c"), (3, "a"), (7, "d"), (8, "-"), (8, "-"), (9, "b")
+    ]
     classes = minhash.near_duplicates(df).collect()
     assert len(classes) == len(rows)
     assert len({r.group_id for r in classes if r.group_id is not None}) == 4
@@ -415,7 +560,15 @@ def test_minhash_of_crowded_buckets_equals_brute_force(spark, monkeypatch):
     """Buckets of several components, in tiles of a few members; two rows a band make all meet."""
     r = random.Random(8)
     base = words(100, 70, 100_000).split()
-    rows = [(k, " ".join([*base[: r.choice((70, 80, 88, 96))], *words(30, 7_000 + k, 100_000).split()[: r.choice((0, 1, 2, 3))]])) for k in range(120)]
+    rows = [
+        (
+            k,
+            " ".join(
+                [*base[: r.choice((70, 80, 88, 96))], *words(30, 7_000 + k, 100_000).split()[: r.choice((0, 1, 2, 3))]]
+            ),
+        )
+        for k in range(120)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     weights = minhash.tfidf_weights(df)
     flat, starts = minhash.shingles([t.encode() for _, t in rows])
@@ -437,7 +590,10 @@ def test_minhash_finds_pairs_just_above_the_threshold(spark):
     rows = []
     for k in range(3_000):
         base, cut = words(100, 1_000 + k, 1_000_000), 92 - k % 3
-        rows += [(2 * k, base), (2 * k + 1, " ".join([*base.split()[:cut], *words(100 - cut, 10_000 + k, 1_000_000).split()]))]
+        rows += [
+            (2 * k, base),
+            (2 * k + 1, " ".join([*base.split()[:cut], *words(100 - cut, 10_000 + k, 1_000_000).split()])),
+        ]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     weights = minhash.tfidf_weights(df)
     flat, starts = minhash.shingles([t.encode() for _, t in rows])
@@ -475,7 +631,9 @@ def test_deep_nodes_are_repeated_windows():
     for window in (1, 2, 3, 5, 7):
         seen = collections.Counter(tuple(x[k : k + window]) for x in runs for k in range(len(x) - window + 1))
         want = [k + window <= len(x) and seen[tuple(x[k : k + window])] > 1 for x in runs for k in range(len(x))]
-        got = substring_dedup.deep_nodes(np.array([y for x in runs for y in x], dtype=np.uint64), np.cumsum([len(x) for x in runs]), window)
+        got = substring_dedup.deep_nodes(
+            np.array([y for x in runs for y in x], dtype=np.uint64), np.cumsum([len(x) for x in runs]), window
+        )
         assert got.tolist() == want
 
 

@@ -21,7 +21,9 @@ def test_stages_keep_the_columns_and_shrink_the_corpus(spark):
             assert docs.columns == columns
         if k == 0:
             labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-            assert docs.join(labels, "doc_id").filter("quality = 1").count() >= 0.97 * labels.join(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id").filter("quality = 1").count()
+            assert docs.join(labels, "doc_id").filter("quality = 1").count() >= 0.97 * labels.join(
+                spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id"
+            ).filter("quality = 1").count()
         if k < 3:
             assert docs.count() <= n
             n = docs.count()
@@ -33,7 +35,10 @@ def odd_documents(spark):
     some = docs.orderBy("doc_id").limit(30)
     none = {c: F.lit(None).cast(docs.schema[c].dataType) for c in docs.columns}
     odd = [some, some.limit(3), some.limit(4).withColumn("doc_id", none["doc_id"]), some.limit(2).withColumns(none)]
-    odd += [some.limit(2).withColumn("text", F.lit("")), some.limit(5).withColumn("doc_id", F.lit(10**9).cast(docs.schema["doc_id"].dataType))]
+    odd += [
+        some.limit(2).withColumn("text", F.lit("")),
+        some.limit(5).withColumn("doc_id", F.lit(10**9).cast(docs.schema["doc_id"].dataType)),
+    ]
     odd += [some.limit(2).withColumn("text", F.repeat(F.concat(F.lit("plain words that go on for long "), "text"), 60))]
     out = odd[0]
     for more in odd[1:]:
@@ -57,7 +62,9 @@ def test_stages_take_odd_documents(spark):
 def test_near_dedup_stage_loses_no_text(spark):
     """Every word sequence is kept once, or has a kept one that resembles it, by brute force."""
     docs = odd_documents(spark)
-    kept = collections.Counter(" ".join((r.text or "").split()) for r in corpus_pipeline.keep_one_of_each(spark, docs, SMALL).collect())
+    kept = collections.Counter(
+        " ".join((r.text or "").split()) for r in corpus_pipeline.keep_one_of_each(spark, docs, SMALL).collect()
+    )
     rows = [" ".join((r.text or "").split()) for r in docs.collect()]
     weights = minhash.tfidf_weights(docs)
     sets = {t: (minhash.shingles([t.encode()])[0] >> np.uint64(32)).astype("<u4") for t in rows}
@@ -70,7 +77,9 @@ def test_near_dedup_stage_loses_no_text(spark):
 def test_quality_stage_rejects_by_a_plain_score(spark):
     docs = odd_documents(spark)
     model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
-    want = collections.Counter(r.text for r in docs.collect() if model.scores([(r.text or "").encode()])[0] >= quality.THRESHOLD)
+    want = collections.Counter(
+        r.text for r in docs.collect() if model.scores([(r.text or "").encode()])[0] >= quality.THRESHOLD
+    )
     assert collections.Counter(r.text for r in corpus_pipeline.keep_good(spark, docs, SMALL).collect()) == want
 
 
