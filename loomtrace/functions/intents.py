@@ -30,8 +30,10 @@ FOLDERS = ("cd", "set-location", "pushd")
 WRAPPERS = ("sudo", "doas", "time", "rtk")
 #: Parts of a server tool's name that announce that it reads.
 READ_VERBS = (
-    "get", "list", "read", "search", "find", "status", "show", "info", "quota", "check", "selfcheck", "self_check", "health",
-    "ping", "version", "whoami", "query", "describe", "fetch", "lookup", "explore", "diagnose", "forecast", "efficiency", "output",
+    "get", "list", "read", "search", "find", "status", "show", "info", "quota", "check", "selfcheck", "self_check",
+    "health",
+    "ping", "version", "whoami", "query", "describe", "fetch", "lookup", "explore", "diagnose", "forecast",
+    "efficiency", "output",
 )
 
 TOKEN = r""""[^"]*"|'[^']*'|\S+"""
@@ -46,10 +48,14 @@ def _words(segment: Column) -> Column:
 
 
 def _key(op: str, target: Column, *details: Column) -> Column:
-    return F.concat_ws(":", F.lit(op), F.coalesce(target, F.lit("")), *[F.coalesce(x.cast("string"), F.lit("")) for x in details])
+    return F.concat_ws(
+        ":", F.lit(op), F.coalesce(target, F.lit("")), *[F.coalesce(x.cast("string"), F.lit("")) for x in details]
+    )
 
 
-def with_shell_intent(calls: DataFrame, command: str = "command", cwd: str = "cwd", project: str = "project") -> DataFrame:
+def with_shell_intent(
+    calls: DataFrame, command: str = "command", cwd: str = "cwd", project: str = "project"
+) -> DataFrame:
     """calls with op, op_target and op_key of their shell command; null where there is none.
 
     A leading `cd folder &&` (any number of them) sets the folder the rest runs in and is no work itself. A pipeline counts as
@@ -68,7 +74,9 @@ def with_shell_intent(calls: DataFrame, command: str = "command", cwd: str = "cw
     )
     rows = rows.withColumn("_lead", F.coalesce(lead, F.lit(0)))
     step = lambda at, x: F.when(x.rlike(r"^(/|~|[A-Za-z]:)"), x).otherwise(F.concat_ws("/", at, x))
-    folder = F.aggregate(F.slice("_parts", 1, F.col("_lead")), F.coalesce(cwd, F.lit("")), lambda at, x: step(at, x["words"][1]))
+    folder = F.aggregate(
+        F.slice("_parts", 1, F.col("_lead")), F.coalesce(cwd, F.lit("")), lambda at, x: step(at, x["words"][1])
+    )
     rows = rows.withColumn("_cwd", F.when(F.col("_lead") == 0, F.col(cwd)).otherwise(folder))
     rows = rows.withColumn("_rest", F.slice("_parts", F.col("_lead") + 1, F.greatest(F.size("_parts"), F.lit(1))))
     rows = rows.withColumn("_first", F.col("_rest")[0]["words"])
@@ -79,7 +87,9 @@ def with_shell_intent(calls: DataFrame, command: str = "command", cwd: str = "cw
         "_args": F.filter(F.slice("_first", 2, F.size("_first")), lambda w: ~w.startswith("-")),
         "_opts": F.filter(F.slice("_first", 2, F.size("_first")), lambda w: w.startswith("-")),
         "_after": F.slice("_first", 2, F.size("_first")),
-        "_pipe": F.transform(F.slice("_rest", 2, F.greatest(F.size("_rest"), F.lit(1))), lambda x: program(x["words"][0])),
+        "_pipe": F.transform(
+            F.slice("_rest", 2, F.greatest(F.size("_rest"), F.lit(1))), lambda x: program(x["words"][0])
+        ),
     })
     known = F.forall("_pipe", lambda p: p.isin(*READS, *SEARCHES, *FILTERS))
     path = lambda p: project_path(p, F.col(project), F.col("_cwd"))
@@ -100,29 +110,58 @@ def with_shell_intent(calls: DataFrame, command: str = "command", cwd: str = "cw
     files = F.slice(args, F.when(is_sed | spaced, 2).otherwise(1), F.greatest(F.size(args), F.lit(1)))
     readable = head.isin(*READS) & (F.size(files) > 0) & (~is_sed | (silent & (span != "")))
     read_path = path(F.try_element_at(files, F.lit(1)))
-    more_files = F.array_join(F.transform(F.slice(files, 2, 5), lambda f: project_path(f, F.col(project), F.col("_cwd"))), ",")
-    detail = F.concat_ws(";", F.when(is_sed, span), F.nullif(amount, head), F.nullif(more_files, F.lit("")), F.nullif(pipe, F.lit("")))
+    more_files = F.array_join(
+        F.transform(F.slice(files, 2, 5), lambda f: project_path(f, F.col(project), F.col("_cwd"))), ","
+    )
+    detail = F.concat_ws(
+        ";", F.when(is_sed, span), F.nullif(amount, head), F.nullif(more_files, F.lit("")), F.nullif(pipe, F.lit(""))
+    )
 
     flags = F.array_join(F.array_sort(F.filter("_opts", lambda o: F.length(o) <= 3)), ",")
     here = lambda k: path(F.coalesce(arg(k), F.lit(".")))
     tests = head.isin(*TESTS) | two.isin(*TEST_COMMANDS) | three.isin(*TEST_COMMANDS)
     test_args = F.array_join(F.slice(F.filter(after, lambda w: ~w.isin("-m", "pytest", "unittest")), 1, 8), " ")
     builds = head.isin(*BUILDS) | two.isin(*BUILD_COMMANDS) | three.isin(*BUILD_COMMANDS)
-    script = head.isin(*SCRIPTS) & ~F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("-")).startswith("-") & F.coalesce(program(arg(1)), F.lit("")).contains(".")
-    module = head.isin("python", "python3", "py") & (F.try_element_at(after, F.lit(1)) == "-m") & ~F.coalesce(F.try_element_at(after, F.lit(2)), F.lit("-")).startswith("-")
+    script = head.isin(*SCRIPTS) & ~F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("-")).startswith(
+        "-"
+    ) & F.coalesce(program(arg(1)), F.lit("")).contains(".")
+    module = head.isin("python", "python3", "py") & (F.try_element_at(after, F.lit(1)) == "-m") & ~F.coalesce(
+        F.try_element_at(after, F.lit(2)), F.lit("-")
+    ).startswith("-")
     rest = lambda a, n: F.array_join(F.slice(after, a, n), " ")
     made = lambda op, target, key: F.struct(F.lit(op).alias("op"), target.alias("target"), key.alias("key"))
     unknown = made("unknown", text, F.concat(F.lit("cmd:"), F.coalesce("_cwd", F.lit("")), F.lit("::"), text))
     module_name = F.concat(F.lit("module:"), F.try_element_at(after, F.lit(2)))
-    test_target = F.coalesce(F.try_element_at(F.filter(args, lambda w: ~w.isin("pytest", "unittest", "test")), F.lit(1)), F.lit("(suite)"))
+    test_target = F.coalesce(
+        F.try_element_at(F.filter(args, lambda w: ~w.isin("pytest", "unittest", "test")), F.lit(1)), F.lit("(suite)")
+    )
     intent = (
         F.when(F.col("_first").isNull(), None)
         .when(~known, unknown)
         .when(readable, made("read", read_path, _key("read", read_path, detail)))
         .when(head.isin(*READS) & (F.size(args) > 0), unknown)
-        .when(head.isin(*SEARCHES) & (F.size(args) > 0), made("search", here(2), _key("search", here(2), arg(1), flags, pipe)))
-        .when(head.isin(*LISTS), made("list", here(1), _key("list", here(1), F.array_join(F.array_sort("_opts"), ","), F.when(head.isin("find", "fd"), arg(2)), pipe)))
-        .when((head == "git") & F.lower(F.try_element_at(after, F.lit(1))).isin(*GIT_READS), made("vcs_read", two, _key("vcs_read", two, rest(2, 5), F.col("_cwd"))))
+        .when(
+            head.isin(*SEARCHES) & (F.size(args) > 0),
+            made("search", here(2), _key("search", here(2), arg(1), flags, pipe)),
+        )
+        .when(
+            head.isin(*LISTS),
+            made(
+                "list",
+                here(1),
+                _key(
+                    "list",
+                    here(1),
+                    F.array_join(F.array_sort("_opts"), ","),
+                    F.when(head.isin("find", "fd"), arg(2)),
+                    pipe,
+                ),
+            ),
+        )
+        .when(
+            (head == "git") & F.lower(F.try_element_at(after, F.lit(1))).isin(*GIT_READS),
+            made("vcs_read", two, _key("vcs_read", two, rest(2, 5), F.col("_cwd"))),
+        )
         .when(tests, made("run_tests", test_target, _key("run_tests", F.col("_cwd"), test_args)))
         .when(builds, made("build", head, _key("build", F.col("_cwd"), head, rest(1, 8))))
         .when(script, made("run_script", path(arg(1)), _key("run_script", path(arg(1)), rest(2, 8), F.col("_cwd"))))
@@ -131,7 +170,9 @@ def with_shell_intent(calls: DataFrame, command: str = "command", cwd: str = "cw
     )
     out = rows.withColumn("_intent", intent)
     inner = [c for c in out.columns if c not in calls.columns]
-    return out.withColumns({"op": F.col("_intent.op"), "op_target": F.col("_intent.target"), "op_key": F.col("_intent.key")}).drop(*inner)
+    return out.withColumns(
+        {"op": F.col("_intent.op"), "op_target": F.col("_intent.target"), "op_key": F.col("_intent.key")}
+    ).drop(*inner)
 
 
 def with_intent(calls: DataFrame) -> DataFrame:
@@ -152,4 +193,6 @@ def with_intent(calls: DataFrame) -> DataFrame:
     )
     is_shell = (category == "shell") & F.col("op").isNotNull()
     pick = lambda a, b: F.when(is_shell, F.col(a)).otherwise(b)
-    return shell.withColumns({"op": pick("op", op), "op_target": pick("op_target", of_tool), "op_key": pick("op_key", key)})
+    return shell.withColumns(
+        {"op": pick("op", op), "op_target": pick("op_target", of_tool), "op_key": pick("op_key", key)}
+    )

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 def dedup_counts(raw: DataFrame) -> DataFrame:
     """Events per session, and how many remain when each event_key counts once (pre-aggregated by key)."""
     keys = raw.groupBy("session", "event_key").agg(F.count(F.lit(1)).alias("n"))
-    return keys.groupBy("session").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("kept"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"))
+    return keys.groupBy("session").agg(
+        F.sum("n").alias("events"),
+        F.count(F.lit(1)).alias("kept"),
+        (F.sum("n") - F.count(F.lit(1))).alias("duplicates"),
+    )
 
 
 def pair_by_id(raw: DataFrame) -> DataFrame:
@@ -22,7 +26,9 @@ def pair_by_id(raw: DataFrame) -> DataFrame:
         at("start", "ns").alias("start_ns"),
         at("end", "ns").alias("end_ns"),
         F.coalesce(at("end", "status"), F.lit("open")).alias("status"),
-        (F.greatest(n("start") - 1, F.lit(0)) + F.greatest(n("end") - 1, F.lit(0))).cast("long").alias("duplicate_phases"),
+        (F.greatest(n("start") - 1, F.lit(0)) + F.greatest(n("end") - 1, F.lit(0))).cast("long").alias(
+            "duplicate_phases"
+        ),
         (n("start") == 0).alias("orphan"),
     )
     span = F.floor((F.col("end_ns") - F.col("start_ns")) / 1_000_000).cast("long")
@@ -34,7 +40,9 @@ def pair_by_occurrence(raw: DataFrame) -> DataFrame:
     key = ["session", "agent", "tool", "k"]
     w = Window.partitionBy(*key).orderBy("ns", "call_id")
     once = raw.select(*key, "phase", "ns", "call_id").distinct()
-    side = lambda phase, name: once.filter(F.col("phase") == phase).withColumn("n", F.row_number().over(w).cast("long")).select(*key, "n", F.col("ns").alias(name))
+    side = lambda phase, name: once.filter(F.col("phase") == phase).withColumn(
+        "n", F.row_number().over(w).cast("long")
+    ).select(*key, "n", F.col("ns").alias(name))
     return side("start", "start_ns").join(side("end", "end_ns"), [*key, "n"], "left")
 
 
@@ -42,7 +50,9 @@ def running_distinct(calls: DataFrame, column: str, name: str) -> DataFrame:
     """How many distinct values of a column a session has shown up to each call."""
     first = F.row_number().over(Window.partitionBy("session", column).orderBy("seq")) == 1
     so_far = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("_new", first.cast("long")).select("session", "seq", "call_id", F.sum("_new").over(so_far).alias(name))
+    return calls.withColumn("_new", first.cast("long")).select(
+        "session", "seq", "call_id", F.sum("_new").over(so_far).alias(name)
+    )
 
 
 def unique_container(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -55,15 +65,24 @@ def unique_container(children: DataFrame, parents: DataFrame) -> DataFrame:
     parents = parents.filter(F.col("end_ns").isNull() | (F.col("end_ns") > F.col("start_ns")))
     mark = F.xxhash64("call_id").cast("decimal(38,0)")
     edge = lambda at, sign: parents.filter(f"{at} IS NOT NULL").select(
-        "session", F.col("parent").alias("agent"), F.col(at).alias("ns"), F.lit(0).alias("asks"), F.lit(sign).alias("n"), (mark * sign).alias("mark")
+        "session", F.col("parent").alias("agent"), F.col(at).alias("ns"), F.lit(0).alias("asks"),
+        F.lit(sign).alias("n"), (mark * sign).alias("mark")
     )
     zero = F.lit(0).cast("decimal(38,0)").alias("mark")
-    asks = children.select("session", "agent", F.col("lo").alias("ns"), F.lit(1).alias("asks"), F.lit(0).alias("n"), zero)
+    asks = children.select(
+        "session", "agent", F.col("lo").alias("ns"), F.lit(1).alias("asks"), F.lit(0).alias("n"), zero
+    )
     every = edge("start_ns", 1).unionByName(edge("end_ns", -1)).unionByName(asks)
-    so_far = lambda *by: Window.partitionBy("session", *by).orderBy("ns", "asks").rangeBetween(Window.unboundedPreceding, 0)
+    so_far = lambda *by: Window.partitionBy("session", *by).orderBy("ns", "asks").rangeBetween(
+        Window.unboundedPreceding, 0
+    )
     others = lambda c: F.sum(c).over(so_far()) - F.sum(c).over(so_far("agent"))
     found = every.withColumns({"_n": others("n"), "_m": others("mark")}).filter("asks = 1")
-    n = found.groupBy("session", "agent").agg(F.sum("_n").cast("long").alias("candidates"), F.sum("_m").cast("long").alias("_m"))
-    ids = parents.select(F.col("session").alias("_s"), F.xxhash64("call_id").alias("_h"), F.col("call_id").alias("spawned_by"))
+    n = found.groupBy("session", "agent").agg(
+        F.sum("_n").cast("long").alias("candidates"), F.sum("_m").cast("long").alias("_m")
+    )
+    ids = parents.select(
+        F.col("session").alias("_s"), F.xxhash64("call_id").alias("_h"), F.col("call_id").alias("spawned_by")
+    )
     one = (F.col("session") == F.col("_s")) & (F.col("_m") == F.col("_h")) & (F.col("candidates") == 1)
     return n.join(ids, one, "left").select("session", "agent", "candidates", "spawned_by")

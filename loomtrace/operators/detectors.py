@@ -31,9 +31,22 @@ def read_pairs(calls: DataFrame, window: tuple[int, int] = READ_WINDOW) -> DataF
     """
     so_far = Window.partitionBy(*KEY).orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
     on_target = Window.partitionBy(*KEY, "target").orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = calls.withColumn("edits", F.sum((F.col("category") == "edit").cast("long")).over(on_target)).withColumn("unknowns", F.sum((F.col("category") == "shell").cast("long")).over(so_far))
+    marked = calls.withColumn("edits", F.sum((F.col("category") == "edit").cast("long")).over(on_target)).withColumn(
+        "unknowns", F.sum((F.col("category") == "shell").cast("long")).over(so_far)
+    )
     reads = marked.filter("category = 'read'")
-    pairs = lagged(reads, [*KEY, "epoch", "target", "params"], ["aseq"], p_aseq="aseq", p_start_ns="start_ns", p_fp="content_fp", p_status="status", p_edits="edits", p_unknowns="unknowns", p_call="call_id")
+    pairs = lagged(
+        reads,
+        [*KEY, "epoch", "target", "params"],
+        ["aseq"],
+        p_aseq="aseq",
+        p_start_ns="start_ns",
+        p_fp="content_fp",
+        p_status="status",
+        p_edits="edits",
+        p_unknowns="unknowns",
+        p_call="call_id",
+    )
     pairs = pairs.filter("p_aseq IS NOT NULL").filter(_near(pairs, window))
     verdict = (
         F.when((F.col("p_status") != "success") | (F.col("status") != "success"), "excluded_status")
@@ -53,23 +66,40 @@ def read_clusters(calls: DataFrame, window: tuple[int, int] = READ_WINDOW) -> Da
     good = pairs.filter("verdict IN ('clean', 'degraded')")
     good = lagged(good, by, ["aseq"], _prev="call_id")
     chained = islands(good, by, ["aseq"], F.col("_prev").isNull() | (F.col("_prev") != F.col("p_call")), "chain")
-    return chained.groupBy(*by, "chain").agg((F.count(F.lit(1)) + 1).alias("reads"), F.min("p_aseq").alias("first_aseq"), F.max("aseq").alias("last_aseq"), F.sum("bytes").alias("wasted_bytes"), F.when(F.every(F.col("verdict") == "clean"), "high").otherwise("medium").alias("confidence")).drop("chain")
+    return chained.groupBy(*by, "chain").agg(
+        (F.count(F.lit(1)) + 1).alias("reads"),
+        F.min("p_aseq").alias("first_aseq"),
+        F.max("aseq").alias("last_aseq"),
+        F.sum("bytes").alias("wasted_bytes"),
+        F.when(F.every(F.col("verdict") == "clean"), "high").otherwise("medium").alias("confidence"),
+    ).drop("chain")
 
 
 def read_batches(calls: DataFrame, least: int = 2) -> DataFrame:
     """A: re-read pairs of the same two responses, together."""
-    pairs = read_pairs(calls).filter("verdict IN ('clean', 'degraded')").withColumn("p_emitter", F.floor(F.col("p_aseq") / 2))
-    return pairs.groupBy(*KEY, "epoch", "p_emitter", "emitter").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("target").alias("targets")).filter(F.col("pairs") >= least)
+    pairs = read_pairs(calls).filter("verdict IN ('clean', 'degraded')").withColumn(
+        "p_emitter", F.floor(F.col("p_aseq") / 2)
+    )
+    return pairs.groupBy(*KEY, "epoch", "p_emitter", "emitter").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("target").alias("targets")
+    ).filter(F.col("pairs") >= least)
 
 
 def rerun_chains(calls: DataFrame, window: tuple[int, int] = ERROR_WINDOW) -> DataFrame:
     """A: the same command run again with the same outcome and no edit of the agent between."""
     so_far = Window.partitionBy(*KEY).orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
-    runs = calls.withColumn("edits", F.sum((F.col("category") == "edit").cast("long")).over(so_far)).filter("category IN ('shell', 'search')")
+    runs = calls.withColumn("edits", F.sum((F.col("category") == "edit").cast("long")).over(so_far)).filter(
+        "category IN ('shell', 'search')"
+    )
     by = [*KEY, "tool", "target"]
     pairs = lagged(runs, by, ["aseq"], p_aseq="aseq", p_start_ns="start_ns", p_edits="edits", p_status="status")
-    broken = F.coalesce((F.col("edits") > F.col("p_edits")) | (F.col("status") != F.col("p_status")) | ~_near(pairs, window), F.lit(False))
-    return islands(pairs, by, ["aseq"], broken, "chain").groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("runs"), F.min("aseq").alias("first_aseq"), F.max("aseq").alias("last_aseq")).filter("runs >= 2").drop("chain")
+    broken = F.coalesce(
+        (F.col("edits") > F.col("p_edits")) | (F.col("status") != F.col("p_status")) | ~_near(pairs, window),
+        F.lit(False),
+    )
+    return islands(pairs, by, ["aseq"], broken, "chain").groupBy(*by, "chain").agg(
+        F.count(F.lit(1)).alias("runs"), F.min("aseq").alias("first_aseq"), F.max("aseq").alias("last_aseq")
+    ).filter("runs >= 2").drop("chain")
 
 
 def _interventions(calls: DataFrame, edited: str) -> DataFrame:
@@ -82,12 +112,21 @@ def _interventions(calls: DataFrame, edited: str) -> DataFrame:
     shell = (F.col("category") == "shell").cast("long")
     acts = (F.col("category") != "read").cast("long")
     edits = F.when(local & F.col(edited).isNotNull(), F.sum(edit).over(so_far(edited))).otherwise(F.lit(0))
-    unknowns = F.when(local, F.sum(shell).over(so_far())).otherwise(F.sum(acts).over(so_far("server")) - F.sum(acts).over(so_far("server", "tool")))
+    unknowns = F.when(local, F.sum(shell).over(so_far())).otherwise(
+        F.sum(acts).over(so_far("server")) - F.sum(acts).over(so_far("server", "tool"))
+    )
     out = calls.withColumns({"e_to": edits, "u_to": unknowns})
-    return out.withColumns({"e_before": F.col("e_to") - F.when(local & F.col(edited).isNotNull(), edit).otherwise(F.lit(0)), "u_before": F.col("u_to") - F.when(local, shell).otherwise(F.lit(0))})
+    return out.withColumns(
+        {
+            "e_before": F.col("e_to") - F.when(local & F.col(edited).isNotNull(), edit).otherwise(F.lit(0)),
+            "u_before": F.col("u_to") - F.when(local, shell).otherwise(F.lit(0)),
+        }
+    )
 
 
-def failure_chains(calls: DataFrame, least: int = 3, window: tuple[int, int] = ERROR_WINDOW, edited: str | None = "target") -> DataFrame:
+def failure_chains(
+    calls: DataFrame, least: int = 3, window: tuple[int, int] = ERROR_WINDOW, edited: str | None = "target"
+) -> DataFrame:
     """B: repeated failures of the same call; an edit of the target (the column `edited`) between two ends the chain. A later
     success within the window makes it a recovery of low confidence, a denial at first a repeated denial of medium; else
     it persists: medium where something of unknown effect came between, else high. Growing gaps (each at least 1.5 times
@@ -95,22 +134,46 @@ def failure_chains(calls: DataFrame, least: int = 3, window: tuple[int, int] = E
     by = [*KEY, "tool", "target"]
     later = Window.partitionBy(*by).orderBy("aseq").rowsBetween(1, Window.unboundedFollowing)
     success = F.min(F.when(F.col("status") == "success", F.struct("aseq", "start_ns"))).over(later)
-    seen = _interventions(calls, edited) if edited else calls.withColumns({x: F.lit(0) for x in ("e_to", "e_before", "u_to", "u_before")})
+    seen = _interventions(calls, edited) if edited else calls.withColumns(
+        {x: F.lit(0) for x in ("e_to", "e_before", "u_to", "u_before")}
+    )
     bad = seen.withColumn("_ok", success).filter(failed() & (F.col("status") != "interrupted"))
     bad = lagged(bad, by, ["aseq"], p_aseq="aseq", p_start_ns="start_ns", p_e="e_to", p_u="u_to")
     bad = bad.withColumn("gap", F.col("start_ns") - F.col("p_start_ns"))
     cut = islands(bad, by, ["aseq"], ~_near(bad, window) | (F.col("e_before") > F.col("p_e")), "chain")
     cut = lagged(cut, [*by, "chain"], ["aseq"], p_gap="gap")
     first = F.row_number().over(Window.partitionBy(*by, "chain").orderBy("aseq"))
-    cut = cut.withColumn("_n", first).withColumn("_grows", F.when(F.col("_n") > 2, F.col("gap") >= 1.5 * F.col("p_gap"))).withColumn("_unknown", (F.col("_n") > 1) & (F.col("u_before") > F.col("p_u")))
+    cut = cut.withColumn("_n", first).withColumn(
+        "_grows", F.when(F.col("_n") > 2, F.col("gap") >= 1.5 * F.col("p_gap"))
+    ).withColumn("_unknown", (F.col("_n") > 1) & (F.col("u_before") > F.col("p_u")))
     last = F.max(F.struct("aseq", "start_ns", F.col("_ok.aseq").alias("ok_aseq"), F.col("_ok.start_ns").alias("ok_ns")))
-    chains = cut.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("failures"), F.min("aseq").alias("first_aseq"), last.alias("l"), F.count_distinct("params").alias("inputs"), F.coalesce((F.count("_grows") >= 1) & F.every(F.coalesce("_grows", F.lit(True))), F.lit(False)).alias("backoff"), F.max("_unknown").alias("unknown"), F.min_by("status", "aseq").alias("status"))
+    chains = cut.groupBy(*by, "chain").agg(
+        F.count(F.lit(1)).alias("failures"),
+        F.min("aseq").alias("first_aseq"),
+        last.alias("l"),
+        F.count_distinct("params").alias("inputs"),
+        F.coalesce((F.count("_grows") >= 1) & F.every(F.coalesce("_grows", F.lit(True))), F.lit(False)).alias("backoff"),
+        F.max("_unknown").alias("unknown"),
+        F.min_by("status", "aseq").alias("status"),
+    )
     chains = chains.filter(F.col("failures") >= least)
-    recovered = F.coalesce((F.col("l.ok_aseq") - F.col("l.aseq") <= window[0]) & (F.col("l.ok_ns") - F.col("l.start_ns") <= window[1] * NS), F.lit(False))
+    recovered = F.coalesce(
+        (F.col("l.ok_aseq") - F.col("l.aseq") <= window[0]) & (F.col("l.ok_ns") - F.col("l.start_ns") <= window[1] * NS),
+        F.lit(False),
+    )
     denied = (F.col("status") == "denied") & F.lit(edited is not None)
     kind = F.when(recovered, "transient_recovered").when(denied, "repeated_denial").otherwise("persistent")
     confidence = F.when(recovered, "low").when(denied | F.col("unknown"), "medium").otherwise("high")
-    return chains.select(*by, "failures", "first_aseq", F.col("l.aseq").alias("last_aseq"), "inputs", "backoff", kind.alias("kind"), confidence.alias("confidence"))
+    return chains.select(
+        *by,
+        "failures",
+        "first_aseq",
+        F.col("l.aseq").alias("last_aseq"),
+        "inputs",
+        "backoff",
+        kind.alias("kind"),
+        confidence.alias("confidence"),
+    )
 
 
 def failures_on_inputs(calls: DataFrame, least: int = 3, window: tuple[int, int] = ERROR_WINDOW) -> DataFrame:
@@ -118,7 +181,11 @@ def failures_on_inputs(calls: DataFrame, least: int = 3, window: tuple[int, int]
     by = [*KEY, "tool"]
     bad = lagged(calls.filter(failed()), by, ["aseq"], p_aseq="aseq", p_start_ns="start_ns")
     cut = islands(bad, by, ["aseq"], ~_near(bad, window), "chain")
-    return cut.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("target", "params").alias("inputs"), F.min("aseq").alias("first_aseq")).filter((F.col("failures") >= least) & (F.col("inputs") >= 2)).drop("chain")
+    return cut.groupBy(*by, "chain").agg(
+        F.count(F.lit(1)).alias("failures"),
+        F.count_distinct("target", "params").alias("inputs"),
+        F.min("aseq").alias("first_aseq"),
+    ).filter((F.col("failures") >= least) & (F.col("inputs") >= 2)).drop("chain")
 
 
 def batch_runs(calls: DataFrame, least: int = 3) -> DataFrame:
@@ -132,27 +199,46 @@ def batch_runs(calls: DataFrame, least: int = 3) -> DataFrame:
     """
     order = Window.partitionBy("session").orderBy("seq")
     kind = F.col("category").isin("read", "search")
-    breaks = (F.lag("agent").over(order) != F.col("agent")) | (F.lag("category").over(order) != F.col("category")) | (F.lag("emitter").over(order) == F.col("emitter"))
+    breaks = (F.lag("agent").over(order) != F.col("agent")) | (F.lag("category").over(order) != F.col("category")) | (
+        F.lag("emitter").over(order) == F.col("emitter")
+    )
     rows = calls.withColumn("_break", F.coalesce(breaks, F.lit(True)))
     rows = islands(rows, ["session"], ["seq"], F.col("_break"), "stretch").filter(kind)
     by = ["session", "agent", "stretch"]
     again = F.lead("aseq").over(Window.partitionBy(*by, "target").orderBy("aseq"))
     rows = rows.withColumn("_again", again)
-    ends = F.min("_again").over(Window.partitionBy(*by).orderBy(F.desc("aseq")).rowsBetween(Window.unboundedPreceding, 0))
+    ends = F.min("_again").over(
+        Window.partitionBy(*by).orderBy(F.desc("aseq")).rowsBetween(Window.unboundedPreceding, 0)
+    )
     rows = rows.withColumn("_end", ends)
     stretches = rows.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("aseq", "_end"))).alias("rows"), F.max("aseq").alias("last"), F.count("_again").alias("hops")
+        F.array_sort(F.collect_list(F.struct("aseq", "_end"))).alias("rows"), F.max("aseq").alias("last"),
+        F.count("_again").alias("hops")
+    )
+    start = F.struct(
+        F.array().cast("array<bigint>").alias("starts"),
+        F.lit(None).cast("bigint").alias("next"),
+        F.lit(True).alias("first"),
     )
-    start = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(None).cast("bigint").alias("next"), F.lit(True).alias("first"))
     hop = lambda s, x: F.when(
         s["first"] | (x["aseq"] == s["next"]),
-        F.struct(F.concat(s["starts"], F.array(x["aseq"])).alias("starts"), x["_end"].alias("next"), F.lit(False).alias("first")),
+        F.struct(
+            F.concat(s["starts"], F.array(x["aseq"])).alias("starts"),
+            x["_end"].alias("next"),
+            F.lit(False).alias("first"),
+        ),
     ).otherwise(s)
     # most stretches repeat no target: one run
-    starts = F.when(F.col("hops") == 0, F.array(F.col("rows")[0]["aseq"])).otherwise(F.aggregate("rows", start, hop, lambda s: s["starts"]))
-    runs = stretches.withColumn("_starts", starts).select(*by, "last", "_starts", F.posexplode("_starts").alias("_k", "first_aseq"))
+    starts = F.when(F.col("hops") == 0, F.array(F.col("rows")[0]["aseq"])).otherwise(
+        F.aggregate("rows", start, hop, lambda s: s["starts"])
+    )
+    runs = stretches.withColumn("_starts", starts).select(
+        *by, "last", "_starts", F.posexplode("_starts").alias("_k", "first_aseq")
+    )
     last = F.coalesce(F.try_element_at("_starts", F.col("_k") + 2) - 1, F.col("last"))
-    out = runs.withColumn("last_aseq", last).withColumn("calls", (F.col("last_aseq") - F.col("first_aseq") + 1).cast("int"))
+    out = runs.withColumn("last_aseq", last).withColumn(
+        "calls", (F.col("last_aseq") - F.col("first_aseq") + 1).cast("int")
+    )
     return out.filter(F.col("calls") >= least).select("session", "agent", "first_aseq", "last_aseq", "calls")
 
 
@@ -160,48 +246,79 @@ def batch_independence(calls: DataFrame) -> DataFrame:
     """C: reads whose target was listed by one of the agent's three calls before (here: searches that name it)."""
     w = Window.partitionBy(*KEY).orderBy("aseq").rowsBetween(-3, -1)
     listed = F.collect_list(F.when(F.col("category") == "search", F.col("target"))).over(w)
-    return calls.withColumn("_l", listed).filter("category = 'read'").groupBy("session").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.array_contains("_l", F.col("target"))).alias("listed"))
+    return calls.withColumn("_l", listed).filter("category = 'read'").groupBy("session").agg(
+        F.count(F.lit(1)).alias("reads"), F.count_if(F.array_contains("_l", F.col("target"))).alias("listed")
+    )
 
 
 def shape(category: str = "category") -> Column:
     return F.concat_ws(":", category, F.coalesce("server", F.lit("-")))
 
 
-def ngram_counts(calls: DataFrame, lengths: tuple[int, ...] = (2, 3, 4, 5, 6), least: int = 3, last_calls: int = 2_000) -> DataFrame:
+def ngram_counts(
+    calls: DataFrame, lengths: tuple[int, ...] = (2, 3, 4, 5, 6), least: int = 3, last_calls: int = 2_000
+) -> DataFrame:
     """D: n-grams of call shapes of an agent's last calls that occur often and have two distinct shapes at least."""
-    recent = calls.withColumn("_back", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("aseq")))).filter(F.col("_back") <= last_calls).withColumn("shape", shape())
+    recent = calls.withColumn("_back", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("aseq")))).filter(
+        F.col("_back") <= last_calls
+    ).withColumn("shape", shape())
     w = Window.partitionBy(*KEY).orderBy("aseq")
     grams = None
     for n in lengths:
         parts = [F.col("shape"), *[F.lead("shape", i).over(w) for i in range(1, n)]]
-        one = recent.withColumn("gram", F.array(*parts)).filter(F.col("gram")[n - 1].isNotNull()).select(*KEY, F.lit(n).alias("n"), "gram", "aseq")
+        one = recent.withColumn("gram", F.array(*parts)).filter(F.col("gram")[n - 1].isNotNull()).select(
+            *KEY, F.lit(n).alias("n"), "gram", "aseq"
+        )
         grams = one if grams is None else grams.unionByName(one)
     grams = grams.filter(F.size(F.array_distinct("gram")) >= 2)
-    return grams.groupBy(*KEY, "n", F.concat_ws(">", "gram").alias("gram")).agg(F.count(F.lit(1)).alias("occurrences"), F.collect_list("aseq").alias("starts")).filter(F.col("occurrences") >= least)
+    return grams.groupBy(*KEY, "n", F.concat_ws(">", "gram").alias("gram")).agg(
+        F.count(F.lit(1)).alias("occurrences"), F.collect_list("aseq").alias("starts")
+    ).filter(F.col("occurrences") >= least)
 
 
 def mined_patterns(calls: DataFrame, least: int = 3, top: int = 10) -> DataFrame:
     """D: patterns: occurrences chosen from the left without overlap (a fold), those contained in a longer one that is as
     frequent left out, one of each class of rotations kept, the best of an agent kept."""
     counts = ngram_counts(calls, least=least)
-    chosen = F.expr("aggregate(array_sort(starts), named_struct('n', 0L, 'until', -1L), (s, x) -> IF(x > s.until, named_struct('n', s.n + 1, 'until', x + n - 1), s), s -> s.n)")
+    chosen = F.expr(
+        "aggregate(array_sort(starts), named_struct('n', 0L, 'until', -1L), (s, x) -> IF(x > s.until, "
+        "named_struct('n', s.n + 1, 'until', x + n - 1), s), s -> s.n)"
+    )
     found = counts.withColumn("uses", chosen).filter(F.col("uses") >= least).select(*KEY, "n", "gram", "uses")
-    longer = found.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("n").alias("_n"), F.col("gram").alias("_gram"), F.col("uses").alias("_uses"))
-    inside = (F.col("session") == F.col("_session")) & (F.col("agent") == F.col("_agent")) & (F.col("_n") > F.col("n")) & (F.col("_uses") >= F.col("uses")) & F.concat(F.lit(">"), "_gram", F.lit(">")).contains(F.concat(F.lit(">"), "gram", F.lit(">")))
+    longer = found.select(
+        *[F.col(k).alias(f"_{k}") for k in KEY],
+        F.col("n").alias("_n"),
+        F.col("gram").alias("_gram"),
+        F.col("uses").alias("_uses"),
+    )
+    inside = (F.col("session") == F.col("_session")) & (F.col("agent") == F.col("_agent")) & (
+        F.col("_n") > F.col("n")
+    ) & (F.col("_uses") >= F.col("uses")) & F.concat(F.lit(">"), "_gram", F.lit(">")).contains(
+        F.concat(F.lit(">"), "gram", F.lit(">"))
+    )
     closed = found.join(longer, inside, "left_anti")
     parts = F.split("gram", ">")
-    turns = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat_ws(">", F.slice(F.concat(parts, parts), i + 1, F.col("n"))))
+    turns = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: F.concat_ws(">", F.slice(F.concat(parts, parts), i + 1, F.col("n"))),
+    )
     order = Window.partitionBy(*KEY, "_class").orderBy(F.desc("uses"), F.desc("n"), "gram")
     one = closed.withColumn("_class", F.array_min(turns)).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
     best = Window.partitionBy(*KEY).orderBy(F.desc("uses"), F.desc("n"), "gram")
-    return one.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top).select(*KEY, "n", "gram", "uses", "place")
+    return one.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top).select(
+        *KEY, "n", "gram", "uses", "place"
+    )
 
 
 def tool_gap(calls: DataFrame, least: int = 3) -> DataFrame:
     """E: services driven by hand: many shell calls of an agent at one target."""
     shell = calls.filter("category = 'shell'")
-    groups = shell.groupBy(*KEY, "target").agg(F.count(F.lit(1)).alias("n"), F.count_if(failed()).alias("failures"), F.count_distinct("params").alias("forms")).filter(F.col("n") >= least)
-    return groups.withColumn("confidence", F.when((F.col("n") >= 6) | (F.col("failures") > 0), "medium").otherwise("low"))
+    groups = shell.groupBy(*KEY, "target").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(failed()).alias("failures"), F.count_distinct("params").alias("forms")
+    ).filter(F.col("n") >= least)
+    return groups.withColumn(
+        "confidence", F.when((F.col("n") >= 6) | (F.col("failures") > 0), "medium").otherwise("low")
+    )
 
 
 def service_gap(calls: DataFrame, servers: DataFrame, least: int = 3, strong: int = 6) -> DataFrame:
@@ -214,21 +331,37 @@ def service_gap(calls: DataFrame, servers: DataFrame, least: int = 3, strong: in
     parsed = calls.filter("category = 'shell'").withColumn("parts", shell.parsed(F.col("command")))
     family, heads = shell.family_of(F.col("parts")), F.transform("parts", lambda x: x["head"])
     useful = F.try_element_at(F.filter(heads, lambda h: ~h.isin(*shell.SERVICE_WRAPPERS)), F.lit(1))
-    named = parsed.select(*KEY, "status", "start_ns", family.alias("family"), useful.alias("head"), shell.service_target(F.col("command")).alias("host")).filter("family IS NOT NULL")
-    target = F.when(F.col("family").isin("ssh", "http"), F.coalesce("host", "head")).when(F.col("family").isin("slurm", "github"), F.col("family")).otherwise(F.col("head"))
+    named = parsed.select(
+        *KEY,
+        "status",
+        "start_ns",
+        family.alias("family"),
+        useful.alias("head"),
+        shell.service_target(F.col("command")).alias("host"),
+    ).filter("family IS NOT NULL")
+    target = F.when(F.col("family").isin("ssh", "http"), F.coalesce("host", "head")).when(
+        F.col("family").isin("slurm", "github"), F.col("family")
+    ).otherwise(F.col("head"))
     groups = named.withColumn("target", target).groupBy(*KEY, "family", "target").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("error", "timeout", "denied")).alias("failures"), F.array_sort(F.collect_set("head")).alias("heads")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("error", "timeout", "denied")).alias("failures"),
+        F.array_sort(F.collect_set("head")).alias("heads")
     )
     groups = groups.filter(F.col("n") >= least)
     words = F.create_map(*[F.lit(x) for k, v in shell.SERVICE_WORDS.items() for x in (k, list(v))])
     services = groups.select("session", "family", "target").distinct()
     name, tool = F.lower("server"), F.lower(F.coalesce("tool", F.lit("")))
-    by_name = (F.col("target") != F.col("family")) & (F.contains(name, F.col("target")) | F.contains(F.col("target"), name))
+    by_name = (F.col("target") != F.col("family")) & (
+        F.contains(name, F.col("target")) | F.contains(F.col("target"), name)
+    )
     by_word = F.exists(words[F.col("family")], lambda w: F.contains(name, w) | F.contains(tool, w))
     met = services.join(servers.select("session", "server", "tool").distinct(), "session").filter(by_name | by_word)
     related = met.groupBy("session", "family", "target").agg(F.array_sort(F.collect_set("server")).alias("related"))
-    out = groups.join(related, ["session", "family", "target"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
-    confidence = F.when(F.size("related") > 0, "high").when((F.col("n") >= strong) | (F.col("failures") > 0), "medium").otherwise("low")
+    out = groups.join(related, ["session", "family", "target"], "left").withColumn(
+        "related", F.coalesce("related", F.array().cast("array<string>"))
+    )
+    confidence = F.when(F.size("related") > 0, "high").when(
+        (F.col("n") >= strong) | (F.col("failures") > 0), "medium"
+    ).otherwise("low")
     return out.select(*KEY, "family", "target", "n", "failures", "heads", "related", confidence.alias("confidence"))
 
 
@@ -247,9 +380,13 @@ def tool_gap_related(calls: DataFrame, servers: DataFrame, max_servers: int = 10
     lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().limit(max_servers).collect())
     fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("target"))
     pieces = F.flatten(F.transform(fits, lambda k: at("target", k)))
-    in_target = targets.select("target", F.explode(F.array_distinct(pieces)).alias("name")).join(names, "name").select("name", "target")
+    in_target = targets.select("target", F.explode(F.array_distinct(pieces)).alias("name")).join(names, "name").select(
+        "name", "target"
+    )
     met = in_name.select("name", "target").unionByName(in_target).distinct()
-    return groups.join(met, "target").groupBy(*KEY, "target").agg(F.count(F.lit(1)).alias("related"), F.min("name").alias("first_name"))
+    return groups.join(met, "target").groupBy(*KEY, "target").agg(
+        F.count(F.lit(1)).alias("related"), F.min("name").alias("first_name")
+    )
 
 
 def repeat_pairs(calls: DataFrame) -> DataFrame:
@@ -259,7 +396,19 @@ def repeat_pairs(calls: DataFrame) -> DataFrame:
     so_far = Window.partitionBy(*KEY).orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
     edits = F.sum((F.col("category") == "edit").cast("long")).over(so_far)
     inputs = F.sum((F.col("category") == "agent").cast("long")).over(so_far)
-    pairs = lagged(calls.withColumn("edits", edits).withColumn("inputs", inputs), by, ["aseq"], p_emitter="emitter", p_epoch="epoch", p_inputs="inputs", p_edits="edits", p_status="status", p_fp="content_fp", p_end="end_ns", p_start="start_ns").filter("p_start IS NOT NULL")
+    pairs = lagged(
+        calls.withColumn("edits", edits).withColumn("inputs", inputs),
+        by,
+        ["aseq"],
+        p_emitter="emitter",
+        p_epoch="epoch",
+        p_inputs="inputs",
+        p_edits="edits",
+        p_status="status",
+        p_fp="content_fp",
+        p_end="end_ns",
+        p_start="start_ns",
+    ).filter("p_start IS NOT NULL")
     reason = (
         F.when(F.col("p_emitter") == F.col("emitter"), "same_response")
         .when(F.col("p_epoch") != F.col("epoch"), "context_loss")
@@ -269,16 +418,23 @@ def repeat_pairs(calls: DataFrame) -> DataFrame:
         .when(F.col("p_status") == "error", "after_failure")
         .otherwise("none")
     )
-    outcome = F.when((F.col("status") == "open") | (F.col("p_status") == "open"), "unknown").when(F.col("p_fp") == F.col("content_fp"), "same").otherwise("changed")
+    outcome = F.when((F.col("status") == "open") | (F.col("p_status") == "open"), "unknown").when(
+        F.col("p_fp") == F.col("content_fp"), "same"
+    ).otherwise("changed")
     out = pairs.withColumn("reason", reason).withColumn("outcome", outcome)
     value = (
         F.when(F.col("reason") == "same_response", "free")
-        .when(F.col("reason").isin("context_loss", "new_input", "after_change") | (F.col("outcome") == "changed"), "useful")
+        .when(
+            F.col("reason").isin("context_loss", "new_input", "after_change") | (F.col("outcome") == "changed"),
+            "useful",
+        )
         .when((F.col("outcome") == "same") & (F.col("reason") != "none"), "explained_no_gain")
         .when(F.col("outcome") == "same", "no_gain")
         .otherwise("unknown")
     )
-    return out.withColumn("value", value).withColumn("interval_ns", F.col("start_ns") - F.col("p_start")).withColumn("idle_ns", F.greatest(F.lit(0), F.col("start_ns") - F.coalesce("p_end", "start_ns")))
+    return out.withColumn("value", value).withColumn("interval_ns", F.col("start_ns") - F.col("p_start")).withColumn(
+        "idle_ns", F.greatest(F.lit(0), F.col("start_ns") - F.coalesce("p_end", "start_ns"))
+    )
 
 
 def repeat_groups(calls: DataFrame, least_calls: int = 3) -> DataFrame:
@@ -310,19 +466,40 @@ def repeat_groups(calls: DataFrame, least_calls: int = 3) -> DataFrame:
         .otherwise("mixed")
     )
     known = rt - F.col("unknowns")
-    confidence = F.when((rt >= 5) & (known * 10 >= rt * 8), "high").when((rt >= 2) & (known * 2 >= rt), "medium").otherwise("low")
+    confidence = F.when((rt >= 5) & (known * 10 >= rt * 8), "high").when(
+        (rt >= 2) & (known * 2 >= rt), "medium"
+    ).otherwise("low")
     return g.withColumn("verdict", verdict).withColumn("confidence", confidence)
 
 
 def tool_rhythm(calls: DataFrame) -> DataFrame:
     """Per tool: calls, agents, span, median interval, most calls in one and in ten minutes of any agent."""
     w = Window.partitionBy(*KEY, "tool").orderBy("start_ns", "call_id")
-    peak = lambda s: F.count(F.lit(1)).over(Window.partitionBy(*KEY, "tool").orderBy("start_ns").rangeBetween(-s * NS, 0))
-    rows = calls.withColumn("_i", F.col("start_ns") - F.lag("start_ns").over(w)).withColumn("_p1", peak(60)).withColumn("_p10", peak(600))
-    return rows.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("agent").alias("agents"), (F.max("start_ns") - F.min("start_ns")).alias("span_ns"), F.percentile("_i", 0.5).alias("median_ns"), F.max("_p1").alias("peak_1min"), F.max("_p10").alias("peak_10min"))
+    peak = lambda s: F.count(F.lit(1)).over(
+        Window.partitionBy(*KEY, "tool").orderBy("start_ns").rangeBetween(-s * NS, 0)
+    )
+    rows = calls.withColumn("_i", F.col("start_ns") - F.lag("start_ns").over(w)).withColumn("_p1", peak(60)).withColumn(
+        "_p10", peak(600)
+    )
+    return rows.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.count_distinct("agent").alias("agents"),
+        (F.max("start_ns") - F.min("start_ns")).alias("span_ns"),
+        F.percentile("_i", 0.5).alias("median_ns"),
+        F.max("_p1").alias("peak_1min"),
+        F.max("_p10").alias("peak_10min"),
+    )
 
 
-REGISTRY = {"A": read_clusters, "B": failure_chains, "C": batch_runs, "D": mined_patterns, "E": tool_gap, "F": repeated_guidance, "G": verdicts}
+REGISTRY = {
+    "A": read_clusters,
+    "B": failure_chains,
+    "C": batch_runs,
+    "D": mined_patterns,
+    "E": tool_gap,
+    "F": repeated_guidance,
+    "G": verdicts,
+}
 
 
 def all_findings(calls: DataFrame, texts: DataFrame, only: tuple[str, ...] = tuple(REGISTRY)) -> DataFrame:
@@ -331,7 +508,9 @@ def all_findings(calls: DataFrame, texts: DataFrame, only: tuple[str, ...] = tup
     size = {"A": "reads", "B": "failures", "C": "calls", "D": "uses", "E": "n", "F": "messages", "G": "calls"}
     out = None
     for rule in only:
-        found = REGISTRY[rule](texts, "message", "text").withColumns({x: F.lit(None).cast(calls.schema[x].dataType) for x in KEY}) if rule == "F" else REGISTRY[rule](calls)
+        found = REGISTRY[rule](texts, "message", "text").withColumns(
+            {x: F.lit(None).cast(calls.schema[x].dataType) for x in KEY}
+        ) if rule == "F" else REGISTRY[rule](calls)
         one = found.select(F.lit(rule).alias("rule"), *KEY, F.col(size[rule]).cast("long").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out

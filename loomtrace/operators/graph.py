@@ -13,12 +13,26 @@ def edges(calls: DataFrame) -> DataFrame:
     or of the same job; on the search that listed its target; or on the agent call that opened its epoch."""
     agent = ["session", "agent"]
     before = lambda by: Window.partitionBy(*by).orderBy("aseq")
-    same = calls.withColumn("source", F.lag("call_id").over(before([*agent, "category", "target", "content_fp"]))).withColumn("kind", F.lit("content"))
-    job = calls.filter("server IS NOT NULL").withColumn("source", F.lag("call_id").over(before([*agent, "server", "params"]))).withColumn("kind", F.lit("job"))
+    same = calls.withColumn(
+        "source", F.lag("call_id").over(before([*agent, "category", "target", "content_fp"]))
+    ).withColumn("kind", F.lit("content"))
+    job = calls.filter("server IS NOT NULL").withColumn(
+        "source", F.lag("call_id").over(before([*agent, "server", "params"]))
+    ).withColumn("kind", F.lit("job"))
     upto = before([*agent, "epoch"]).rowsBetween(Window.unboundedPreceding, -1)
-    opened = calls.withColumn("source", F.last(F.when(F.col("category") == "agent", F.col("call_id")), ignorenulls=True).over(upto)).withColumn("kind", F.lit("delegation"))
-    listed = calls.withColumn("source", F.last(F.when((F.col("category") == "search") & (F.col("status") == "success"), F.col("call_id")), ignorenulls=True).over(before([*agent, "epoch", "target"]).rowsBetween(Window.unboundedPreceding, -1))).filter("category = 'read'").withColumn("kind", F.lit("explicit"))
-    parts = [x.filter("source IS NOT NULL").select("session", "source", F.col("call_id").alias("target"), "kind") for x in (same, job, opened, listed)]
+    opened = calls.withColumn(
+        "source", F.last(F.when(F.col("category") == "agent", F.col("call_id")), ignorenulls=True).over(upto)
+    ).withColumn("kind", F.lit("delegation"))
+    listed = calls.withColumn(
+        "source",
+        F.last(
+            F.when((F.col("category") == "search") & (F.col("status") == "success"), F.col("call_id")), ignorenulls=True
+        ).over(before([*agent, "epoch", "target"]).rowsBetween(Window.unboundedPreceding, -1)),
+    ).filter("category = 'read'").withColumn("kind", F.lit("explicit"))
+    parts = [
+        x.filter("source IS NOT NULL").select("session", "source", F.col("call_id").alias("target"), "kind")
+        for x in (same, job, opened, listed)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -49,10 +63,16 @@ def scenario_facts(calls: DataFrame) -> DataFrame:
 def sensitivity(facts: DataFrame, names: list[str]) -> DataFrame:
     """How many scenarios have which verdict as they stand, with each fact taken as established, and with all of them."""
     none = [F.col(n) for n in names]
-    runs = {"observed": none, "all": [F.lit(True)] * len(names)} | {n: [F.lit(True) if m == n else F.col(m) for m in names] for n in names}
+    runs = {"observed": none, "all": [F.lit(True)] * len(names)} | {
+        n: [F.lit(True) if m == n else F.col(m) for m in names] for n in names
+    }
     # an unknown may be taken as established; what is refuted stays so
-    take = lambda cols: [F.coalesce(F.when(F.col(n) == F.lit(False), F.lit(False)), c) for n, c in zip(names, cols, strict=True)]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("run"), validity(take(v)).alias("verdict")) for k, v in runs.items()]))
+    take = lambda cols: [
+        F.coalesce(F.when(F.col(n) == F.lit(False), F.lit(False)), c) for n, c in zip(names, cols, strict=True)
+    ]
+    each = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("run"), validity(take(v)).alias("verdict")) for k, v in runs.items()])
+    )
     return facts.select(each.alias("r")).groupBy("r.run", "r.verdict").agg(F.count(F.lit(1)).alias("scenarios"))
 
 
@@ -66,8 +86,19 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, path: str, root: str) ->
 
 def field_view(facts: DataFrame) -> DataFrame:
     """facts (run, field, time, value): latest value, extremes, distinct values, conflicts (several values at one time)."""
-    at = facts.groupBy("run", "field", "time").agg(F.count_distinct("value").alias("_v"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count(F.lit(1)).alias("_n"))
-    return at.groupBy("run", "field").agg(F.sum("_n").alias("samples"), F.max_by("hi", "time").alias("latest"), F.min("lo").alias("least"), F.max("hi").alias("greatest"), F.count_if(F.col("_v") > 1).alias("conflicts"))
+    at = facts.groupBy("run", "field", "time").agg(
+        F.count_distinct("value").alias("_v"),
+        F.max("value").alias("hi"),
+        F.min("value").alias("lo"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    return at.groupBy("run", "field").agg(
+        F.sum("_n").alias("samples"),
+        F.max_by("hi", "time").alias("latest"),
+        F.min("lo").alias("least"),
+        F.max("hi").alias("greatest"),
+        F.count_if(F.col("_v") > 1).alias("conflicts"),
+    )
 
 
 def novelty(facts: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ def pair(sends: DataFrame, receives: DataFrame, slack_ns: int = 5_000_000_000) -
     key = ["conv", "fp"]
     w = Window.partitionBy(*key).orderBy("ns", "turn")
     left = sends.withColumn("_n", F.row_number().over(w))
-    right = receives.select(*key, "ns", "turn").withColumn("_n", F.row_number().over(w)).select(*key, "_n", F.col("ns").alias("received_ns"), F.lit(True).alias("_r"))
+    right = receives.select(*key, "ns", "turn").withColumn("_n", F.row_number().over(w)).select(
+        *key, "_n", F.col("ns").alias("received_ns"), F.lit(True).alias("_r")
+    )
     ok = F.coalesce(F.col("ns") <= F.col("received_ns") + slack_ns, F.lit(False))
     joined = left.join(right, [*key, "_n"], "left")
     return joined.withColumn("received_ns", F.when(ok, F.col("received_ns"))).drop("_n", "_r")
@@ -24,16 +26,35 @@ def crossed(pairs: DataFrame) -> DataFrame:
     # one instant arrivals come first, then the question, then departures
     under_way = pairs.filter("received_ns > ns")
     none = {x: F.lit(None).cast(pairs.schema[x].dataType) for x in ("turn", "author", "recipient")}
-    edge = lambda at, place, n: under_way.select("conv", F.col("author").alias("who"), F.col(at).alias("at"), F.lit(place).alias("place"), F.lit(n).alias("n")).withColumns(none)
-    asks = pairs.select("conv", F.col("recipient").alias("who"), F.col("ns").alias("at"), F.lit(1).alias("place"), F.lit(0).alias("n"), "turn", "author", "recipient")
+    edge = lambda at, place, n: under_way.select(
+        "conv", F.col("author").alias("who"), F.col(at).alias("at"), F.lit(place).alias("place"), F.lit(n).alias("n")
+    ).withColumns(none)
+    asks = pairs.select(
+        "conv",
+        F.col("recipient").alias("who"),
+        F.col("ns").alias("at"),
+        F.lit(1).alias("place"),
+        F.lit(0).alias("n"),
+        "turn",
+        "author",
+        "recipient",
+    )
     every = edge("received_ns", 0, -1).unionByName(edge("ns", 2, 1)).unionByName(asks)
     w = Window.partitionBy("conv", "who").orderBy("at", "place").rangeBetween(Window.unboundedPreceding, 0)
-    return every.withColumn("_open", F.sum("n").over(w)).filter("place = 1 AND _open > 0").select("conv", "turn", "author", "recipient")
+    return every.withColumn("_open", F.sum("n").over(w)).filter("place = 1 AND _open > 0").select(
+        "conv", "turn", "author", "recipient"
+    )
 
 
 def routes(pairs: DataFrame) -> DataFrame:
     delay = (F.col("received_ns") - F.col("ns")) / 1_000_000
-    return pairs.groupBy("author", "recipient").agg(F.count(F.lit(1)).alias("sent"), F.count("received_ns").alias("paired"), F.sum("chars").alias("chars"), F.percentile(delay, 0.5).alias("median_ms"), F.max(delay).cast("long").alias("max_ms"))
+    return pairs.groupBy("author", "recipient").agg(
+        F.count(F.lit(1)).alias("sent"),
+        F.count("received_ns").alias("paired"),
+        F.sum("chars").alias("chars"),
+        F.percentile(delay, 0.5).alias("median_ms"),
+        F.max(delay).cast("long").alias("max_ms"),
+    )
 
 
 def reactions(messages: DataFrame, of: str = "assistant") -> DataFrame:
@@ -41,15 +62,21 @@ def reactions(messages: DataFrame, of: str = "assistant") -> DataFrame:
     w = Window.partitionBy("conv").orderBy("ns", "turn").rowsBetween(1, Window.unboundedFollowing)
     nxt = F.min(F.when(F.col("author") == of, F.struct("ns", "turn"))).over(w)
     rows = messages.withColumn("_x", nxt).filter(F.col("author") != of)
-    return rows.select("conv", "turn", F.col("_x.turn").alias("reaction_turn"), (F.col("_x.ns") - F.col("ns")).alias("wait_ns"))
+    return rows.select(
+        "conv", "turn", F.col("_x.turn").alias("reaction_turn"), (F.col("_x.ns") - F.col("ns")).alias("wait_ns")
+    )
 
 
 def chains(messages: DataFrame, least: int = 2) -> DataFrame:
     """Stretches in which the author changes with every message."""
     w = Window.partitionBy("conv").orderBy("ns", "turn")
     cut = F.coalesce((F.lag("author").over(w) == F.col("author")).cast("long"), F.lit(0))
-    numbered = messages.withColumn("_b", cut).withColumn("chain", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("conv", "chain").agg(F.count(F.lit(1)).alias("length"), F.min("turn").alias("first_turn"), F.sum("chars").alias("chars")).filter(F.col("length") >= least)
+    numbered = messages.withColumn("_b", cut).withColumn(
+        "chain", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    return numbered.groupBy("conv", "chain").agg(
+        F.count(F.lit(1)).alias("length"), F.min("turn").alias("first_turn"), F.sum("chars").alias("chars")
+    ).filter(F.col("length") >= least)
 
 
 def paragraphs(text: Column, least: int = 40) -> Column:
@@ -58,26 +85,41 @@ def paragraphs(text: Column, least: int = 40) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: F.length(p) >= least))
 
 
-def repeated_guidance(texts: DataFrame, key: str, text: str, least_messages: int = 2, least_chars: int = 80) -> DataFrame:
+def repeated_guidance(
+    texts: DataFrame, key: str, text: str, least_messages: int = 2, least_chars: int = 80
+) -> DataFrame:
     """Paragraphs that come in several messages; those with the same set of messages are one group. Sets are compared by
     count, sum and extremes of hashed keys, so none is gathered."""
     each = texts.select(F.col(key).alias("_k"), F.explode(paragraphs(F.col(text), least_chars)).alias("p"))
     h = F.xxhash64("_k")
-    by_text = each.groupBy("p").agg(F.count_distinct("_k").alias("messages"), F.sum(F.pmod(h, F.lit(2**40))).alias("_s"), F.min("_k").alias("first_message"), F.max("_k").alias("last_message")).filter(F.col("messages") >= least_messages)
-    return by_text.groupBy("messages", "_s", "first_message", "last_message").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("p")).alias("chars")).drop("_s")
+    by_text = each.groupBy("p").agg(
+        F.count_distinct("_k").alias("messages"),
+        F.sum(F.pmod(h, F.lit(2**40))).alias("_s"),
+        F.min("_k").alias("first_message"),
+        F.max("_k").alias("last_message"),
+    ).filter(F.col("messages") >= least_messages)
+    return by_text.groupBy("messages", "_s", "first_message", "last_message").agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("p")).alias("chars")
+    ).drop("_s")
 
 
 def minhash_signature(words: Column, seeds: int = 32) -> Column:
     """The least hash of the words under each of `seeds` hash functions."""
-    return F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda i: F.array_min(F.transform(words, lambda w: F.xxhash64(w, i))))
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(seeds)), lambda i: F.array_min(F.transform(words, lambda w: F.xxhash64(w, i)))
+    )
 
 
 # Words that say nothing about a paragraph, in two languages.
 STOP_WORDS = (
-    "les", "des", "une", "pour", "dans", "avec", "que", "qui", "pas", "par", "sur", "est", "sont", "aux", "ces", "cet", "cette",
-    "mais", "tout", "tous", "toutes", "plus", "moins", "son", "ses", "leur", "leurs", "nous", "vous", "ils", "elles", "elle",
-    "lui", "eux", "the", "and", "for", "with", "that", "this", "are", "you", "not", "but", "from", "have", "has", "was", "were",
-    "will", "can", "your", "our", "its", "all", "any", "into", "then", "than", "there", "their", "them", "they", "what", "when",
+    "les", "des", "une", "pour", "dans", "avec", "que", "qui", "pas", "par", "sur", "est", "sont", "aux", "ces", "cet",
+    "cette",
+    "mais", "tout", "tous", "toutes", "plus", "moins", "son", "ses", "leur", "leurs", "nous", "vous", "ils", "elles",
+    "elle",
+    "lui", "eux", "the", "and", "for", "with", "that", "this", "are", "you", "not", "but", "from", "have", "has", "was",
+    "were",
+    "will", "can", "your", "our", "its", "all", "any", "into", "then", "than", "there", "their", "them", "they", "what",
+    "when",
     "which", "who", "etre", "avoir", "fait", "faire", "comme", "aussi", "donc", "alors", "ainsi", "tres", "bien",
 )
 

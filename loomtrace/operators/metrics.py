@@ -28,7 +28,9 @@ def tool_metrics(calls: DataFrame) -> DataFrame:
     The median is interpolated, the 95th percentile is of the nearest rank; both over known durations only. The failure
     rate is failures over calls whose outcome is known, null without any.
     """
-    c = calls.filter("server IS NOT NULL").withColumn("failed", failed()).withColumn("decided", failed() | (F.col("status") == "success"))
+    c = calls.filter("server IS NOT NULL").withColumn("failed", failed()).withColumn(
+        "decided", failed() | (F.col("status") == "success")
+    )
     sets = c.groupingSets([["server", "tool"], ["server"], []], "server", "tool")
     return sets.agg(
         F.count(F.lit(1)).alias("calls"),
@@ -44,12 +46,19 @@ def tool_metrics(calls: DataFrame) -> DataFrame:
 
 
 def status_summary(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("session", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total_ms"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"))
+    return calls.groupBy("session", "status").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("duration_ms").alias("total_ms"),
+        F.min("start_ns").alias("first_ns"),
+        F.max("start_ns").alias("last_ns"),
+    )
 
 
 def top_servers(calls: DataFrame, n: int = 3) -> DataFrame:
     """The n servers with most calls of each session; ties by name."""
-    counts = calls.filter("server IS NOT NULL").groupBy("session", "server").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    counts = calls.filter("server IS NOT NULL").groupBy("session", "server").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
+    )
     order = Window.partitionBy("session").orderBy(F.desc("n"), "server")
     return counts.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= n)
 
@@ -82,7 +91,9 @@ def agent_rollup(calls: DataFrame) -> DataFrame:
 def unreliable_timing(calls: DataFrame, least_calls: int = 3, span_ns: int = 2_000_000_000) -> DataFrame:
     """Agents whose calls all fall into a span too short to be real."""
     span = F.max(F.coalesce("end_ns", "start_ns")) - F.min("start_ns")
-    return calls.groupBy("session", "agent", "epoch").agg(F.count(F.lit(1)).alias("n"), span.alias("span_ns")).filter((F.col("n") >= least_calls) & (F.col("span_ns") < span_ns))
+    return calls.groupBy("session", "agent", "epoch").agg(F.count(F.lit(1)).alias("n"), span.alias("span_ns")).filter(
+        (F.col("n") >= least_calls) & (F.col("span_ns") < span_ns)
+    )
 
 
 def tool_stats(calls: DataFrame) -> DataFrame:
@@ -107,7 +118,13 @@ def error_breakdown(calls: DataFrame, samples: int = 5) -> DataFrame:
     return ranked.groupBy("tool", "server", "target").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("agent").alias("agents"),
-        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= samples, F.struct("_r", "session", "seq")))), lambda s: F.concat_ws(":", s["session"], s["seq"]))).alias("samples"),
+        F.concat_ws(
+            ",",
+            F.transform(
+                F.array_sort(F.collect_list(F.when(F.col("_r") <= samples, F.struct("_r", "session", "seq")))),
+                lambda s: F.concat_ws(":", s["session"], s["seq"]),
+            ),
+        ).alias("samples"),
     )
 
 
@@ -125,9 +142,16 @@ def work_units(calls: DataFrame) -> DataFrame:
 
 def coverage(calls: DataFrame) -> DataFrame:
     """Which facts were ever observed, as one row per capability."""
-    facts = {"durations": "duration_ms", "outputs": "bytes", "servers": "server", "ends": "end_ns", "contents": "content_fp"}
+    facts = {
+        "durations": "duration_ms", "outputs": "bytes", "servers": "server", "ends": "end_ns", "contents": "content_fp"
+    }
     seen = calls.agg(*[F.count(c).alias(k) for k, c in facts.items()], F.count(F.lit(1)).alias("all_calls"))
-    return seen.unpivot(["all_calls"], list(facts), "capability", "known").select("capability", "known", (F.col("known") > 0).alias("observed"), (F.col("known") == F.col("all_calls")).alias("complete"))
+    return seen.unpivot(["all_calls"], list(facts), "capability", "known").select(
+        "capability",
+        "known",
+        (F.col("known") > 0).alias("observed"),
+        (F.col("known") == F.col("all_calls")).alias("complete"),
+    )
 
 
 def observed_cost(calls: DataFrame, *by: str) -> DataFrame:
@@ -146,22 +170,40 @@ def cost_union(findings: DataFrame, calls: DataFrame) -> DataFrame:
     """Cost of overlapping findings (rule, call_id, session): each call counts once per rule, and once in all."""
     members = findings.select("rule", "session", "call_id").distinct()
     joined = members.join(calls.select("session", "call_id", "bytes", "duration_ms"), ["session", "call_id"])
-    per_rule = joined.groupBy("rule").agg(F.count(F.lit(1)).alias("calls"), F.sum("bytes").alias("bytes"), F.sum("duration_ms").alias("ms"))
-    once = joined.drop("rule").distinct().agg(F.lit("all").alias("rule"), F.count(F.lit(1)).alias("calls"), F.sum("bytes").alias("bytes"), F.sum("duration_ms").alias("ms"))
+    per_rule = joined.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("bytes").alias("bytes"), F.sum("duration_ms").alias("ms")
+    )
+    once = joined.drop("rule").distinct().agg(
+        F.lit("all").alias("rule"),
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("duration_ms").alias("ms"),
+    )
     return per_rule.unionByName(once)
 
 
 def largest(calls: DataFrame, column: str, n: int = 5) -> DataFrame:
-    return calls.filter(F.col(column).isNotNull()).orderBy(F.desc(column), "session", "seq").limit(n).select("session", "seq", "tool", column)
+    return calls.filter(F.col(column).isNotNull()).orderBy(F.desc(column), "session", "seq").limit(n).select(
+        "session", "seq", "tool", column
+    )
 
 
 def keyset_page(calls: DataFrame, before_ns: int, before_id: int, n: int) -> DataFrame:
     """The next n calls of a listing from the newest down, behind a cursor."""
     behind = (F.col("start_ns") < before_ns) | ((F.col("start_ns") == before_ns) & (F.col("call_id") < before_id))
-    return calls.filter(behind).orderBy(F.desc("start_ns"), F.desc("call_id")).limit(n).select("session", "call_id", "start_ns", "tool", "status")
+    return calls.filter(behind).orderBy(F.desc("start_ns"), F.desc("call_id")).limit(n).select(
+        "session", "call_id", "start_ns", "tool", "status"
+    )
 
 
-def filtered(calls: DataFrame, equal: dict | None = None, since: int | None = None, until: int | None = None, contains: str | None = None, status: str | None = None) -> DataFrame:
+def filtered(
+    calls: DataFrame,
+    equal: dict | None = None,
+    since: int | None = None,
+    until: int | None = None,
+    contains: str | None = None,
+    status: str | None = None,
+) -> DataFrame:
     """Calls that match all given conditions; status "failure" stands for all failures; times by overlap, half open."""
     keep = F.lit(True)
     for column, value in (equal or {}).items():

@@ -40,7 +40,9 @@ def _prepared(calls: DataFrame) -> DataFrame:
     """calls with all optional columns, and what the rules ask of them."""
     calls = calls.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in calls.columns})
     name = F.coalesce("server_tool", "tool")
-    by_category = F.when(F.col("category").isin("edit", "write"), "write").when(F.col("category").isin("read", "search", "list"), "read")
+    by_category = F.when(F.col("category").isin("edit", "write"), "write").when(
+        F.col("category").isin("read", "search", "list"), "read"
+    )
     by_category = by_category.when(F.col("op") == "mcp_read", "read").otherwise("unknown")
     phase = (
         F.when(F.col("result_phase").isin("unavailable", "in_progress", "failed", "done"), F.col("result_phase"))
@@ -55,7 +57,9 @@ def _prepared(calls: DataFrame) -> DataFrame:
         "effect": F.coalesce("effect", by_category),
         "space": F.when(~tool.startswith("mcp__") & tool.contains("."), F.split_part(tool, F.lit("."), F.lit(1))),
         "phase": phase,
-        "state": F.coalesce(F.concat(F.lit("state:"), "state_fp"), F.concat(F.lit("content:"), F.col("content_fp").cast("string"))),
+        "state": F.coalesce(
+            F.concat(F.lit("state:"), "state_fp"), F.concat(F.lit("content:"), F.col("content_fp").cast("string"))
+        ),
     }).withColumn("asked", F.when(F.col("waits"), F.coalesce(F.format_number("delay", 3), F.lit("?"))))
 
 
@@ -81,7 +85,9 @@ def _between(rows: DataFrame) -> DataFrame:
     space = so_far(moves, "agent", "space") - so_far(moves, "agent", "space", "tool")
     reads_file = ((op == "read") | (F.col("category") == "read")) & F.col("target").isNotNull()
     is_local = op.isin(*READ_OPS, *RUN_OPS) | F.col("category").isin("read", "search", "list", "shell")
-    strong = F.when(mcp, server).when(reads_file, path).when(is_local, local).when(F.col("space").isNotNull(), space).otherwise(F.lit(0))
+    strong = F.when(mcp, server).when(reads_file, path).when(is_local, local).when(
+        F.col("space").isNotNull(), space
+    ).otherwise(F.lit(0))
     unsure = F.col("effect").isin("unknown", "run", "write") | op.isin(*RUN_OPS)
     weak = so_far(unsure, "agent") - so_far(unsure, *own)
     return rows.withColumns({"strong": strong, "weak": weak})
@@ -99,7 +105,9 @@ def _with_marks(rows: DataFrame, inputs: DataFrame | None, declared: DataFrame |
         marks.append(inputs.select(*key, F.col("ns").alias("start_ns")).withColumns(zero | {"new": F.lit(1)}))
     if declared is not None:
         said = {f"said_{d}": F.array_contains("labels", d).cast("int") for d in DECLARED}
-        marks.append(declared.select(*key, F.col("ns").alias("start_ns"), "labels").withColumns(zero | said).drop("labels"))
+        marks.append(
+            declared.select(*key, F.col("ns").alias("start_ns"), "labels").withColumns(zero | said).drop("labels")
+        )
     every = rows.withColumns(zero | {"_call": F.lit(True)})
     for more in marks:
         every = every.unionByName(more, allowMissingColumns=True)
@@ -107,11 +115,28 @@ def _with_marks(rows: DataFrame, inputs: DataFrame | None, declared: DataFrame |
     return every.withColumns({c: F.sum(c).over(w) for c in zero}).filter("_call").drop("_call")
 
 
-def reasons(calls: DataFrame, inputs: DataFrame | None = None, declared: DataFrame | None = None, gap_ms: int = 2_000) -> DataFrame:
+def reasons(
+    calls: DataFrame, inputs: DataFrame | None = None, declared: DataFrame | None = None, gap_ms: int = 2_000
+) -> DataFrame:
     """Each repeat of a call: reason, basis (observed, nature or declared), outcome, value, prev_phase, phase_changed,
     round_trip, interval_ns, idle_ns."""
     rows = _with_marks(_between(_prepared(calls)), inputs, declared)
-    before = {f"p_{c}": c for c in ("emitter", "epoch", "new", "strong", "weak", "phase", "state", "start_ns", "end_ns", "seq", *(f"said_{d}" for d in DECLARED))}
+    before = {
+        f"p_{c}": c
+        for c in (
+            "emitter",
+            "epoch",
+            "new",
+            "strong",
+            "weak",
+            "phase",
+            "state",
+            "start_ns",
+            "end_ns",
+            "seq",
+            *(f"said_{d}" for d in DECLARED),
+        )
+    }
     pairs = lagged(rows, GROUP, ["seq"], **before).filter("p_seq IS NOT NULL")
     both = F.col("emitter").isNotNull() & F.col("p_emitter").isNotNull()
     close = F.coalesce((F.col("start_ns") - F.col("p_end_ns")) / 1_000_000 < gap_ms, F.lit(False))
@@ -131,14 +156,18 @@ def reasons(calls: DataFrame, inputs: DataFrame | None = None, declared: DataFra
     )
     pairs = pairs.withColumn("seen", seen)
     open_reason = F.col("seen").isin("none", "possible_change")
-    told = F.when(F.col("waits"), "waiting").when(more("said_unavailable"), "unavailable").when(more("said_in_progress") | more("said_wait"), "waiting")
+    told = F.when(F.col("waits"), "waiting").when(more("said_unavailable"), "unavailable").when(
+        more("said_in_progress") | more("said_wait"), "waiting"
+    )
     pairs = pairs.withColumn("reason", F.when(open_reason, F.coalesce(told, F.col("seen"))).otherwise(F.col("seen")))
     kind = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(1))
     comparable = F.coalesce(kind("state") == kind("p_state"), F.lit(False))
     outcome = F.when(~comparable, "unknown").when(F.col("state") == F.col("p_state"), "same").otherwise("changed")
     changed = (F.col("phase") != F.col("p_phase")) & (F.col("phase") != "unknown") & (F.col("p_phase") != "unknown")
     pairs = pairs.withColumns({"outcome": outcome, "phase_changed": changed})
-    useful = F.col("reason").isin("context_loss", "new_input", "after_change") | (F.col("outcome") == "changed") | F.col("phase_changed")
+    useful = F.col("reason").isin("context_loss", "new_input", "after_change") | (
+        F.col("outcome") == "changed"
+    ) | F.col("phase_changed")
     value = (
         F.when(F.col("reason") == "same_response", "free")
         .when(useful, "useful")
@@ -156,7 +185,8 @@ def reasons(calls: DataFrame, inputs: DataFrame | None = None, declared: DataFra
 
 
 def verdicts(
-    calls: DataFrame, inputs: DataFrame | None = None, declared: DataFrame | None = None, least_calls: int = 3, episode_s: int = 1_200
+    calls: DataFrame, inputs: DataFrame | None = None, declared: DataFrame | None = None, least_calls: int = 3,
+    episode_s: int = 1_200
 ) -> DataFrame:
     """Groups of equal calls with what their repeats say: calls, round_trips, repeats by reason and value, intervals within
     episodes, whether they are periodic, verdict, kind and confidence.
@@ -170,33 +200,46 @@ def verdicts(
     inside = rt & (F.col("interval_ns") <= episode_s * NS)
     seconds = F.when(inside, F.col("interval_ns") / NS)
     of_reason = {f"n_{r}": F.count_if(rt & (F.col("reason") == r)) for r in REASONS}
-    of_value = {f"v_{v}": F.count_if(rt & (F.col("value") == v)) for v in ("useful", "no_gain", "explained_no_gain", "unknown")}
+    of_value = {
+        f"v_{v}": F.count_if(rt & (F.col("value") == v)) for v in ("useful", "no_gain", "explained_no_gain", "unknown")
+    }
     repeats = pairs.groupBy(*GROUP).agg(
         F.count_if(rt).alias("round_trips"), F.count_if(rt & F.col("phase_changed")).alias("phase_changes"),
-        F.count_if(rt & (F.col("outcome") != "unknown")).alias("known"), F.count_if(rt & (F.col("outcome") == "same")).alias("same"),
+        F.count_if(rt & (F.col("outcome") != "unknown")).alias("known"),
+        F.count_if(rt & (F.col("outcome") == "same")).alias("same"),
         *[c.alias(n) for n, c in (of_reason | of_value).items()],
         F.percentile(seconds, 0.5).alias("median_s"), F.min(seconds).alias("min_s"), F.max(seconds).alias("max_s"),
         F.try_divide(F.stddev_pop(seconds), F.avg(seconds)).alias("cv"),
     )
     rows = _prepared(calls)
-    tells = F.col("target").isNotNull() | F.col("timed_out").isNotNull() | F.col("result_phase").isin("in_progress", "unavailable", "failed")
+    tells = F.col("target").isNotNull() | F.col("timed_out").isNotNull() | F.col("result_phase").isin(
+        "in_progress", "unavailable", "failed"
+    )
     tells = tells | ~F.coalesce("state_fp", F.lit("empty")).isin("", "empty") | F.col("content_fp").isNotNull()
     groups = rows.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("calls"), F.first("category").alias("category"), F.first("server").alias("server"), F.first("op").alias("op"),
-        F.first("waits").alias("waits"), F.count_if(F.col("timed_out")).alias("timed_out"), F.bool_or(F.coalesce(tells, F.lit(False))).alias("tells"),
+        F.count(F.lit(1)).alias("calls"), F.first("category").alias("category"), F.first("server").alias("server"),
+        F.first("op").alias("op"),
+        F.first("waits").alias("waits"), F.count_if(F.col("timed_out")).alias("timed_out"),
+        F.bool_or(F.coalesce(tells, F.lit(False))).alias("tells"),
         F.count_if(F.col("result_phase") != "unknown").alias("phases_known"),
     ).filter(F.col("calls") >= least_calls)
     # a waiting tool of the same server in the session; one row per session and server
-    tools = rows.filter("category = 'mcp' AND waits").groupBy("session", "server", "tool").agg(F.count(F.lit(1)).alias("n"))
+    tools = rows.filter("category = 'mcp' AND waits").groupBy("session", "server", "tool").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     alternative = tools.groupBy("session", "server").agg(F.max_by("tool", F.struct("n", "tool")).alias("wait_tool"))
     same_group = [groups[c].eqNullSafe(repeats[c]) for c in GROUP]
-    joined = groups.join(repeats, same_group).select(groups["*"], *[repeats[c] for c in repeats.columns if c not in GROUP])
+    joined = groups.join(repeats, same_group).select(
+        groups["*"], *[repeats[c] for c in repeats.columns if c not in GROUP]
+    )
     joined = joined.join(alternative, ["session", "server"], "left")
 
     n = F.col("round_trips")
     polling = F.col("n_waiting") + F.col("n_unavailable")
     quiet = F.col("n_none") + F.col("n_possible_change")
-    periodic = (n >= 5) & F.coalesce(F.col("cv") < 0.5, F.lit(False)) & (quiet * 10 >= n * 6) & (F.col("phase_changes") <= F.greatest(F.lit(1), F.floor(n / 10)))
+    periodic = (n >= 5) & F.coalesce(F.col("cv") < 0.5, F.lit(False)) & (quiet * 10 >= n * 6) & (
+        F.col("phase_changes") <= F.greatest(F.lit(1), F.floor(n / 10))
+    )
     joined = joined.withColumns({"periodic": periodic, "polling": polling})
     polls = ((F.col("polling") * 2 >= n) & (F.col("polling") >= 2)) | F.col("periodic")
     owner = F.when(F.col("category") == "mcp", "outil").otherwise("agent")
@@ -206,7 +249,10 @@ def verdicts(
     waiting = F.col("waits") | (F.col("timed_out") > 0)
     offered = (F.col("category") == "mcp") & ~F.col("waits") & F.col("wait_tool").isNotNull()
     idle = (F.col("v_no_gain") * 2 >= n) & (F.col("v_no_gain") >= 2)
-    made = lambda verdict, kind=None: F.struct((verdict if isinstance(verdict, Column) else F.lit(verdict)).alias("verdict"), (kind if isinstance(kind, Column) else F.lit(kind).cast("string")).alias("kind"))
+    made = lambda verdict, kind=None: F.struct(
+        (verdict if isinstance(verdict, Column) else F.lit(verdict)).alias("verdict"),
+        (kind if isinstance(kind, Column) else F.lit(kind).cast("string")).alias("kind"),
+    )
     unexplained = F.when(~local, "unexplained_repeats")
     end = (
         F.when(F.col("waits") & ~F.col("tells") & (n > 0), made("indetermine"))
@@ -223,9 +269,13 @@ def verdicts(
         .otherwise(made("agent", F.when(F.col("v_no_gain") >= 2, unexplained)))
     )
     sure = (F.col("polling") == 0) | (F.col("phases_known") * 10 >= F.col("calls") * 8)
-    confidence = F.when((n >= 5) & (F.col("known") * 10 >= n * 8) & sure, "high").when((n >= 2) & (F.col("known") * 2 >= n), "medium").otherwise("low")
+    confidence = F.when((n >= 5) & (F.col("known") * 10 >= n * 8) & sure, "high").when(
+        (n >= 2) & (F.col("known") * 2 >= n), "medium"
+    ).otherwise("low")
     out = joined.withColumns({"_end": end, "confidence": confidence})
     return out.select(
-        "session", "agent", "tool", "target", "params", "calls", "round_trips", *of_reason, *of_value, "same", "known", "phase_changes",
-        *[F.round(c, 6).alias(c) for c in ("median_s", "min_s", "max_s", "cv")], "periodic", "wait_tool", "_end.verdict", "_end.kind", "confidence",
+        "session", "agent", "tool", "target", "params", "calls", "round_trips", *of_reason, *of_value, "same", "known",
+        "phase_changes",
+        *[F.round(c, 6).alias(c) for c in ("median_s", "min_s", "max_s", "cv")], "periodic", "wait_tool",
+        "_end.verdict", "_end.kind", "confidence",
     )

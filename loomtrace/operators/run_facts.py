@@ -22,7 +22,13 @@ PAIR = r"([A-Za-z][A-Za-z0-9_.-]*=\S+)"
 COUNTERS = (rf"(?i)\b(?:failures|failed|tests_failed)\s*[:=]\s*({NUMBER})\b", rf"(?i)\b({NUMBER})\s+echec(?:s|\(s\))?")
 EXIT_CODE = rf"(?i)(?:[\"']?exit(?:_code|\s+code)[\"']?|ExitCode)(?:\s*[:=]\s*|\s+)({NUMBER})\b"
 #: Fields of a summary, and the fact each stands for.
-SUMMARY = {"end": "run_end", "ended": "run_end", "status": "process_status", "exit_code": "process_exit", "exitcode": "process_exit"}
+SUMMARY = {
+    "end": "run_end",
+    "ended": "run_end",
+    "status": "process_status",
+    "exit_code": "process_exit",
+    "exitcode": "process_exit",
+}
 
 FACT = "array<struct<field:string,value:string,phase:string>>"
 
@@ -30,7 +36,9 @@ FACT = "array<struct<field:string,value:string,phase:string>>"
 def _fact(field: Column | str, value: Column, phase: Column | None = None) -> Column:
     name = F.lit(field) if isinstance(field, str) else field
     none = F.lit(None).cast("string")
-    return F.struct(name.alias("field"), value.cast("string").alias("value"), (none if phase is None else phase).alias("phase"))
+    return F.struct(
+        name.alias("field"), value.cast("string").alias("value"), (none if phase is None else phase).alias("phase")
+    )
 
 
 def _plain(value: Column) -> Column:
@@ -40,7 +48,9 @@ def _plain(value: Column) -> Column:
 def _summary(text: Column) -> Column:
     """Facts of a JSON object, only of fields with a known name."""
     at = lambda k: F.get_json_object(text, f"$.{k}")
-    counted = lambda k: F.when(at(k).isNotNull(), _fact(F.when(at(k).rlike(f"^{NUMBER}$"), "tests_failed").otherwise("failure_details"), at(k)))
+    counted = lambda k: F.when(
+        at(k).isNotNull(), _fact(F.when(at(k).rlike(f"^{NUMBER}$"), "tests_failed").otherwise("failure_details"), at(k))
+    )
     named = [F.when(at(k).isNotNull(), _fact(f, at(k))) for k, f in SUMMARY.items()]
     details = F.when(at("failure_details").isNotNull(), _fact("failure_details", at("failure_details")))
     return F.array_compact(F.array(*[counted(k) for k in ("failures", "failed", "tests_failed")], details, *named))
@@ -64,20 +74,33 @@ def _event(kind: Column, detail: Column, line: Column) -> Column:
     hitch = F.regexp_extract(F.concat(F.lit("hitch "), detail), rf"(?i)\bhitch\s+({NUMBER})\s*ms\b", 1)
     place = rf"(?i)\bcarte\s+(\S+)\s+apres\s*({NUMBER})\s*s?(?:\s*\(([^)]*)\))?"
     arrival = F.to_json(F.struct(
-        F.lit("map_loaded").alias("kind"), F.regexp_replace(F.regexp_extract(detail, place, 1), "[,;]+$", "").alias("map"),
-        F.regexp_extract(detail, place, 2).try_cast("double").alias("after_s"), F.nullif(F.regexp_extract(detail, place, 3), F.lit("")).alias("mode"),
+        F.lit("map_loaded").alias("kind"),
+        F.regexp_replace(F.regexp_extract(detail, place, 1), "[,;]+$", "").alias("map"),
+        F.regexp_extract(detail, place, 2).try_cast("double").alias("after_s"),
+        F.nullif(F.regexp_extract(detail, place, 3), F.lit("")).alias("mode"),
     ))
     admitted = F.regexp_extract(detail, rf"(?i)\barriv[eé]e?\s+admise\b.*?\bapres\s*({NUMBER})\s*s?", 1)
-    admission = F.to_json(F.struct(F.lit("arrival_admitted").alias("kind"), admitted.try_cast("double").alias("after_s")))
+    admission = F.to_json(
+        F.struct(F.lit("arrival_admitted").alias("kind"), admitted.try_cast("double").alias("after_s"))
+    )
     text = F.array(_fact("event_text", line))
     counts = F.flatten(F.array(*[F.regexp_extract_all(detail, F.lit(c), 1) for c in COUNTERS]))
     only = F.trim(detail).isin("", "...", ".") | F.trim(detail).rlike(f"^(?:{COUNTERS[0]}|{COUNTERS[1]})$")
-    end = F.concat(F.array(_fact("run_end", F.lit("true"))), F.transform(counts, lambda c: _fact("tests_failed", c)), F.when(only, none).otherwise(text))
+    end = F.concat(
+        F.array(_fact("run_end", F.lit("true"))),
+        F.transform(counts, lambda c: _fact("tests_failed", c)),
+        F.when(only, none).otherwise(text),
+    )
     return (
         F.when(kind == "hitch", F.when(hitch != "", F.array(_fact("hitch_ms", hitch))).otherwise(text))
         .when(kind == "stream", _stream(detail, "stream"))
         .when(kind == "pending", _stream(detail, "pending"))
-        .when(kind == "ok", F.when(detail.rlike(place), F.array(_fact("arrival", arrival))).when(admitted != "", F.array(_fact("arrival", admission))).otherwise(text))
+        .when(
+            kind == "ok",
+            F.when(detail.rlike(place), F.array(_fact("arrival", arrival))).when(
+                admitted != "", F.array(_fact("arrival", admission))
+            ).otherwise(text),
+        )
         .when(kind == "end", end)
         .when(kind == "fail", F.array(_fact("failure_event", F.trim(detail))))
         .otherwise(none)
@@ -90,19 +113,29 @@ def parsed(texts: DataFrame, key: str, text: str) -> DataFrame:
     out; key must tell texts apart."""
     whole = F.trim(F.col(text))
     is_object = lambda c: F.coalesce(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), F.lit(False))
-    blocks = F.when(is_object(whole), F.array(whole)).when(whole.rlike(BLOCK), F.regexp_extract_all(whole, F.lit(BLOCK), 0)).otherwise(F.array(whole))
-    rows = texts.filter(F.col(text).isNotNull()).select(key, is_object(whole).alias("one"), F.posexplode(blocks).alias("block", "body"))
+    blocks = F.when(is_object(whole), F.array(whole)).when(
+        whole.rlike(BLOCK), F.regexp_extract_all(whole, F.lit(BLOCK), 0)
+    ).otherwise(F.array(whole))
+    rows = texts.filter(F.col(text).isNotNull()).select(
+        key, is_object(whole).alias("one"), F.posexplode(blocks).alias("block", "body")
+    )
     tag = F.lower(F.regexp_extract("body", r"(?is)^<(event|status|summary)\b", 1))
     inner = F.when(tag != "", F.regexp_replace("body", r"(?is)^<[^>]*>|</\w+\s*>$", "")).otherwise(F.col("body"))
     rows = rows.select(key, "one", "block", tag.alias("tag"), inner.alias("body"))
     # a summary is looked at as a whole, and so is an object that is printed over several lines
     lines = F.when(F.col("one") | (F.col("tag") == "summary"), F.array("body")).otherwise(F.split("body", r"\r?\n"))
-    rows = rows.select(key, "one", "block", "tag", F.posexplode(lines).alias("line", "raw")).withColumn("said", F.trim("raw")).filter("said <> ''")
+    rows = rows.select(key, "one", "block", "tag", F.posexplode(lines).alias("line", "raw")).withColumn(
+        "said", F.trim("raw")
+    ).filter("said <> ''")
     number = rf"({NUMBER}|\.\.\.)"
     kinds = "|".join(KINDS)
     alone, watched = rf"(?i)^{number}\s+({kinds})\b(.*)$", rf"(?i)^(\S+)(?:\s+{number})?\s+({kinds})\b(.*)$"
-    rows = rows.withColumn("header", F.when(F.col("tag").isin("", "event"), F.nullif(F.regexp_extract("said", HEADER, 1), F.lit(""))))
-    carried = F.last("header", ignorenulls=True).over(Window.partitionBy(key).orderBy("block", "line").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn(
+        "header", F.when(F.col("tag").isin("", "event"), F.nullif(F.regexp_extract("said", HEADER, 1), F.lit("")))
+    )
+    carried = F.last("header", ignorenulls=True).over(
+        Window.partitionBy(key).orderBy("block", "line").rowsBetween(Window.unboundedPreceding, 0)
+    )
     said = F.col("said")
     own = said.rlike(alone)
     pick = lambda a, b: F.when(own, F.regexp_extract(said, alone, a)).otherwise(F.regexp_extract(said, watched, b))
@@ -122,10 +155,22 @@ def parsed(texts: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(_event(F.col("kind"), F.col("detail"), said))
     )
     rows = rows.withColumn("facts", facts)
-    known = F.col("tag").isin("status", "summary") | F.col("header").isNotNull() | F.col("finished") | (F.col("kind") != "") | said.rlike(CUT)
-    role = F.when(F.col("tag").isin("status", "summary") | F.col("finished"), None).when(F.col("object"), F.coalesce(F.get_json_object("said", "$.role"), F.lit(None))).otherwise(F.col("role"))
+    known = F.col("tag").isin("status", "summary") | F.col("header").isNotNull() | F.col("finished") | (
+        F.col("kind") != ""
+    ) | said.rlike(CUT)
+    role = F.when(F.col("tag").isin("status", "summary") | F.col("finished"), None).when(
+        F.col("object"), F.coalesce(F.get_json_object("said", "$.role"), F.lit(None))
+    ).otherwise(F.col("role"))
     told_at = F.coalesce(F.get_json_object("said", "$.at"), F.get_json_object("said", "$.t")).try_cast("double")
-    return rows.select(key, "block", "line", role.alias("role"), F.when(F.col("object"), told_at).otherwise(F.col("at")).alias("at"), "facts", (known | (F.col("object") & (F.size("facts") > 0))).alias("understood"))
+    return rows.select(
+        key,
+        "block",
+        "line",
+        role.alias("role"),
+        F.when(F.col("object"), told_at).otherwise(F.col("at")).alias("at"),
+        "facts",
+        (known | (F.col("object") & (F.size("facts") > 0))).alias("understood"),
+    )
 
 
 def facts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -138,4 +183,6 @@ def completeness(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, unparsed_lines, truncated of every text."""
     odd = parsed(texts, key, text).groupBy(key).agg(F.count_if(~F.col("understood")).alias("unparsed_lines"))
     cut = texts.select(key, F.coalesce(F.col(text).rlike(CUT), F.lit(False)).alias("truncated"))
-    return cut.join(odd, key, "left").select(key, F.coalesce("unparsed_lines", F.lit(0)).alias("unparsed_lines"), "truncated")
+    return cut.join(odd, key, "left").select(
+        key, F.coalesce("unparsed_lines", F.lit(0)).alias("unparsed_lines"), "truncated"
+    )

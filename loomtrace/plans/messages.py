@@ -12,8 +12,10 @@ from .registry import query
 M = ("messages",)
 #: Of the driver's messages, every turn but each third arrives, two seconds later.
 _PAIRS = """WITH s AS (SELECT *, row_number() OVER (PARTITION BY conv, fp ORDER BY ns, turn) AS n FROM messages),
-v AS (SELECT conv, fp, ns + 2000000000 + turn % 2 * 1000000 AS rns, row_number() OVER (PARTITION BY conv, fp ORDER BY ns, turn) AS n FROM messages WHERE turn % 3 <> 2),
-p AS (SELECT s.*, CASE WHEN s.ns <= v.rns + 5000000000 THEN v.rns END AS received_ns FROM s LEFT JOIN v ON s.conv = v.conv AND s.fp = v.fp AND s.n = v.n)"""
+v AS (SELECT conv, fp, ns + 2000000000 + turn % 2 * 1000000 AS rns, row_number() OVER (PARTITION BY conv, fp ORDER BY
+  ns, turn) AS n FROM messages WHERE turn % 3 <> 2),
+p AS (SELECT s.*, CASE WHEN s.ns <= v.rns + 5000000000 THEN v.rns END AS received_ns FROM s LEFT JOIN v ON s.conv =
+  v.conv AND s.fp = v.fp AND s.n = v.n)"""
 
 
 def _pairs(f: Frames) -> DataFrame:
@@ -32,41 +34,72 @@ def undelivered(f: Frames) -> DataFrame:
     return _pairs(f).filter("received_ns IS NULL").select("conv", "turn", "author", "chars")
 
 
-@query("crossed_messages", _PAIRS + " SELECT conv, turn, author, recipient FROM p WHERE EXISTS (SELECT 1 FROM p o WHERE o.conv = p.conv AND o.author = p.recipient AND o.ns < p.ns AND p.ns < o.received_ns)", M)
+@query(
+    "crossed_messages",
+    _PAIRS + " SELECT conv, turn, author, recipient FROM p WHERE EXISTS (SELECT 1 FROM p o WHERE o.conv = p.conv AND o.author = p.recipient AND o.ns < p.ns AND p.ns < o.received_ns)",
+    M,
+)
 def crossed_messages(f: Frames) -> DataFrame:
     return messages.crossed(_pairs(f))
 
 
-@query("message_routes", _PAIRS + " SELECT author, recipient, count(*) AS sent, count(received_ns) AS paired, sum(chars)::BIGINT AS chars, quantile_cont((received_ns - ns) / 1e6, 0.5) AS median_ms, max((received_ns - ns) // 1000000) AS max_ms FROM p GROUP BY 1, 2", M)
+@query(
+    "message_routes",
+    _PAIRS + " SELECT author, recipient, count(*) AS sent, count(received_ns) AS paired, sum(chars)::BIGINT AS chars, quantile_cont((received_ns - ns) / 1e6, 0.5) AS median_ms, max((received_ns - ns) // 1000000) AS max_ms FROM p GROUP BY 1, 2",
+    M,
+)
 def message_routes(f: Frames) -> DataFrame:
     return messages.routes(_pairs(f))
 
 
-@query("first_reaction", "WITH r AS (SELECT *, min(CASE WHEN author = 'assistant' THEN ns END) OVER w AS xns, min(CASE WHEN author = 'assistant' THEN turn END) OVER w AS xt FROM messages WINDOW w AS (PARTITION BY conv ORDER BY ns, turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT conv, turn, xt AS reaction_turn, xns - ns AS wait_ns FROM r WHERE author <> 'assistant'", M)
+@query(
+    "first_reaction",
+    "WITH r AS (SELECT *, min(CASE WHEN author = 'assistant' THEN ns END) OVER w AS xns, min(CASE WHEN author = "
+    "'assistant' THEN turn END) OVER w AS xt FROM messages WINDOW w AS (PARTITION BY conv ORDER BY ns, turn ROWS "
+    "BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT conv, turn, xt AS reaction_turn, xns - ns AS wait_ns FROM r "
+    "WHERE author <> 'assistant'",
+    M,
+)
 def first_reaction(f: Frames) -> DataFrame:
     return messages.reactions(f.messages)
 
 
 @query(
     "message_chains",
-    """WITH b AS (SELECT *, coalesce(lag(author) OVER (PARTITION BY conv ORDER BY ns, turn) = author, FALSE)::INT AS b FROM messages), c AS (SELECT *, sum(b) OVER (PARTITION BY conv ORDER BY ns, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS chain FROM b)
-SELECT conv, chain, count(*) AS length, min(turn) AS first_turn, sum(chars)::BIGINT AS chars FROM c GROUP BY 1, 2 HAVING count(*) >= 2""",
+    """WITH b AS (SELECT *, coalesce(lag(author) OVER (PARTITION BY conv ORDER BY ns, turn) = author, FALSE)::INT AS b
+  FROM messages), c AS (SELECT *, sum(b) OVER (PARTITION BY conv ORDER BY ns, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS
+  chain FROM b)
+SELECT conv, chain, count(*) AS length, min(turn) AS first_turn, sum(chars)::BIGINT AS chars FROM c GROUP BY 1, 2 HAVING
+  count(*) >= 2""",
     M,
 )
 def message_chains(f: Frames) -> DataFrame:
     return messages.chains(f.messages)
 
 
-@query("message_requests", "SELECT conv, bool_and(author = 'user') AS only_user, count(*) AS messages, count(*) FILTER (WHERE author = 'assistant') AS answers, sum(chars)::BIGINT AS chars FROM messages GROUP BY 1", M)
+@query(
+    "message_requests",
+    "SELECT conv, bool_and(author = 'user') AS only_user, count(*) AS messages, count(*) FILTER (WHERE author = "
+    "'assistant') AS answers, sum(chars)::BIGINT AS chars FROM messages GROUP BY 1",
+    M,
+)
 def message_requests(f: Frames) -> DataFrame:
-    return f.messages.groupBy("conv").agg(F.every(F.col("author") == "user").alias("only_user"), F.count(F.lit(1)).alias("messages"), F.count_if(F.col("author") == "assistant").alias("answers"), F.sum("chars").alias("chars"))
+    return f.messages.groupBy("conv").agg(
+        F.every(F.col("author") == "user").alias("only_user"),
+        F.count(F.lit(1)).alias("messages"),
+        F.count_if(F.col("author") == "assistant").alias("answers"),
+        F.sum("chars").alias("chars"),
+    )
 
 
 @query(
     "repeated_paragraphs",
-    r"""WITH e AS (SELECT DISTINCT doc_id AS k, p FROM (SELECT doc_id, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS p FROM documents) WHERE length(p) >= 80),
+    r"""WITH e AS (SELECT DISTINCT doc_id AS k, p FROM (SELECT doc_id,
+  lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS p FROM documents) WHERE length(p)
+  >= 80),
 t AS (SELECT p, count(*) AS messages, list_sort(list(k)) AS ks FROM e GROUP BY 1 HAVING count(*) >= 2)
-SELECT messages, ks[1] AS first_message, ks[-1] AS last_message, count(*) AS paragraphs, sum(length(p))::BIGINT AS chars FROM t GROUP BY messages, ks""",
+SELECT messages, ks[1] AS first_message, ks[-1] AS last_message, count(*) AS paragraphs, sum(length(p))::BIGINT AS chars
+  FROM t GROUP BY messages, ks""",
     (),
 )
 def repeated_paragraphs(f: Frames) -> DataFrame:
@@ -77,7 +110,11 @@ def repeated_paragraphs(f: Frames) -> DataFrame:
 def paragraph_signatures(f: Frames) -> DataFrame:
     """Estimated similarity of each paragraph's words to those of the paragraph before it in its document."""
     p = f.table("documents").select("doc_id", F.posexplode(messages.paragraphs(F.col("text"))).alias("pos", "p"))
-    words = F.array_distinct(F.filter(F.transform(F.split("p", " "), lambda x: F.substring(x, 1, 6)), lambda x: F.length(x) >= 3))
+    words = F.array_distinct(
+        F.filter(F.transform(F.split("p", " "), lambda x: F.substring(x, 1, 6)), lambda x: F.length(x) >= 3)
+    )
     signed = p.withColumn("w", words).filter(F.size("w") >= 4).withColumn("s", messages.minhash_signature(F.col("w")))
     before = F.lag("s").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return signed.withColumn("b", before).filter("b IS NOT NULL").select("doc_id", "pos", messages.signature_similarity(F.col("s"), F.col("b")).alias("similarity"))
+    return signed.withColumn("b", before).filter("b IS NOT NULL").select(
+        "doc_id", "pos", messages.signature_similarity(F.col("s"), F.col("b")).alias("similarity")
+    )

@@ -48,10 +48,16 @@ def hook_events(payloads: DataFrame, client: str) -> DataFrame:
     phase = tools.phase(at("hook_event_name"))
     failed = F.when(phase == "failure", F.when(at("is_interrupt") == "true", "interrupted").otherwise("error"))
     command = at("tool_input.command")
-    named = [F.nullif(F.trim(at(f"tool_input.{k}")), F.lit("")) for k in ("file_path", "path", "notebook_path", "url", "pattern")]
+    named = [
+        F.nullif(F.trim(at(f"tool_input.{k}")), F.lit(""))
+        for k in ("file_path", "path", "notebook_path", "url", "pattern")
+    ]
     target = F.substring(F.coalesce(*named, command), 1, MAX_TARGET)
     # a client that hands out plain text may state an exit code in a line of its own at the end
-    plain = F.when(~F.coalesce(response.startswith("{"), F.lit(False)), F.regexp_extract(F.substring(response, -EXIT_TAIL, EXIT_TAIL), EXIT_LINE, 1))
+    plain = F.when(
+        ~F.coalesce(response.startswith("{"), F.lit(False)),
+        F.regexp_extract(F.substring(response, -EXIT_TAIL, EXIT_TAIL), EXIT_LINE, 1),
+    )
     code = F.coalesce(tools.exit_code(response), F.nullif(plain, F.lit("")).try_cast("int"))
     by_code = F.when(plain != "", F.when(code == 0, "success").otherwise("error"))
     return good.select(
@@ -80,7 +86,9 @@ def hook_events(payloads: DataFrame, client: str) -> DataFrame:
 
 def rejected(payloads: DataFrame) -> DataFrame:
     """Lines that hold no JSON object, with the reason."""
-    return payloads.filter(~is_object(F.col("value"))).select("*", F.when(F.try_parse_json("value").isNull(), "invalid_json").otherwise("not_an_object").alias("reason"))
+    return payloads.filter(~is_object(F.col("value"))).select(
+        "*", F.when(F.try_parse_json("value").isNull(), "invalid_json").otherwise("not_an_object").alias("reason")
+    )
 
 
 USAGE = ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")
@@ -97,15 +105,24 @@ def transcript_requests(rows: DataFrame) -> DataFrame:
         "file",
         "line",
         kind.alias("kind"),
-        F.when((kind == "assistant") & F.coalesce(at("message.model") != "<synthetic>", F.lit(True)), F.coalesce(at("requestId"), at("message.id"), at("uuid"))).alias("rid"),
+        F.when(
+            (kind == "assistant") & F.coalesce(at("message.model") != "<synthetic>", F.lit(True)),
+            F.coalesce(at("requestId"), at("message.id"), at("uuid")),
+        ).alias("rid"),
         at("message.model").alias("model"),
-        F.from_json(at("message.content"), "array<struct<type:string,id:string,name:string,tool_use_id:string>>").alias("blocks"),
+        F.from_json(at("message.content"), "array<struct<type:string,id:string,name:string,tool_use_id:string>>").alias(
+            "blocks"
+        ),
         *[at(f"message.usage.{k}").try_cast("long").alias(k) for k in USAGE],
     )
     ahead = Window.partitionBy("file").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
     owned = parsed.withColumn("owner", F.first("rid", ignorenulls=True).over(ahead)).filter("owner IS NOT NULL")
-    of = lambda t, field: F.transform(F.filter("blocks", lambda b: (b["type"] == t) & b[field].isNotNull()), lambda b: b[field])
-    rows = owned.withColumn("_uses", F.when(F.col("rid").isNotNull(), of("tool_use", "id"))).withColumn("_results", F.when(F.col("kind") == "user", of("tool_result", "tool_use_id")))
+    of = lambda t, field: F.transform(
+        F.filter("blocks", lambda b: (b["type"] == t) & b[field].isNotNull()), lambda b: b[field]
+    )
+    rows = owned.withColumn("_uses", F.when(F.col("rid").isNotNull(), of("tool_use", "id"))).withColumn(
+        "_results", F.when(F.col("kind") == "user", of("tool_result", "tool_use_id"))
+    )
     mine = F.col("rid").isNotNull()
     agreed = lambda c: F.when(F.count_distinct(c) == 1, F.max(c)).alias(c)
     return rows.groupBy("file", F.col("owner").alias("request_id")).agg(
@@ -121,8 +138,18 @@ def transcript_requests(rows: DataFrame) -> DataFrame:
 def attributed(requests: DataFrame) -> DataFrame:
     """Per call: the request that emitted it and the one that consumed its result, with the tokens of each divided by how
     many calls share it (rounded down)."""
-    emit = requests.filter(F.size("tool_uses") > 0).select("file", F.explode("tool_uses").alias("call_id"), F.col("request_id").alias("emitter"), F.expr("output_tokens div size(tool_uses)").alias("output_share"))
-    take = requests.filter(F.size("consumed") > 0).select("file", F.explode("consumed").alias("call_id"), F.col("request_id").alias("consumer"), F.expr("(input_tokens + cache_creation_input_tokens) div size(consumed)").alias("input_share"))
+    emit = requests.filter(F.size("tool_uses") > 0).select(
+        "file",
+        F.explode("tool_uses").alias("call_id"),
+        F.col("request_id").alias("emitter"),
+        F.expr("output_tokens div size(tool_uses)").alias("output_share"),
+    )
+    take = requests.filter(F.size("consumed") > 0).select(
+        "file",
+        F.explode("consumed").alias("call_id"),
+        F.col("request_id").alias("consumer"),
+        F.expr("(input_tokens + cache_creation_input_tokens) div size(consumed)").alias("input_share"),
+    )
     return emit.join(take, ["file", "call_id"], "full")
 
 
@@ -137,7 +164,12 @@ def rollout_events(rows: DataFrame) -> DataFrame:
         .when((kind == "response_item") & sub.isin("message", "agent_message"), "message")
         .when((kind == "response_item") & (sub == "reasoning"), "activity")
         .when(kind == "token_usage_record", "usage")
-        .when((kind == "event_msg") & (sub == "item_completed") & item.isin("CommandExecution", "McpToolCall", "FileChange", "WebSearch", "ImageView"), "end")
+        .when(
+            (kind == "event_msg") & (sub == "item_completed") & item.isin(
+                "CommandExecution", "McpToolCall", "FileChange", "WebSearch", "ImageView"
+            ),
+            "end",
+        )
         .when((kind == "event_msg") & (sub == "task_started"), "turn_start")
         .when((kind == "event_msg") & sub.isin("task_complete", "turn_aborted"), "turn_end")
         .when(kind == "compacted", "compact_end")
@@ -148,7 +180,9 @@ def rollout_events(rows: DataFrame) -> DataFrame:
     good = rows.filter(is_object(F.col("value")))
     usage = lambda k: at(f"payload.usage.{k}").try_cast("long").alias(k)
     code = at("payload.item.exit_code").try_cast("int")
-    span = at("payload.item.duration.secs").try_cast("long") * 1_000 + F.expr("get_json_object(value, '$.payload.item.duration.nanos')").try_cast("long") / 1_000_000
+    span = at("payload.item.duration.secs").try_cast("long") * 1_000 + F.expr(
+        "get_json_object(value, '$.payload.item.duration.nanos')"
+    ).try_cast("long") / 1_000_000
     return good.select(
         F.sha2(F.concat_ws("|", "file", F.col("line").cast("string")), 256).alias("event_id"),
         "file",
@@ -158,7 +192,9 @@ def rollout_events(rows: DataFrame) -> DataFrame:
         F.coalesce(at("payload.call_id"), at("payload.item.id"), at("payload.response_id")).alias("call_id"),
         F.coalesce(at("payload.name"), at("payload.item.tool"), item).alias("tool_name"),
         at("payload.item.server").alias("mcp_server"),
-        F.when(code == 0, "success").when(code.isNotNull(), "error").when(at("payload.item.status") == "completed", "success").when(at("payload.item.status") == "failed", "error").alias("status"),
+        F.when(code == 0, "success").when(code.isNotNull(), "error").when(
+            at("payload.item.status") == "completed", "success"
+        ).when(at("payload.item.status") == "failed", "error").alias("status"),
         code.alias("exit_code"),
         F.floor(span).cast("long").alias("duration_ms"),
         usage("input_tokens"),
@@ -171,7 +207,13 @@ def rollout_events(rows: DataFrame) -> DataFrame:
 def usage_lines(rows: DataFrame) -> DataFrame:
     """Generic usage lines; rows without client, session or source are left out; without a call they concern the session."""
     names = ("client", "session_id", "scope", "tool_use_id", "model", "source")
-    u = rows.filter(is_object(F.col("value"))).select(*[at(n).alias(n) for n in names], *[at(n).try_cast("long").alias(n) for n in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")])
+    u = rows.filter(is_object(F.col("value"))).select(
+        *[at(n).alias(n) for n in names],
+        *[
+            at(n).try_cast("long").alias(n)
+            for n in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+        ],
+    )
     ok = u.filter("client IS NOT NULL AND session_id IS NOT NULL AND source IS NOT NULL")
     return ok.withColumn("phase", F.when(F.col("tool_use_id").isNull(), "usage").otherwise("observation"))
 
@@ -179,4 +221,6 @@ def usage_lines(rows: DataFrame) -> DataFrame:
 def problems(events: DataFrame) -> DataFrame:
     """events with the list of what makes a row invalid (empty: valid)."""
     required = ("event_id", "client", "session_id", "phase")
-    return events.withColumn("problems", F.array_compact(F.array(*[F.when(F.col(c).isNull(), f"missing {c}") for c in required])))
+    return events.withColumn(
+        "problems", F.array_compact(F.array(*[F.when(F.col(c).isNull(), f"missing {c}") for c in required]))
+    )

@@ -20,7 +20,9 @@ def append(events: DataFrame, path: str) -> int:
         ids = held.join(touched, ["client", "session_id"], "left_semi").select("client", "event_id")
         fresh = fresh.join(ids, ["client", "event_id"], "left_anti")
     seen = Observation()
-    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("client", "session_id").parquet(path)
+    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("client", "session_id").parquet(
+        path
+    )
     return seen.get["n"]
 
 
@@ -30,7 +32,9 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def find_session(spark: SparkSession, path: str, prefix: str) -> tuple[str, str]:
     """The one session whose id is, or begins with, prefix."""
-    found = spark.read.parquet(path).select("client", "session_id").filter(F.col("session_id").startswith(prefix)).distinct().limit(2).collect()
+    found = spark.read.parquet(path).select("client", "session_id").filter(
+        F.col("session_id").startswith(prefix)
+    ).distinct().limit(2).collect()
     exact = [r for r in found if r.session_id == prefix]
     if len(exact or found) != 1:
         raise ValueError(f"{len(found) or 'no'} sessions begin with {prefix!r}")
@@ -41,25 +45,47 @@ def merge_files(spark: SparkSession, path: str, target: str, files_per_session:
     """The store written anew, each event once and each session in few files; it can then take the old one's place."""
     once = spark.read.parquet(path).dropDuplicates(["client", "event_id"])
     slot = F.pmod(F.xxhash64("event_id"), F.lit(files_per_session))
-    once.repartition("client", "session_id", slot).write.mode("overwrite").partitionBy("client", "session_id").parquet(target)
+    once.repartition("client", "session_id", slot).write.mode("overwrite").partitionBy("client", "session_id").parquet(
+        target
+    )
 
 
 def expired(spark: SparkSession, path: str, time: str, before_ns: int) -> DataFrame:
     """Sessions whose newest event is older than an instant."""
-    return spark.read.parquet(path).groupBy("client", "session_id").agg(F.max(time).alias("last_ns")).filter(F.col("last_ns") < before_ns)
+    return spark.read.parquet(path).groupBy("client", "session_id").agg(F.max(time).alias("last_ns")).filter(
+        F.col("last_ns") < before_ns
+    )
 
 
 def upsert_sessions(state: DataFrame, events: DataFrame, time: str = "ns") -> DataFrame:
     """Session state (client, session_id, revision, first_ns, last_ns, events) after a batch of new events."""
-    batch = events.groupBy("client", "session_id").agg(F.lit(1).alias("revision"), F.min(time).alias("first_ns"), F.max(time).alias("last_ns"), F.count(F.lit(1)).alias("events"))
+    batch = events.groupBy("client", "session_id").agg(
+        F.lit(1).alias("revision"),
+        F.min(time).alias("first_ns"),
+        F.max(time).alias("last_ns"),
+        F.count(F.lit(1)).alias("events"),
+    )
     both = state.unionByName(batch)
-    return both.groupBy("client", "session_id").agg(F.sum("revision").alias("revision"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.sum("events").alias("events"))
+    return both.groupBy("client", "session_id").agg(
+        F.sum("revision").alias("revision"),
+        F.min("first_ns").alias("first_ns"),
+        F.max("last_ns").alias("last_ns"),
+        F.sum("events").alias("events"),
+    )
 
 
 def reports(findings: DataFrame) -> DataFrame:
     """One JSON document per session: findings by rule, the counted calls, each array sorted."""
     by_rule = findings.groupBy("session", "rule").agg(F.count(F.lit(1)).alias("findings"), F.sum("n").alias("calls"))
-    return by_rule.groupBy("session").agg(F.to_json(F.struct(F.lit("1.1").alias("report_version"), F.col("session"), F.array_sort(F.collect_list(F.struct("rule", "findings", "calls"))).alias("rules"))).alias("report"))
+    return by_rule.groupBy("session").agg(
+        F.to_json(
+            F.struct(
+                F.lit("1.1").alias("report_version"),
+                F.col("session"),
+                F.array_sort(F.collect_list(F.struct("rule", "findings", "calls"))).alias("rules"),
+            )
+        ).alias("report")
+    )
 
 
 def session_key(session_id: Column) -> Column:
@@ -76,12 +102,16 @@ def publish(calls: DataFrame, state: DataFrame, path: str) -> DataFrame:
     published sessions are written anew, so analyses of other sessions run beside."""
     spark = calls.sparkSession
     known = state.select("client", "session_id", F.col("revision").alias("known"))
-    marked = calls.join(known, ["client", "session_id"], "left").withColumn("ok", F.coalesce(F.col("known") >= F.col("revision"), F.lit(False)))
+    marked = calls.join(known, ["client", "session_id"], "left").withColumn(
+        "ok", F.coalesce(F.col("known") >= F.col("revision"), F.lit(False))
+    )
     mode = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(mode)
     spark.conf.set(mode, "dynamic")
     try:
-        marked.filter("ok").drop("known", "ok").write.mode("overwrite").partitionBy("client", "session_id").parquet(path)
+        marked.filter("ok").drop("known", "ok").write.mode("overwrite").partitionBy("client", "session_id").parquet(
+            path
+        )
     finally:
         spark.conf.set(mode, before)
     return marked.filter("NOT ok").select("client", "session_id", "revision").distinct()
@@ -91,7 +121,9 @@ def pending(state: DataFrame, published: DataFrame) -> DataFrame:
     """Sessions whose state is newer than what was published of them: client, session_id, revision, analysed."""
     done = published.groupBy("client", "session_id").agg(F.max("revision").alias("analysed"))
     met = state.join(done, ["client", "session_id"], "left")
-    return met.filter(F.coalesce(F.col("revision") > F.col("analysed"), F.lit(True))).select("client", "session_id", "revision", "analysed")
+    return met.filter(F.coalesce(F.col("revision") > F.col("analysed"), F.lit(True))).select(
+        "client", "session_id", "revision", "analysed"
+    )
 
 
 def marked(marks: DataFrame, changes: DataFrame) -> DataFrame:

@@ -32,23 +32,43 @@ def deduplicated(stream: DataFrame, key: list[str], late: str = "30 days") -> Da
 
 def window_counts(stream: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     w = F.window("at", width)
-    counts = stream.withWatermark("at", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    counts = stream.withWatermark("at", late).groupBy(w, "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")
+    )
     return counts.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", "total")
 
 
 def sessions(stream: DataFrame, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
     """Stretches of a user's events without a gap as long as `gap`."""
-    s = stream.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.select("user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
+    s = stream.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return s.select(
+        "user_id",
+        F.unix_micros("session_window.start").alias("start_us"),
+        F.unix_micros("session_window.end").alias("end_us"),
+        "n",
+    )
 
 
 def phases(stream: DataFrame) -> DataFrame:
     """Start and end rows of calls from a stream of events, in one stream: session, agent, call_id, phase, tool, ns, at."""
     start = F.struct(F.lit("start").alias("phase"), (F.unix_micros("at") * 1_000).alias("ns"))
-    end = F.struct(F.lit("end").alias("phase"), (F.unix_micros("at") * 1_000 + F.round(F.col("value") * 1_000).cast("long") * 1_000_000).alias("ns"))
+    end = F.struct(
+        F.lit("end").alias("phase"),
+        (F.unix_micros("at") * 1_000 + F.round(F.col("value") * 1_000).cast("long") * 1_000_000).alias("ns"),
+    )
     both = F.when(F.col("event_id") % 17 == 0, F.array(start)).otherwise(F.array(start, end))
     rows = stream.select("event_id", "user_id", "event_type", "at", F.explode(both).alias("p"))
-    return rows.select((F.col("user_id") % 10).alias("session"), F.col("user_id").alias("agent"), F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), F.col("p.phase").alias("phase"), F.col("p.ns").alias("ns"), "at")
+    return rows.select(
+        (F.col("user_id") % 10).alias("session"),
+        F.col("user_id").alias("agent"),
+        F.col("event_id").alias("call_id"),
+        F.col("event_type").alias("tool"),
+        F.col("p.phase").alias("phase"),
+        F.col("p.ns").alias("ns"),
+        "at",
+    )
 
 
 def paired(stream: DataFrame, late: str = "1 hour", wait: str = "1 hour") -> DataFrame:
@@ -57,13 +77,27 @@ def paired(stream: DataFrame, late: str = "1 hour", wait: str = "1 hour") -> Dat
     as open (or orphan), when the watermark has passed, and its state dropped."""
     half = lambda phase, names: stream.filter(F.col("phase") == phase).select(*names).withWatermark("at", late)
     starts = half("start", ["session", "agent", "call_id", "tool", F.col("ns").alias("start_ns"), "at"])
-    ends = half("end", [F.col("session").alias("_s"), F.col("agent").alias("_a"), F.col("call_id").alias("_c"), F.col("tool").alias("_t"), F.col("ns").alias("end_ns"), "at"])
+    ends = half(
+        "end",
+        [
+            F.col("session").alias("_s"),
+            F.col("agent").alias("_a"),
+            F.col("call_id").alias("_c"),
+            F.col("tool").alias("_t"),
+            F.col("ns").alias("end_ns"),
+            "at",
+        ],
+    )
     ends = ends.withColumnRenamed("at", "ended")
     same = (F.col("session") == F.col("_s")) & (F.col("agent") == F.col("_a")) & (F.col("call_id") == F.col("_c"))
-    near = (F.col("ended") >= F.col("at") - F.expr(f"INTERVAL {wait}")) & (F.col("ended") <= F.col("at") + F.expr(f"INTERVAL {wait}"))
+    near = (F.col("ended") >= F.col("at") - F.expr(f"INTERVAL {wait}")) & (
+        F.col("ended") <= F.col("at") + F.expr(f"INTERVAL {wait}")
+    )
     both = starts.join(ends, same & near, "full_outer")
     status = F.when(F.col("end_ns").isNull(), "open").when(F.col("start_ns").isNull(), "orphan").otherwise("done")
-    keys = [F.coalesce(x, y).alias(x) for x, y in (("session", "_s"), ("agent", "_a"), ("call_id", "_c"), ("tool", "_t"))]
+    keys = [
+        F.coalesce(x, y).alias(x) for x, y in (("session", "_s"), ("agent", "_a"), ("call_id", "_c"), ("tool", "_t"))
+    ]
     return both.select(*keys, "start_ns", "end_ns", status.alias("status"))
 
 
@@ -72,7 +106,9 @@ def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str
     files; complete writes the whole result of each batch to a folder of its own, of which the last counts."""
     name = f"stream_{uuid.uuid4().hex}"
     out = f"{folder}/{name}/out"
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}/checkpoint").outputMode(mode)
+    writer = stream.writeStream.trigger(availableNow=True).option(
+        "checkpointLocation", f"{folder}/{name}/checkpoint"
+    ).outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
@@ -83,4 +119,6 @@ def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str
         last.append(number)
 
     writer.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame(
+        [], stream.schema
+    )

@@ -33,12 +33,16 @@ def rows(df: pd.DataFrame) -> list[tuple]:
             v = v.item()
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
-    plain_rows = [tuple(plain(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None)]
+    plain_rows = [
+        tuple(plain(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None)
+    ]
     return sorted(plain_rows, key=lambda r: [str(round(x, 3)) if isinstance(x, float) else str(x) for x in r])
 
 
 def test_every_query_has_sql_but_folds_and_samples():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"bootstrap_ci", "cooldown_simulation", "paragraph_signatures"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {
+        "bootstrap_ci", "cooldown_simulation", "paragraph_signatures"
+    }
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -54,4 +58,6 @@ def test_query(spark, duck, name):
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         for u, v in zip(x, y, strict=True):
-            assert u == v or (isinstance(u, float) and isinstance(v, float) and math.isclose(u, v, rel_tol=1e-6, abs_tol=1e-6)), (x, y)
+            assert u == v or (
+                isinstance(u, float) and isinstance(v, float) and math.isclose(u, v, rel_tol=1e-6, abs_tol=1e-6)
+            ), (x, y)
