@@ -63,22 +63,28 @@ class Model:
 
     @classmethod
     def fit(
-        cls, x: np.ndarray, languages: list[str], steps: int = 400, rate: float = 20.0, ridge: float = 1e-5
+        cls, x: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 256, rate: float = 1.0, ridge: float = 1e-5
     ) -> Model:
+        """Logistic regression of each bit, by gradient steps over small batches whose sizes adapt to each weight."""
         names = sorted(set(languages))
         code = codewords(len(names))
         y = code[[names.index(v) for v in languages]].astype(np.float32)
         share = {v: languages.count(v) for v in names}
-        row_weight = np.array([len(languages) / (len(names) * share[v]) for v in languages], dtype=np.float32)[
-            :, None
-        ] / len(x)
+        row_weight = np.array([len(languages) / (len(names) * share[v]) for v in languages], dtype=np.float32)[:, None]
         w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-        vw, vb = np.zeros_like(w), np.zeros_like(b)
-        for _ in range(steps):  # gradient descent with momentum
-            pull = -y * row_weight / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
-            vw = 0.9 * vw + x.T @ pull + ridge * w
-            vb = 0.9 * vb + pull.sum(axis=0)
-            w, b = w - rate * 0.1 * vw, b - rate * 0.1 * vb
+        seen_w, seen_b = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
+        random = np.random.default_rng(13)
+        for _ in range(epochs):
+            order = random.permutation(len(x))
+            for k in range(0, len(x), batch):
+                at = order[k : k + batch]
+                rows, want = x[at], y[at]
+                pull = -want * row_weight[at] / (1 + np.exp(np.clip(want * (rows @ w + b), -30, 30))) / len(at)
+                step_w, step_b = rows.T @ pull + ridge * w, pull.sum(axis=0)
+                seen_w += step_w**2
+                seen_b += step_b**2
+                w -= rate * step_w / np.sqrt(seen_w)
+                b -= rate * step_b / np.sqrt(seen_b)
         right = ((x @ w + b) * y > 0).mean(axis=0)
         return cls(names, code, w, b, np.maximum(2 * right - 1, 0.01).astype(np.float32))
 

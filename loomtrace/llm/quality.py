@@ -2,8 +2,9 @@
 
 Fitting: from the labelled rows of the learning folds, at most `per_class` of each label are taken (those whose hashed id
 is smallest; of rows that share a doc_id, the one whose text hashes least). Their hashed byte-trigram counts, log-scaled
-and weighted by inverse document frequency, are reduced to `rank` dimensions by a truncated SVD. The bound makes the
-broadcast at most 2 x per_class vectors; features travel to the driver as their cells that are not zero.
+and weighted by inverse document frequency, and three shares of style (repeated words, words seen before, capitals: without
+them a quarter of the held-out junk passes, see the README) are reduced to `rank` dimensions by a truncated SVD. The bound
+makes the broadcast at most 2 x per_class vectors; features travel to the driver as their cells that are not zero.
 
 Scoring: every document is mapped to the same space, exact cosine products with all labelled vectors are taken in blocks,
 and the `k` nearest vote with weight max(cosine, 0)^4; of neighbours equally near, any may be among the k. The score is
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, small_arrow, small_batches
-from .textfeatures import log_counts, log_counts_of, packed, to_unit, trigram_counts
+from .textfeatures import N_STYLE, log_counts, log_counts_of, packed, style, to_unit, trigram_counts
 from .tokens import in_blocks
 
 BITS = 12
@@ -35,6 +36,15 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
+def _weigh(rows: np.ndarray, styles: list[tuple] | np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Log-scaled counts with their style behind, weighted, each row of length 1; rows is overwritten."""
+    cells = rows[:, :-N_STYLE]
+    np.multiply(cells, idf, out=cells)
+    to_unit(cells)
+    rows[:, -N_STYLE:] = styles
+    return to_unit(rows)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -44,10 +54,10 @@ class Model:
     k: int
 
     @classmethod
-    def fit(cls, rows: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
+    def fit(cls, rows: np.ndarray, styles: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
         """From log-scaled counts, which are overwritten."""
-        idf = np.log((len(rows) + 1) / ((rows > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
-        weighed = to_unit(np.multiply(rows, idf, out=rows))
+        idf = np.log((len(rows) + 1) / ((rows[:, :-N_STYLE] > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
+        weighed = _weigh(rows, styles, idf)
         random = np.random.default_rng(7)
         width = min(rank + 16, len(weighed))
         span = weighed @ random.standard_normal((weighed.shape[1], width)).astype(np.float32)
@@ -57,8 +67,8 @@ class Model:
         return cls(idf, axes, to_unit(weighed @ axes), labels.astype(np.float32), min(k, len(labels)))
 
     def vectors_of(self, texts: list[bytes]) -> np.ndarray:
-        rows = log_counts(texts, BITS)
-        return to_unit(to_unit(np.multiply(rows, self.idf, out=rows)) @ self.axes)
+        rows = log_counts(texts, BITS, more=N_STYLE)
+        return to_unit(_weigh(rows, [style(x) for x in texts], self.idf) @ self.axes)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.labels):
@@ -87,18 +97,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, rank: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [packed(trigram_counts(x, BITS)) for x in batch.column("text").to_pylist()]
-            columns = [batch.column("doc_id").cast(pa.string()), *batch.columns[1:3], pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "hash", "cells"])
+            texts = batch.column("text").to_pylist()
+            found = pa.array([packed(trigram_counts(x, BITS)) for x in texts], pa.binary())
+            styles = pa.array([list(style(x)) for x in texts], pa.list_(pa.float64()))
+            columns = [batch.column("doc_id").cast(pa.string()), *batch.columns[1:3], found, styles]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "hash", "cells", "style"])
 
-    found = rows.mapInArrow(run, "doc_id string, label double, hash long, cells binary")
+    found = rows.mapInArrow(run, "doc_id string, label double, hash long, cells binary, style array<double>")
     # repeated ids: one row of each, so there are no more rows than ids
-    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("hash", "cells")).alias("row"))
-    sample = sorted((r.doc_id, r.label, bytes(r.row.cells)) for r in one.toLocalIterator())
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("hash", "cells", "style")).alias("row"))
+    sample = sorted((r.doc_id, r.label, bytes(r.row.cells), tuple(r.row.style)) for r in one.toLocalIterator())
     if not sample:
-        none = np.zeros((0, 1), np.float32)
-        return Model(np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, 1), np.float32), none, none[:, 0], 0)
-    return Model.fit(log_counts_of([x for *_, x in sample], BITS), np.array([v for _, v, _ in sample]), rank, k)
+        none, width = np.zeros((0, 1), np.float32), 1 << BITS
+        return Model(np.zeros(width, np.float32), np.zeros((width + N_STYLE, 1), np.float32), none, none[:, 0], 0)
+    counts = log_counts_of([x for _, _, x, _ in sample], BITS, N_STYLE)
+    styles = np.array([x for *_, x in sample], dtype=np.float32)
+    return Model.fit(counts, styles, np.array([v for _, v, _, _ in sample]), rank, k)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -19,11 +19,25 @@ def trigram_counts(text: bytes, bits: int, lower: bool = False) -> np.ndarray:
     return np.bincount(codes, minlength=1 << bits)
 
 
-def log_counts(texts: list[bytes], bits: int, lower: bool = False) -> np.ndarray:
-    """log(1 + count), a row of floats for each text."""
-    out = np.empty((len(texts), 1 << bits), dtype=np.float32)
+#: Parts of a text's style, each between 0 and 1.
+N_STYLE = 3
+
+
+def style(text: bytes) -> tuple[float, float, float]:
+    """Shares of words that repeat the word before, of words seen before in the text, and of upper-case letters."""
+    words = text.split()
+    if not words:
+        return 0.0, 0.0, 0.0
+    again = sum(map(bytes.__eq__, words[1:], words))
+    b = np.frombuffer(text, dtype=np.uint8)
+    return again / len(words), 1 - len(set(words)) / len(words), float(((b >= 65) & (b <= 90)).mean())
+
+
+def log_counts(texts: list[bytes], bits: int, lower: bool = False, more: int = 0) -> np.ndarray:
+    """log(1 + count), a row of floats for each text, with room for `more` features behind."""
+    out = np.zeros((len(texts), (1 << bits) + more), dtype=np.float32)
     for k, text in enumerate(texts):
-        out[k] = trigram_counts(text, bits, lower)
+        out[k, : 1 << bits] = trigram_counts(text, bits, lower)
     return np.log1p(out, out=out)
 
 
@@ -33,9 +47,9 @@ def packed(counts: np.ndarray) -> bytes:
     return cells.astype("<u2").tobytes() + counts[cells].astype("<u4").tobytes()
 
 
-def log_counts_of(rows: list[bytes], bits: int) -> np.ndarray:
+def log_counts_of(rows: list[bytes], bits: int, more: int = 0) -> np.ndarray:
     """What log_counts gives for the texts that were packed."""
-    out = np.zeros((len(rows), 1 << bits), dtype=np.float32)
+    out = np.zeros((len(rows), (1 << bits) + more), dtype=np.float32)
     for k, row in enumerate(rows):
         n = len(row) // 6
         out[k, np.frombuffer(row, "<u2", n)] = np.frombuffer(row, "<u4", n, 2 * n)

@@ -288,6 +288,14 @@ def plain_trigrams(text: str, bits: int, lower: bool) -> np.ndarray:
     return out
 
 
+def plain_style(text: str) -> list[float]:
+    split, raw = WORD.findall(text or ""), (text or "").encode()
+    if not split:
+        return [0.0, 0.0, 0.0]
+    again = sum(a == b for a, b in zip(split, split[1:]))
+    return [again / len(split), 1 - len(set(split)) / len(split), sum(65 <= b <= 90 for b in raw) / len(raw)]
+
+
 def fold(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
@@ -302,6 +310,7 @@ def test_quality_votes_equal_brute_force_and_held_out_rows_are_right(spark):
     axes, vectors = model.axes.astype(np.float64), model.vectors.astype(np.float64)
     for r in docs.filter("doc_id % 29 = 0").collect():
         x = np.log1p(plain_trigrams(r.text, quality.BITS, False)) * model.idf
+        x = np.concatenate([x / np.linalg.norm(x), plain_style(r.text)])
         x = x / np.linalg.norm(x) @ axes
         x /= max(np.linalg.norm(x), 1e-9)
         cosines = [sum(p * q for p, q in zip(x, v, strict=True)) for v in vectors]
