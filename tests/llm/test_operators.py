@@ -652,3 +652,51 @@ def test_substring_dedup_of_many_rows_that_repeat(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
     assert got == collections.Counter({(1, 90, 90): 40, (2, 80, 50): 1, (3, 60, 0): 1})
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text of over a million characters beside short ones, through every text operator with its own parameters."""
+    long = words(260_000, 99, 60_000)
+    passage = words(60, 98, 100_000)
+    rows = [
+        (1, f"{long} {passage}", "en", "a"),
+        (2, f"{words(50, 97, 100_000)} {passage}", "en", "a"),
+        (3, f"{long} {passage}", "xx", "b"),
+        (4, "z" * 700_000, "xx", "b"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    tok = tokenizer()
+    want = [len(tok.encode(t, add_special_tokens=False)) for _, t, *_ in rows]
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df).collect()) == [
+        (k + 1, n) for k, n in enumerate(want)
+    ]
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert cut == {1: 260_060, 2: 60, 3: 260_060, 4: 0}
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == [1, 2, 4]
+    packed = packing.pack(df, block_tokens=100_000).collect()
+    by_doc, by_seq = collections.Counter(), collections.Counter()
+    for r in packed:
+        by_doc[r.doc_id] += r.length
+        by_seq[r.sequence_id] += r.length
+    assert by_doc == {k + 1: n + 1 for k, n in enumerate(want)} and max(by_seq.values()) <= 2_048
+    assert sum(1 for n in by_seq.values() if n < 2_048) <= 4
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4)], "doc_id long, quality long")
+    assert all(0 <= r.quality_score <= 1 for r in quality.score(df, quality.fit(df, labels)).collect())
+    assert len(language.identify(df, language.fit(df)).collect()) == 4
+    assert {(r.doc_id, len(r.text)) for r in mixing.mix(df, {}, budget=4.0).collect()} <= {
+        (d, len(t)) for d, t, *_ in rows
+    }
+
+
+def test_a_conversation_beyond_a_segment(spark):
+    """With the operator's own limit: one conversation in several rows, whose turns are never cut."""
+    turns = [(1, k, "assistant" if k % 2 else "user", words(30_000, k)) for k in range(12)] + [(2, 0, "user", "short")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.format_conversations(df).select("conv_id", "segment", "n_turns").collect()
+    assert len([r for r in rows if r.conv_id == 1]) > 1 and sum(r.n_turns for r in rows) == 13
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    loss = "".join(t for c, k, role, t in turns if c == 1 and role == "assistant")
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (
+        12, len(loss), hashlib.sha256(loss.encode()).hexdigest()
+    )
