@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
@@ -37,11 +38,11 @@ def tokenizer(path: str | None = None):
 class Encoder:
     """Token ids of whole texts, encoding each distinct chunk (see _CHUNK) once while it is remembered.
 
-    The memory is bounded: beyond `limit` chunks it starts anew with those of the texts at hand. New chunks of a batch are joined and encoded as one text,
-    which the proof above allows, and told apart by the bytes that their tokens stand for.
+    The memory is bounded: beyond `limit` chunks it starts anew with those of the texts at hand. New chunks of a batch are
+    joined and encoded as one text, which the proof above allows, and told apart by the bytes that their tokens stand for.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 400_000):
+    def __init__(self, path: str | None = None, limit: int = 600_000):
         self.tok, self.limit, self.memo = tokenizer(path), limit, {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
@@ -50,24 +51,27 @@ class Encoder:
             self.n_bytes[i] = len(token.encode()) if token in special else len(token)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks put one after the other, a lone newline before those that begin with no white space."""
-        for k in range(0, len(chunks), 20_000):
-            part = [y for x in chunks[k : k + 20_000] for y in (("\n", x) if x[0] not in " \t\n\r" else (x,))]
-            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in part])) + 1
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(part, (cuts * 4).tolist(), strict=True):
-                self.memo[chunk] = raw[start:end]
-                start = end
+        """Encodes chunks put one after the other; those that begin with no white space have a lone newline before them."""
+        spaced = [x for x in chunks if x[0] in " \t\n\r"]
+        bare = [x for x in chunks if x[0] not in " \t\n\r"]
+        for mark, group in (("", spaced), ("\n", bare)):
+            for k in range(0, len(group), 20_000):
+                part = group[k : k + 20_000]
+                text = mark + mark.join(part)
+                ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                sizes = np.fromiter(map(len, map(str.encode, part)), dtype=np.int64, count=len(part)) + len(mark)
+                ends = (np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1) * 4
+                starts = np.r_[0, ends[:-1]] + 4 * len(mark)
+                raw = ids.tobytes()
+                self.memo.update(zip(part, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [_CHUNK.findall(x) for x in texts]
-        used = set().union(*split)
-        new = used.difference(self.memo)
+        split, known, new = [_CHUNK.findall(x) for x in texts], self.memo.__contains__, set()
+        for words in split:
+            new.update(filterfalse(known, words))
         if len(self.memo) + len(new) > self.limit:
-            self.memo = {x: self.memo[x] for x in used - new}
+            self.memo = {x: self.memo[x] for x in set().union(*split) - new}
         joined = [x for x in new if not x[-1].isspace() and (x[0] in " \t\n\r" or not x[0].isspace())]
         self._learn(joined)
         for x in new.difference(joined):
