@@ -92,7 +92,6 @@ def with_shell_intent(
         ),
     })
     known = F.forall("_pipe", lambda p: p.isin(*READS, *SEARCHES, *FILTERS))
-    path = lambda p: project_path(p, F.col(project), F.col("_cwd"))
     args, head, after = F.col("_args"), F.col("_head"), F.col("_after")
     arg = lambda k: F.try_element_at(args, F.lit(k))
     pipe = F.array_join("_pipe", "|")
@@ -109,7 +108,6 @@ def with_shell_intent(
     amount = F.when(head.isin("head", "tail"), F.concat(head, F.when(spaced, arg(1)).otherwise(counted)))
     files = F.slice(args, F.when(is_sed | spaced, 2).otherwise(1), F.greatest(F.size(args), F.lit(1)))
     readable = head.isin(*READS) & (F.size(files) > 0) & (~is_sed | (silent & (span != "")))
-    read_path = path(F.try_element_at(files, F.lit(1)))
     more_files = F.array_join(
         F.transform(F.slice(files, 2, 5), lambda f: project_path(f, F.col(project), F.col("_cwd"))), ","
     )
@@ -118,7 +116,6 @@ def with_shell_intent(
     )
 
     flags = F.array_join(F.array_sort(F.filter("_opts", lambda o: F.length(o) <= 3)), ",")
-    here = lambda k: path(F.coalesce(arg(k), F.lit(".")))
     tests = head.isin(*TESTS) | two.isin(*TEST_COMMANDS) | three.isin(*TEST_COMMANDS)
     test_args = F.array_join(F.slice(F.filter(after, lambda w: ~w.isin("-m", "pytest", "unittest")), 1, 8), " ")
     builds = head.isin(*BUILDS) | two.isin(*BUILD_COMMANDS) | three.isin(*BUILD_COMMANDS)
@@ -129,7 +126,16 @@ def with_shell_intent(
         F.try_element_at(after, F.lit(2)), F.lit("-")
     ).startswith("-")
     rest = lambda a, n: F.array_join(F.slice(after, a, n), " ")
-    made = lambda op, target, key: F.struct(F.lit(op).alias("op"), target.alias("target"), key.alias("key"))
+    none, blank = F.lit(None).cast("string"), lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    made = lambda op, target, key: F.struct(
+        F.lit(op).alias("op"), none.alias("raw"), target.alias("target"), none.alias("after"), key.alias("key")
+    )
+    # of work on a path, only the path as it is written: it is made comparable once, below
+    on = lambda op, raw, *after: F.struct(
+        F.lit(op).alias("op"), raw.alias("raw"), none.alias("target"),
+        F.concat_ws(":", *map(blank, after)).alias("after"), none.alias("key")
+    )
+    here = lambda k: F.coalesce(arg(k), F.lit("."))
     unknown = made("unknown", text, F.concat(F.lit("cmd:"), F.coalesce("_cwd", F.lit("")), F.lit("::"), text))
     module_name = F.concat(F.lit("module:"), F.try_element_at(after, F.lit(2)))
     test_target = F.coalesce(
@@ -138,25 +144,12 @@ def with_shell_intent(
     intent = (
         F.when(F.col("_first").isNull(), None)
         .when(~known, unknown)
-        .when(readable, made("read", read_path, _key("read", read_path, detail)))
+        .when(readable, on("read", F.try_element_at(files, F.lit(1)), detail))
         .when(head.isin(*READS) & (F.size(args) > 0), unknown)
-        .when(
-            head.isin(*SEARCHES) & (F.size(args) > 0),
-            made("search", here(2), _key("search", here(2), arg(1), flags, pipe)),
-        )
+        .when(head.isin(*SEARCHES) & (F.size(args) > 0), on("search", here(2), arg(1), flags, pipe))
         .when(
             head.isin(*LISTS),
-            made(
-                "list",
-                here(1),
-                _key(
-                    "list",
-                    here(1),
-                    F.array_join(F.array_sort("_opts"), ","),
-                    F.when(head.isin("find", "fd"), arg(2)),
-                    pipe,
-                ),
-            ),
+            on("list", here(1), F.array_join(F.array_sort("_opts"), ","), F.when(head.isin("find", "fd"), arg(2)), pipe),
         )
         .when(
             (head == "git") & F.lower(F.try_element_at(after, F.lit(1))).isin(*GIT_READS),
@@ -164,23 +157,30 @@ def with_shell_intent(
         )
         .when(tests, made("run_tests", test_target, _key("run_tests", F.col("_cwd"), test_args)))
         .when(builds, made("build", head, _key("build", F.col("_cwd"), head, rest(1, 8))))
-        .when(script, made("run_script", path(arg(1)), _key("run_script", path(arg(1)), rest(2, 8), F.col("_cwd"))))
+        .when(script, on("run_script", arg(1), rest(2, 8), F.col("_cwd")))
         .when(module, made("run_script", module_name, _key("run_script", F.col("_cwd"), module_name, rest(3, 8))))
         .otherwise(unknown)
     )
     out = rows.withColumn("_intent", intent)
+    out = out.withColumn("_path", project_path(F.col("_intent.raw"), F.col(project), F.col("_cwd")))
+    target = F.coalesce("_path", "_intent.target")
+    key = F.coalesce("_intent.key", F.concat_ws(":", "_intent.op", F.coalesce("_path", F.lit("")), "_intent.after"))
     inner = [c for c in out.columns if c not in calls.columns]
-    return out.withColumns(
-        {"op": F.col("_intent.op"), "op_target": F.col("_intent.target"), "op_key": F.col("_intent.key")}
-    ).drop(*inner)
+    found = F.col("_intent").isNotNull()
+    out = out.withColumns({"op": F.col("_intent.op"), "op_target": target, "op_key": F.when(found, key)})
+    return out.drop(*inner)
 
 
 def with_intent(calls: DataFrame) -> DataFrame:
     """calls (category, tool, target, params as text, server_tool, command, cwd, project) with op, op_target, op_key. A read
     by a tool and one by a shell command have the same key where they read the same range of the same file."""
     shell = with_shell_intent(calls)
+    by_path = F.col("category").isin("read", "search", "list", "edit", "write")
+    shell = shell.withColumn(
+        "_tool_path", F.when(by_path, project_path(F.col("target"), F.col("project"), F.col("cwd")))
+    )
     category, target, params = F.col("category"), F.col("target"), F.col("params").cast("string")
-    path = project_path(target, F.col("project"), F.col("cwd"))
+    path = F.col("_tool_path")
     plain = F.when(params.isin("", "{}"), "").otherwise(params)
     op = (
         F.when(category.isin("read", "search", "list", "edit", "write", "agent", "web", "other"), category)
@@ -195,4 +195,4 @@ def with_intent(calls: DataFrame) -> DataFrame:
     pick = lambda a, b: F.when(is_shell, F.col(a)).otherwise(b)
     return shell.withColumns(
         {"op": pick("op", op), "op_target": pick("op_target", of_tool), "op_key": pick("op_key", key)}
-    )
+    ).drop("_tool_path")

@@ -259,17 +259,16 @@ def ngram_counts(
     calls: DataFrame, lengths: tuple[int, ...] = (2, 3, 4, 5, 6), least: int = 3, last_calls: int = 2_000
 ) -> DataFrame:
     """D: n-grams of call shapes of an agent's last calls that occur often and have two distinct shapes at least."""
-    recent = calls.withColumn("_back", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("aseq")))).filter(
-        F.col("_back") <= last_calls
-    ).withColumn("shape", shape())
+    back = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("aseq")))
+    recent = calls.withColumn("_back", back).filter(F.col("_back") <= last_calls).withColumn("shape", shape())
+    # one window gives the shapes ahead; the grams of all lengths are its beginnings
     w = Window.partitionBy(*KEY).orderBy("aseq")
-    grams = None
-    for n in lengths:
-        parts = [F.col("shape"), *[F.lead("shape", i).over(w) for i in range(1, n)]]
-        one = recent.withColumn("gram", F.array(*parts)).filter(F.col("gram")[n - 1].isNotNull()).select(
-            *KEY, F.lit(n).alias("n"), "gram", "aseq"
-        )
-        grams = one if grams is None else grams.unionByName(one)
+    ahead = F.array("shape", *[F.lead("shape", i).over(w) for i in range(1, max(lengths))])
+    each = recent.select(*KEY, "aseq", ahead.alias("ahead"))
+    each = each.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(
+        F.col("ahead")[F.col("n") - 1].isNotNull()
+    )
+    grams = each.select(*KEY, "n", "aseq", F.slice("ahead", 1, F.col("n")).alias("gram"))
     grams = grams.filter(F.size(F.array_distinct("gram")) >= 2)
     return grams.groupBy(*KEY, "n", F.concat_ws(">", "gram").alias("gram")).agg(
         F.count(F.lit(1)).alias("occurrences"), F.collect_list("aseq").alias("starts")

@@ -68,7 +68,9 @@ GROUP = ["session", "agent", "tool", "target", "params", "asked"]
 
 def _between(rows: DataFrame) -> DataFrame:
     """rows with running counts of what may change a call's result (strong) or perhaps does (weak), each without the calls
-    of the row's own group, so that the difference of two rows of a group counts what lies between them."""
+    of the row's own group, so that the difference of two rows of a group counts what lies between them. All counts are
+    within a session, so one shuffle by session serves them all."""
+    rows = rows.repartition("session")
 
     def so_far(flag: Column, *by: str) -> Column:
         w = Window.partitionBy("session", *by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -42,12 +42,25 @@ MATCH_LINES = 10
 STRETCH = 1_000
 
 
-def _ms(path: str) -> Column:
-    return at(path).try_cast("long") * 1_000_000
+_NAMED = ("type", "id", "name", "namespace", "status")
+#: What is read of a line, parsed once; all values as text, whatever they are.
+_LINE = (
+    "type string, timestamp string, payload struct<"
+    + ", ".join(
+        f"{x}: string" for x in (*_NAMED, "call_id", "response_id", "output", "started_at_ms", "completed_at_ms")
+    )
+    + ", usage: struct<input_tokens: string, cached_input_tokens: string, output_tokens: string>, item: struct<"
+    + ", ".join(f"{x}: string" for x in (*_NAMED, "server", "tool", "kind", "exit_code", "duration_ms"))
+    + ", aggregated_output: string, results: string, output: string, result: struct<content: string>"
+    + ", duration: struct<secs: string, nanos: string>>>"
+)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """The facts of each line that the steps below share."""
+    """The facts of each line that the steps below share; lines that are no JSON objects have none."""
+    rows = rows.select("file", "line", F.from_json("value", _LINE).alias("j"))
+    at = lambda path: F.col(f"j.{path}")
+    ms = lambda path: at(path).try_cast("long") * 1_000_000
     kind, sub, item = at("type"), at("payload.type"), at("payload.item.type")
     response, event = kind == "response_item", kind == "event_msg"
     role = (
@@ -103,10 +116,10 @@ def _lines(rows: DataFrame) -> DataFrame:
         at("payload.item.duration.nanos").try_cast("long") / 1_000_000
     )
     output = at("payload.output")
-    return rows.filter(is_object(F.col("value"))).select(
+    return rows.select(
         "file", "line", kind.alias("kind"), sub.alias("sub"), item.alias("item"), role.alias("role"),
-        tools.iso_to_ns(at("timestamp")).alias("ns"), _ms("payload.started_at_ms").alias("began_ns"),
-        _ms("payload.completed_at_ms").alias("ended_ns"),
+        tools.iso_to_ns(at("timestamp")).alias("ns"), ms("payload.started_at_ms").alias("began_ns"),
+        ms("payload.completed_at_ms").alias("ended_ns"),
         F.coalesce(at("payload.call_id"), at("payload.item.id"), F.when(role == "hosted", at("payload.id"))).alias(
             "call_id"
         ),
@@ -115,7 +128,7 @@ def _lines(rows: DataFrame) -> DataFrame:
         ).alias("tool"),
         status.alias("status"), code.alias("exit_code"),
         F.coalesce(span, at("payload.item.duration_ms").try_cast("long")).alias("duration_ms"),
-        delivered.cast("long").alias("chars"), (at("payload.output.timed_out") == "true").alias("timed_out"),
+        delivered.cast("long").alias("chars"), (F.get_json_object(output, "$.timed_out") == "true").alias("timed_out"),
         F.when(
             role == "fn_out",
             output.rlike(r"(?i)^\s*(?:error|unknown agent|invalid)") | F.get_json_object(output, "$.error").isNotNull(),

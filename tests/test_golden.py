@@ -418,9 +418,8 @@ def test_intents(spark):
         "mcp_read",
         "mcp",
     ]
-    assert got[7][1] == "src" and keys[8] == keys[9] and got[11][1] == "build.py" and got[16][
-        1
-    ] == "module:pkg.mod" and "/p/src" in keys[6]
+    assert (got[7][1], got[11][1], got[16][1]) == ("src", "build.py", "module:pkg.mod")
+    assert keys[8] == keys[9] and "/p/src" in keys[6]
 
 
 def test_hypotheses_and_proofs(spark):
