@@ -12,7 +12,8 @@ into memory whatever a conversation's length; the encoding of the whole is that
 MARK ends a turn, and a single turn is never cut.
 
 Rows of a conversation are sorted by turn (nulls first), then role, then text. Null role or text is empty; the rows whose
-conv_id is null are one conversation; repeated turns are kept; an empty table gives none. Other columns are ignored.
+conv_id is null are one conversation; repeated turns are kept; an empty table gives none. Other columns are ignored. The
+turns of a conversation have an order, so one task reads them, a segment at a time.
 """
 
 from __future__ import annotations

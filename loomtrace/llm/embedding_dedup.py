@@ -25,6 +25,10 @@ from .graph import components, least_members
 from .vectors import matrix, n_parts, usable
 
 
+#: Numbers in a tile.
+TILE_NUMBERS = 1 << 19
+
+
 def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, block: int = 512):
     """Index pairs (of x and y, or of x and x with the first smaller) whose cosine in doubles reaches the threshold."""
 
@@ -57,7 +61,7 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, block: int
             yield i[near], j[near]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int = 4_096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int | None = None) -> DataFrame:
     """vec_id, n_links (other vectors at or above the threshold), component_id, kept (vec_id = component_id)."""
     rows = vectors.select(
         "vec_id", "embedding", (usable(F.col("embedding")) & F.col("vec_id").isNotNull()).alias("_ok")
@@ -66,6 +70,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
     # classes are numbered as they are stored, so a class is its vector, whatever ids bear it
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    if tile_rows is None:
+        # a tile's vectors take 4 MB as doubles, whatever their length: the larger, the fewer times a vector is sent
+        longest = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
+        tile_rows = max(256, TILE_NUMBERS // longest)
     tiles = n_parts(classes, tile_rows)
     # rows of different lengths never meet: the length is part of the group's key
     tile = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(tiles)).cast("int").alias("tile")

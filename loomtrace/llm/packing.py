@@ -114,8 +114,10 @@ def pack(
     unsigned 32-bit), doc_tokens, sequence_id, offset in the sequence, used (tokens of the sequence), padded_to (`window`,
     or `used` where that is a power of two); with_ids adds the piece's ids as array<int>.
 
-    A document is its ids and end_id, so null and empty texts are one token. Repeated rows are packed each on their own.
-    A block closes at block_tokens tokens, so memory is bounded; sequence_id holds the partition and a running number.
+    A document is its ids and end_id, so null and empty texts are one token. Repeated rows are packed each on their own; a
+    null doc_id is kept. An empty table gives none. Columns beside doc_id and text are ignored, whatever their names. A text
+    of any length is taken whole: one beyond a block's tokens is a block of its own. A block closes at block_tokens tokens,
+    so memory is bounded; sequence_id holds the partition and a running number.
     """
     names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))] + ["ids"] * with_ids
 
