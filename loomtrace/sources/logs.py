@@ -73,6 +73,9 @@ def hook_events(payloads: DataFrame, client: str) -> DataFrame:
         F.when(tool.isNotNull(), tools.category(F.lit(client), tool)).alias("tool_category"),
         tools.server(tool).alias("mcp_server"),
         tools.server_tool(tool).alias("mcp_tool"),
+        tools.pick_params(
+            F.from_json(at("tool_input"), "map<string,string>"), tools.clear_parameters(client, tool)
+        ).alias("params"),
         at("cwd").alias("cwd"),
         target.alias("target"),
         F.when(command.isNotNull(), "command").when(target.isNotNull(), "path").alias("target_kind"),

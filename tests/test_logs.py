@@ -213,3 +213,16 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
         assert got.filter(F.col("value") != F.concat(F.lit("line "), "line")).count() == 0 and got.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parameters_that_may_be_kept(spark):
+    given = {"command": "secret text", "timeout": 7, "run_in_background": True}
+    rows = [
+        {"hook_event_name": "PreToolUse", "tool_name": t, "session_id": "s", "tool_input": given}
+        for t in ("Bash", "Novel")
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    first, second = (r.params for r in logs.hook_events(df, "claude-code").collect())
+    assert first["timeout"] == "7" and first["run_in_background"] == "true" and len(first["command_fp"]) == 10
+    # timing parameters are kept of every tool
+    assert set(second) == {"timeout", "command_fp", "run_in_background_fp"}
