@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, minhash, mixing, packing, quality, substring_dedup, token_counts, vector_search
+from . import chat, embedding_dedup, infill, language, minhash, mixing, packing, quality, substring_dedup, token_counts, vector_search
 from .common import fold_of, table
 
 #: Sources with a stated target weight; every other source has weight 1.
@@ -72,6 +72,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return moved.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
 OP1_SQL = """
 WITH rows AS (
   SELECT *, row_number() OVER () AS row_id, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS key
@@ -107,6 +120,44 @@ SELECT r.doc_id, r.source, r.lang, r.n_chars, c.copy::INT AS copy, md5('18|' ||
 FROM copies c JOIN rows r ON r.row_id = c.row_id
 """
 
+OP13_SQL = """
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS draw
+  FROM documents
+),
+drawn AS (
+  SELECT *, length(parts) - CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END AS n,
+    ('0x' || draw[1:8])::BIGINT AS h1, ('0x' || draw[9:16])::BIGINT AS h2,
+    ('0x' || draw[17:24])::BIGINT AS h3, ('0x' || draw[25:32])::BIGINT AS h4
+  FROM lines
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+      THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+placed AS (
+  SELECT *,
+    CASE WHEN a = 0 THEN '' WHEN a = length(parts) THEN text
+      ELSE array_to_string(parts[1:a], chr(10)) || chr(10) END AS prefix,
+    CASE WHEN b = 0 THEN '' WHEN b = length(parts) THEN text
+      ELSE array_to_string(parts[1:b], chr(10)) || chr(10) END AS upto
+  FROM cut
+),
+three AS (
+  SELECT *, substr(upto, length(prefix) + 1) AS middle, substr(text, length(upto) + 1) AS suffix FROM placed
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM three
+"""
+
 
 def queries() -> dict:
     own = (
@@ -120,9 +171,10 @@ def queries() -> dict:
         op8_vector_search,
         op9_minhash_dedup,
         op10_language_id,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {"op1_source_mixing": OP1_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op13_fill_in_middle": OP13_SQL}
