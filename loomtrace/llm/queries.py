@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, infill, language, minhash, mixing, packing, quality, substring_dedup, token_counts, vector_search
+from . import chat, embedding_dedup, infill, language, minhash, mixing, packing, quality, substring_dedup, token_counts
+from . import token_files, vector_search
 from .common import fold_of, table
 
 #: Sources with a stated target weight; every other source has weight 1.
@@ -72,6 +73,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_documents(spark, folder)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return moved.select(
@@ -171,6 +178,7 @@ def queries() -> dict:
         op8_vector_search,
         op9_minhash_dedup,
         op10_language_id,
+        op11_token_files,
         op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}

@@ -86,6 +86,83 @@ def encoder(path: str | None = None) -> Encoder:
     return Encoder(path)
 
 
+WORD_BPE = "word_bpe_49k.json"
+#: What the lower-case BPE with word ends makes one piece of, in texts of its plain characters: a contraction, letters, one
+#: digit, or other printable characters; white space is dropped.
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Texts with any other character, or with what may begin a special token, are cut at white space only.
+_ODD = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]|<\|")
+_WORD = re.compile(r"[^ \t\n\r]+")
+
+
+class WordEncoder:
+    """Token ids of whole texts by the lower-case BPE with word ends, each distinct piece encoded once while remembered.
+
+    The tokenizer composes, folds white space, lowers, and splits by a pattern no match of which holds white space; no
+    composition reaches over white space either. So texts may be cut at white space. Where all characters are plain (their
+    composed and lower form is one character each), the pattern itself is applied here, to the lowered text. Other
+    tokenizers than this one encode whole texts.
+    """
+
+    def __init__(self, path: str | None = None, limit: int = 400_000):
+        import json
+
+        import public_tokenizers
+
+        self.tok, self.limit, self.memo = tokenizer(path or public_tokenizers.path(WORD_BPE)), limit, {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.size = max(vocab.values()) + 1
+        self.last = np.zeros(self.size, dtype=bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        said = json.loads(self.tok.to_str())
+        steps = [x.get("type") for x in (said["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and splits == [known, None]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                raise RuntimeError("a piece is not one word of the tokenizer")
+            raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1]])
+            self.memo.update(zip(part, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if not self.known:
+            return self._each(texts)
+        split, odd, new, known = [], set(), set(), self.memo.__contains__
+        for text in texts:
+            if _ODD.search(text):
+                words = _WORD.findall(text)
+                odd.update(filterfalse(known, words))
+            else:
+                words = _PIECE.findall(text.lower())
+                new.update(filterfalse(known, words))
+            split.append(words)
+        if len(self.memo) + len(new) + len(odd) > self.limit:
+            kept = set().union(*split) - new - odd
+            self.memo = {x: self.memo[x] for x in kept}
+        self._learn(list(new - odd))
+        whole = list(odd)
+        self.memo.update(zip(whole, self._each(whole), strict=True))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """The word encoder of this Python worker."""
+    return WordEncoder(path)
+
+
 def in_blocks(texts: list[str], most_chars: int = 4_000_000):
     """Consecutive slices (start, end) of texts with about so many characters each, one text at least."""
     start, size = 0, 0
