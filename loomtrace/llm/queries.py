@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, infill, language, minhash, mixing, packing, quality, substring_dedup, token_counts
+from . import alignment, chat, embedding_dedup, infill, language, minhash, mixing, packing, quality, substring_dedup, token_counts
 from . import token_files, vector_search
 from .common import fold_of, table
 
@@ -79,6 +79,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return moved.select(
@@ -179,6 +183,7 @@ def queries() -> dict:
         op9_minhash_dedup,
         op10_language_id,
         op11_token_files,
+        op12_token_alignment,
         op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}
