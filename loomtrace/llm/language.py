@@ -7,7 +7,8 @@ nearest are close is flagged ambiguous.
 
 Fitting takes at most `per_language` rows of each language of the learning folds (smallest hashed ids; of rows that share
 doc_id and language, the one whose text hashes least), `max_rows` in all but one of each language at least; features
-travel to the driver as their cells that are not zero. All languages found there are learned, however many.
+travel to the driver as their cells that are not zero. All languages found there are learned, whatever share of their rows repeats ids; over MAX_LANGUAGES values
+are an error.
 
 Null text, and text without any letter, is `und` with score 0. Languages equally near: the first by name, flagged
 ambiguous. Repeated rows are each predicted; rows without doc_id are predicted but not learned from. With nothing to learn
@@ -31,6 +32,8 @@ from .tokens import in_blocks
 BITS = 12
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: A table of more distinct values of lang is refused: codewords are chosen on the driver, all against all.
+MAX_LANGUAGES = 2_000
 
 
 def codewords(n: int) -> np.ndarray:
@@ -110,13 +113,17 @@ def fit(docs: DataFrame, per_language: int = 1_000, max_rows: int = 6_000) -> Mo
         "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
     )
     learn = learn.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    # one row per language, as many as the model's codewords
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    ids = F.approx_count_distinct("doc_id", 0.05)
+    sizes = learn.groupBy("lang").agg(ids.alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"lang has over {MAX_LANGUAGES} distinct values: these are no languages")
     per_language = max(1, min(per_language, max_rows // len(sizes)))
-    # only hashes low enough to be among the least of their language go into the ranking
+    # only hashes low enough to be among the least of their language go into the ranking: of distinct ids, three times as
+    # many as are taken, so that neither repeated ids nor the count's error of some hundredths leaves out any of these
     shares = [(r.lang, min(1.0, (3 * per_language + 100) / r.n)) for r in sizes]
+    # at most MAX_LANGUAGES rows
     shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     keys = learn.select("lang", F.xxhash64("doc_id").alias("hash"), "doc_id").join(shares, "lang")
     keys = keys.filter(F.col("hash") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "hash", "doc_id").distinct()

@@ -324,6 +324,22 @@ def test_quality_votes_equal_brute_force_and_held_out_rows_are_right(spark):
     assert len(held) > 30 and np.mean([got[d].quality_label == learned[d] for d in held]) >= 0.95
 
 
+@pytest.mark.parametrize("n_ids", [1, 20])
+def test_languages_whose_rows_repeat_ids_are_learned(spark, n_ids):
+    ids = [k for k in range(4_000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(ids[k], f"the words of english number {k}", "en") for k in range(400)]
+    rows += [(ids[1_000 + k % n_ids], f"zz zazz zozz zuzz {k}", "zz") for k in range(40_000)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8), 50, 100)
+    assert list(model.languages) == ["en", "zz"]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    rows = spark.createDataFrame([(k, "text", f"l{k % 4}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="distinct values"):
+        language.fit(rows)
+
+
 def test_language_losses_equal_brute_force_and_held_out_rows_are_right(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.fit(docs)
