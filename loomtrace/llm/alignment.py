@@ -32,7 +32,7 @@ from .tokens import BYTE_BPE
 
 PIECE_BPE = "piece_bpe_32k.model"
 #: Characters of a chunk.
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 #: " word", up to the next space that something follows; see Units.
 _UNIT = re.compile(r" \s*+\S*+(?:(?! .)\s\S*+)*+", re.S)
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -93,7 +93,7 @@ class Units:
     the space before a text that a unit begins with. So the tokens of a text are those of its units.
     """
 
-    def __init__(self, a_path: str | None = None, b_path: str | None = None, limit: int = 700_000):
+    def __init__(self, a_path: str | None = None, b_path: str | None = None, limit: int = 500_000):
         self.a, self.b, self.a_bytes, self.b_bytes = _tokenizers(a_path, b_path)
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])

@@ -37,11 +37,14 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        width = _width(encoder.size)
+        width = _width(max(encoder.size, end_id + 1))
+        end = end_id.to_bytes(int(width[-1]), "little")
         for batch in small_batches(batches, 1, 4_000_000):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in in_blocks(texts, 2_000_000):
-                raw = [_narrow(x + end_id.to_bytes(4, "little"), width) for x in encoder.encode(texts[a:b])]
+                flat, sizes = encoder.encode(texts[a:b])
+                ids, ends = memoryview(flat.astype(width, copy=False).tobytes()), (np.cumsum(sizes) * int(width[-1])).tolist()
+                raw = [bytes(ids[p:q]) + end for p, q in zip([0, *ends], ends, strict=False)]
                 columns = [batch.column(0).slice(a, b - a), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "ids"])
 
@@ -52,10 +55,6 @@ def _width(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _narrow(raw: bytes, width: str) -> bytes:
-    return raw if width == "<u4" else np.frombuffer(raw, "<u4").astype(width).tobytes()
-
-
 def id_counts(stored: DataFrame, width: str) -> dict[int, int]:
     """How often each id occurs, over all rows; one entry at most for each id of the vocabulary."""
 

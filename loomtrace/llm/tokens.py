@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -95,23 +95,37 @@ _ODD = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]|<\|")
 _WORD = re.compile(r"[^ \t\n\r]+")
 
 
+class _Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for; `new` holds those not yet looked at."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        number = self[key] = len(self)
+        return number
+
+
 class WordEncoder:
     """Token ids of whole texts by the lower-case BPE with word ends, each distinct piece encoded once while remembered.
 
     The tokenizer composes, folds white space, lowers, and splits by a pattern no match of which holds white space; no
     composition reaches over white space either. So texts may be cut at white space. Where all characters are plain (their
     composed and lower form is one character each), the pattern itself is applied here, to the lowered text. Other
-    tokenizers than this one encode whole texts.
+    tokenizers than this one encode whole texts. Beyond `limit` pieces the memory starts anew.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 400_000):
+    def __init__(self, path: str | None = None, limit: int = 700_000):
         import json
 
         import public_tokenizers
 
-        self.tok, self.limit, self.memo = tokenizer(path or public_tokenizers.path(WORD_BPE)), limit, {}
+        self.tok, self.limit = tokenizer(path or public_tokenizers.path(WORD_BPE)), limit
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.last = np.zeros(self.size, dtype=bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         said = json.loads(self.tok.to_str())
@@ -119,42 +133,53 @@ class WordEncoder:
         splits = [x.get("pattern", {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.known = steps == ["NFC", "Replace", "Lowercase"] and splits == [known, None]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.flat, self.ends = _Numbers(), np.zeros(0, dtype=self.width), np.zeros(1, dtype=np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, ids.astype(self.width)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _learn_new(self) -> None:
+        """Encodes the new pieces, each a word of the tokenizer, side by side."""
+        pieces, self.numbers.new = self.numbers.new, []
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 raise RuntimeError("a piece is not one word of the tokenizer")
-            raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1]])
-            self.memo.update(zip(part, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+            self._add(ids, np.diff(ends, prepend=0))
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), dtype=self.width), np.array([len(x) for x in found], dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
         if not self.known:
             return self._each(texts)
-        split, odd, new, known = [], set(), set(), self.memo.__contains__
-        for text in texts:
-            if _ODD.search(text):
-                words = _WORD.findall(text)
-                odd.update(filterfalse(known, words))
-            else:
-                words = _PIECE.findall(text.lower())
-                new.update(filterfalse(known, words))
-            split.append(words)
-        if len(self.memo) + len(new) + len(odd) > self.limit:
-            kept = set().union(*split) - new - odd
-            self.memo = {x: self.memo[x] for x in kept}
-        self._learn(list(new - odd))
-        whole = list(odd)
-        self.memo.update(zip(whole, self._each(whole), strict=True))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.numbers) > self.limit:
+            self._forget()
+        odd = {k: _WORD.findall(x) for k, x in enumerate(texts) if _ODD.search(x)}
+        unknown = [x for x in set().union(*odd.values()) if x not in self.numbers]
+        if unknown:
+            self.numbers.update(zip(unknown, range(len(self.numbers), len(self.numbers) + len(unknown)), strict=True))
+            self._add(*self._each(unknown))
+        number, split, counts = self.numbers.__getitem__, [], []
+        for k, x in enumerate(texts):
+            words = odd[k] if k in odd else _PIECE.findall(x.lower())
+            counts.append(len(words))
+            split.append(np.fromiter(map(number, words), dtype=np.int32, count=len(words)))
+        self._learn_new()
+        numbers = np.concatenate([*split, np.zeros(0, dtype=np.int32)])
+        first, sizes = self.ends[numbers], np.diff(self.ends)[numbers]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, dtype=np.int64)
+        return flat, np.diff(upto, prepend=0)
 
 
 @lru_cache(maxsize=2)
