@@ -23,6 +23,12 @@ def _near(df: DataFrame, window: tuple[int, int]) -> Column:
     return (F.col("aseq") - F.col("p_aseq") <= window[0]) & (F.col("start_ns") - F.col("p_start_ns") <= window[1] * NS)
 
 
+def _unsure(calls: DataFrame) -> Column:
+    """Shell calls of unknown effect: all, but for those whose command is known only to read (effect, where given)."""
+    shell = F.col("category") == "shell"
+    return shell & ~F.coalesce(F.col("effect") == "read", F.lit(False)) if "effect" in calls.columns else shell
+
+
 def read_pairs(calls: DataFrame, window: tuple[int, int] = READ_WINDOW) -> DataFrame:
     """A: pairs of consecutive equal reads of an agent in an epoch, and the verdict on each.
 
@@ -32,7 +38,7 @@ def read_pairs(calls: DataFrame, window: tuple[int, int] = READ_WINDOW) -> DataF
     so_far = Window.partitionBy(*KEY).orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
     on_target = Window.partitionBy(*KEY, "target").orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
     marked = calls.withColumn("edits", F.sum((F.col("category") == "edit").cast("long")).over(on_target)).withColumn(
-        "unknowns", F.sum((F.col("category") == "shell").cast("long")).over(so_far)
+        "unknowns", F.sum(_unsure(calls).cast("long")).over(so_far)
     )
     reads = marked.filter("category = 'read'")
     pairs = lagged(
@@ -109,7 +115,7 @@ def _interventions(calls: DataFrame, edited: str) -> DataFrame:
     so_far = lambda *by: Window.partitionBy(*KEY, *by).orderBy("aseq").rowsBetween(Window.unboundedPreceding, 0)
     local = F.col("server").isNull()
     edit = (F.col("category") == "edit").cast("long")
-    shell = (F.col("category") == "shell").cast("long")
+    shell = _unsure(calls).cast("long")
     acts = (F.col("category") != "read").cast("long")
     edits = F.when(local & F.col(edited).isNotNull(), F.sum(edit).over(so_far(edited))).otherwise(F.lit(0))
     unknowns = F.when(local, F.sum(shell).over(so_far())).otherwise(
@@ -199,10 +205,11 @@ def batch_runs(calls: DataFrame, least: int = 3) -> DataFrame:
     """
     order = Window.partitionBy("session").orderBy("seq")
     kind = F.col("category").isin("read", "search")
-    breaks = (F.lag("agent").over(order) != F.col("agent")) | (F.lag("category").over(order) != F.col("category")) | (
-        F.lag("emitter").over(order) == F.col("emitter")
-    )
-    rows = calls.withColumn("_break", F.coalesce(breaks, F.lit(True)))
+    # the same response: known of both calls, or else one call within two seconds of the other's end
+    soon = F.col("start_ns") - F.lag("end_ns").over(order) < 2 * NS
+    together = F.coalesce(F.lag("emitter").over(order) == F.col("emitter"), soon, F.lit(False))
+    breaks = (F.lag("agent").over(order) != F.col("agent")) | (F.lag("category").over(order) != F.col("category"))
+    rows = calls.withColumn("_break", F.coalesce(breaks, F.lit(True)) | together)
     rows = islands(rows, ["session"], ["seq"], F.col("_break"), "stretch").filter(kind)
     by = ["session", "agent", "stretch"]
     again = F.lead("aseq").over(Window.partitionBy(*by, "target").orderBy("aseq"))

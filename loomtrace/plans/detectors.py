@@ -466,10 +466,7 @@ _G_V = ", ".join(
 )
 
 
-@query(
-    "repeat_verdicts",
-    _G_SQL
-    + f""", s AS (SELECT {_G_SAME}, count(*) FILTER (WHERE rt) AS round_trips, {_G_N}, {_G_V}, count(*) FILTER (WHERE rt
+_G_VERDICTS = f""", s AS (SELECT {_G_SAME}, count(*) FILTER (WHERE rt) AS round_trips, {_G_N}, {_G_V}, count(*) FILTER (WHERE rt
   AND outcome = 'same') AS same, count(*) FILTER (WHERE rt AND outcome <> 'unknown') AS known,
   count(*) FILTER (WHERE rt AND phase_changed) AS phase_changes, quantile_cont(gap / 1e9, 0.5) FILTER (WHERE rt AND gap
     <= 1200000000000) AS median_s, min(gap / 1e9) FILTER (WHERE rt AND gap <= 1200000000000) AS min_s,
@@ -505,8 +502,10 @@ SELECT session, agent, tool, target, params, calls, round_trips, {", ".join(f"n_
     WHEN local OR v_no_gain < 2 THEN NULL WHEN v_no_gain * 2 >= n THEN 'unexplained_repeats' WHEN n_after_failure * 2 >=
       n OR v_useful * 2 >= n OR known * 2 < n OR v_useful >= v_no_gain THEN NULL ELSE 'unexplained_repeats' END AS kind,
   CASE WHEN n >= 5 AND known * 10 >= n * 8 AND (polling = 0 OR phases_known * 10 >= calls * 8) THEN 'high' WHEN n >= 2
-    AND known * 2 >= n THEN 'medium' ELSE 'low' END AS confidence FROM m""",
-)
+    AND known * 2 >= n THEN 'medium' ELSE 'low' END AS confidence FROM m"""
+
+
+@query("repeat_verdicts", _G_SQL + _G_VERDICTS)
 def repeat_verdicts(f: Frames) -> DataFrame:
     """All stand-in calls have fingerprints; tests/test_golden.py has calls without."""
     return repeats.verdicts(_g_calls(f), _g_inputs(f))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tools
+from ..functions import results, shell, text, tools
 from .stored import stored
 
 # The longest target that is kept, and the form and place of an exit code in plain output.
@@ -41,50 +41,129 @@ def at(path: str, value: str = "value") -> Column:
     return F.get_json_object(value, f"$.{path}")
 
 
-def hook_events(payloads: DataFrame, client: str) -> DataFrame:
-    """Hook payloads (value: JSON text) as events. The id is a hash of client and payload, so reading again adds nothing."""
+def captured(rows: DataFrame) -> DataFrame:
+    """Lines of a capture, {"received_ns": ..., "payload": {...}}, as ns and value, the payload's text. A line without
+    payload is one itself, without an instant of its own."""
+    payload = F.get_json_object("value", "$.payload")
+    return rows.select(
+        *[c for c in rows.columns if c != "value"],
+        at("received_ns").try_cast("long").alias("ns"),
+        F.coalesce(payload, F.col("value")).alias("value"),
+    )
+
+
+def hook_events(payloads: DataFrame, client: str, key: str = "", home: str | None = None) -> DataFrame:
+    """Hook payloads (value: JSON text; ns: when it came, where known, else what the payload's own timestamp says) as
+    events. The id is a hash of client, instant and payload, so reading again adds nothing.
+
+    Commands, targets, errors and parameters are masked before anything is kept: secrets stand as keyed fingerprints
+    (`key`), the `home` folder as ~. Of results, fingerprints of content and state and the phase they tell are kept, never
+    their text.
+    """
     good = payloads.filter(is_object(F.col("value")))
     tool, response = at("tool_name"), at("tool_response")
-    phase = tools.phase(at("hook_event_name"))
-    failed = F.when(phase == "failure", F.when(at("is_interrupt") == "true", "interrupted").otherwise("error"))
-    command = at("tool_input.command")
+
+    def masked(value: Column) -> Column:
+        out = text.mark_secrets(value, key)
+        return text.mask_home(out, home) if home else out
+
+    is_text = F.col("value").rlike(r'(?<!\\)"tool_response"\s*:\s*"')
     named = [
         F.nullif(F.trim(at(f"tool_input.{k}")), F.lit(""))
         for k in ("file_path", "path", "notebook_path", "url", "pattern")
     ]
-    target = F.substring(F.coalesce(*named, command), 1, MAX_TARGET)
     # a client that hands out plain text may state an exit code in a line of its own at the end
     plain = F.when(
         ~F.coalesce(response.startswith("{"), F.lit(False)),
         F.regexp_extract(F.substring(response, -EXIT_TAIL, EXIT_TAIL), EXIT_LINE, 1),
     )
-    code = F.coalesce(tools.exit_code(response), F.nullif(plain, F.lit("")).try_cast("int"))
-    by_code = F.when(plain != "", F.when(code == 0, "success").otherwise("error"))
-    return good.select(
-        F.sha2(F.concat_ws("|", F.lit(client), "value"), 256).alias("event_id"),
+    came = [F.col("ns").cast("string")] if "ns" in good.columns else []
+    rows = good.select(
+        F.sha2(F.concat_ws("|", F.lit(client), *came, "value"), 256).alias("event_id"),
         F.lit(client).alias("client"),
+        (F.coalesce("ns", tools.iso_to_ns(at("timestamp"))) if "ns" in good.columns else tools.iso_to_ns(at("timestamp")))
+        .alias("ns"),
         at("session_id").alias("session_id"),
         F.coalesce(at("turn_id"), at("prompt_id")).alias("turn_id"),
         at("agent_id").alias("agent_id"),
         at("agent_type").alias("agent_type"),
         at("tool_use_id").alias("call_id"),
-        phase.alias("phase"),
+        tools.phase(at("hook_event_name")).alias("phase"),
         tool.alias("tool_name"),
         F.when(tool.isNotNull(), tools.category(F.lit(client), tool)).alias("tool_category"),
         tools.server(tool).alias("mcp_server"),
         tools.server_tool(tool).alias("mcp_tool"),
-        tools.pick_params(
-            F.from_json(at("tool_input"), "map<string,string>"), tools.clear_parameters(client, tool)
+        F.transform_values(
+            tools.pick_params(
+                F.from_json(at("tool_input"), "map<string,string>"), tools.clear_parameters(client, tool)
+            ),
+            lambda k, v: masked(v),
         ).alias("params"),
+        F.substring(F.sha2(F.concat_ws("|", F.lit(key), tool, at("tool_input")), 256), 1, 16).alias("input_fp"),
         at("cwd").alias("cwd"),
-        target.alias("target"),
-        F.when(command.isNotNull(), "command").when(target.isNotNull(), "path").alias("target_kind"),
-        F.coalesce(failed, F.when(phase == "end", F.coalesce(by_code, tools.status(response)))).alias("status"),
-        code.alias("exit_code"),
-        at("error").alias("error_summary"),
+        F.coalesce(*named).alias("_named"),
+        at("tool_input.command").alias("_command"),
+        shell.parsed(at("tool_input.command")).alias("_parts"),
+        response.alias("_response"),
+        is_text.alias("_is_text"),
+        plain.alias("_plain"),
+        at("error").alias("_error"),
+        (at("is_interrupt") == "true").alias("_interrupt"),
         at("duration_ms").try_cast("long").alias("duration_ms"),
-        F.octet_length(response).cast("long").alias("output_size_bytes"),
     )
+    code = F.coalesce(tools.exit_code(F.col("_response")), F.nullif("_plain", F.lit("")).try_cast("int"))
+    by_code = F.when(F.col("_plain") != "", F.when(code == 0, "success").otherwise("error"))
+    ended = F.col("phase") == "end"
+    status = F.when(F.col("phase") == "failure", results.failure_status(F.col("_error"), F.col("_interrupt"))).when(
+        ended, F.coalesce(by_code, tools.status(F.col("_response")))
+    )
+    has_command = F.col("_command").isNotNull()
+    rows = rows.withColumns({
+        "exit_code": code,
+        "status": status,
+        "effect": F.when(has_command, shell.kind_of(F.col("_parts"))),
+        "_heads": F.coalesce(shell.heads_of(F.col("_parts")), F.array().cast("array<string>")),
+        "_text": F.when(ended, results.primary_text(F.col("_response"), F.col("_is_text"))),
+    })
+    kind = results.facts_kind(F.col("tool_category"), F.col("tool_name"), F.col("_heads"), F.col("effect"))
+    # what a result is read from: its main text, the whole of it without one, or the error of a failed call
+    told = F.when(F.col("phase") == "failure", F.col("_error")).otherwise(F.coalesce("_text", "_response"))
+    rows = rows.withColumns({"_kind": kind, "_told": told})
+    waits = F.lower("tool_name").rlike("|".join(results.WAIT_TOOLS))
+    told_of = F.col("phase").isin("end", "failure") & F.col("tool_name").isNotNull()
+    hint = F.when((F.col("tool_category") == "mcp") & (F.col("status") == "success"), results.hidden_error(F.col("_text")))
+    tail = F.when(F.col("status") == "error", F.substring("_text", -EXIT_TAIL, EXIT_TAIL))
+    target = F.substring(masked(F.coalesce("_named", "_command")), 1, MAX_TARGET)
+    return rows.select(
+        "event_id", "client", "ns", "session_id", "turn_id", "agent_id", "agent_type", "call_id", "phase", "tool_name",
+        "tool_category", "mcp_server", "mcp_tool", "params", "input_fp", "cwd",
+        target.alias("target"),
+        F.when(has_command, "command").when(F.col("_named").isNotNull(), "path").alias("target_kind"),
+        F.substring(masked(F.col("_command")), 1, MAX_TARGET).alias("command"),
+        "effect", "status", "exit_code",
+        F.substring(masked(F.coalesce("_error", hint, tail)), 1, MAX_TARGET).alias("error_summary"),
+        "duration_ms",
+        F.octet_length("_response").cast("long").alias("output_size_bytes"),
+        F.when(
+            ended & F.col("tool_category").isin("read", "search", "list", "shell", "mcp"),
+            results.content_fingerprint(F.col("_text")),
+        ).alias("content_fp"),
+        F.when(
+            told_of & F.col("_kind").isin("status", "run"), results.state_fingerprint(F.coalesce("_told", F.lit("")))
+        ).alias("state_fp"),
+        F.when(told_of, results.phase(F.col("_told"), F.col("status"), waits=waits, kind=F.col("_kind"))).alias(
+            "result_phase"
+        ),
+        F.when(ended, F.get_json_object("_told", "$.timed_out") == "true").alias("timed_out"),
+    )
+
+
+def hook_prompts(payloads: DataFrame) -> DataFrame:
+    """The texts of the prompts in payloads (message: the payload's hash, text), for the one rule that reads them; no event
+    keeps them."""
+    good = payloads.filter(is_object(F.col("value"))).filter(at("hook_event_name") == "UserPromptSubmit")
+    prompt = F.coalesce(at("user_input"), at("prompt"))
+    return good.select(F.sha2("value", 256).alias("message"), prompt.alias("text")).filter("text IS NOT NULL")
 
 
 def rejected(payloads: DataFrame) -> DataFrame:

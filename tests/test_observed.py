@@ -1,0 +1,280 @@
+"""From payload lines to findings: the reference scenarios, result phases by kind of tool, and masking."""
+
+from __future__ import annotations
+
+import itertools
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomtrace.functions import results, text
+from loomtrace.operators import detectors, observe, repeats
+from loomtrace.sources import logs
+
+SECOND = 1_000_000_000
+
+
+class Session:
+    """Payload lines of one session as a client would hand them out, one call after the other."""
+
+    def __init__(self, name: str, client: str = "claude-code", gap: int = 3):
+        self.name, self.client, self.gap = name, client, gap
+        self.now, self.agent, self.lines, self.ids = 0, None, [], itertools.count()
+        self.say("SessionStart")
+        self.say("UserPromptSubmit", prompt="please")
+
+    def say(self, hook: str, **more) -> None:
+        payload = {"session_id": self.name, "hook_event_name": hook} | more
+        if self.agent:
+            payload["agent_id"] = self.agent
+        self.lines.append({"received_ns": self.now, "payload": payload})
+
+    def call(self, tool, given, response=None, error=None, interrupt=False, end=True, ident=True) -> str:
+        self.now += self.gap * SECOND
+        one = {"tool_name": tool, "tool_input": given}
+        name = f"{self.name}-{next(self.ids)}"
+        if ident:
+            one["tool_use_id"] = name
+        self.say("PreToolUse", **one)
+        self.now += 50_000_000
+        if error is not None or interrupt:
+            self.say("PostToolUseFailure", **one, error=error or "", is_interrupt=interrupt)
+        elif end:
+            self.say("PostToolUse", **one, tool_response=response)
+        return name
+
+    def read(self, path, content, **more):
+        return self.call("Read", {"file_path": path} | more, {"file": {"content": content}, "content": content})
+
+    def edit(self, path):
+        return self.call("Edit", {"file_path": path, "old_string": str(self.now), "new_string": "b"}, {"filePath": path})
+
+    def write(self, path):
+        return self.call("Write", {"file_path": path, "content": "{}"}, {"filePath": path})
+
+    def bash(self, command, out="", error=None, **more):
+        return self.call("Bash", {"command": command}, {"stdout": out, "stderr": ""}, error, **more)
+
+    def mcp(self, server, tool, given, told):
+        return self.call(f"mcp__{server}__{tool}", given, {"content": [{"type": "text", "text": json.dumps(told)}], "isError": False})
+
+
+def frames(spark, *sessions):
+    rows = [(json.dumps(x), s.client) for s in sessions for x in s.lines]
+    raw = spark.createDataFrame(rows, "value string, client string")
+    clients = sorted({s.client for s in sessions})
+    events = None
+    for c in clients:
+        one = logs.hook_events(logs.captured(raw.filter(F.col("client") == c).drop("client")), c)
+        events = one if events is None else events.unionByName(one)
+    return events
+
+
+def calls_of(spark, *sessions):
+    return observe.from_hooks(frames(spark, *sessions))
+
+
+def test_redundant_reads(spark):
+    one = Session("s1")
+    one.read("a.py", "print(1)\n"), one.bash("git status", "clean\n"), one.read("a.py", "print(1)\n")
+    two = Session("s2")
+    two.read("b.py", "v1\n"), two.edit("b.py"), two.read("b.py", "v2\n")
+    two.agent = "agent-1"
+    two.read("b.py", "v2\n")
+    two.agent = None
+    two.say("PostCompact")
+    two.read("b.py", "v2\n"), two.read("b.py", "v2\n", offset=10, limit=20)
+    paged = Session("s10")
+    paged.read("big.log", "p1", offset=1, limit=100), paged.read("big.log", "p2", offset=101, limit=100)
+    got = detectors.read_clusters(calls_of(spark, one, two, paged)).collect()
+    assert [(r.session, r.target, r.reads, r.confidence) for r in got] == [("claude-code/s1", "a.py", 2, "high")]
+
+
+def test_error_loops(spark):
+    one, two = Session("s3"), Session("s3b")
+    for _ in range(3):
+        one.bash("python run.py", error="Exit code 1: ModuleNotFoundError: No module named 'x'")
+    two.bash("python run.py", error="Exit code 1: No such file or directory: cfg.json")
+    two.write("cfg.json")
+    two.bash("python run.py", error="Exit code 1: No such file or directory: cfg.json")
+    two.bash("python run.py", "ok\n")
+    got = detectors.failure_chains(calls_of(spark, one, two)).collect()
+    assert [(r.session, r.failures, r.kind, r.confidence) for r in got] == [("claude-code/s3", 3, "persistent", "high")]
+
+
+def test_batches(spark):
+    one, two = Session("s4"), Session("s4b")
+    one.call("Glob", {"pattern": "src/*.py"}, {"filenames": ["src/a.py", "src/b.py", "src/c.py"]})
+    for x in "abc":
+        one.read(f"src/{x}.py", x)
+    for x in "xyz":
+        two.read(f"{x}.py", x), two.edit(f"{x}.py")
+    fast = Session("s4c", gap=1)
+    for x in "abc":
+        fast.read(f"src/{x}.py", x)
+    got = detectors.batch_runs(calls_of(spark, one, two, fast)).collect()
+    assert [(r.session, r.calls) for r in got] == [("claude-code/s4", 3)]
+
+
+def test_recurring_sequences(spark):
+    one = Session("s5")
+    for x in ("m1", "m2", "m3", "m4"):
+        one.bash(f"python export.py data/{x}.csv", "ok\n"), one.read(f"out/{x}.json", "{}")
+        one.bash(f"python check.py out/{x}.json", "ok\n")
+    got = detectors.mined_patterns(calls_of(spark, one)).collect()
+    assert any(r.uses >= 3 and r.n == 3 for r in got)
+
+
+def test_pairing(spark):
+    one = Session("s6")
+    one.read("one.py", "1")
+    one.lines.append(one.lines[-1] | {"payload": one.lines[-1]["payload"] | {"cwd": "/again"}})
+    one.read("two.py", "2"), one.read("two.py", "2")
+    two = Session("s7")
+    two.call("Read", {"file_path": "late.py"}, end=False)
+    two.bash("sleep 100", interrupt=True)
+    two.lines = two.lines[::-1] + two.lines
+    rows = {(r.session, r.target, r.call_id): r for r in calls_of(spark, one, two).collect()}
+    assert sum(k[0] == "claude-code/s6" for k in rows) == 3
+    assert sum(r.duplicate_phases for r in rows.values()) == 1
+    assert sorted(r.status for k, r in rows.items() if k[0] == "claude-code/s7") == ["interrupted", "open"]
+    assert all(r.duration_ms == 50 for r in rows.values() if r.status == "success")
+    assert sorted(r.seq for k, r in rows.items() if k[0] == "claude-code/s6") == [0, 1, 2]
+
+
+def test_pairing_without_ids_takes_the_last_open_start(spark):
+    one = Session("s")
+    pre = lambda: one.say("PreToolUse", tool_name="Bash", tool_input={"command": "x"})
+    post = lambda out: one.say("PostToolUse", tool_name="Bash", tool_input={"command": "x"}, tool_response={"stdout": out})
+    for step in (pre, pre, lambda: post("inner"), lambda: post("outer"), lambda: post("orphan"), pre):
+        one.now += SECOND
+        step()
+    got = calls_of(spark, one).orderBy("start_ns").collect()
+    at = lambda r: (r.start_ns // SECOND, r.end_ns and r.end_ns // SECOND, r.status, r.orphan)
+    assert [at(r) for r in got] == [
+        (1, 4, "success", False), (2, 3, "success", False), (5, 5, "success", True), (6, None, "open", False),
+    ]
+
+
+def test_secrets_are_masked_and_not_merged(spark):
+    one = Session("s9")
+    for x, out in (("A", "1"), ("B", "2")):
+        one.bash(f"curl -H 'Authorization: Bearer sk-{x * 24}' https://x", out)
+    one.bash("deploy", error="denied for token=abcdefghij")
+    one.call("Grep", {"pattern": "password: hunter2hunter2", "path": "/w"}, {"content": ""})
+    events = frames(spark, one)
+    kept = " ".join(map(str, events.collect()))
+    for secret in ("sk-AAAA", "sk-BBBB", "abcdefghij", "hunter2"):
+        assert secret not in kept
+    got = [r for r in observe.from_hooks(events).collect() if r.command and "curl" in r.command]
+    assert len({r.target for r in got}) == len({r.params for r in got}) == 2
+    assert all("<secret:" in r.target for r in got)
+    other = frames(spark, one).limit(0).select(text.mark_secrets(F.lit("token=abcdefghij z"), "k").alias("m"))
+    assert other.columns == ["m"]
+    marks = spark.range(1).select(*[text.mark_secrets(F.lit("token=abcdefghij z"), k).alias(f"m{k}") for k in ("", "k")]).first()
+    assert marks[0] != marks[1]
+    assert marks[0].endswith("> z")
+
+
+def test_second_client_reads_exit_codes(spark):
+    one = Session("c1", client="codex")
+    one.call("Read", {"path": "a.py"}, "same"), one.call("Read", {"path": "a.py"}, "same")
+    for _ in range(3):
+        one.call("shell", {"command": "make x"}, "broken\nexit code: 2")
+    one.call("shell", {"command": "make y"}, {"stdout": "", "exit_code": 0})
+    calls = calls_of(spark, one)
+    assert sorted(r.status for r in calls.filter("category = 'shell'").collect()) == ["error", "error", "error", "success"]
+    (b,) = detectors.failure_chains(calls).collect()
+    assert (b.failures, b.kind) == (3, "persistent")
+
+
+def polled(n=14, every=20):
+    one = Session("poll", gap=every)
+    for k in range(n):
+        told = {"status": "RUNNING" if k < n - 1 else "COMPLETED", "elapsed_s": 20 * k}
+        one.mcp("cluster", "job_status", {"job_id": 42}, told)
+    return one
+
+
+def test_polling(spark):
+    one = polled()
+    edits = Session("work")
+    for _ in range(4):
+        edits.edit("a.py"), edits.bash("git status", f"changed {edits.now}")
+    events = frames(spark, one, edits)
+    got = {(r.session, r.tool): r for r in repeats.verdicts(observe.from_hooks(events), observe.inputs_of(events)).collect()}
+    g = got["claude-code/poll", "mcp__cluster__job_status"]
+    assert (g.calls, g.n_waiting, g.same, g.phase_changes) == (14, 13, 12, 1)
+    assert (g.verdict, g.kind, g.periodic) == ("outil", "polling_cadence", False)
+    assert (g.median_s, g.min_s, g.max_s) == (20.05, 20.05, 20.05)
+    assert got["claude-code/work", "Bash"].verdict == "justifie"
+
+
+def test_polling_where_a_tool_waits(spark):
+    one = polled(6)
+    one.mcp("cluster", "wait_for_job", {"job_id": 1}, {"status": "COMPLETED"})
+    g = next(r for r in repeats.verdicts(calls_of(spark, one)).collect() if r.tool.endswith("job_status"))
+    assert (g.verdict, g.kind, g.wait_tool) == ("agent", "polling_instead_of_wait", "mcp__cluster__wait_for_job")
+
+
+PHASES = [
+    # category, tool, heads, effect, text, status, phase
+    ("read", "Read", [], None, "raise OSError('connection refused')", "success", "done"),
+    ("read", "Read", [], None, "x", "error", "failed"),
+    ("mcp", "mcp__tracker__get_issue", [], None, '{"status": "In Progress"}', "success", "done"),
+    ("mcp", "mcp__cluster__job_status", [], None, '{"status": "In Progress"}', "success", "in_progress"),
+    ("mcp", "mcp__tracker__get_issue", [], None, '{"error": "server offline"}', "success", "unavailable"),
+    ("mcp", "mcp__tracker__get_issue", [], None, '{"error": {"why": "server offline"}}', "success", "done"),
+    ("mcp", "mcp__x__status", [], None, '[{"connected": false}]', "success", "done"),
+    ("mcp", "mcp__x__status", [], None, '{"a": {"b": {"c": {"up": false}}}}', "success", "unavailable"),
+    ("mcp", "mcp__x__status", [], None, '{"a": {"b": {"c": {"d": {"up": false}}}}}', "success", "done"),
+    ("shell", "Bash", ["make"], "run", "building target 3", "success", "done"),
+    ("shell", "Bash", ["make"], "run", "no server has answered", "success", "unavailable"),
+    ("shell", "Bash", ["cat"], "read", "the server is unavailable", "success", "done"),
+    ("shell", "Bash", ["squeue"], "unknown", "job 3 is still running", "success", "in_progress"),
+    ("edit", "Edit", [], None, "unavailable", "success", None),
+    ("other", "jobs.wait", [], None, '{"timed_out": true}', "success", "in_progress"),
+]
+
+
+def test_phases_by_kind_of_tool(spark):
+    rows = spark.createDataFrame(
+        PHASES, "category string, tool string, heads array<string>, effect string, t string, s string, w string"
+    )
+    kind = results.facts_kind(*map(F.col, ("category", "tool", "heads", "effect")))
+    got = rows.select(results.phase(F.col("t"), F.col("s"), kind=kind).alias("p"), "w").collect()
+    assert [r.p for r in got] == [r.w for r in got]
+
+
+def test_failures_by_their_words(spark):
+    rows = [("Command timed out after 2m", False, "timeout"), ("permission to use Bash was denied", False, "denied"),
+            ("boom", True, "interrupted"), ("boom", False, "error"), (None, None, "error")]
+    got = spark.createDataFrame(rows, "e string, i boolean, w string").select(results.failure_status(F.col("e"), F.col("i")), "w")
+    assert all(a == b for a, b in got.collect())
+
+
+def test_all_rules_on_one_log(spark):
+    one = polled()
+    for _ in range(3):
+        one.bash("ssh login.host squeue", "job 1 RUNNING")
+    prompts = Session("p")
+    for k in range(3):
+        prompts.say("UserPromptSubmit", prompt=f"Number {k}\n\n" + "Always run the whole test suite before you say that it works, and show its output." * 2)
+    raw = spark.createDataFrame([(json.dumps(x),) for s in (one, prompts) for x in s.lines], "value string")
+    payloads = logs.captured(raw)
+    events = logs.hook_events(payloads, "claude-code")
+    got = observe.findings(observe.from_hooks(events), observe.inputs_of(events), logs.hook_prompts(payloads)).collect()
+    by = {r.rule: r for r in got}
+    assert (by["G"].subject, by["G"].n, by["G"].kind) == ("mcp__cluster__job_status", 14, "polling_cadence")
+    assert by["E"].kind in ("ssh", "slurm")
+    assert by["F"].n == 3
+
+
+@pytest.mark.parametrize("lines", [[], ["{broken", "[1]", '{"received_ns": 1}', '{"received_ns": "x", "payload": {}}']])
+def test_lines_without_calls_give_none(spark, lines):
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    events = logs.hook_events(logs.captured(raw), "claude-code")
+    calls = observe.from_hooks(events)
+    assert calls.count() == 0
+    assert observe.findings(calls, observe.inputs_of(events)).count() == 0
