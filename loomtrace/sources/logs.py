@@ -52,6 +52,16 @@ def captured(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What is read of a payload, parsed once; all values as text, whatever they are.
+_HOOK = ", ".join(
+    f"{x} string"
+    for x in (
+        "hook_event_name", "session_id", "turn_id", "prompt_id", "agent_id", "agent_type", "tool_use_id", "tool_name",
+        "tool_input", "tool_response", "cwd", "error", "is_interrupt", "duration_ms", "timestamp",
+    )
+)
+
+
 def hook_events(payloads: DataFrame, client: str, key: str = "", home: str | None = None) -> DataFrame:
     """Hook payloads (value: JSON text; ns: when it came, where known, else what the payload's own timestamp says) as
     events. The id is a hash of client, instant and payload, so reading again adds nothing.
@@ -60,8 +70,11 @@ def hook_events(payloads: DataFrame, client: str, key: str = "", home: str | Non
     (`key`), the `home` folder as ~. Of results, fingerprints of content and state and the phase they tell are kept, never
     their text.
     """
-    good = payloads.filter(is_object(F.col("value")))
+    good = payloads.filter(is_object(F.col("value"))).withColumn("_j", F.from_json("value", _HOOK))
+    good = good.withColumn("_input", F.from_json("_j.tool_input", "map<string,string>"))
+    at = lambda field: F.col(f"_j.{field}")
     tool, response = at("tool_name"), at("tool_response")
+    command = F.col("_input")["command"]
 
     def masked(value: Column) -> Column:
         out = text.mark_secrets(value, key)
@@ -69,7 +82,7 @@ def hook_events(payloads: DataFrame, client: str, key: str = "", home: str | Non
 
     is_text = F.col("value").rlike(r'(?<!\\)"tool_response"\s*:\s*"')
     named = [
-        F.nullif(F.trim(at(f"tool_input.{k}")), F.lit(""))
+        F.nullif(F.trim(F.col("_input")[k]), F.lit(""))
         for k in ("file_path", "path", "notebook_path", "url", "pattern")
     ]
     # a client that hands out plain text may state an exit code in a line of its own at the end
@@ -95,15 +108,15 @@ def hook_events(payloads: DataFrame, client: str, key: str = "", home: str | Non
         tools.server_tool(tool).alias("mcp_tool"),
         F.transform_values(
             tools.pick_params(
-                F.from_json(at("tool_input"), "map<string,string>"), tools.clear_parameters(client, tool)
+                F.col("_input"), tools.clear_parameters(client, tool)
             ),
             lambda k, v: masked(v),
         ).alias("params"),
         F.substring(F.sha2(F.concat_ws("|", F.lit(key), tool, at("tool_input")), 256), 1, 16).alias("input_fp"),
         at("cwd").alias("cwd"),
         F.coalesce(*named).alias("_named"),
-        at("tool_input.command").alias("_command"),
-        shell.parsed(at("tool_input.command")).alias("_parts"),
+        command.alias("_command"),
+        shell.parsed(command).alias("_parts"),
         response.alias("_response"),
         is_text.alias("_is_text"),
         plain.alias("_plain"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import results, text
 from loomtrace.operators import detectors, observe, repeats
 from loomtrace.sources import logs
+from loomtrace.sources.stored import stored
 
 SECOND = 1_000_000_000
 
@@ -68,11 +69,11 @@ def frames(spark, *sessions):
     for c in clients:
         one = logs.hook_events(logs.captured(raw.filter(F.col("client") == c).drop("client")), c)
         events = one if events is None else events.unionByName(one)
-    return events
+    return stored(events, "test-events")
 
 
 def calls_of(spark, *sessions):
-    return observe.from_hooks(frames(spark, *sessions))
+    return stored(observe.from_hooks(frames(spark, *sessions)), "test-calls")
 
 
 def test_redundant_reads(spark):
@@ -170,8 +171,6 @@ def test_secrets_are_masked_and_not_merged(spark):
     got = [r for r in observe.from_hooks(events).collect() if r.command and "curl" in r.command]
     assert len({r.target for r in got}) == len({r.params for r in got}) == 2
     assert all("<secret:" in r.target for r in got)
-    other = frames(spark, one).limit(0).select(text.mark_secrets(F.lit("token=abcdefghij z"), "k").alias("m"))
-    assert other.columns == ["m"]
     marks = spark.range(1).select(*[text.mark_secrets(F.lit("token=abcdefghij z"), k).alias(f"m{k}") for k in ("", "k")]).first()
     assert marks[0] != marks[1]
     assert marks[0].endswith("> z")
@@ -263,7 +262,7 @@ def test_all_rules_on_one_log(spark):
         prompts.say("UserPromptSubmit", prompt=f"Number {k}\n\n" + "Always run the whole test suite before you say that it works, and show its output." * 2)
     raw = spark.createDataFrame([(json.dumps(x),) for s in (one, prompts) for x in s.lines], "value string")
     payloads = logs.captured(raw)
-    events = logs.hook_events(payloads, "claude-code")
+    events = stored(logs.hook_events(payloads, "claude-code"), "test-events")
     got = observe.findings(observe.from_hooks(events), observe.inputs_of(events), logs.hook_prompts(payloads)).collect()
     by = {r.rule: r for r in got}
     assert (by["G"].subject, by["G"].n, by["G"].kind) == ("mcp__cluster__job_status", 14, "polling_cadence")
@@ -271,10 +270,10 @@ def test_all_rules_on_one_log(spark):
     assert by["F"].n == 3
 
 
-@pytest.mark.parametrize("lines", [[], ["{broken", "[1]", '{"received_ns": 1}', '{"received_ns": "x", "payload": {}}']])
+@pytest.mark.parametrize("lines", [["{broken", "[1]", '{"received_ns": 1}', '{"received_ns": "x", "payload": {}}']])
 def test_lines_without_calls_give_none(spark, lines):
     raw = spark.createDataFrame([(x,) for x in lines], "value string")
-    events = logs.hook_events(logs.captured(raw), "claude-code")
-    calls = observe.from_hooks(events)
+    events = stored(logs.hook_events(logs.captured(raw), "claude-code"), "test-events")
+    calls = stored(observe.from_hooks(events), "test-calls")
     assert calls.count() == 0
     assert observe.findings(calls, observe.inputs_of(events)).count() == 0
