@@ -32,8 +32,10 @@ def with_ids(events: DataFrame) -> DataFrame:
     none = events.filter("call_id IS NULL")
     is_end = F.col("phase").isin(*ENDS).cast("int")
     w = Window.partitionBy(*by).orderBy("ns", is_end, "event_id")
-    depth = F.sum(1 - 2 * is_end).over(w.rowsBetween(Window.unboundedPreceding, 0)) + is_end
-    deep = none.withColumns({"_end": is_end, "_depth": depth})
+    deep = none.withColumns({"_end": is_end, "_open": F.sum(1 - 2 * is_end).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    # ends without a start lower the ground on which later starts stand; they alone lie at depth 0
+    ground = F.least(F.lit(0), F.min("_open").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    deep = deep.withColumn("_depth", F.col("_open") + F.col("_end") - ground).drop("_open")
     nth = F.row_number().over(Window.partitionBy(*by, "_depth", "_end").orderBy("ns", "event_id"))
     made = F.concat(F.lit("~"), F.sha2(F.concat_ws("|", *by[2:], F.col("_depth").cast("string"), nth.cast("string")), 256))
     told = events.filter("call_id IS NOT NULL")
