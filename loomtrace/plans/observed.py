@@ -11,6 +11,7 @@ from ..operators import observe, repeats
 from ..sources import logs
 from ..sources.bridge import Frames
 from ..sources.stored import shared_folder, stored
+from ..streaming import analysis
 from .detectors import _G_SQL, _G_VERDICTS, _MINED, FAILED
 from .registry import query
 
@@ -195,6 +196,22 @@ def findings_from_logs(f: Frames) -> DataFrame:
     return observe.findings(observe.from_hooks(events), observe.inputs_of(events), logs.hook_prompts(payloads))
 
 
+@query("findings_of_batches", _FINDINGS.replace("SELECT * FROM F UNION", "SELECT * FROM F WHERE FALSE UNION"), ("ev",))
+def findings_of_batches(f: Frames) -> DataFrame:
+    """The same lines as a stream of at least three batches, each bringing a part of every session: after each, the sessions
+    it touched are analysed again and published. In the end the findings are those of all lines at once. Repeated guidance
+    is no finding of a session, and left out."""
+    folder = f"{shared_folder(f.spark)}/loomtrace/followed-{uuid.uuid4().hex}"
+    parts = _payload_lines(f).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(3)))
+    parts.repartition(3, "part").write.partitionBy("part").text(f"{folder}/lines")
+    lines = f.spark.readStream.option("maxFilesPerTrigger", 1).text(f"{folder}/lines/part=*")
+    analysis.follow(lines, f"{folder}/project", CLIENT, f"{folder}/checkpoint")
+    found = analysis.findings(f.spark, f"{folder}/project")
+    return found.select(
+        "rule", F.concat_ws("/", "client", "session_id").alias("session"), "agent", "subject", "n", "kind", "confidence"
+    )
+
+
 @query(
     "verdicts_from_logs",
     f"WITH {_HOOK_CALLS.strip()}\nSELECT session, agent, tool, target, calls, round_trips, "

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def held(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet folder's rows; None where nothing was written to it yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
 def append(events: DataFrame, path: str) -> int:
     """Adds the events whose id the store does not hold; returns how many. Only ids of the touched sessions are read."""
     spark = events.sparkSession
     fresh = events.dropDuplicates(["client", "event_id"])
-    try:
-        held = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    else:
+    if (old := held(spark, path)) is not None:
         touched = fresh.select("client", "session_id").distinct()
-        ids = held.join(touched, ["client", "session_id"], "left_semi").select("client", "event_id")
+        ids = old.join(touched, ["client", "session_id"], "left_semi").select("client", "event_id")
         fresh = fresh.join(ids, ["client", "event_id"], "left_anti")
     seen = Observation()
     fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("client", "session_id").parquet(
@@ -96,25 +102,30 @@ def session_key(session_id: Column) -> Column:
     return F.when(F.coalesce(session_id, F.lit("")) == "", "_no-session").when(odd, marked).otherwise(safe)
 
 
-def publish(calls: DataFrame, state: DataFrame, path: str) -> DataFrame:
-    """Replaces the calls of analysed sessions by those of a new analysis. calls: client, session_id, revision and any more;
-    sessions whose state is older than the analysed revision, or unknown, are refused and returned. Only the folders of the
-    published sessions are written anew, so analyses of other sessions run beside."""
-    spark = calls.sparkSession
-    known = state.select("client", "session_id", F.col("revision").alias("known"))
-    marked = calls.join(known, ["client", "session_id"], "left").withColumn(
-        "ok", F.coalesce(F.col("known") >= F.col("revision"), F.lit(False))
-    )
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        marked.filter("ok").drop("known", "ok").write.mode("overwrite").partitionBy("client", "session_id").parquet(
-            path
-        )
-    finally:
-        spark.conf.set(mode, before)
-    return marked.filter("NOT ok").select("client", "session_id", "revision").distinct()
+def publish(calls: DataFrame, state: DataFrame, path: str, analysed: DataFrame | None = None) -> DataFrame:
+    """Replaces what was published of analysed sessions by a new analysis. calls: client, session_id, revision and any more;
+    analysed: the sessions that were analysed (client, session_id, revision), those of calls where not given.
+
+    Every analysed session is written, one without rows as a row of its own (`nothing`), so that it loses what it had;
+    published() leaves such rows out. Sessions whose state is older than the analysed revision, or unknown, are refused and
+    returned. Only the folders of published sessions are written anew, so analyses of other sessions run beside; of two
+    analyses of one session the later one stays.
+    """
+    key = ["client", "session_id"]
+    analysed = (calls if analysed is None else analysed).select(*key, "revision").distinct()
+    known = state.select(*key, F.col("revision").alias("known"))
+    judged = analysed.join(known, key, "left").withColumn("ok", F.coalesce(F.col("known") >= F.col("revision"), F.lit(False)))
+    good = judged.filter("ok").select(*key, "revision")
+    rows = calls.join(good, [*key, "revision"], "left_semi").withColumn("nothing", F.lit(False))
+    empty = good.join(calls.select(*key).distinct(), key, "left_anti").withColumn("nothing", F.lit(True))
+    every = rows.unionByName(empty, allowMissingColumns=True)
+    every.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
+    return judged.filter("NOT ok").select(*key, "revision")
+
+
+def published(rows: DataFrame) -> DataFrame:
+    """The published rows without those that only say that a session has none."""
+    return rows.filter("NOT nothing").drop("nothing")
 
 
 def pending(state: DataFrame, published: DataFrame) -> DataFrame:
