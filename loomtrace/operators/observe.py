@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import intents, tools
+from ..functions import intents, results, shell, tools
+from ..functions import text as texts_of
+from ..sources import rollouts
 from ..sources.stored import stored
 from . import detectors, repeats
 from .messages import repeated_guidance
@@ -81,6 +83,98 @@ def from_hooks(events: DataFrame) -> DataFrame:
     return ordered(with_op(calls), named.select("session", "agent", "phase", "ns"))
 
 
+#: What is read of a rollout line beside its role; all values as text, whatever they are.
+_GIVEN = (
+    "type string, timestamp string, payload struct<type: string, arguments: string, input: string, output: string, "
+    "item: struct<command: string, arguments: string, path: string, query: string, changes: string, "
+    "aggregated_output: string, output: string, result: string>>"
+)
+
+
+def _rollout_facts(rows: DataFrame, key: str) -> DataFrame:
+    """file, line, given (a call's input as JSON text), command, path, told (its output): masked but for told."""
+    j = rows.select("file", "line", F.from_json("value", _GIVEN).alias("j"))
+    at = lambda x: F.col(f"j.payload.{x}")
+    given = F.coalesce(at("arguments"), at("item.arguments"))
+    words = lambda c: F.coalesce(
+        F.when(c.startswith("["), F.array_join(F.from_json(c, "array<string>"), " ")), c
+    )
+    asked = F.from_json(given, "command string, cmd string, path string, file_path string")
+    rows = j.select(
+        "file", "line", "j", given.alias("given"), asked.alias("asked"),
+        F.coalesce(at("output"), at("item.aggregated_output"), at("item.output"), at("item.result")).alias("answer"),
+    )
+    patched = F.try_element_at(texts_of.patch_paths(F.coalesce(at("input"), F.col("given"))), F.lit(1))
+    first_change = F.try_element_at(F.map_keys(F.from_json(at("item.changes"), "map<string,string>")), F.lit(1))
+    mark = lambda c: texts_of.mark_secrets(c, key)
+    is_text = ~F.coalesce(F.col("answer").rlike(r"^\s*[{\[]"), F.lit(False))
+    out = rows.select(
+        "file", "line", F.coalesce("given", at("input")).alias("given"),
+        mark(words(F.coalesce(at("item.command"), "asked.command", "asked.cmd"))).alias("command"),
+        mark(F.coalesce(patched, first_change, at("item.path"), at("item.query"), "asked.path", "asked.file_path")).alias("path"),
+        F.coalesce(results.primary_text(F.col("answer"), is_text), "answer").alias("told"),
+    )
+    known = F.coalesce("given", "command", "path", "told").isNotNull()
+    return out.filter(known)
+
+
+def from_rollouts(rows: DataFrame, roots: DataFrame | None = None, client: str = "codex", key: str = "") -> DataFrame:
+    """Calls from the lines of rollout logs (file, line, value): the session is the log's root (roots: file, root; the log
+    itself where none is known), the agent the log. Scripts stand for what ran in them and are no calls of their own."""
+    known = rollouts.parsed(rows)
+    facts = stored(_rollout_facts(rows, key), "rollout-facts")
+    made = rollouts.calls(known).filter("made_as <> 'script'")
+    given = facts.select("file", F.col("line").alias("start_line"), "given", "command", "path")
+    told = facts.select("file", F.col("line").alias("end_line"), "told")
+    met = made.join(given, ["file", "start_line"], "left").join(told, ["file", "end_line"], "left")
+    category = tools.category(F.lit(client), F.col("tool"))
+    met = met.withColumns({
+        "category": F.when(category == "write", "edit").otherwise(category),
+        "parts": shell.parsed(F.col("command")),
+    })
+    met = met.withColumns({
+        "effect": F.when(F.col("category") == "shell", shell.kind_of(F.col("parts"))),
+        "heads": F.coalesce(shell.heads_of(F.col("parts")), F.array().cast("array<string>")),
+        "ended": F.col("status") != "open",
+    })
+    kind = results.facts_kind(F.col("category"), F.col("tool"), F.col("heads"), F.col("effect"))
+    met = met.withColumn("kind", kind)
+    waits = F.lower("tool").rlike("|".join(results.WAIT_TOOLS))
+    text = F.col("told")
+    params = tools.pick_params(F.from_json("given", "map<string,string>"), tools.clear_parameters(client, F.col("tool")))
+    plain_input = F.when(F.from_json("given", "map<string,string>").isNull(), F.substring(F.sha2("given", 256), 1, 16))
+    masked = F.transform_values(params, lambda k, v: texts_of.mark_secrets(v, key))
+    calls = met.select(
+        F.col("file"), F.lit(None).cast("string").alias("_"),
+        "call_id", "tool", "category",
+        tools.server(F.col("tool")).alias("server"), tools.server_tool(F.col("tool")).alias("server_tool"),
+        F.when(F.col("category") == "shell", F.col("command")).otherwise(F.col("path")).alias("target"),
+        F.coalesce(tools.comparison_key(masked), plain_input, F.lit("{}")).alias("params"),
+        "command", F.lit(None).cast("string").alias("cwd"), "status", "start_ns",
+        F.when(F.col("ended"), F.col("end_ns")).alias("end_ns"), F.when(F.col("ended"), F.col("duration_ms")).alias("duration_ms"),
+        F.when(F.col("ended"), F.octet_length("told")).cast("long").alias("bytes"),
+        F.when(
+            F.col("ended") & F.col("category").isin("read", "search", "list", "shell", "mcp"), results.content_fingerprint(text)
+        ).alias("content_fp"),
+        F.when(
+            F.col("ended") & F.col("kind").isin("status", "run"), results.state_fingerprint(F.coalesce(text, F.lit("")))
+        ).alias("state_fp"),
+        F.when(F.col("ended"), results.phase(text, F.col("status"), waits=waits, kind=F.col("kind"))).alias("result_phase"),
+        "timed_out", tools.requested_delay(params).alias("delay"), "effect", "emitter",
+        F.lit(0).cast("long").alias("duplicate_phases"), F.lit(False).alias("orphan"),
+    ).drop("_")
+    marks = rows.select("file", F.from_json("value", "type string, timestamp string").alias("j")).filter("j.type = 'compacted'")
+    marks = marks.select("file", F.lit("compact_end").alias("phase"), tools.iso_to_ns(F.col("j.timestamp")).alias("ns"))
+
+    def of_root(frame: DataFrame) -> DataFrame:
+        if roots is None:
+            return frame.withColumns({"session": F.col("file"), "agent": F.lit("main")}).drop("file")
+        rooted = frame.join(roots.select("file", "root"), "file", "left")
+        return rooted.withColumns({"session": F.coalesce("root", "file"), "agent": F.col("file")}).drop("file", "root")
+
+    return ordered(with_op(of_root(calls)), of_root(marks))
+
+
 def with_op(calls: DataFrame) -> DataFrame:
     """calls with the operation (op) that their tool or shell command stands for; each distinct command is parsed once."""
     said = calls.filter("category = 'shell' AND command IS NOT NULL").select("command", "cwd").distinct()

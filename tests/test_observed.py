@@ -277,3 +277,63 @@ def test_lines_without_calls_give_none(spark, lines):
     calls = stored(observe.from_hooks(events), "test-calls")
     assert calls.count() == 0
     assert observe.findings(calls, observe.inputs_of(events)).count() == 0
+
+
+class Rollout:
+    """Lines of a rollout log: functions with their outputs, items, and the usage of the response behind each call."""
+
+    def __init__(self):
+        self.lines, self.n = [], 0
+
+    def add(self, kind, **payload):
+        self.n += 1
+        at = f"2026-01-01T00:{self.n // 60:02d}:{self.n % 60:02d}.000Z"
+        self.lines.append(json.dumps({"timestamp": at, "type": kind, "payload": payload}))
+
+    def function(self, name, given, output, **more):
+        ident = f"f{self.n}"
+        self.add("response_item", type="function_call", name=name, call_id=ident, arguments=json.dumps(given), **more)
+        self.add("token_usage_record", response_id=f"r{self.n}", usage={"input_tokens": 1})
+        if output is not None:
+            self.add("response_item", type="function_call_output", call_id=ident, output=output)
+
+    def command(self, command, output, code=0):
+        self.add("event_msg", type="item_completed", item={"type": "CommandExecution", "id": f"i{self.n}", "command": command, "exit_code": code, "aggregated_output": output})
+        self.add("token_usage_record", response_id=f"r{self.n}", usage={"input_tokens": 1})
+
+
+def test_rollouts_give_the_same_calls_and_findings(spark):
+    log, child = Rollout(), Rollout()
+    for _ in range(3):
+        log.command(["make", "all"], "broken", 2)
+    log.function("shell_command", {"command": "curl -H 'Authorization: Bearer sk-AAAAAAAAAAAAAAAA' https://x"}, "ok")
+    for k in range(6):
+        log.function("job_status", {"job_id": 7}, json.dumps({"status": "RUNNING" if k < 5 else "COMPLETED", "elapsed_s": k}), namespace="mcp__cluster")
+    log.add("compacted", message="")
+    log.function("read_file", {"path": "a.py", "offset": 1}, "text"), child.function("read_file", {"path": "a.py", "offset": 1}, "text")
+    log.function("read_file", {"path": "a.py", "offset": 1}, "text")
+    log.add("event_msg", type="item_completed", item={"type": "FileChange", "id": "p1", "changes": {"src/x.py": {"kind": "update"}}})
+    log.function("exec_command", {"cmd": "sleep 5"}, None)
+    rows = [(name, k + 1, x) for name, one in (("log", log), ("child", child)) for k, x in enumerate(one.lines)]
+    frame = spark.createDataFrame(rows, "file string, line long, value string")
+    roots = spark.createDataFrame([("log", "root"), ("child", "root")], "file string, root string")
+    calls = stored(observe.from_rollouts(frame, roots), "rollout-observed")
+    got = {(r.agent, r.aseq): r for r in calls.collect()}
+    assert len(got) == 15
+    assert {r.session for r in got.values()} == {"root"}
+    makes = [got["log", k] for k in range(3)]
+    assert [(r.category, r.target, r.status, r.op) for r in makes] == [("shell", "make all", "error", "build")] * 3
+    assert "sk-AAAA" not in str(got["log", 3])
+    polls = [got["log", k] for k in range(4, 10)]
+    assert [r.result_phase for r in polls] == ["in_progress"] * 5 + ["done"]
+    assert len({r.state_fp for r in polls[:5]}) == 1
+    assert {(r.tool, r.server) for r in polls} == {("mcp__cluster__job_status", "cluster")}
+    reads = [got["log", 10], got["log", 11]]
+    assert [(r.target, r.epoch, r.content_fp is not None) for r in reads] == [("a.py", 1, True)] * 2
+    assert (got["log", 12].category, got["log", 12].target) == ("edit", "src/x.py")
+    assert (got["log", 13].status, got["log", 13].end_ns) == ("open", None)
+    found = {(r.rule, r.agent, r.subject): r for r in observe.findings(calls).collect()}
+    assert found["A", "log", "a.py"].n == 2
+    assert found["B", "log", "make all"].kind == "persistent"
+    assert (found["G", "log", "mcp__cluster__job_status"].n, found["G", "log", "mcp__cluster__job_status"].kind) == (6, "polling_cadence")
+    assert not any(k[1] == "child" for k in found)
