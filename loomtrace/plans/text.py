@@ -310,8 +310,8 @@ def _reason(name: str, pattern: str) -> str:
 
 @query(
     "declared_reasons",
-    f"SELECT conv_id, turn, array_to_string(list_filter([{', '.join(_reason(*x) for x in text.INTENTS)}], lambda x: x "
-    f"IS NOT NULL), ',') AS intents FROM (SELECT conv_id, turn, substr(text, 1, 4000) AS t FROM conversations)",
+    f"SELECT conv_id, turn, array_to_string(list_sort(list_filter([{', '.join(_reason(*x) for x in text.INTENTS)}], "
+    f"lambda x: x IS NOT NULL)), ',') AS intents FROM (SELECT conv_id, turn, substr(text, 1, 4000) AS t FROM conversations)",
     (),
 )
 def declared_reasons(f: Frames) -> DataFrame:
