@@ -114,7 +114,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int |
     state = written(
         state.select("embedding", "least_id", n_links, F.coalesce("component", "rep").alias("group")), "vector-state"
     )
-    least = state.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    least = written(state.groupBy("group").agg(F.min("least_id").alias("component_id")), "vector-least")
     # written, so that both sides of the last join are plain shuffles, which a hot class can be split over
     known = state.join(least, "group").select(F.col("embedding").alias("vector"), "n_links", "component_id")
     known = written(known, "vector-known")

@@ -432,7 +432,8 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, rare: int
     holders = nodes.select("node", F.col("lead.uid").alias("uid"))
     members = nodes.select("node", "weight", F.explode("band_keys").alias("band"))
     leaders = members.groupBy("band").agg(F.min(F.struct("node", "weight")).alias("lead"), F.count(F.lit(1)).alias("n"))
-    leaders = leaders.filter("n > 1").select("band", "lead")
+    # written, as are the least below: a join whose both inputs are plain shuffles is split where a key is hot
+    leaders = written(leaders.filter("n > 1").select("band", "lead"), "minhash-leaders")
     # total weights already rule out pairs: the similarity is at most the lesser over the greater
     ends = [
         F.col("node").alias("u"),
@@ -469,7 +470,7 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, rare: int
         joined = components(links.union(verified_buckets(crowd, sets, weights, threshold)), "minhash-components")
 
     named = nodes.join(joined, "node", "left").select("node", "lead", F.coalesce("component", "node").alias("group_id"))
-    least = named.groupBy("group_id").agg(F.min("lead").alias("first"))
+    least = written(named.groupBy("group_id").agg(F.min("lead").alias("first")), "minhash-least")
     classes = written(named.join(least, "group_id").select("node", "group_id", "first"), "minhash-classes")
     is_first = (F.col("uid") == F.col("first.uid")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     grouped = some.select("doc_id", "uid", "node").join(classes, "node")
