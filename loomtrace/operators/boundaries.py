@@ -101,7 +101,7 @@ def _recorded(requests: DataFrame, compactions: DataFrame) -> DataFrame:
 
 
 def boundaries(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (id string, file, line, uid, ns) with boundary, reason (null: a compaction was found; initial, absent, cycle,
+    """requests (id string, each once; file, line, uid, ns) with boundary, reason (null: a compaction was found; initial, absent, cycle,
     no_uid, before_copied_boundary), graph_boundary (what the pointers alone tell) and basis (pointers, recorded).
     nodes (file, line, uid, parent, compaction, ns): lines of a transcript. A recorded compaction before the request, in
     line and in time, overrides the pointers. A boundary that began after the request (a copied one) is none."""
