@@ -262,3 +262,25 @@ def segments_of(rows: DataFrame, by: list[str], order: list[str], value: str) ->
         F.min(order[0]).alias("start"), F.count(F.lit(1)).alias("n"), F.max(value).alias(value)
     )
     return s.withColumn("end", F.lead("start").over(Window.partitionBy(*by).orderBy("segment")))
+
+
+def already_told(summaries: DataFrame, notes: DataFrame) -> DataFrame:
+    """Per (run, field): told, whether a summary says nothing that notes have not: of each of its values a note has the same
+    role, at, phase and value (unknown equals unknown), and no role has conflicts. summaries (run, field, role, at, phase,
+    value, has_value, conflicting); rows without a value ask for nothing. notes (run, field, role, scope, at, phase, value);
+    a role that is not given is the scope for the exit and status of a process, else unspecified. Equal facts of both sides
+    are counted in one group, so nothing is joined and copies cost nothing after the first sum."""
+    fact = ["run", "field", "role", "at", "phase", "value"]
+    of_process = F.col("field").isin("process_exit", "process_status")
+    role = F.coalesce(F.when(F.col("role") != "", F.col("role")), F.when(of_process, F.col("scope")).otherwise("unspecified"))
+    said = notes.withColumn("role", role).select(
+        *fact, F.lit(False).alias("_in"), F.lit(False).alias("_asks"), F.lit(True).alias("_said"), F.lit(False).alias("_bad")
+    )
+    asked = summaries.select(
+        *fact, F.lit(True).alias("_in"), F.col("has_value").alias("_asks"), F.lit(False).alias("_said"),
+        F.col("conflicting").alias("_bad"),
+    )
+    each = asked.unionByName(said).groupBy(*fact).agg(*[F.bool_or(c).alias(c) for c in ("_in", "_asks", "_said", "_bad")])
+    return each.filter("_in").groupBy("run", "field").agg(
+        F.every((~F.col("_asks") | F.col("_said")) & ~F.col("_bad")).alias("told")
+    )

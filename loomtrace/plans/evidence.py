@@ -370,3 +370,35 @@ def run_facts_query(f: Frames) -> DataFrame:
 def run_completeness(f: Frames) -> DataFrame:
     texts = f.events.select("event_id", F.expr(_OUTPUT).alias("output"))
     return run_facts.completeness(texts, "event_id", "output")
+
+
+@query(
+    "already_told",
+    """WITH c AS (SELECT *, CASE WHEN params = 2 THEN 'state' ELSE 'process_exit' END AS field, CASE WHEN params = 1 THEN category
+  END AS phase FROM calls),
+n AS (SELECT agent, field, phase, content_fp, params, CASE WHEN call_id % 3 > 0 OR params <> 2 THEN tool ELSE 'unspecified' END
+  AS role FROM c WHERE call_id % 4 > 0),
+s AS (SELECT *, CASE WHEN call_id % 5 = 0 AND params = 2 THEN 'unspecified' ELSE tool END AS role FROM c WHERE call_id % 6 = 1)
+SELECT agent AS run, field, bool_and(call_id % 41 <> 1 AND (call_id % 37 = 1 OR EXISTS (SELECT 1 FROM n WHERE n.agent = s.agent
+  AND n.field = s.field AND n.role = s.role AND n.content_fp = s.content_fp AND n.params = s.params AND n.phase IS NOT
+  DISTINCT FROM s.phase))) AS told FROM s GROUP BY 1, 2""",
+)
+def already_told(f: Frames) -> DataFrame:
+    """Of each agent and field, whether summaries made of every sixth call say nothing that notices of other calls have not."""
+    c = f.calls.select(
+        F.col("agent").alias("run"),
+        F.when(F.col("params") == 2, "state").otherwise("process_exit").alias("field"),
+        F.when(F.col("params") == 1, F.col("category")).alias("phase"),
+        F.col("content_fp").alias("at"),
+        F.col("params").alias("value"),
+        F.col("tool").alias("scope"),
+        "call_id",
+    )
+    number = F.col("call_id")
+    notes = c.filter(number % 4 > 0).withColumn("role", F.when(number % 3 > 0, F.col("scope")))
+    late = (number % 5 == 0) & (F.col("value") == 2)
+    summaries = c.filter(number % 6 == 1).select(
+        "*", F.when(late, "unspecified").otherwise(F.col("scope")).alias("role"),
+        (number % 37 != 1).alias("has_value"), (number % 41 == 1).alias("conflicting"),
+    )
+    return evidence.already_told(summaries, notes)

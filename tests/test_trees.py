@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace.operators import boundaries, trees
+from loomtrace.operators import boundaries, evidence, trees
 
 FULL = dict(zip(trees.FIELDS, (10, 4, 0, 6, 2, 16), strict=True))
 LINES = "file string, line long, value string"
@@ -230,3 +230,23 @@ def test_contents_fall_into_half_open_windows(spark):
     )
     got = boundaries.contents_of_windows(contents, windows).collect()
     assert sorted((r.window_id, r.content_id) for r in got) == [("w", "a"), ("x", "c"), ("x", "d")]
+
+
+def test_summaries_already_told(spark):
+    fact = "run string, field string, role string, at long, phase string, value string"
+    notes = spark.createDataFrame(
+        [("a", "x", "p", 1, None, "v", "s"), ("a", "process_exit", None, 1, "e", "0", "cell"), ("a", "y", "", 1, None, None, "s"),
+         ("c", "x", "p", 1, None, "v", "s"), ("d", "x", "p", 1, None, "v", "s")],
+        fact + ", scope string",
+    )
+    asked = spark.createDataFrame(
+        [("a", "x", "p", 1, None, "v", True, False), ("a", "process_exit", "cell", 1, "e", "0", True, False),
+         ("a", "y", "unspecified", 1, None, None, True, False), ("a", "z", "p", None, None, None, False, False),
+         ("b", "x", "p", 1, None, "v", True, False), ("c", "x", "p", 1, None, "v", True, False),
+         ("c", "x", "p", 2, None, "v", True, False), ("d", "x", "p", 1, None, "v", True, True)],
+        fact + ", has_value boolean, conflicting boolean",
+    )
+    got = {(r.run, r.field): r.told for r in evidence.already_told(asked, notes).collect()}
+    assert got == {("a", "x"): True, ("a", "process_exit"): True, ("a", "y"): True, ("a", "z"): True, ("b", "x"): False,
+                   ("c", "x"): False, ("d", "x"): False}
+    assert evidence.already_told(asked.limit(0), notes).count() == 0
