@@ -151,6 +151,25 @@ def test_redundant_reads(spark):
     assert [(r.reads, r.first_aseq) for r in broken] == [(2, 0), (2, 2)]
 
 
+def test_named_work_knows_ascii_boundaries_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from loomtrace.plans import catalog
+
+    texts = ["testä", "ätest", "teſt", "test_", "atest", "ötests.", "réview", "éreview", "plané", "éfixe", "runé", "run9", " ſearch",
+             "aſearch", "teſtſ", "ßfind", "lancé", "lance", "RUN", "Übertest", "", None, "waité", "ADD", "ßadd"]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    got = {r.conv_id: r.intents for r in catalog.queries()["declared_intents"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {r[0]: r[2] for r in con.sql(catalog.oracle_sql()["declared_intents"]).fetchall()}
+    assert got == want
+    assert (got[0], got[1], got[2]) == ("test", "test", "test")
+
+
 def test_declared_intents(spark):
     said = {
         "Roméo n'est pas encore actif, je retente dans 30 s": ["retry", "unavailable", "wait"],
