@@ -791,3 +791,17 @@ def test_inputs_compactions_and_declarations(spark):
     )
     got = repeats.reasons(repeated(spark, rows), declared=said).collect()
     assert [(r.reason, r.basis, r.declared) for r in got] == [("waiting", "declared", ["in_progress"])] * 3
+
+
+def test_allocation_tasks_grow_with_the_lines(spark, monkeypatch):
+    """With more lines come more tasks, not larger ones."""
+    from loomtrace.plans import catalog
+    from loomtrace.sources import stored
+
+    monkeypatch.setattr(stored, "ROWS_PER_TASK", 200)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for name in ("allocation_floor", "allocation_largest_remainder"):
+        got = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        rows = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert len(rows) == -(-lines // 200)
+        assert max(rows) < 2_000
