@@ -5,6 +5,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions import shell, text
@@ -805,3 +806,29 @@ def test_allocation_tasks_grow_with_the_lines(spark, monkeypatch):
         rows = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
         assert len(rows) == -(-lines // 200)
         assert max(rows) < 2_000
+
+
+def test_repeats_of_a_session_in_blocks(spark, monkeypatch):
+    """A session counted in blocks of a few calls gives what it gives as a whole, and no task takes all of it."""
+    from loomtrace.operators import repeats
+    from loomtrace.sources import stored
+    from loomtrace.sources.bridge import Frames
+
+    f = Frames(spark, "/root/testdata/sf0.001")
+    # servers, files and local work of several agents in one session
+    calls = f.calls.withColumns({
+        "session": F.lit(0), "category": F.when(F.col("server").isNotNull(), "mcp").otherwise(F.col("category")),
+        "seq": (F.row_number().over(Window.orderBy("start_ns", "call_id")) - 1).cast("long"),
+    })
+    shown = lambda: sorted((r.call_id, r.reason, r.strong, r.p_strong) for r in repeats.reasons(calls).collect())
+    whole = shown()
+    assert {"after_change", "none"} <= {x[1] for x in whole}
+    monkeypatch.setattr(repeats, "BLOCK", 7)
+    monkeypatch.setattr(stored, "ROWS_PER_TASK", 10)
+    assert shown() == whole
+    flag = F.col("effect") == "write"
+    held = repeats._in_session(repeats._prepared(calls), 100, [("_writes", flag, ())])
+    want = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = held.withColumn("_part", F.spark_partition_id())
+    assert parts.select("_part").distinct().count() > 1
+    assert held.withColumn("_want", F.sum(flag.cast("long")).over(want)).filter("_want <> _writes").isEmpty()
