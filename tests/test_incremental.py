@@ -95,3 +95,22 @@ def test_an_analysis_without_rows_is_published(spark, tmp_path):
     assert seen() == [("b", 8)]
     assert {r.session_id: r.analysed for r in store.pending(state, spark.read.parquet(path)).collect()} == {"a": 2, "b": 1}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_calls_are_numbered_without_a_task_that_sees_a_session(spark):
+    """Places in a session are counted by stretches of time, copies of events are left out with the pairing, and runs of
+    calls need no sort of a session."""
+    from loomtrace.operators import detectors
+
+    one = Session("one")
+    for k in range(30):
+        one.read(f"{k}.py", "x")
+    events = logs.hook_events(logs.captured(lines_of(spark, one.lines + one.lines[:20])), CLIENT)
+    calls = observe.from_hooks(events)
+    rows = calls.orderBy("start_ns", "agent", "call_id").collect()
+    assert [r.seq for r in rows] == list(range(len(rows))) and len(rows) == 30
+    assert not any(r.duplicate_phases for r in rows)
+    plan = detectors.batch_runs(calls)._jdf.queryExecution().optimizedPlan().toString()
+    # the sizes of stretches, few beside the calls, are summed by session
+    windows = [x for x in plan.splitlines() if "Window" in x and "_size" not in x]
+    assert windows and not [x for x in windows if x.split("], [")[1].count("#") == 1 and "session" in x.split("], [")[1]]
