@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import messages
@@ -109,12 +109,7 @@ def repeated_paragraphs(f: Frames) -> DataFrame:
 @query("paragraph_signatures")
 def paragraph_signatures(f: Frames) -> DataFrame:
     """Estimated similarity of each paragraph's words to those of the paragraph before it in its document."""
-    p = f.table("documents").select("doc_id", F.posexplode(messages.paragraphs(F.col("text"))).alias("pos", "p"))
-    words = F.array_distinct(
-        F.filter(F.transform(F.split("p", " "), lambda x: F.substring(x, 1, 6)), lambda x: F.length(x) >= 3)
-    )
-    signed = p.withColumn("w", words).filter(F.size("w") >= 4).withColumn("s", messages.minhash_signature(F.col("w")))
-    before = F.lag("s").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return signed.withColumn("b", before).filter("b IS NOT NULL").select(
-        "doc_id", "pos", messages.signature_similarity(F.col("s"), F.col("b")).alias("similarity")
-    )
+    signed = f.table("documents").select("doc_id", messages.signed_paragraphs(F.col("text")).alias("p"))
+    # outer, as a filter of lists that hold anything would be put before the signatures and work them out once more
+    each = signed.select("doc_id", F.explode_outer(messages.consecutive_similarity(F.col("p"))).alias("p"))
+    return each.filter("p IS NOT NULL").select("doc_id", "p.pos", "p.similarity")
