@@ -24,15 +24,20 @@ FIELDS = (
 _META_LINES = 40
 _ID = r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl$"
 _TEXTS = ("thread_id", "parent_id", "agent_path", "root_turn_id", "turn_id")
+#: What is read of a usage line, parsed once; all values as text, whatever they are.
+_USAGE = "struct<" + ", ".join(f"{k}: string" for k in FIELDS) + ">"
+_LINE = (
+    "type string, payload struct<type: string, thread_id: string, session_id: string, response_id: string, "
+    f"root_turn_id: string, turn_id: string, usage: {_USAGE}, thread_token_usage: {_USAGE}>"
+)
 
 
 def _at(path: str) -> Column:
     return F.get_json_object("value", path)
 
 
-def _number(path: str) -> Column:
+def _number(text: Column) -> Column:
     """A count of tokens: whole and not negative, else unknown."""
-    text = _at(path)
     return F.when(text.rlike(r"^[0-9]+(\.0+)?$"), F.substring_index(text, ".", 1)).try_cast("long")
 
 
@@ -69,14 +74,17 @@ def records(lines: DataFrame, metas: DataFrame, starts: DataFrame | None = None,
         known = metas.join(starts.select("root_id", "start_line"), "root_id", "left")
     known = stored(known, "threads")  # one row a file; written, so that a file with most lines can be split in the join
     either = F.contains("value", F.lit('"token_usage_record"')) | F.contains("value", F.lit('"token_count"'))
-    top, inner = _at("$.type"), _at("$.payload.type")
-    running = (F.coalesce(top, F.lit("")) == "token_count") | (F.coalesce(inner, F.lit("")) == "token_count")
-    said = lines.filter(either).filter(running | (top == "token_usage_record")).select(
+    at = lambda path: F.col(f"j.{path}")
+    running = (F.coalesce(at("type"), F.lit("")) == "token_count") | (F.coalesce(at("payload.type"), F.lit("")) == "token_count")
+    # out of a list of one, so that a line is parsed once, not by the filter and by each column again
+    one = F.explode_outer(F.array(F.from_json("value", _LINE)))
+    read = lines.filter(either).select("file", "line", one.alias("j"))
+    said = read.filter(running | (at("type") == "token_usage_record")).select(
         "file", "line", running.alias("_running"),
-        _at("$.payload.thread_id").alias("_thread"), _at("$.payload.session_id").alias("_session"),
-        *[_at(f"$.payload.{k}").alias(k) for k in ("response_id", "root_turn_id", "turn_id")],
-        *[_number(f"$.payload.usage.{k}").alias(k) for k in FIELDS],
-        *[_number(f"$.payload.thread_token_usage.{k}").alias(f"thread_{k}") for k in FIELDS],
+        at("payload.thread_id").alias("_thread"), at("payload.session_id").alias("_session"),
+        *[at(f"payload.{k}").alias(k) for k in ("response_id", "root_turn_id", "turn_id")],
+        *[_number(at(f"payload.usage.{k}")).alias(k) for k in FIELDS],
+        *[_number(at(f"payload.thread_token_usage.{k}")).alias(f"thread_{k}") for k in FIELDS],
     )
     rows = said.join(known, "file")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))

@@ -55,15 +55,10 @@ def _usage_lines(f: Frames) -> DataFrame:
         rid % 13 == 0, record(F.when(child, name(parent)).otherwise("else"), F.concat(F.lit("p"), rid.cast("string")), usage())
     )
     meta = line("session_meta", F.struct(name(t).alias("id"), name(root).alias("session_id"), source.alias("source")))
-    place = lambda n: (i * 3 - 1 + n).cast("long").alias("line")
-    lines = [
-        r.select(name(t).alias("file"), place(n), v.alias("value"))
-        for n, v in enumerate([record(name(t), ident, usage()), again, third])
-    ]
-    heads = r.filter("idx = 1").select(name(t).alias("file"), F.lit(1).cast("long").alias("line"), meta.alias("value"))
-    every = heads
-    for one in lines:
-        every = every.unionByName(one.filter("value IS NOT NULL"))
+    # the lines of a response, and before its first the metadata, come from one reading of the responses
+    told_lines = [F.when(i == 1, meta), record(name(t), ident, usage()), again, third]
+    every = r.select(name(t).alias("file"), "idx", F.posexplode(F.array(*told_lines)).alias("n", "value")).filter("value IS NOT NULL")
+    every = every.select("file", (F.col("idx") * 3 - 2 + F.col("n")).cast("long").alias("line"), "value")
     return stored(every, "usage-lines")
 
 

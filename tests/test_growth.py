@@ -1,6 +1,12 @@
 """What queries do at size: work that is done once, and results that do not depend on how rows are dealt."""
 
+import re
+
+from __spark_entry__ import SMOKE_DIR
+from loomtrace.operators import trees
 from loomtrace.plans import catalog
+from loomtrace.plans import trees as plans_trees
+from loomtrace.sources.bridge import Frames
 
 
 def physical(df) -> str:
@@ -15,3 +21,22 @@ def test_paragraph_signatures_stay_within_a_document_and_are_worked_out_once(spa
     got = df.collect()
     assert [(r.doc_id, r.pos) for r in got] == [(7, 1), (7, 1)] and got[0].similarity == got[1].similarity
     assert physical(df).count("xxhash64") == 1 and "Exchange" not in physical(df)
+
+
+def test_usage_lines_are_built_and_read_once(spark, monkeypatch):
+    f = Frames(spark, SMOKE_DIR)
+    with monkeypatch.context() as m:
+        m.setattr(plans_trees, "stored", lambda df, label: df)
+        log = plans_trees._usage_lines(f)
+    assert len(re.findall(r"FileScan parquet [^\n]*l_orderkey", physical(log))) == 1
+    lines = spark.createDataFrame(
+        [("t", 1, '{"type":"session_meta","payload":{"id":"t"}}'),
+         ("t", 2, '{"type":"token_usage_record","payload":{"thread_id":"t","session_id":"t","usage":{"input_tokens":"3","output_tokens":4.0}}}'),
+         ("t", 3, '{"type":"token_usage_record","payload":"odd"}'), ("t", 4, '{"token_usage_record": ')],
+        "file string, line long, value string",
+    )
+    found = trees.records(lines, trees.threads(lines))
+    assert "get_json_object" not in physical(found) and physical(found).count("from_json") == 1
+    got = {r.line: r for r in found.collect()}
+    assert sorted(got) == [2, 3] and (got[2].why, got[2].input_tokens, got[2].output_tokens) == (None, 3, 4)
+    assert (got[3].why, got[3].input_tokens) == ("other_thread", None)
