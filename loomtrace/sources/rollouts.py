@@ -58,7 +58,8 @@ _LINE = (
 
 def _lines(rows: DataFrame) -> DataFrame:
     """The facts of each line that the steps below share; lines that are no JSON objects have none."""
-    rows = rows.select("file", "line", F.from_json("value", _LINE).alias("j"))
+    # out of a list of one, so that a line is parsed once, not by the filter of roles as often as it names a field
+    rows = rows.select("file", "line", F.explode_outer(F.array(F.from_json("value", _LINE))).alias("j"))
     at = lambda path: F.col(f"j.{path}")
     ms = lambda path: at(path).try_cast("long") * 1_000_000
     kind, sub, item = at("type"), at("payload.type"), at("payload.item.type")
@@ -220,6 +221,7 @@ def calls(known: DataFrame) -> DataFrame:
         ).alias("told_twice"),
         ends_it.alias("same_id"),
     )
+    made = stored(made, "rollout-made")  # read four times below
 
     scripts = made.filter("made_as = 'script'").select(
         "file",

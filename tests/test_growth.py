@@ -5,7 +5,9 @@ import re
 from __spark_entry__ import SMOKE_DIR
 from loomtrace.operators import trees
 from loomtrace.plans import catalog
+from loomtrace.plans import rollouts as plans_rollouts
 from loomtrace.plans import trees as plans_trees
+from loomtrace.sources import rollouts
 from loomtrace.sources.bridge import Frames
 
 
@@ -40,3 +42,10 @@ def test_usage_lines_are_built_and_read_once(spark, monkeypatch):
     got = {r.line: r for r in found.collect()}
     assert sorted(got) == [2, 3] and (got[2].why, got[2].input_tokens, got[2].output_tokens) == (None, 3, 4)
     assert (got[3].why, got[3].input_tokens) == ("other_thread", None)
+
+
+def test_rollout_lines_are_parsed_once(spark):
+    log = plans_rollouts._log(Frames(spark, SMOKE_DIR))
+    assert physical(rollouts._lines(log).filter("role IS NOT NULL")).count("from_json") == 1
+    odd = spark.createDataFrame([("a", 1, "{broken"), ("a", 2, None), ("a", 3, '{"type":"token_usage_record"}')], "file string, line long, value string")
+    assert [(r.line, r.role) for r in rollouts._lines(odd).orderBy("line").collect()] == [(1, None), (2, None), (3, "usage")]
