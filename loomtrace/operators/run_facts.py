@@ -112,11 +112,13 @@ def parsed(texts: DataFrame, key: str, text: str) -> DataFrame:
     where unknown), facts, and whether the line was understood. Text outside the marked parts of a notification is left
     out; key must tell texts apart."""
     whole = F.trim(F.col(text))
-    is_object = lambda c: F.coalesce(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), F.lit(False))
+    # what does not begin as an object is not parsed: a failed parse costs many times a good one
+    is_object = lambda c: F.when(F.trim(c).startswith("{"), F.try_parse_json(c).isNotNull()).otherwise(False)
     blocks = F.when(is_object(whole), F.array(whole)).when(
         whole.rlike(BLOCK), F.regexp_extract_all(whole, F.lit(BLOCK), 0)
     ).otherwise(F.array(whole))
-    rows = texts.filter(F.col(text).isNotNull()).select(
+    # texts that are null end as lines that are: a filter of them would be put before the text is made, and make it again
+    rows = texts.select(
         key, is_object(whole).alias("one"), F.posexplode(blocks).alias("block", "body")
     )
     tag = F.lower(F.regexp_extract("body", r"(?is)^<(event|status|summary)\b", 1))
@@ -175,8 +177,9 @@ def parsed(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def facts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, block, line, role, at, field, value, phase: one row per fact."""
-    each = parsed(texts, key, text).select(key, "block", "line", "role", "at", F.explode("facts").alias("f"))
-    return each.select(key, "block", "line", "role", "at", "f.field", "f.value", "f.phase")
+    # outer, as a filter of lists that hold anything would be put before the facts and work them out once more
+    each = parsed(texts, key, text).select(key, "block", "line", "role", "at", F.explode_outer("facts").alias("f"))
+    return each.filter("f IS NOT NULL").select(key, "block", "line", "role", "at", "f.field", "f.value", "f.phase")
 
 
 def completeness(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import re
 
 from __spark_entry__ import SMOKE_DIR
-from loomtrace.operators import trees
+from loomtrace.operators import run_facts, trees
 from loomtrace.plans import catalog
 from loomtrace.plans import rollouts as plans_rollouts
 from loomtrace.plans import trees as plans_trees
@@ -49,3 +49,11 @@ def test_rollout_lines_are_parsed_once(spark):
     assert physical(rollouts._lines(log).filter("role IS NOT NULL")).count("from_json") == 1
     odd = spark.createDataFrame([("a", 1, "{broken"), ("a", 2, None), ("a", 3, '{"type":"token_usage_record"}')], "file string, line long, value string")
     assert [(r.line, r.role) for r in rollouts._lines(odd).orderBy("line").collect()] == [(1, None), (2, None), (3, "usage")]
+
+
+def test_facts_of_runs_are_worked_out_once(spark):
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "mystery"), (4, "run finished\nhost 1.0 hitch 3 ms")], "id long, t string")
+    df = run_facts.facts(texts, "id", "t")
+    assert physical(df).count("watcher_end") == 1
+    assert [(r.id, r.field, r.value) for r in df.orderBy("id", "line").collect()] == [(4, "watcher_end", "true"), (4, "hitch_ms", "3")]
+    assert {r.id: r.unparsed_lines for r in run_facts.completeness(texts, "id", "t").collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
