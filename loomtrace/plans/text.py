@@ -125,15 +125,17 @@ SELECT a.path AS path, count(*) AS touching FROM s a JOIN s b ON a.tail = b.tail
     (),
 )
 def path_touch_join(f: Frames) -> DataFrame:
-    """Paths that may be one: joined by their last part first, so that no pair of unrelated paths is looked at."""
+    """Paths that may be one: a path meets what it ends with, its last parts one by one, so that paths of one last part
+    are not compared with each other."""
     path = F.regexp_extract("url", r"^https?://[^/]+/([^?#]+)", 1)
-    s = f.table("pages").select(path.alias("path")).filter("path <> ''").distinct().withColumn(
-        "tail", F.element_at(F.split("path", "/"), -1)
-    )
-    other = s.select(F.col("path").alias("other"), "tail")
-    return s.join(other, "tail").filter(text.touches(F.col("path"), F.col("other"))).groupBy("path").agg(
-        F.count(F.lit(1)).alias("touching")
+    s = f.table("pages").select(path.alias("path")).filter("path <> ''").distinct()
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    short = s.select("path", F.explode(F.when(F.size(parts) > 1, ends)).alias("other")).join(
+        s.withColumnRenamed("path", "other"), "other"
     )
+    both = short.select(F.explode(F.array("path", "other")).alias("path"))
+    return s.unionByName(both).groupBy("path").agg(F.count(F.lit(1)).alias("touching"))
 
 
 # Parts of commands, put together by the numbers of an event; "#" divides them.

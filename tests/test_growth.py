@@ -57,3 +57,14 @@ def test_facts_of_runs_are_worked_out_once(spark):
     assert physical(df).count("watcher_end") == 1
     assert [(r.id, r.field, r.value) for r in df.orderBy("id", "line").collect()] == [(4, "watcher_end", "true"), (4, "hitch_ms", "3")]
     assert {r.id: r.unparsed_lines for r in run_facts.completeness(texts, "id", "t").collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_paths_of_one_last_part_do_not_meet(spark, tmp_path):
+    paths = ["i.html", "a/i.html", "b/a/i.html", "c/i.html", "x//i.html", "/i.html", "x/", "y/x/", "x", "i.html?q=1", "a/i.html#t"]
+    urls = [(f"http://h.org/{p}",) for p in paths] + [(None,), ("odd",)]
+    spark.createDataFrame(urls, "url string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = catalog.queries()["path_touch_join"](spark, str(tmp_path))
+    known = {p.split("?")[0].split("#")[0] for p in paths}
+    want = {a: sum(a == b or a.endswith("/" + b) or b.endswith("/" + a) for b in known) for a in known}
+    assert {r.path: r.touching for r in df.collect()} == want
+    assert "endswith" not in physical(df).lower()
