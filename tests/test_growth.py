@@ -1,9 +1,13 @@
 """What queries do at size: work that is done once, and results that do not depend on how rows are dealt."""
 
 import re
+from collections import Counter
+from random import Random
+
+import pytest
 
 from __spark_entry__ import SMOKE_DIR
-from loomtrace.operators import run_facts, trees
+from loomtrace.operators import detectors, messages, run_facts, trees
 from loomtrace.plans import catalog
 from loomtrace.plans import rollouts as plans_rollouts
 from loomtrace.plans import trees as plans_trees
@@ -68,3 +72,47 @@ def test_paths_of_one_last_part_do_not_meet(spark, tmp_path):
     want = {a: sum(a == b or a.endswith("/" + b) or b.endswith("/" + a) for b in known) for a in known}
     assert {r.path: r.touching for r in df.collect()} == want
     assert "endswith" not in physical(df).lower()
+
+
+def test_repeated_guidance_shuffles_no_text_and_compares_sets(spark):
+    one, two, rare = "never push to main " * 6, "always  run the tests " * 6, "only told here " * 7
+    rows = [(1, one), (1, one), (1, two), (2, f"{two}\n{one}"), (3, rare), (3, rare), (4, None)]
+    texts = spark.createDataFrame(rows, "id long, t string")
+    df = messages.repeated_guidance(texts, "id", "t")
+    got = df.collect()
+    assert [(r.messages, r.first_message, r.last_message, r.paragraphs, r.chars) for r in got] == [(2, 1, 2, 2, 113 + 125)]
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", physical(df))
+    assert moved and not any("_p#" in keys for keys in moved) and "_digest#" in moved[-1]
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 4])
+def test_grams_that_are_too_rare_are_never_made(spark, least):
+    draw, rows = Random(least), []
+    for agent in (1, 2, None):
+        shapes = [draw.choice(["a", "b", "b", "c"]) for _ in range(60)] + ["a", "b", "c", "a", "b", "c"] * 4
+        rows += [(1, agent, k, x, None) for k, x in enumerate(shapes)]
+    frame = spark.createDataFrame(rows, "session long, agent long, aseq long, category string, server string")
+    want = Counter()
+    for agent in (1, 2, None):
+        shapes = [f"{r[3]}:-" for r in rows if r[1] == agent][-50:]
+        grams = [tuple(shapes[i : i + n]) for n in (2, 4, 6) for i in range(len(shapes) - n + 1)]
+        want.update((agent, ">".join(g)) for g in grams if len(set(g)) > 1)
+    got = detectors.ngram_counts(frame, (2, 4, 6), least, 50)
+    assert {(r.agent, r.gram): r.occurrences for r in got.collect()} == {k: n for k, n in want.items() if n >= least}
+    if least > 1:
+        assert "_often" in physical(got)
+
+
+def test_all_findings_work_out_calls_once(spark):
+    f = Frames(spark, SMOKE_DIR)
+    texts = f.table("documents").select("doc_id", "text").toDF("message", "text")
+    plan = physical(detectors.all_findings(f.calls, texts))
+    assert "FileScan" in plan and "event_id" not in plan
+    # patterns of an agent are compared with each other, not joined with themselves
+    rows = [(1, a, k, x, None) for a in (1, None) for k, x in enumerate("abc" * 4)]
+    frame = spark.createDataFrame(rows, "session long, agent long, aseq long, category string, server string")
+    found = detectors.mined_patterns(frame)
+    assert "Join" not in physical(found)
+    # where the agent is not known, what a longer one holds stays, but for rotations of one length
+    got = {(r.agent, r.n, r.uses) for r in found.collect()}
+    assert (1, 3, 4) in got and (1, 2, 4) not in got and (None, 2, 4) in got
