@@ -5,6 +5,7 @@ from collections import Counter
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_DIR
 from loomtrace.operators import detectors, messages, run_facts, trees
@@ -116,3 +117,22 @@ def test_all_findings_work_out_calls_once(spark):
     # where the agent is not known, what a longer one holds stays, but for rotations of one length
     got = {(r.agent, r.n, r.uses) for r in found.collect()}
     assert (1, 3, 4) in got and (1, 2, 4) not in got and (None, 2, 4) in got
+
+
+def test_findings_mine_all_calls_and_keep_all_patterns(spark):
+    # what recurs lies before an agent's last 2000 calls, and there are more than ten patterns
+    shapes = [c for k in range(12) for _ in range(3) for c in ("read", f"mcp{k}")] + ["shell"] * 2_100
+    rows = [("s", "a", k, x) for k, x in enumerate(shapes)]
+    frame = spark.createDataFrame(rows, "session string, agent string, aseq long, category string")
+    calls = frame.withColumn("server", F.lit(None).cast("string"))
+    pairs = lambda found: {frozenset(r.gram.split(">")) for r in found.collect() if r.n == 2}
+    assert pairs(detectors.mined_patterns(calls)) == set()
+    every = pairs(detectors.mined_patterns(calls, top=None, last_calls=None))
+    assert every == {frozenset(("read:-", f"mcp{k}:-")) for k in range(12)}
+    assert detectors.mined_patterns(calls, last_calls=None).count() == 10
+
+
+def test_query_from_logs_mines_all():
+    sql = catalog.oracle_sql()
+    assert "back <= 2000" not in sql["findings_from_logs"] and "place <= 10" not in sql["findings_from_logs"]
+    assert "back <= 2000" in sql["findings_of_batches"] and "back <= 2000" in sql["ngram_mined"]
