@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_DIR
-from loomtrace.operators import detectors, messages, run_facts, trees
+from loomtrace.operators import detectors, messages, observe, run_facts, trees
 from loomtrace.plans import catalog
+from loomtrace.plans import observed as plans_observed
 from loomtrace.plans import rollouts as plans_rollouts
 from loomtrace.plans import trees as plans_trees
 from loomtrace.sources import rollouts
@@ -136,3 +137,15 @@ def test_query_from_logs_mines_all():
     sql = catalog.oracle_sql()
     assert "back <= 2000" not in sql["findings_from_logs"] and "place <= 10" not in sql["findings_from_logs"]
     assert "back <= 2000" in sql["findings_of_batches"] and "back <= 2000" in sql["ngram_mined"]
+
+
+def test_events_are_shuffled_once_and_lines_are_packed(spark, tmp_path, monkeypatch):
+    written, keep = [], observe.stored
+    monkeypatch.setattr(observe, "stored", lambda df, label, *more: (written.append((label, physical(df))), keep(df, label, *more))[1])
+    f = Frames(spark, SMOKE_DIR)
+    payloads, events = plans_observed._read(f)
+    observe.from_hooks(events)
+    # copies are left out, calls paired and numbered in one shuffle
+    (label, plan), = written
+    assert label == "paired-calls" and plan.count("Exchange ") == 1
+    assert all(x.endswith(".gz") for x in payloads.inputFiles()) and any("zstd" in x for x in events.inputFiles())
