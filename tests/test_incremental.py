@@ -114,3 +114,12 @@ def test_calls_are_numbered_without_a_task_that_sees_a_session(spark):
     # the sizes of stretches, few beside the calls, are summed by session
     windows = [x for x in plan.splitlines() if "Window" in x and "_size" not in x]
     assert windows and not [x for x in windows if x.split("], [")[1].count("#") == 1 and "session" in x.split("], [")[1]]
+
+
+def test_a_batch_copies_no_events_and_works_out_findings_once(spark, tmp_path, monkeypatch):
+    written, keep = [], analysis.stored
+    monkeypatch.setattr(analysis, "stored", lambda df, label, *more: (written.append(label), keep(df, label, *more))[1])
+    one = Session("one")
+    one.read("a.py", "x"), one.read("a.py", "x")
+    assert analysis.take(lines_of(spark, one.lines), 0, str(tmp_path / "p"), CLIENT) == 1
+    assert written == ["batch-events", "touched-sessions", "pending-sessions", "batch-findings"]
