@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_DIR
-from loomtrace.operators import detectors, messages, observe, run_facts, trees
+from loomtrace.operators import detectors, messages, observe, repeats, run_facts, trees
 from loomtrace.plans import catalog
 from loomtrace.plans import observed as plans_observed
 from loomtrace.plans import rollouts as plans_rollouts
@@ -149,3 +149,17 @@ def test_events_are_shuffled_once_and_lines_are_packed(spark, tmp_path, monkeypa
     (label, plan), = written
     assert label == "paired-calls" and plan.count("Exchange ") == 1
     assert all(x.endswith(".gz") for x in payloads.inputFiles()) and any("zstd" in x for x in events.inputFiles())
+
+
+def test_a_call_alone_is_not_judged(spark):
+    rows = [("s", "a", k, "shell", x, "0", k) for k, x in enumerate("xyzxyx")]
+    frame = spark.createDataFrame(rows, "session string, agent string, seq long, tool string, target string, params string, aseq long")
+    none = ["server", "content_fp", "epoch", "emitter"]
+    calls = frame.withColumns({c: F.lit(None).cast("string") for c in none} | {
+        "category": F.lit("shell"), "status": F.lit("success"), "start_ns": F.col("seq") * 10**10, "end_ns": F.col("seq") * 10**10
+    })
+    inputs = spark.createDataFrame([("s", "a", 35 * 10**9), ("s", "b", 0)], "session string, agent string, ns long")
+    got = repeats.verdicts(calls, inputs)
+    assert [(r.target, r.calls, r.round_trips, r.n_new_input) for r in got.collect()] == [("x", 3, 2, 1)]
+    pairs = {(r.target, r.seq): r.reason for r in repeats.reasons(calls, inputs).collect()}
+    assert pairs == {("x", 3): "possible_change", ("y", 4): "new_input", ("x", 5): "new_input"}
